@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolake.llm import bpe, packing, secrets, simhash
+from cartolake.llm import bpe, exactdedup, packing, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,13 +27,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents"))
     counts = [secrets.count_of("base", k).alias(f"n_{k}") for k in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
 
 
-_QUERIES = (op4_bpe_round_trip, op7_best_fit_packing, op8_simhash_near_dedup, op10_secret_scan)
+_QUERIES = (op4_bpe_round_trip, op7_best_fit_packing, op8_simhash_near_dedup, op9_suffix_dedup, op10_secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

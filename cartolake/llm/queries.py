@@ -7,17 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolake.llm import bpe, exactdedup, packing, secrets, simhash
+from cartolake.llm import bpe, digest, exactdedup, langid, packing, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = digest.compare(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", F.base64("fingerprint").alias("fingerprint"), F.base64("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
@@ -38,7 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
 
 
-_QUERIES = (op4_bpe_round_trip, op7_best_fit_packing, op8_simhash_near_dedup, op9_suffix_dedup, op10_secret_scan)
+_QUERIES = (op2_improbable_digest, op4_bpe_round_trip, op5_language_id, op7_best_fit_packing, op8_simhash_near_dedup, op9_suffix_dedup, op10_secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,21 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolake.llm import bpe, digest, exactdedup, langid, packing, secrets, simhash
+from cartolake.llm import bpe, chat, digest, exactdedup, langid, licenses, packing, secrets, simhash, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op2_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest.compare(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", F.base64("fingerprint").alias("fingerprint"), F.base64("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op3_bond_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"))
 
@@ -29,6 +39,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.PROBE).alias("text"))
+    return chat.digests(chat.segments(chat.messages(chat.log_of(rows.union(probe)))))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
@@ -49,12 +65,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
 
 
-_QUERIES = (op2_improbable_digest, op4_bpe_round_trip, op5_language_id, op7_best_fit_packing, op8_simhash_near_dedup, op9_suffix_dedup, op10_secret_scan)
+_QUERIES = (op1_license_scan, op2_improbable_digest, op3_bond_top_k, op4_bpe_round_trip, op5_language_id, op6_chat_format, op7_best_fit_packing, op8_simhash_near_dedup, op9_suffix_dedup, op10_secret_scan)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    return {q.__name__: q for q in (*_QUERIES, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return piped | {"op3_bond_top_k": topk.oracle(), "op6_chat_format": chat.oracle()}

@@ -92,10 +92,11 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, redact: str | None = None) -> DataFrame:
-    """One row per document: id, base spans, all spans; with `redact`, also the text with every span replaced by it."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, redact: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, base spans, all spans, carried columns; with `redact`, also the text with every span replaced by it."""
     bounded_batches(docs.sparkSession)
     names = (*KINDS, "random")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carried)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = vocabulary(path)
@@ -115,11 +116,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     clean.append("".join(parts) + text[at:])
             columns = [batch.column(0), pa.array(base, _SPAN_TYPE), pa.array(every, _SPAN_TYPE)]
             extra = [pa.array(clean, pa.string())] if redact is not None else []
-            yield pa.RecordBatch.from_arrays(columns + extra, ["id", "base", "spans", *["redacted"] * len(extra)])
+            yield pa.RecordBatch.from_arrays([*columns, *extra, *batch.columns[2:]], ["id", "base", "spans", *["redacted"] * len(extra), *batch.schema.names[2:]])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(work, f"id {kind}, base {SPANS}, spans {SPANS}" + ", redacted string" * (redact is not None))
-    return out.withColumnRenamed("id", id_col)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields]
+    out = rows.mapInArrow(work, ", ".join([kinds[0], f"base {SPANS}", f"spans {SPANS}", *["redacted string"] * (redact is not None), *kinds[2:]]))
+    return out.withColumnsRenamed({"id": id_col} | {f"c{i}": c for i, c in enumerate(carried)})
 
 
 def written(spans: str) -> Column:

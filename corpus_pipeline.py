@@ -1 +1,69 @@
-"""Stages over documents."""
+"""A training corpus from raw documents: language, near copies, repeated passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns
+of `documents`. A stage's text is final for the next one: passages that repeat are cut out, secrets are replaced.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartolake.llm import exactdedup, langid, packing, secrets, simhash
+from cartolake.llm.common import saved
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SECRET = "[secret]"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the network knows; those without a letter go."""
+    net = langid.fit(docs)
+    return langid.predict(docs, net, carried=COLUMNS[1:]).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    found = simhash.near_duplicates(docs)
+    gone = found.where("doc_id <> component").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out byte strings that occur elsewhere; documents of which nothing is left go."""
+    found = exactdedup.remove_repeats(docs, carried=("text", "lang", "source", "n_chars"))
+    # A cut may fall inside a character; what is left of it goes with the cut.
+    readable = F.pandas_udf(lambda kept: kept.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
+    text = F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("text"))
+    left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    return left.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret; all documents stay."""
+    found = secrets.scan(docs, redact=SECRET, carried=("lang", "source"))
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("repeats", repeats),
+    ("without_secrets", without_secrets),
+    ("packed", packed),
+]
+
+#: Hashes, networks and tokenizers are beyond SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,0 +1 @@
+"""Reusable operators over DataFrames."""

@@ -1,4 +1,4 @@
-"""Registry of the relational and spatial queries, by the ids of the operator inventory."""
+"""All relational, spatial and planning queries, by the ids of the operator inventory."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
+from cartolake.plans import aggregates, filters, joins, ranking, registry, resolution, scalars, sets, sinks, streams, windows
+
+MODULES = (filters, joins, aggregates, windows, ranking, sets, scalars, sinks, resolution, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLE
+    return registry.ORACLE

@@ -1 +1,80 @@
-"""."""
+"""Counters, quotas and sessions: batch twins of the streaming operators, and streams run to their end (inventory 2.13)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartolake.operators.relational import first_per
+from cartolake.plans.registry import query
+from cartolake.sources.tables import Tables
+from cartolake.streaming import counters
+
+
+@query("SELECT date_trunc('minute', ts) AS minute, user_id, count(*) AS calls FROM events GROUP BY 1, 2")
+def st_rate_minute(t: Tables) -> DataFrame:
+    return counters.per_window(t.events, "1 minute").select(F.col("starts").alias("minute"), "user_id", "calls")
+
+
+@query("SELECT CAST(ts + INTERVAL 3 HOUR AS DATE) AS day, user_id, count(*) AS calls FROM events GROUP BY 1, 2 HAVING count(*) > 2")
+def st_quota_day(t: Tables) -> DataFrame:
+    """Calls per user and local day over the quota; Istanbul's midnight is 21:00 UTC."""
+    day = counters.per_window(t.events, "1 day", offset="21 hours").where("calls > 2")
+    return day.select(F.to_date(F.col("starts") + F.expr("INTERVAL 3 HOURS")).alias("day"), "user_id", "calls")
+
+
+@query("SELECT date_trunc('month', ts)::DATE AS month, count(*) AS calls, count(*) >= 4500 AS spent FROM events GROUP BY 1")
+def st_budget_day_month(t: Tables) -> DataFrame:
+    return t.events.groupBy(F.trunc(F.to_date("ts"), "MM").alias("month")).agg(F.count("*").alias("calls"), (F.count("*") >= 4500).alias("spent"))
+
+
+@query(
+    """, f AS (SELECT *, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS round FROM usage)
+    SELECT user_id, round, count(*) AS failures, min(created_at) AS since FROM f WHERE NOT ok GROUP BY user_id, round HAVING count(*) >= 2""",
+    "usage",
+)
+def st_login_lock(t: Tables) -> DataFrame:
+    """Runs of failures since the last success, per key; two or more lock it."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id").orderBy("created_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    runs = t.usage.withColumn("round", F.sum(F.col("ok").cast("int")).over(w)).where("NOT ok")
+    return runs.groupBy("user_id", "round").agg(F.count("*").alias("failures"), F.min("created_at").alias("since")).where("failures >= 2")
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS uploads, count(*) FILTER (event_type = 'view') AS proofs FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2")
+def st_photo_quota(t: Tables) -> DataFrame:
+    return t.events.where("event_type IN ('view', 'click')").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("uploads"), F.count_if(F.col("event_type") == "view").alias("proofs"))
+
+
+@query(
+    """, f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f)
+    SELECT user_id, min(ts) AS starts, max(ts) + INTERVAL 12 HOUR AS ends, count(*) AS uses FROM g GROUP BY user_id, s""",
+    "usage",
+)
+def st_session_idle(t: Tables) -> DataFrame:
+    return counters.sessions(t.events, "12 hours")
+
+
+@query("SELECT a.event_id FROM events a WHERE EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'signup' AND a.event_type = 'error' AND a.ts > b.ts + INTERVAL 60 SECOND)")
+def st_token_reuse(t: Tables) -> DataFrame:
+    """Uses of a key later than a minute after it was first replaced."""
+    first = t.events.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("replaced"))
+    return t.events.where("event_type = 'error'").join(first, "user_id").where(F.col("ts") > F.col("replaced") + F.expr("INTERVAL 60 SECONDS")).select("event_id")
+
+
+@query("SELECT report_id FROM reports WHERE NOT resolved AND created_at < TIMESTAMP '2024-01-10' ORDER BY created_at, report_id LIMIT 50", "reports")
+def st_pending_retry(t: Tables) -> DataFrame:
+    return t.reports.where("NOT resolved AND created_at < '2024-01-10'").orderBy("created_at", "report_id").limit(50).select("report_id")
+
+
+@query("SELECT date_trunc('hour', ts) AS starts, event_type, count(*) AS calls, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
+def st_stream_windows(t: Tables) -> DataFrame:
+    """Hourly counts by a stream over the events, run until all are read."""
+    return counters.stream_hourly(t.spark, t.sf_dir)
+
+
+@query("SELECT route_id, CASE WHEN day < DATE '1996-01-01' THEN 'EXPIRED' ELSE status END AS status FROM routes WHERE status <> 'DONE'", "routes")
+def st_scheduled(t: Tables) -> DataFrame:
+    """What the nightly expiry job leaves behind."""
+    return t.routes.where("status <> 'DONE'").select("route_id", F.when(F.col("day") < F.lit("1996-01-01").cast("date"), "EXPIRED").otherwise(F.col("status")).alias("status"))

@@ -1 +1,240 @@
-"""."""
+"""Classification, entity resolution and planning pipelines (inventory 2.4, 2.10 to 2.12)."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartolake.functions import sides
+from cartolake.functions.hours import parsed
+from cartolake.functions.text import fold_key, jaccard, same_name, trigrams
+from cartolake.operators import greedy
+from cartolake.operators import predicates as P
+from cartolake.operators.relational import first_per, within
+from cartolake.plans.registry import query
+from cartolake.sources.tables import Tables
+
+MID_SQL = "CASE WHEN lat >= 41.25e0 THEN 29.13e0 " + " ".join(
+    f"WHEN lat >= {y0}e0 THEN {x0}e0 + (lat - {y0}e0) / ({y1}e0 - {y0}e0) * ({x1}e0 - {x0}e0)" for (y1, x1), (y0, x0) in zip(sides.MIDLINE, sides.MIDLINE[1:], strict=False)
+) + " ELSE 29.0e0 END"
+
+
+@query(f"SELECT place_id, (lon > {MID_SQL}) = (29.1e0 > 28.999e0) AS same FROM places", "places")
+def flt_same_side(t: Tables) -> DataFrame:
+    """On the same (Asian) side as a fixed point."""
+    return t.places.select("place_id", sides.same_side(F.col("lat"), F.col("lon"), F.lit(41.0), F.lit(29.1)).alias("same"))
+
+
+@query(
+    """SELECT p_partkey AS place_id, d.day, (8 + p_size % 4) * 60 AS opens, (18 + p_size % 7) % 24 * 60 AS closes FROM part CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS day) d
+    WHERE d.day <= 5 OR (d.day = 6 AND p_size % 2 = 0)"""
+)
+def dt_hours_parse(t: Tables) -> DataFrame:
+    """Strings such as `Mo-Fr 09:00-18:00; Sa off`, made from sizes, read back as rows by day."""
+    span = F.format_string("%02d:00-%02d:00", 8 + F.col("p_size") % 4, 18 + F.col("p_size") % 7)
+    text = F.concat(F.lit("Mo-Sa "), span, F.when(F.col("p_size") % 2 == 1, F.lit("; Sa off")).otherwise(F.lit("")))
+    rows = t.part.select(F.col("p_partkey").alias("place_id"), F.explode(parsed(text)).alias("h"))
+    return rows.select("place_id", "h.day", "h.opens", "h.closes")
+
+
+def same_kind_pairs(t: Tables, limit: float) -> DataFrame:
+    """(before, after): places of one category and name at most `limit` metres apart, the lower id first."""
+    p = t.places.select("place_id", "category", "name", "lat", "lon")
+    pairs = within(p, p, limit, "place_id", "place_id").where("a.place_id < b.place_id AND a.category = b.category AND a.name = b.name")
+    return pairs.select(F.col("a.place_id").alias("before"), F.col("b.place_id").alias("after"))
+
+
+@query()
+def er_dedupe_self(t: Tables) -> DataFrame:
+    """Places kept when, in order, those near a kept one of their category and name are dropped."""
+    return greedy.first_come(t.places.select(F.col("place_id").alias("id")), same_kind_pairs(t, 2000)).withColumnRenamed("id", "place_id")
+
+
+@query()
+def er_match_confirm_add(t: Tables) -> DataFrame:
+    """New places: confirming a known one nearby, or added unless a copy of one added before."""
+    new, old = t.places.where("source = 'OVERTURE'"), t.places.where("source = 'OSM'")
+    cols = ("place_id", "name", "lat", "lon")
+    alike = same_name(fold_key(F.col("a.name")), fold_key(F.col("b.name")))
+    hit = within(new.select(*cols), old.select(*cols), 600, "place_id", "place_id").where(alike)
+    nearest = first_per(hit.select(F.col("a.place_id").alias("place_id"), F.col("b.place_id").alias("confirms"), F.round("metres", 3).alias("metres")), ["place_id"], [F.col("metres"), F.col("confirms")])
+    rest = new.where("rating >= 3.5").join(nearest, "place_id", "left_anti")
+    copies = within(rest.select(*cols), rest.select(*cols), 1000, "place_id", "place_id").where(alike & (F.col("a.place_id") < F.col("b.place_id")))
+    added = greedy.first_come(rest.select(F.col("place_id").alias("id")), copies.select(F.col("a.place_id").alias("before"), F.col("b.place_id").alias("after")))
+    confirmed = nearest.select("place_id", F.lit("confirms").alias("status"), "confirms")
+    return confirmed.unionByName(added.select(F.col("id").alias("place_id"), F.lit("added").alias("status"), F.lit(None).cast("long").alias("confirms")))
+
+
+def sights(t: Tables) -> DataFrame:
+    return t.places.where(P.plannable() & F.col("category").isin("MUSEUM", "ATTRACTION", "PARK", "VIEWPOINT")).select("place_id", "name", "lat", "lon", F.col("popularity").alias("score"))
+
+
+def cluster_members(t: Tables) -> DataFrame:
+    """centre, place_id, ...: every sight with the best centre that reaches it; centres are what no better centre reaches."""
+    s = sights(t)
+    pairs = within(s, s, 900, "place_id", "place_id").where(sides.same_side(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")))
+    better = (F.col("a.score") > F.col("b.score")) | ((F.col("a.score") == F.col("b.score")) & (F.col("a.place_id") < F.col("b.place_id")))
+    pairs = pairs.checkpoint() if t.spark.sparkContext.getCheckpointDir() else pairs
+    centres = greedy.first_come(s.select(F.col("place_id").alias("id")), pairs.where(better).select(F.col("a.place_id").alias("before"), F.col("b.place_id").alias("after")))
+    reached = pairs.join(centres, F.col("a.place_id") == F.col("id"), "left_semi").select(F.col("a.place_id").alias("centre"), F.col("a.score").alias("centre_score"), "b.*")
+    return first_per(reached, ["place_id"], [F.desc("centre_score"), F.col("centre")])
+
+
+@query()
+def pl_clusters(t: Tables) -> DataFrame:
+    """Walkable groups of at least three sights, by the score of their best five."""
+    top = first_per(cluster_members(t), ["centre"], [F.desc("score"), F.col("place_id")], 5)
+    n = top.groupBy("centre").agg(F.count("*").alias("best"), F.round(F.sum("score"), 4).alias("score"))
+    return n.where("best >= 3").select("centre", "score")
+
+
+@query()
+def pl_itinerary(t: Tables) -> DataFrame:
+    """The best five sights of each group in the shortest walking order."""
+    top = first_per(cluster_members(t), ["centre"], [F.desc("score"), F.col("place_id")], 5)
+
+    def order(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place_id").reset_index(drop=True)
+        if len(group) < 3:
+            return group.iloc[:0][["centre", "place_id"]].assign(position=0)
+        at = greedy.shortest_order(list(zip(group.lat, group.lon, strict=True)))
+        return group.iloc[at][["centre", "place_id"]].assign(position=range(1, len(at) + 1))
+
+    return top.groupBy("centre").applyInPandas(order, "centre long, place_id long, position int")
+
+
+@query()
+def pl_greedy(t: Tables) -> DataFrame:
+    """A day plan for each user, from a start point of their own."""
+    requests = t.users.select(
+        F.col("user_id").alias("request_id"), (F.lit(40.92) + (F.col("user_id") * 7919 % 160) / 1000.0).alias("lat"), (F.lit(29.02) + (F.col("user_id") * 104729 % 160) / 1000.0).alias("lon"), (F.lit(500) + F.abs(F.col("balance")) % 2000).alias("budget")
+    )
+    p = t.places.where(P.plannable()).select("place_id", "category", "cost", "rating", "lat", "lon")
+    near = within(requests.select("request_id", "lat", "lon"), p, 1500, "request_id", "place_id").select("a.request_id", "b.*", "metres")
+    return greedy.plan_days(requests, near)
+
+
+TAGS = "CASE WHEN category = 'PARK' THEN 'nature' END, CASE WHEN category = 'MUSEUM' THEN 'art' END, CASE WHEN cost <= 300 THEN 'budget' END, CASE WHEN list_contains(tags, 'small') THEN 'cosy' END"
+
+
+@query(f"SELECT place_id, concat_ws(',', {TAGS}) AS derived FROM places", "places")
+def er_derive_tags(t: Tables) -> DataFrame:
+    c = F.col("category")
+    met = [F.when(c == "PARK", "nature"), F.when(c == "MUSEUM", "art"), F.when(F.col("cost") <= 300, "budget"), F.when(F.array_contains("tags", "small"), "cosy")]
+    return t.places.select("place_id", F.concat_ws(",", *met).alias("derived"))
+
+
+@query("SELECT place_id, CASE WHEN category = 'CAFE' AND list_contains(tags, 'small') THEN 'BREAKFAST' ELSE category END AS category FROM places", "places")
+def er_breakfast_aware(t: Tables) -> DataFrame:
+    return t.places.select("place_id", F.when((F.col("category") == "CAFE") & F.array_contains("tags", "small"), "BREAKFAST").otherwise(F.col("category")).alias("category"))
+
+
+@query(
+    "SELECT place_id, CASE WHEN review IS NOT NULL THEN 'removed' WHEN inside_institution THEN 'institution' WHEN unconfirmed THEN 'unconfirmed' WHEN name LIKE '%gear%' AND category = 'MUSEUM' THEN 'name' END AS reason FROM places",
+    "places",
+)
+def er_realism_name(t: Tables) -> DataFrame:
+    """The first rule that speaks against a place, or NULL."""
+    rules = [F.when(F.col("review").isNotNull(), "removed"), F.when(F.col("inside_institution"), "institution"), F.when(F.col("unconfirmed"), "unconfirmed"), F.when(F.contains("name", F.lit("gear")) & (F.col("category") == "MUSEUM"), "name")]
+    return t.places.select("place_id", F.coalesce(*rules).alias("reason"))
+
+
+@query(
+    "SELECT status, count(*) AS n FROM (SELECT CASE WHEN unconfirmed THEN 'unusable' WHEN inside_institution THEN 'unrealistic' WHEN row_number() OVER (PARTITION BY name, category ORDER BY place_id) > 1 THEN 'duplicate' ELSE 'kept' END AS status FROM places) x GROUP BY status",
+    "places",
+)
+def er_prepare(t: Tables) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    again = F.row_number().over(Window.partitionBy("name", "category").orderBy("place_id")) > 1
+    status = F.when(F.col("unconfirmed"), "unusable").when(F.col("inside_institution"), "unrealistic").when(again, "duplicate").otherwise("kept")
+    return t.places.withColumn("status", status).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    ", g AS (SELECT count(*) FILTER (source = 'OSM') > 50 AND count(*) FILTER (source = 'OVERTURE') < 0.2e0 * count(*) FILTER (source = 'OSM') AS thin FROM places WHERE category IN ('CAFE', 'RESTAURANT')) SELECT place_id, unconfirmed AND NOT thin AS flagged FROM places, g",
+    "places",
+)
+def er_coverage_guard(t: Tables) -> DataFrame:
+    osm, other = F.count_if(F.col("source") == "OSM"), F.count_if(F.col("source") == "OVERTURE")
+    guard = t.places.where("category IN ('CAFE', 'RESTAURANT')").agg(((osm > 50) & (other < osm * 0.2)).alias("thin"))
+    return t.places.crossJoin(F.broadcast(guard)).select("place_id", (F.col("unconfirmed") & ~F.col("thin")).alias("flagged"))
+
+
+@query("SELECT place_id, (source = 'OSM' AND NOT coalesce(s.seen, FALSE)) AS unconfirmed FROM places LEFT JOIN (SELECT DISTINCT place_id, TRUE AS seen FROM saved_places) s USING (place_id) WHERE (source = 'OSM' AND NOT coalesce(s.seen, FALSE)) IS DISTINCT FROM unconfirmed", "places saved_places")
+def er_flag_unconfirmed(t: Tables) -> DataFrame:
+    """Only the rows whose flag changes."""
+    seen = t.saved_places.select("place_id").distinct().withColumn("seen", F.lit(True))
+    flag = (F.col("source") == "OSM") & ~F.coalesce("seen", F.lit(False))
+    return t.places.join(seen, "place_id", "left").withColumn("now", flag).where(~F.col("now").eqNullSafe(F.col("unconfirmed"))).select("place_id", F.col("now").alias("unconfirmed"))
+
+
+@query("SELECT place_id FROM places p WHERE source = 'OVERTURE' AND lat BETWEEN 40.95e0 AND 41.05e0 AND NOT EXISTS (SELECT 1 FROM reports r WHERE r.place_id = p.place_id)", "places reports")
+def er_hide_gone(t: Tables) -> DataFrame:
+    box = (F.col("source") == "OVERTURE") & F.col("lat").between(40.95, 41.05)
+    return t.places.where(box).join(t.reports, "place_id", "left_anti").select("place_id")
+
+
+@query("SELECT tag, count(*) AS added FROM (SELECT unnest(list_filter([CASE WHEN cost <= 300 THEN 'cheap' END, CASE WHEN indoor THEN 'indoor' END, 'small'], lambda x: x IS NOT NULL AND NOT list_contains(tags, x))) AS tag FROM places) x GROUP BY tag", "places")
+def er_normalize_plan(t: Tables) -> DataFrame:
+    """How often each tag would be added."""
+    wanted = F.array_compact(F.array(F.when(F.col("cost") <= 300, "cheap"), F.when(F.col("indoor"), "indoor"), F.lit("small")))
+    return t.places.select(F.explode(F.array_except(wanted, F.col("tags"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("added"))
+
+
+@query(
+    "SELECT a.place_id, CASE WHEN a.popularity IS NULL THEN 'failed' WHEN b.name IS NULL THEN 'missing' WHEN len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) < 0.25e0 THEN 'mismatch' ELSE 'match' END AS decision FROM (SELECT *, list_distinct(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) AS g FROM places) a LEFT JOIN (SELECT place_id + 3 AS id, name, list_distinct(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) AS g FROM places) b ON b.id = a.place_id",
+    "places",
+)
+def er_popularity_decide(t: Tables) -> DataFrame:
+    """Whether a looked-up title can be the place's own."""
+    title = t.places.select((F.col("place_id") + 3).alias("place_id"), F.col("name").alias("title"))
+    likeness = jaccard(trigrams(F.col("name")), trigrams(F.col("title")))
+    decision = F.when(F.col("popularity").isNull(), "failed").when(F.col("title").isNull(), "missing").when(likeness < 0.25, "mismatch").otherwise("match")
+    return t.places.join(title, "place_id", "left").select("place_id", decision.alias("decision"))
+
+
+@query("SELECT city_id, name FROM cities WHERE region_id IS NOT NULL AND (SELECT count(*) FROM cities) >= 20", "cities")
+def er_province_guard(t: Tables) -> DataFrame:
+    enough = t.cities.agg((F.count("*") >= 20).alias("enough"))
+    return t.cities.where("region_id IS NOT NULL").crossJoin(F.broadcast(enough)).where("enough").select("city_id", "name")
+
+
+@query("SELECT place_id, arg_min(photo_id, photo_id) AS photo_id FROM photos WHERE quality = 1 AND toxic = 0 GROUP BY place_id", "photos")
+def er_image_decide(t: Tables) -> DataFrame:
+    """The first usable candidate of each place."""
+    return t.photos.where("quality = 1 AND toxic = 0").groupBy("place_id").agg(F.min("photo_id").alias("photo_id"))
+
+
+#: License names, a fixed list to try the rule on.
+LICENSES = ("CC0", "cc-by-sa-4.0", "CC BY-NC 2.0", "Public domain", "CC BY 3.0 tr", "GFDL", "cc by nd 4.0", "Fair use")
+
+
+@query(
+    "SELECT name, up LIKE 'CC0%' OR up LIKE 'CC ZERO%' OR up LIKE 'PUBLIC DOMAIN%' OR (up LIKE 'CC BY%' AND NOT list_has_any(split(up, ' '), ['NC', 'ND'])) AS free FROM (SELECT name, trim(regexp_replace(upper(name), '[-_\\s]+', ' ', 'g')) AS up FROM (VALUES "
+    + ", ".join(f"('{x}')" for x in LICENSES)
+    + ") v(name)) x"
+)
+def er_free_license(t: Tables) -> DataFrame:
+    up = F.trim(F.regexp_replace(F.upper("name"), r"[-_\s]+", " "))
+    bound = F.arrays_overlap(F.split(up, " "), F.array(F.lit("NC"), F.lit("ND")))
+    free = F.startswith(up, F.lit("CC0")) | F.startswith(up, F.lit("CC ZERO")) | F.startswith(up, F.lit("PUBLIC DOMAIN")) | (F.startswith(up, F.lit("CC BY")) & ~bound)
+    return t.spark.createDataFrame([(x,) for x in LICENSES], "name string").select("name", free.alias("free"))
+
+
+@query("SELECT conv_id, id, coalesce(nullif(regexp_extract(content, '(?i)\\b(the|and|of)\\b'), ''), 'none') AS intent FROM messages", "messages")
+def er_intent_fallback(t: Tables) -> DataFrame:
+    """A rule's answer, or the default where no rule speaks."""
+    found = F.regexp_extract("content", r"(?i)\b(the|and|of)\b", 0)
+    return t.messages.select("conv_id", "id", F.coalesce(F.nullif(found, F.lit("")), F.lit("none")).alias("intent"))
+
+
+@query("SELECT DISTINCT c.conv_id, r.name AS area FROM messages c JOIN (SELECT 'the' AS name UNION ALL SELECT 'que' UNION ALL SELECT 'der' UNION ALL SELECT 'de la') r ON regexp_matches(lower(c.content), '(^|[^a-z])' || r.name || '($|[^a-z])')", "messages")
+def er_area_match(t: Tables) -> DataFrame:
+    """Names of up to two words found in messages, by joining their word n-grams to the names."""
+    w = F.filter(F.split(F.lower("content"), r"[^a-z]+"), lambda x: x != "")
+    raw = F.split(F.regexp_replace(F.lower("content"), r"[^a-z ]", " | "), r" ")
+    grams = t.messages.select("conv_id", F.explode(F.array_distinct(F.concat(w, F.transform(F.sequence(F.lit(0), F.greatest(F.size(raw) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(raw, i), F.get(raw, i + 1)))))).alias("area"))
+    names = t.spark.sql("SELECT * FROM VALUES ('the'), ('que'), ('der'), ('de la') AS v(area)")
+    return grams.join(F.broadcast(names), "area").select("conv_id", "area").distinct()

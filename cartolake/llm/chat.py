@@ -29,6 +29,8 @@ from cartolake.llm.common import bounded_batches, shuffle_partitions
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 MARKED = re.compile(r"<\|turn\|>((?:[^<]|<<)*)<\|text\|>((?:[^<]|<<)*)<\|end\|>")
 LEARNED = "assistant"
+#: Length of a turn's place in the keys that log_of() makes.
+PLACE = 21
 
 
 def escaped(text: str) -> str:
@@ -107,7 +109,10 @@ def log_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     rows = conversations.select(conversations[conv_col].alias("conv_id"), conversations[turn_col].alias("turn"), F.coalesce(conversations[role_col], F.lit("")).alias("role"), F.coalesce(conversations[text_col], F.lit("")).alias("text"))
     same = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
     each = same.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    message = F.concat_ws(":", F.when(F.col("turn").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.lpad((F.col("turn").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"))), "role", F.sha2("text", 256), F.lpad(F.col("copy").cast("string"), 10, "0"))
+    # The key's first PLACE characters sort like the turn, null first; the rest tells rows of one turn apart.
+    shifted = (F.col("turn").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string")
+    place = F.when(F.col("turn").isNull(), F.lpad(F.lit(""), PLACE, "0")).otherwise(F.concat(F.lit("1"), F.lpad(shifted, PLACE - 1, "0")))
+    message = F.concat(place, F.sha2(F.concat_ws("\0", "role", "text"), 256), F.lpad(F.col("copy").cast("string"), 10, "0"))
     return each.select("conv_id", message.alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
@@ -117,7 +122,12 @@ def segments(final: DataFrame) -> DataFrame:
     return final.withColumn("segment", F.concat(F.lit(TURN), esc("role"), F.lit(TEXT), esc("text"), F.lit(END)))
 
 
-def digests(turns: DataFrame, order: tuple[str, ...] = ("place", "role", "text")) -> DataFrame:
+def in_turn() -> tuple:
+    """Order of messages from log_of(): by turn, then role and text."""
+    return F.substring("place", 1, PLACE), "role", "text", "place"
+
+
+def digests(turns: DataFrame, order: tuple = ("place",)) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the rendered turns."""
     spark = turns.sparkSession
     bounded_batches(spark)
@@ -155,9 +165,10 @@ def digests(turns: DataFrame, order: tuple[str, ...] = ("place", "role", "text")
     return rows.mapInArrow(work, f"conv_id {key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def formatted(turns: DataFrame) -> DataFrame:
+def formatted(turns: DataFrame, order: tuple = ("place",)) -> DataFrame:
     """conv_id, formatted: whole conversations as one string each, for conversations that fit into one."""
-    parts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text", "segment"))).alias("parts"))
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)]
+    parts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*keys, "segment"))).alias("parts"))
     return parts.select("conv_id", F.array_join(F.col("parts.segment"), "").alias("formatted"))
 
 

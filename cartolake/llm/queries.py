@@ -42,7 +42,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.PROBE).alias("text"))
-    return chat.digests(chat.segments(chat.messages(chat.log_of(rows.union(probe)))))
+    return chat.digests(chat.segments(chat.messages(chat.log_of(rows.union(probe)))), chat.in_turn())
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

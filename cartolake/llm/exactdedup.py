@@ -255,8 +255,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
                 removed.append(cut)
                 spans.append(runs)
                 sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*batch.schema.names[3:], "kept", "n_bytes", "n_removed", "n_spans"])
+            extra = [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), *extra], [*batch.schema.names[3:], *names])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", kept binary, n_bytes long, n_removed long, n_spans long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", kept binary, n_bytes long, n_removed long, n_spans long" + ", kept_text string" * decoded
     out = joined.mapInArrow(work, schema)
-    return out.select(F.col("doc").alias(id_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], "kept", "n_bytes", "n_removed", "n_spans")
+    return out.select(F.col("doc").alias(id_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], *names)
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The query's rows in SQL, for small tables: every window as a string of hexadecimal digits, counted."""
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT rid, i, md5(substring(h, 2 * i + 1, {2 * window})) AS k FROM (SELECT rid, h, unnest(range(0, CAST(len(h) // 2 AS BIGINT) - {window - 1})) AS i FROM d WHERE len(h) >= {2 * window}) x),
+        q AS (SELECT rid, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+        f AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + {window} THEN 0 ELSE 1 END AS fresh FROM q),
+        g AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f),
+        s AS (SELECT rid, min(i) AS a, max(i) + {window} AS b FROM g GROUP BY rid, run),
+        cut AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before, row_number() OVER (PARTITION BY rid ORDER BY a DESC) = 1 AS final FROM s),
+        k AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+              string_agg(substring(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN final THEN substring(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM cut JOIN d USING (rid) GROUP BY rid)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (rid)"""

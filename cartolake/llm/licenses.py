@@ -121,3 +121,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     each = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+
+
+def oracle() -> str:
+    """The query's rows in SQL: the same grams, votes, runs and covers, by windows over the grams' places."""
+    rows = [f"('{w[i]}', '{w[i + 1]}', {t}, {i}, {len(w) - 1}, '{label}', {str(phrase in BASE).upper()})" for t, (phrase, label) in enumerate([*BASE.items(), *TEMPLATES.items()]) for w in [phrase.split()] for i in range(len(w) - 1)]
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        g AS (SELECT rid, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d) x),
+        t(a, b, template, place, size, label, base) AS (VALUES {', '.join(rows)}),
+        v AS (SELECT rid, template, size, label, base, pos - place AS diagonal, count(*) AS votes, min(pos) AS first, max(pos) AS last FROM g JOIN t USING (a, b) GROUP BY rid, template, size, label, base, pos - place),
+        f AS (SELECT *, CASE WHEN base OR coalesce(first - max(last) OVER (PARTITION BY rid, template ORDER BY first, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {GAP}
+              OR abs(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY first, diagonal)) > {BAND}, TRUE) THEN 1 ELSE 0 END AS fresh FROM v),
+        r AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS run FROM f),
+        m AS (SELECT rid, template, size, label, base, run, sum(votes) AS votes, min(first) AS start, least(sum(votes)::DOUBLE / size, 1.0e0) AS cover FROM r GROUP BY rid, template, size, label, base, run),
+        s AS (SELECT * FROM m WHERE CASE WHEN base THEN votes >= size ELSE cover >= {COVER}e0 END),
+        a AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM s GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0e0) AS score FROM d LEFT JOIN a USING (rid)"""

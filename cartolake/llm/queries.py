@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return piped | {"op3_bond_top_k": topk.oracle(), "op6_chat_format": chat.oracle()}
+    return piped | {"op1_license_scan": licenses.oracle(), "op3_bond_top_k": topk.oracle(), "op9_suffix_dedup": exactdedup.oracle(), "op6_chat_format": chat.oracle()}

@@ -417,3 +417,23 @@ def test_random_strings(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     spans = [r.s for r in secrets.scan(df).orderBy("doc_id").select(secrets.written("spans").alias("s")).collect()]
     assert spans == ["random:7:31", "", "", ""]
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    """Every window has the same key whether or not a text is longer than a part."""
+    texts = [prose(70, 300).encode(), b"ab" * 900, b"", b"x" * 199, prose(71, 200).encode()]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+    def keys():
+        out = {}
+        for row, start, windows, key in zip(*exactdedup.segments(data, offsets, 50), strict=True):
+            for w in range(windows):
+                assert (row, start + w) not in out
+                out[row, start + w] = key
+        return out
+
+    whole = keys()
+    assert len(whole) == sum(max(0, len(t) - 199) for t in texts)
+    monkeypatch.setattr(exactdedup, "PART", 333)
+    assert keys() == whole

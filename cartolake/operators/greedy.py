@@ -47,7 +47,7 @@ def metres(a: tuple, b: tuple) -> float:
     return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h)))
 
 
-#: Slots of a day: name, target minute, minutes there, categories, share of the budget.
+#: Slots of a day: name, target minute, minutes there, categories, share of the budget.
 SLOTS = (
     ("BREAKFAST", 570, 60, ("CAFE",), 0.2),
     ("SIGHTSEEING", 660, 60, ("MUSEUM", "ATTRACTION", "PARK"), 0.05),

@@ -147,9 +147,9 @@ MATCH = haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
 def jn_fuzzy_match(t: Tables) -> DataFrame:
     from cartolake.functions.text import fold_key, same_name
 
-    new = t.places.where("source = 'OVERTURE'").select("place_id", "name", "lat", "lon")
-    old = t.places.where("source = 'OSM'").select("place_id", "name", "lat", "lon")
-    pairs = within(new, old, 1200, "place_id", "place_id").where(same_name(fold_key(F.col("a.name")), fold_key(F.col("b.name"))))
+    keyed = t.places.select("place_id", "source", fold_key(F.col("name")).alias("key"), "lat", "lon")
+    new, old = keyed.where("source = 'OVERTURE'"), keyed.where("source = 'OSM'")
+    pairs = within(new, old, 1200, "place_id", "place_id").where(same_name(F.col("a.key"), F.col("b.key")))
     pairs = pairs.select(F.col("a.place_id").alias("place_id"), F.col("b.place_id").alias("match_id"), F.round("metres", 3).alias("metres"))
     return first_per(pairs, ["place_id"], [F.col("metres"), F.col("match_id")]).select("place_id", "match_id")
 

@@ -41,6 +41,7 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     The checkpoint lies in the session's shared folder where it names one.
     """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # A stream reads folders or patterns; the pattern matches the one table, be it a file or a folder.
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*t")
     rows = source.withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"hourly_{uuid.uuid4().hex}"

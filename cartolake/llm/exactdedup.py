@@ -192,7 +192,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, grams: tuple[int, ...
     out, source = None, texts
     for level, gram in enumerate((*grams, window)):
         every = saved(_segmented(source, gram, window), "segments")
-        often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        # Written first, so that the join's sides are plain shuffles, whose hot keys Spark can split.
+        often = saved(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
         every = saved(every.join(often, "key"), "repeated")
         distinct = every.groupBy("key", "digest").agg(F.count("*").alias("places"), F.min(F.struct("th", "doc", "start", "windows")).alias("at"))
         distinct = saved(distinct.withColumn("at", F.struct("at.th", "at.doc", "at.start", "at.windows")), "distinct")

@@ -103,8 +103,8 @@ class BacktrackingBpe:
         letters = byte_letters()
         self.to_letters = {b: letters[b] for b in range(256)}
         self.pairs: dict[int, bool] = {}
-        self.chunks = WordCodes(lambda c: b"".join(map(self.words.__getitem__, WORDS.findall(c))), 200_000)
-        self.words = WordCodes(lambda w: self.encode_letters(w.encode().decode("latin-1").translate(self.to_letters)), 400_000)
+        self.chunks = WordCodes(lambda c: b"".join(map(self.words.__getitem__, WORDS.findall(c))), 150_000)
+        self.words = WordCodes(lambda w: self.encode_letters(w.encode().decode("latin-1").translate(self.to_letters)), 300_000)
         self.letter_words = WordCodes(self.encode_letters, 100_000)
         self.tool = Tokenizer.from_file(path)
         self.tool.no_truncation()

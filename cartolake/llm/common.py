@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -84,3 +85,10 @@ def slices(lengths: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int,
 def texts(column: pa.Array) -> list[str]:
     """Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def released() -> None:
+    """Drops what a reused Python worker still holds of the tokenizer's word tables, before work that has no use for them."""
+    held = sys.modules.get("cartolake.llm.bpe")
+    if held is not None:
+        held._LOADED.clear()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.llm.common import bounded_batches, cores, saved, shuffle_partitions, slices, utf8
+from cartolake.llm.common import bounded_batches, released, saved, shuffle_partitions, slices, utf8
 from cartolake.llm.suffix import common_prefixes, suffix_array
 
 WINDOW = 200
@@ -113,6 +113,7 @@ def _segmented(texts: DataFrame, gram: int, window: int) -> DataFrame:
     kind = texts.schema["doc"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             data, offsets = utf8(batch.column(3))
             shift = batch.column(2).to_numpy(zero_copy_only=False)
@@ -157,6 +158,7 @@ def _sorted_shards(found: DataFrame, window: int) -> DataFrame:
     """key, digest, first, count of repeated window runs; found: key, digest, places, body, whole keys in a partition."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         held: list[tuple] = []
         size = 0
 
@@ -221,8 +223,11 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, grams: tuple[int, ...
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, carried columns, kept (binary), n_bytes, n_removed, n_spans."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", carried: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """One row per document: id, carried columns, kept (binary), n_bytes, n_removed, n_spans.
+
+    decoded: also kept_text, the kept bytes as text; a character that a cut has split goes with the cut.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(docs[id_col].alias("doc"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("body"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carried)])
@@ -234,8 +239,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
     joined = rows.join(per_doc, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").drop("d", "t", "th")
     joined = joined.select("body", "froms", "tos", "doc", *[f"c{i}" for i in range(len(carried))])
     fields = joined.schema.fields[3:]
+    names = ["kept", "n_bytes", "n_removed", "n_spans", *["kept_text"] * decoded]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             kept, removed, spans, sizes = [], [], [], []
             for body, froms, tos in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.llm.common import bounded_batches, slices, utf8
+from cartolake.llm.common import bounded_batches, released, slices, utf8
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -122,6 +122,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             keys, langs, parts = [], [], []
             for key, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -161,6 +162,7 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_c
     fields = rows.schema.fields[1:]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         tables = net.prepared() if net else []
         for batch in batches:
             known = np.array([any(c.isalpha() for c in t) if t else False for t in batch.column(0).to_pylist()], bool)

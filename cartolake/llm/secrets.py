@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.llm.common import bounded_batches, texts
+from cartolake.llm.common import bounded_batches, released, texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The patterned kinds, in their order.
@@ -99,6 +99,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carried)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         tool = vocabulary(path)
         for batch in batches:
             base, every, clean = [], [], []

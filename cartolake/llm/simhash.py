@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.llm.common import bounded_batches, kept, saved, shuffle_partitions, texts
+from cartolake.llm.common import bounded_batches, kept, released, saved, shuffle_partitions, texts
 from cartolake.llm.components import components
 
 SHINGLE = 3
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in texts(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
@@ -142,6 +143,7 @@ def class_links(distinct: DataFrame) -> DataFrame:
     posts = posts.repartition(shuffle_partitions(spark), "key", "list").sortWithinPartitions("list", "key", "fp").select("list", "key", "fp")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out(lists: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:

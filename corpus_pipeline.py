@@ -31,10 +31,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out byte strings that occur elsewhere; documents of which nothing is left go."""
-    found = exactdedup.remove_repeats(docs, carried=("text", "lang", "source", "n_chars"))
-    # A cut may fall inside a character; what is left of it goes with the cut.
-    readable = F.pandas_udf(lambda kept: kept.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
-    text = F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("text"))
+    found = exactdedup.remove_repeats(docs, carried=("text", "lang", "source", "n_chars"), decoded=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
     return left.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

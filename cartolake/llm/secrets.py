@@ -31,8 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE = 8
 
-#: Candidates of the token-efficiency test.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Candidates of the token-efficiency test: whole runs, also those beside the sign of name=value; only padding belongs to a run.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 MOST_CHARS_PER_TOKEN = 2.0
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 DIGEST = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")

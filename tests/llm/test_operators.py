@@ -419,6 +419,16 @@ def test_random_strings(spark):
     assert spans == ["random:7:31", "", "", ""]
 
 
+def test_random_values_of_names(spark):
+    """Unquoted name=value lines and URL parameters."""
+    value, key = "q8Zt4Lw0xVb93KfhT2mRz7Yd", "wJ4rXUtn7EMI/K7MD9+bPxRfiC1YzqX0mPLvK3Ey"
+    texts = [f"AUTH_KEY={value}", f"AWS_SECRET_ACCESS_KEY={key}\nnext", f"https://host.example/a?sig={value}&x=1", f"k={value}==", f"{value}=1", f"a=={value}", "build=my_long_function_name_2024 id=123e4567-e89b-12d3-a456-426614174000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = secrets.scan(df, redact="[x]").orderBy("doc_id").collect()
+    assert [r.redacted for r in rows] == ["AUTH_KEY=[x]", "AWS_SECRET_ACCESS_KEY=[x]\nnext", "https://host.example/a?sig=[x]&x=1", "k=[x]", "[x]=1", "a==[x]", texts[-1]]
+    assert all(s.kind == "random" for r in rows for s in r.spans) and all(r.base == [] for r in rows)
+
+
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     """Every window has the same key whether or not a text is longer than a part."""
     texts = [prose(70, 300).encode(), b"ab" * 900, b"", b"x" * 199, prose(71, 200).encode()]

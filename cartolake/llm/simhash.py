@@ -188,15 +188,26 @@ def class_links(distinct: DataFrame) -> DataFrame:
     return posts.mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: id, fp, component (the smallest id reachable over links)."""
-    prints = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
+def rooted(prints: DataFrame) -> DataFrame:
+    """fp, least (the smallest id), root (the smallest fingerprint reachable over links) of every distinct fingerprint."""
     classes = kept(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    spark = docs.sparkSession
+    spark = prints.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     roots = components(class_links(classes.select("fp")))
     bounded_batches(spark)
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = rooted.join(named, "root").select("fp", "component")
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: id, fp, component (the smallest id reachable over links)."""
+    prints = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    classes = rooted(prints)
+    named = classes.groupBy("root").agg(F.min("least").alias("component"))
+    of_class = classes.join(named, "root").select("fp", "component")
     return prints.join(of_class, "fp").select(F.col("id").alias(id_col), "fp", "component")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row per component: its smallest id, which may be a struct. Components are told apart by fingerprint, so ids may repeat."""
+    prints = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    return rooted(prints).groupBy("root").agg(F.min("least").alias(id_col)).select(id_col)

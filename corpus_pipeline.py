@@ -23,10 +23,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("doc_id <> component").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one row of each group of near copies: the smallest by id (null ids last), then by hash of id and text.
+
+    Likeness alone decides: rows with a null or a repeated id stay where their texts differ. Of rows that agree in id and
+    text, the one with the least other columns stays.
+    """
+    text = F.coalesce(F.concat(F.lit("t"), "text"), F.lit(""))
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text), 256)
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), key.alias("key"))
+    first = simhash.first_of_each(docs.select(name.alias("name"), "text"), "name").select("name.key")
+    rows = docs.groupBy(key.alias("key")).agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return rows.join(first, "key", "left_semi").select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,18 @@ def test_stages_take_empty_tables(spark):
         assert stage(spark, docs, SF).count() == 0
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """Only likeness removes rows, in any order of arrival."""
+    a, b, c, d, e = (brute.prose(90 + i, 150) for i in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (3, e), (None, e), (3, e), (1, a.upper())]
+    wanted = [(None, b), (1, a.upper()), (1, c), (1, d), (3, e)]
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t)) for k, (i, t) in enumerate(given)], "doc_id long, text string, lang string, source string, n_chars long")
+        found = corpus_pipeline.near_copies(spark, docs, SF)
+        assert found.columns == list(corpus_pipeline.COLUMNS)
+        assert brute.by_row(found, "doc_id", "text") == brute.expected(wanted)
+
+
 def test_registered(spark):
     assert set(queries.oracle_sql()) <= set(queries.queries())
     names = sorted(queries.queries())

@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     edges = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
-        state = tuple(edges.agg(F.count("*"), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 20))).first())
+        state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before or state[0] == 0:
             break
         before = state

@@ -340,6 +340,13 @@ def test_components(spark):
     assert found == {x: root(x) for x in seen}
 
 
+def test_components_of_many_edges(spark):
+    """The checksum of the settling test holds for more than 2^20 edges."""
+    n = 1_300_000
+    found = components.components(spark.range(n).selectExpr("2 * id AS a", "2 * id + 1 AS b"))
+    assert found.selectExpr("count(*)", "count_if(root = node - node % 2)").first() == (2 * n, 2 * n)
+
+
 # 9
 
 

@@ -13,8 +13,9 @@ order its rows arrive in; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,10 +29,6 @@ from cartolake.llm.common import bounded_batches, saved, texts
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 20_000
-#: Partner bins looked at for each piece that the search tries to place.
-PARTNERS = 400
-#: The emptiest bins that the search takes pieces from.
-SOURCES = 8
 
 
 def pieces(docs: DataFrame, path: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -87,56 +84,131 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, partners: int = PARTNERS) -> list[list[int]]:
-    """Local search over the underfull bins, emptiest first, until no exchange raises the sum of squared fills."""
+class Offers:
+    """What open bins can give: for each amount (a piece, or two pieces of a bin together), the emptiest bins that hold it."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins, self.sizes, self.capacity = bins, sizes, capacity
+        self.fill = [0] * len(bins)
+        self.stamp = [0] * len(bins)
+        self.amounts: list[set[int]] = [set() for _ in bins]
+        #: Fill of the emptiest bin with an amount, less that amount.
+        self.rest = np.full(capacity + 1, capacity + 1, np.int64)
+        self.refill()
+
+    def refill(self) -> None:
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(self.capacity + 1)]
+        self.pushed = 0
+        for b in range(len(self.bins)):
+            self.put(b)
+        self.bound = 2 * self.pushed + 200_000
+        self.freshen(range(self.capacity + 1))
+
+    def put(self, b: int) -> None:
+        count: dict[int, int] = {}
+        for i in self.bins[b]:
+            count[self.sizes[i]] = count.get(self.sizes[i], 0) + 1
+        self.fill[b] = sum(z * n for z, n in count.items())
+        kinds = sorted(count)
+        found = set(kinds) | {2 * z for z, n in count.items() if n > 1}
+        found.update(y + z for k, y in enumerate(kinds) for z in kinds[k + 1 :])
+        self.amounts[b] = found
+        self.stamp[b] += 1
+        entry = (self.fill[b], b, self.stamp[b])
+        for x in found:
+            heapq.heappush(self.heaps[x], entry)
+        self.pushed += len(found)
+
+    def top(self, x: int) -> tuple[int, int, int] | None:
+        heap = self.heaps[x]
+        while heap and heap[0][2] != self.stamp[heap[0][1]]:
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def freshen(self, amounts: Iterable[int]) -> None:
+        for x in amounts:
+            first = self.top(x)
+            self.rest[x] = first[0] - x if first else self.capacity + 1
+
+    def changed(self, *which: int) -> None:
+        stale = set().union(*(self.amounts[b] for b in which))
+        for b in which:
+            self.put(b)
+        self.freshen(stale.union(*(self.amounts[b] for b in which)))
+        if self.pushed > self.bound:
+            self.refill()
+
+    def giver(self, x: int, t: int) -> int | None:
+        """The emptiest bin but t that can give x."""
+        first = self.top(x)
+        if first is None or first[1] != t:
+            return first and first[1]
+        heapq.heappop(self.heaps[x])
+        second = self.top(x)
+        heapq.heappush(self.heaps[x], first)
+        return second and second[1]
+
+    def taken_from(self, s: int, x: int) -> list[int]:
+        """One or two pieces of bin s of size x together."""
+        seen: dict[int, int] = {}
+        for i in self.bins[s]:
+            if self.sizes[i] == x:
+                return [i]
+        for i in self.bins[s]:
+            if (j := seen.get(x - self.sizes[i])) is not None:
+                return [j, i]
+            seen[self.sizes[i]] = i
+        raise ValueError("no such amount")
+
+    def best_for(self, t: int) -> tuple[int, int, int] | None:
+        """(gain, giver, size of the piece it gets in turn or 0): the exchange that fills bin t most.
+
+        Bin s giving x for z raises the sum of squared fills if x > z and what else lies in s is less than what else lies in
+        t. Of the bins with x, the emptiest one has the least besides; so one look-up for each amount covers all of them.
+        """
+        room, best = self.capacity - self.fill[t], None
+        for z in {0} | {self.sizes[j] for j in self.bins[t]}:
+            least = best[0] if best else 0
+            window = self.rest[z + least + 1 : z + room + 1]
+            for at in np.nonzero(window < self.fill[t] - z)[0][::-1].tolist():
+                x = z + least + 1 + at
+                s = self.giver(x, t)
+                if s is not None and self.fill[s] - x < self.fill[t] - z:
+                    best = (x - z, s, z)
+                    break
+            if best and best[0] == room:
+                break
+        return best
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search over the underfull bins until no exchange raises the sum of squared fills, or the lower bound is met.
+
+    Every underfull bin is tried as receiver, fullest first, and every other one as giver, with all their pieces; the search
+    ends after a round over all receivers in which none had an exchange.
+    """
     least = -(-sum(sizes) // capacity)
     full = [b for b in bins if sum(sizes[i] for i in b) == capacity]
     open_ = [b for b in bins if sum(sizes[i] for i in b) < capacity]
-    fill = [sum(sizes[i] for i in b) for b in open_]
-
-    def step(s: int) -> bool:
-        """One improving exchange that takes from bin s."""
-        others = sorted((t for t in range(len(open_)) if t != s and open_[t] and fill[t] < capacity), key=lambda t: -fill[t])[:partners]
-        mine = sorted(open_[s], key=lambda i: -sizes[i])
-        for t in others:
-            if fill[t] < fill[s]:
-                continue
-            room = capacity - fill[t]
-            for i in mine:  # a move
-                if sizes[i] <= room:
-                    open_[s].remove(i)
-                    open_[t].append(i)
-                    fill[s] -= sizes[i]
-                    fill[t] += sizes[i]
-                    return True
-            theirs: dict[int, int] = {sizes[j]: j for j in open_[t]}
-            for i in mine:  # one for one
-                fits = [z for z in theirs if z < sizes[i] <= z + room]
-                if fits:
-                    return swap(s, t, [i], theirs[min(fits)])
-            for x, i in enumerate(mine[:40]):  # two for one
-                for k in mine[x + 1 : 40]:
-                    both = sizes[i] + sizes[k]
-                    fits = [z for z in theirs if z < both <= z + room]
-                    if fits:
-                        return swap(s, t, [i, k], theirs[min(fits)])
-        return False
-
-    def swap(s: int, t: int, give: list[int], take: int) -> bool:
-        for i in give:
-            open_[s].remove(i)
-            open_[t].append(i)
-        open_[t].remove(take)
-        open_[s].append(take)
-        gain = sum(sizes[i] for i in give) - sizes[take]
-        fill[s] -= gain
-        fill[t] += gain
-        return True
-
-    while len(full) + sum(map(bool, open_)) > least:
-        order = sorted((s for s in range(len(open_)) if open_[s]), key=lambda s: fill[s])
-        if not any(step(s) for s in order[:SOURCES]):
-            break
+    used = len(full) + sum(map(bool, open_))
+    if used <= least:
+        return full + [b for b in open_ if b]
+    offers = Offers(open_, sizes, capacity)  # works on the same list
+    moved = True
+    while moved:
+        moved = False
+        for t in sorted(range(len(open_)), key=lambda t: -offers.fill[t]):
+            while open_[t] and offers.fill[t] < capacity and (found := offers.best_for(t)):
+                gain, s, z = found
+                give = offers.taken_from(s, gain + z)
+                take = [next(j for j in open_[t] if sizes[j] == z)] if z else []
+                open_[s] = [i for i in open_[s] if i not in give] + take
+                open_[t] = [j for j in open_[t] if j not in take] + give
+                offers.changed(s, t)
+                moved = True
+                used -= not open_[s]
+                if used <= least:
+                    return full + [b for b in open_ if b]
     return full + [b for b in open_ if b]
 
 

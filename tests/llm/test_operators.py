@@ -218,6 +218,30 @@ def test_local_search_empties_bins():
     assert all(sum(sizes[i] for i in b) <= 12 for b in bins) and len(bins) == 3
 
 
+def raises_squares(bins, sizes, capacity):
+    """Whether some move, one-for-one or two-for-one exchange raises the sum of squared fills."""
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    for s, mine in enumerate(bins):
+        gives = {sizes[i] for i in mine} | {sizes[i] + sizes[k] for n, i in enumerate(mine) for k in mine[n + 1 :]}
+        for t, theirs in enumerate(bins):
+            for z in {0} | {sizes[j] for j in theirs}:
+                if s != t and any(z < x <= z + capacity - fill[t] and fill[s] - x < fill[t] - z for x in gives):
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_local_search_tries_every_open_bin(seed):
+    """A few pieces a sequence, so that best fit leaves most bins underfull."""
+    r, capacity = random.Random(seed), 1000
+    sizes = [r.choice((r.randint(220, 330), r.randint(340, 520))) for _ in range(240)]
+    first = packing.best_fit(sizes, capacity)
+    bins = packing.improve([list(b) for b in first], sizes, capacity)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= capacity for b in bins) and len(bins) <= len(first)
+    assert len(bins) == -(-sum(sizes) // capacity) or not raises_squares(bins, sizes, capacity)
+
+
 # 5
 
 

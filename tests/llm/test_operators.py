@@ -120,6 +120,18 @@ def test_digest_likeness():
     assert abs(entropy[0] - -(p * np.log2(p)).sum() / 6 * 1000) <= 1
 
 
+@pytest.mark.parametrize("n", range(100, 201, 4))
+def test_digest_of_short_texts(n):
+    """An edit that keeps two thirds shows, also where it moves a text across the least length of features; other texts differ."""
+    found, other = [], []
+    for seed in range(10):
+        a, b = prose(100 + seed, 60)[:n], "".join(chr(97 + (i * i * (seed + 3) + i) % 26) for i in range(n))
+        for size in (n // 3, n // 3 - 12, n // 3 + 12):
+            found.append(digest.likeness(digest.digest(a.encode()), digest.digest((a[: n - n // 3] + b[:size]).encode())))
+        other.append(digest.likeness(digest.digest(a.encode()), digest.digest(b.encode())))
+    assert min(found) > 0.4 and max(other) < 0.2
+
+
 # 3
 
 

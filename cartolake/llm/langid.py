@@ -4,8 +4,8 @@ Filters of several widths slide over fixed windows of bytes; the best answer of
 a softmax over the languages. Bytes enter as one-hot vectors, so a convolution is a sum of table rows. A document's
 probabilities are the mean over all windows of its whole text.
 
-Training takes windows of at most `sample` labelled documents (the documented bound; by hash of id, so the same ones at each
-run), which is all that reaches the driver; the trained weights, a few tens of kilobytes, go out with the tasks.
+Training takes windows of at most `sample` labelled documents (the documented bound; by hash of id, then of text, so the same
+ones at each run; rows that agree in both count once), which is all that reaches the driver; the trained weights, a few tens of kilobytes, go out with the tasks.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without labelled documents every text is;
 rows with a null id are never held out, and repeated rows give repeated results; texts are read to their end, however long.
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,8 +119,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Trains on windows of at most `sample` labelled documents that are not held out."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    usable = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    chosen = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    usable = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id")).withColumn("h", F.xxhash64("text"))
+    chosen = usable.select("id", "h").distinct().orderBy(F.xxhash64("id"), "id", "h").limit(sample)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
@@ -136,7 +137,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     parts.append(raw[at : at + WINDOW].ljust(WINDOW, b"\0"))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["key", "lang", "part"])
 
-    found = usable.join(F.broadcast(chosen), "id", "left_semi").select("id", "text", "lang").mapInArrow(cut, "key string, lang string, part binary").toPandas()
+    once = usable.join(F.broadcast(chosen), ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min(F.struct("text", "lang")).alias("row"))
+    found = once.select("id", "row.text", "row.lang").mapInArrow(cut, "key string, lang string, part binary").toPandas()
     if found.empty:
         return None
     found = found.sort_values(["key", "lang", "part"], kind="stable")
@@ -155,6 +157,17 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out.reshape(-1, WINDOW), np.repeat(np.arange(len(lengths)), count)
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+
+    @F.pandas_udf("boolean")
+    def has(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: any(c.isalpha() for c in t or ""))
+
+    bounded_batches(docs.sparkSession)
+    return docs.where(has(text_col))
+
+
 def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """id, carried columns, lang_pred, score of every document."""
     bounded_batches(docs.sparkSession)

@@ -17,8 +17,10 @@ SECRET = "[secret]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the network knows; those without a letter go."""
+    """Keeps documents in a language that the network knows, or all where there is nothing to learn from; those without a letter go."""
     net = langid.fit(docs)
+    if net is None:
+        return langid.lettered(docs).select(*COLUMNS)
     return langid.predict(docs, net, carried=COLUMNS[1:]).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 

@@ -271,6 +271,15 @@ def test_language(spark, docs, empty):
     assert langid.predict(empty, net).count() == 0
 
 
+def test_language_sample_bounds_rows(spark, monkeypatch):
+    """A repeated id does not bring more rows to the driver than the sample."""
+    rows = [(1, prose(200 + k, 200) + str(k), "en") for k in range(40)] + [(1, "the same text of all", "en")] * 40
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, labels, languages: seen.append(len(windows)))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=5)
+    assert 0 < seen[0] <= 5 * langid.WINDOWS_EACH
+
+
 # 6
 
 

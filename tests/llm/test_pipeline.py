@@ -70,6 +70,15 @@ def test_near_copies_with_null_and_repeated_ids(spark):
         assert brute.by_row(found, "doc_id", "text") == brute.expected(wanted)
 
 
+def test_language_without_labels(spark):
+    """With nothing to learn from, only documents without a letter go."""
+    rows = [(1, "some text", None, "s", 9), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (None, "é", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.language(spark, docs, SF)
+    assert found.columns == list(corpus_pipeline.COLUMNS)
+    assert brute.by_row(found, "doc_id", "text") == brute.expected([(1, "some text"), (None, "é")])
+
+
 def test_registered(spark):
     assert set(queries.oracle_sql()) <= set(queries.queries())
     names = sorted(queries.queries())

@@ -40,8 +40,8 @@ def pieces(docs: DataFrame, path: str = WORD_BPE, capacity: int = CAPACITY, end_
         bpe, end = coder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for r, t in enumerate(texts(batch.column(1))):
-                code = bpe.encode(t) + end
+            for r, code in enumerate(bpe.encode_all(texts(batch.column(1)))):
+                code += end
                 for k, at in enumerate(range(0, len(code), 4 * capacity)):
                     part = code[at : at + 4 * capacity]
                     row.append(r)

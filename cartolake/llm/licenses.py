@@ -1,10 +1,12 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
 Every text is cut into words and its rolling two-word grams are joined by hash to the grams of a set of templates. A match
-of text place i and template place j votes for the diagonal i - j of that template. Votes are counted by document, template
-and diagonal; neighbouring diagonals (words put in or left out) are merged into spans; a span is verified by the share of
-the template's grams that it covers. Base phrases ask for all their grams on one diagonal, and since the joined grams are
-compared as words, not as hashes, such a diagonal is the phrase itself.
+of text place i and template place j votes for the diagonal i - j of that template. Votes are gathered by document, template
+and diagonal, as the set of template places that each diagonal got; diagonals that lie close together in the text are merged
+into runs. A run whose diagonals have too few different template places goes. In the others the span is verified: votes of
+neighbouring diagonals (words put in or left out) must form a chain in which text place and template place both rise, and
+its length is the number of template grams that the span covers. Base phrases ask for all their grams on one diagonal, and
+since the joined grams are compared as words, not as hashes, such a diagonal is the phrase itself.
 
 The templates are fixed in number and size (a few hundred grams), so the join's small side is bounded however large the
 corpus grows; what leaves a task is one row for each document and one for each run of votes.
@@ -38,7 +40,7 @@ TEMPLATES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
 }
 GRAM = 2
-#: Votes on diagonals at most this far apart, and this many words apart, belong to one span.
+#: Votes that follow each other in a span are on diagonals at most this far apart, and at most this many words apart.
 BAND, GAP = 3, 8
 #: Share of a template's grams that a span must cover.
 COVER = 0.85
@@ -65,9 +67,11 @@ def template_grams(spark: SparkSession) -> DataFrame:
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per different (id, text): id, th (hash of the text), n_words, copies, hits.
+    """One row per different (id, text), template and diagonal with a vote: id, th (hash of the text), template, diagonal,
+    places (bit p: template place p was met), count, first and last place in the text.
 
-    hits: template, diagonal, votes, first and last place of each diagonal that got a vote.
+    Template -1 stands for the document: its count is the number of rows that repeat id and text, its last place the number
+    of words.
     """
     cut = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), words(docs[text_col]).alias("w"))
     # The last pair is empty: it matches template -1, and its place is the number of words.
@@ -75,37 +79,68 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     each = cut.select("id", "th", F.posexplode(pairs).alias("at", "gram")).select("id", "th", "at", F.col("gram.a").alias("ga"), F.col("gram.b").alias("gb"))
     each = each.withColumn("hash", F.xxhash64("ga", "gb"))
     met = each.join(F.broadcast(template_grams(docs.sparkSession)), "hash").where((F.col("ga") == F.col("a")) & F.col("gb").eqNullSafe(F.col("b")))
-    counted = met.groupBy("id", "th", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("size").alias("size"), F.first("label").alias("label"), F.first("base").alias("base")
+    return met.groupBy("id", "th", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+        F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"),
+        F.count("*").alias("count"),
+        F.min("at").alias("first"),
+        F.max("at").alias("last"),
+        F.first("size").alias("size"),
+        F.first("label").alias("label"),
+        F.first("base").alias("base"),
     )
-    return counted
+
+
+def chained(diagonals: Column) -> Column:
+    """The longest chain of votes: struct of grams, start and end (places of its first and last gram in the text).
+
+    diagonals: array of (diagonal, places). Votes are read in text order; only those of the last GAP words can go on, so that
+    many are remembered, each with the longest chain that ends there. Of equally long chains the earliest counts.
+    """
+    hits = F.flatten(F.transform(diagonals, lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda p: F.getbit(d["places"], p) == 1), lambda p: F.struct((d["diagonal"] + p).alias("at"), p.alias("place")))))
+    fresh = F.struct(F.lit(0).alias("n"), F.lit(0).alias("less_start"), F.lit(0).alias("less_end"))
+    none = F.struct(F.array().cast("array<struct<at:int,place:int,n:int,less_start:int>>").alias("recent"), fresh.alias("best"))
+
+    def add(state: Column, h: Column) -> Column:
+        near = F.filter(state["recent"], lambda r: r["at"] >= h["at"] - GAP)
+        before = F.filter(near, lambda r: (r["at"] < h["at"]) & (r["place"] < h["place"]) & (F.abs((h["at"] - h["place"]) - (r["at"] - r["place"])) <= BAND))
+        top = F.array_max(F.transform(before, lambda r: F.struct(r["n"], r["less_start"])))
+        n, less_start = F.coalesce(top["n"], F.lit(0)) + 1, F.coalesce(top["less_start"], -h["at"])
+        mine = F.struct(h["at"].alias("at"), h["place"].alias("place"), n.alias("n"), less_start.alias("less_start"))
+        best = F.array_max(F.array(state["best"], F.struct(n.alias("n"), less_start.alias("less_start"), (-h["at"]).alias("less_end"))))
+        return F.struct(F.concat(near, F.array(mine)).alias("recent"), best.alias("best"))
+
+    return F.aggregate(F.array_sort(hits), none, add, lambda state: F.struct(state["best"]["n"].alias("grams"), (-state["best"]["less_start"]).alias("start"), (-state["best"]["less_end"]).alias("end")))
 
 
 def spans(counted: DataFrame) -> DataFrame:
-    """Adds to votes by diagonal: copies, n_words, and for verified spans label, base, start, end, cover.
+    """One row per run of votes: id, th, copies, n_words, template, label, base, verified, and where verified start, end, cover.
 
     Rows of one document stay together throughout, so one shuffle by document serves votes, merging and the result.
     """
     of_doc = Window.partitionBy("id", "th")
-    counted = counted.withColumn("copies", F.max(F.when(F.col("template") == -1, F.col("votes"))).over(of_doc))
+    counted = counted.withColumn("copies", F.max(F.when(F.col("template") == -1, F.col("count"))).over(of_doc))
     counted = counted.withColumn("n_words", F.max(F.when(F.col("template") == -1, F.col("last"))).over(of_doc).cast("long"))
-    # Rows that repeat id and text vote once.
-    counted = counted.withColumn("votes", F.col("votes") / F.col("copies"))
     by_place = Window.partitionBy("id", "th", "template").orderBy("first", "diagonal")
     before = by_place.rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.col("base") | (F.col("first") - F.max("last").over(before) > GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by_place)) > BAND)
-    runs = counted.withColumn("fresh", F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).withColumn("run", F.sum("fresh").over(by_place))
     # A base phrase's diagonal fixes where it starts, so each is a run of its own.
-    merged = runs.groupBy("id", "th", "copies", "n_words", "template", "size", "label", "base", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + GRAM).alias("end"))
-    cover = F.least(F.col("votes") / F.col("size"), F.lit(1.0))
-    real = (F.col("template") >= 0) & F.when(F.col("base"), F.col("votes") >= F.col("size")).otherwise(cover >= COVER)
-    return merged.withColumn("cover", cover).withColumn("verified", real)
+    fresh = F.col("base") | (F.col("first") - F.max("last").over(before) > GAP)
+    runs = counted.withColumn("fresh", F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).withColumn("run", F.sum("fresh").over(by_place))
+    merged = runs.groupBy("id", "th", "copies", "n_words", "template", "size", "label", "base", "run").agg(
+        F.bit_or("places").alias("places"), F.collect_list(F.struct("diagonal", "places")).alias("diagonals"), F.min("first").alias("first")
+    )
+    enough = F.bit_count("places") >= F.col("size") * F.when(F.col("base"), 1.0).otherwise(COVER)
+    whole = F.struct(F.col("size").alias("grams"), F.col("first").alias("start"), (F.col("first") + F.col("size") - 1).alias("end"))
+    chain = F.when((F.col("template") >= 0) & enough, F.when(F.col("base"), whole).otherwise(chained(F.col("diagonals"))))
+    found = merged.withColumn("chain", chain).withColumn("cover", F.col("chain.grams") / F.col("size"))
+    verified = F.coalesce(F.when(F.col("base"), F.col("cover") == 1.0).otherwise(F.col("cover") >= COVER), F.lit(False))
+    return found.select("id", "th", "copies", "n_words", "template", "label", "base", verified.alias("verified"), F.col("chain.start").alias("start"), (F.col("chain.end") + GRAM).alias("end"), "cover")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every document.
 
-    spans: label, base, start, end (words, end exclusive) and cover of what was verified, by start. score: the best cover.
+    spans: label, base, start, end (words, end exclusive) and cover of what was verified, by start; of each run of votes the
+    longest chain. score: the best cover.
     """
     found = spans(votes(docs, id_col, text_col))
     base = F.col("verified") & F.col("base")
@@ -124,18 +159,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle() -> str:
-    """The query's rows in SQL: the same grams, votes, runs and covers, by windows over the grams' places."""
-    rows = [f"('{w[i]}', '{w[i + 1]}', {t}, {i}, {len(w) - 1}, '{label}', {str(phrase in BASE).upper()})" for t, (phrase, label) in enumerate([*BASE.items(), *TEMPLATES.items()]) for w in [phrase.split()] for i in range(len(w) - 1)]
+    """The query's rows in SQL: base phrases by comparing slices of the words, the rest by chains of grams, one gram longer at each step."""
+    grams = [f"('{w[i]}', '{w[i + 1]}', {t}, {i}, {len(w) - 1}, '{label}')" for t, (phrase, label) in enumerate(TEMPLATES.items()) for w in [phrase.split()] for i in range(len(w) - 1)]
+    phrases = [f"('{label}', [{', '.join(repr(w) for w in phrase.split())}])" for phrase, label in BASE.items()]
     return f"""
-        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-        g AS (SELECT rid, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d) x),
-        t(a, b, template, place, size, label, base) AS (VALUES {', '.join(rows)}),
-        v AS (SELECT rid, template, size, label, base, pos - place AS diagonal, count(*) AS votes, min(pos) AS first, max(pos) AS last FROM g JOIN t USING (a, b) GROUP BY rid, template, size, label, base, pos - place),
-        f AS (SELECT *, CASE WHEN base OR coalesce(first - max(last) OVER (PARTITION BY rid, template ORDER BY first, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {GAP}
-              OR abs(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY first, diagonal)) > {BAND}, TRUE) THEN 1 ELSE 0 END AS fresh FROM v),
-        r AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS run FROM f),
-        m AS (SELECT rid, template, size, label, base, run, sum(votes) AS votes, min(first) AS start, least(sum(votes)::DOUBLE / size, 1.0e0) AS cover FROM r GROUP BY rid, template, size, label, base, run),
-        s AS (SELECT * FROM m WHERE CASE WHEN base THEN votes >= size ELSE cover >= {COVER}e0 END),
-        a AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS MATERIALIZED (SELECT rid, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d) x),
+        t(a, b, template, place, size, label) AS (VALUES {', '.join(grams)}),
+        p(label, ws) AS (VALUES {', '.join(phrases)}),
+        h AS MATERIALIZED (SELECT rid, template, size, label, pos, place FROM g JOIN t USING (a, b)),
+        c AS (SELECT rid, template, size, label, pos, place, 1 AS n FROM h
+              UNION SELECT h.rid, h.template, h.size, h.label, h.pos, h.place, c.n + 1 FROM c JOIN h ON h.rid = c.rid AND h.template = c.template
+              AND h.pos > c.pos AND h.pos - c.pos <= {GAP} AND h.place > c.place AND abs((h.pos - h.place) - (c.pos - c.place)) <= {BAND}),
+        v AS (SELECT rid, label, max(n::DOUBLE / size) AS cover FROM c WHERE n::DOUBLE / size >= {COVER}e0 GROUP BY rid, label),
+        b AS (SELECT g.rid, label, pos FROM g JOIN p ON g.a = ws[1] AND g.b = ws[2] JOIN d ON g.rid = d.rid AND w[pos + 1 : pos + len(ws)] = ws),
+        s AS (SELECT rid, label, pos, 1.0e0 AS cover, TRUE AS base FROM b UNION ALL SELECT rid, label, NULL, cover, FALSE FROM v),
+        a AS (SELECT rid, count(*) FILTER (base) AS n_base, min(pos) FILTER (base) AS first_word, max(pos) FILTER (base) AS last_word,
               string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM s GROUP BY rid)
         SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0e0) AS score FROM d LEFT JOIN a USING (rid)"""

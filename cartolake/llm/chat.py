@@ -6,8 +6,13 @@ by place and rendered. Both folds read sorted partitions a row at a time and kee
 conversation of any length passes through.
 
 Template: each turn is `<|turn|>role<|text|>text<|end|>`, a conversation is its turns laid end to end, and the loss mask
-covers the text of assistant turns. In roles and texts a `<` becomes `<<`; since every mark starts with a single `<`
-followed by `|`, no text can open, close or fake a turn, and reading back undoes it.
+covers the text of assistant turns. In roles and texts a dot is put behind every `<` and `[`. Control strings, those of the
+template and those of other chat formats (`</s>`, `[INST]` and the like), start with one of the two and go on with another
+character than a dot, so none is left in a text: it can't open, close or fake a turn, and no tokenizer reads it as a control
+token. Taking the dots out again undoes it.
+
+log_of() writes whole turns as such a log: assistant turns are streamed in parts, and by the hash of their key a third of
+all messages are posted as a draft and edited, and a third drafted in parts and generated anew.
 
 Defined cases: null role or text counts as empty; rows with a null conversation form one conversation of their own; null
 turns come first; rows that tie in turn are in the order of role and text; repeated rows are repeated turns; an empty table
@@ -17,24 +22,34 @@ gives the added conversation only.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.llm.common import bounded_batches, shuffle_partitions
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-MARKED = re.compile(r"<\|turn\|>((?:[^<]|<<)*)<\|text\|>((?:[^<]|<<)*)<\|end\|>")
+#: Characters with which control strings start, and what is put behind them in texts.
+OPENERS, GUARD = "<[", "."
+#: Characters of a streamed part.
+PART = 1024
 LEARNED = "assistant"
 #: Length of a turn's place in the keys that log_of() makes.
 PLACE = 21
 
 
 def escaped(text: str) -> str:
-    return text.replace("<", "<<")
+    for c in OPENERS:
+        text = text.replace(c, c + GUARD)
+    return text
+
+
+def unescaped(text: str) -> str:
+    for c in OPENERS:
+        text = text.replace(c + GUARD, c)
+    return text
 
 
 def rendered(role: str, text: str) -> str:
@@ -42,14 +57,20 @@ def rendered(role: str, text: str) -> str:
 
 
 def read_back(formatted: str) -> Iterator[tuple[str, str, int, int]]:
-    """(role, text, start, end) of each turn, start and end being the place of the text in the formatted string."""
+    """(role, text, start, end) of each turn, start and end being the place of the text in the formatted string.
+
+    The marks are looked for one after the other; escaped text holds none of them.
+    """
     at = 0
     while at < len(formatted):
-        m = MARKED.match(formatted, at)
-        if m is None:
+        role = at + len(TURN)
+        middle = formatted.find(TEXT, role)
+        start = middle + len(TEXT)
+        end = formatted.find(END, start)
+        if not formatted.startswith(TURN, at) or middle < 0 or end < 0:
             raise ValueError("not a formatted conversation")
-        yield m[1].replace("<<", "<"), m[2].replace("<<", "<"), m.start(2), m.end(2)
-        at = m.end()
+        yield unescaped(formatted[role:middle]), unescaped(formatted[start:end]), start, end
+        at = end + len(END)
 
 
 def folded(events: Iterator[tuple[str, str, str]]) -> tuple[str, str]:
@@ -105,7 +126,10 @@ def _table(rows: list[tuple], conv: pa.DataType, place: pa.DataType) -> Iterator
 
 
 def log_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Rows of whole turns as a log; rows that tie in turn stay messages of their own, in the order of role and text."""
+    """Rows of whole turns as a log of deltas, edits and regenerations whose fold gives the turns back.
+
+    Rows that tie in turn stay messages of their own, in the order of role and text.
+    """
     rows = conversations.select(conversations[conv_col].alias("conv_id"), conversations[turn_col].alias("turn"), F.coalesce(conversations[role_col], F.lit("")).alias("role"), F.coalesce(conversations[text_col], F.lit("")).alias("text"))
     same = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
     each = same.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
@@ -113,12 +137,33 @@ def log_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     shifted = (F.col("turn").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string")
     place = F.when(F.col("turn").isNull(), F.lpad(F.lit(""), PLACE, "0")).otherwise(F.concat(F.lit("1"), F.lpad(shifted, PLACE - 1, "0")))
     message = F.concat(place, F.sha2(F.concat_ws("\0", "role", "text"), 256), F.lpad(F.col("copy").cast("string"), 10, "0"))
-    return each.select("conv_id", message.alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    each = each.select("conv_id", message.alias("message"), "role", "text").withColumn("way", F.pmod(F.xxhash64("message"), F.lit(3)))
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    none, text, way = F.lit(""), F.col("text"), F.col("way")
+    draft = F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))
+    # A pattern cuts a text in one pass; substrings would count from its start each time.
+    parts = lambda t: F.transform(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), lambda p: event("delta", p))
+    streamed = F.concat(F.array(event("message", none)), parts(text))
+    edited = F.array(event("message", draft), event("edit", text))
+    anew = F.concat(F.array(event("message", none)), parts(draft), F.array(event("regenerate", none)), parts(text))
+    plain = F.when(F.col("role") == LEARNED, streamed).otherwise(F.array(event("message", text)))
+    log = each.select("conv_id", "message", "role", F.posexplode(F.when(way == 0, plain).when(way == 1, edited).otherwise(anew)).alias("seq", "event"))
+    # The opening event names the role; what follows belongs to it.
+    return log.select("conv_id", "message", "seq", "event.kind", F.when(F.col("seq") == 0, F.col("role")).alias("role"), "event.text")
 
 
 def segments(final: DataFrame) -> DataFrame:
     """conv_id, place, role, text, segment: each message with its rendered turn."""
-    esc = lambda c: F.replace(F.col(c), F.lit("<"), F.lit("<<"))
+
+    def esc(column: str) -> Column:
+        out = F.col(column)
+        for c in OPENERS:
+            out = F.replace(out, F.lit(c), F.lit(c + GUARD))
+        return out
+
     return final.withColumn("segment", F.concat(F.lit(TURN), esc("role"), F.lit(TEXT), esc("text"), F.lit(END)))
 
 
@@ -183,5 +228,5 @@ def oracle() -> str:
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = '{LEARNED}'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = '{LEARNED}'), '')) AS loss_sha256,
-               CAST(sum(length(replace(role, '<', '<<')) + length(replace(text, '<', '<<')) + {len(TURN + TEXT + END)}) AS BIGINT) AS formatted_chars
+               CAST(sum(length(replace(replace(role, '<', '<.'), '[', '[.')) + length(replace(replace(text, '<', '<.'), '[', '[.')) + {len(TURN + TEXT + END)}) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id"""

@@ -2,10 +2,11 @@
 
 Two 64-bit fingerprints that differ in at most 3 bits differ in at most 3 of their 8 bytes, so they share at least 5
 positional bytes. Posting lists of single bytes would hold a 256th of all fingerprints each; the index therefore posts each
-distinct fingerprint under all 56 sets of 5 byte positions, so that each list is selective (40 bits) and can hold at most
-2^24 fingerprints. In a list, the shared positional bytes of each pair are tallied, pairs under the guaranteed 5 are
-dropped, the rest are verified bit by bit. Long lists are not paired off: the 24 free bits of each member are probed with
-all patterns of at most 3 bits, which is linear in the list. A list gives a star of links, never all pairs.
+distinct fingerprint under sets of 4 byte positions. Of the 70 sets 14 are enough: they are chosen so that any 5 positions
+hold one of them. Pairs that meet in a list share 4 positional bytes; the bytes they share in all are tallied, pairs under
+the guaranteed 5 are dropped, the rest are verified bit by bit. In a long list the tally goes by a second level of lists,
+one for each value of each further position, in which every pair reaches 5; if such a list is still long, its 24 free bits
+are probed with all patterns of at most 3 bits, which is linear in the list. A list gives a star of links, never all pairs.
 
 Defined cases: null or empty texts have fingerprint zero and link like any other; shorter texts than a shingle are hashed
 whole; equal fingerprints form one class before the index is built, so copies cost one posting; rows keep their number,
@@ -30,6 +31,7 @@ SHINGLE = 3
 SEED = 42
 MOST_BITS = 3
 SHARED_BYTES = 8 - MOST_BITS
+#: Lists of at most so many fingerprints are tallied pair by pair.
 PAIRWISE = 1500
 
 
@@ -67,10 +69,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(work, f"id {kind}, fp long")
 
 
+def position_sets() -> list[tuple[int, ...]]:
+    """14 sets of 4 byte positions, one of them within any 5 of the 8.
+
+    The positions are two halves of 4. A half splits into two pairs in three ways. The sets are the halves, and all unions of
+    a pair of one half with a pair of the other that belongs to the same way. Of 5 positions, 4 or more in one half hold that
+    half; else one half has 3 of them, which hold a pair of each way, so one to go with the two of the other half.
+    """
+    ways = [[(0, 1), (2, 3)], [(0, 2), (1, 3)], [(0, 3), (1, 2)]]
+    return [(0, 1, 2, 3), (4, 5, 6, 7)] + [(*x, y[0] + 4, y[1] + 4) for way in ways for x in way for y in way]
+
+
 def masks() -> list[int]:
-    """The byte masks of all sets of SHARED_BYTES positions, as signed longs."""
+    """The byte masks of the position sets, as signed longs."""
     found = []
-    for places in combinations(range(8), SHARED_BYTES):
+    for places in position_sets():
         m = sum(0xFF << 8 * p for p in places)
         found.append(m - (1 << 64) if m >> 63 else m)
     return found
@@ -82,7 +95,7 @@ def flips() -> list[int]:
 
 
 def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Count filter, then verification, for pairs of fingerprints."""
+    """Tally of shared positional bytes, count filter, then verification, for pairs of fingerprints."""
     x = a ^ b
     shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
     ok = shared >= SHARED_BYTES
@@ -106,31 +119,47 @@ def settle(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return parent
 
 
+def paired(members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a short list, by the tally of all its pairs."""
+    n = len(members)
+    for a in range(0, n, 256):
+        i, j = np.nonzero(np.arange(a, min(n, a + 256))[:, None] < np.arange(n)[None, :])
+        i += a
+        ok = agree(members[i], members[j])
+        yield i[ok], j[ok]
+
+
+def probed(members: np.ndarray, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a sorted list whose members differ in three byte positions at most, by looking up changed members."""
+    for f in flips():
+        x = np.uint64(sum((f >> 8 * k & 0xFF) << 8 * p for k, p in enumerate(free)))
+        other = members ^ x
+        at = np.minimum(np.searchsorted(members, other), len(members) - 1)
+        i = np.nonzero((members[at] == other) & (members < other))[0]
+        yield i, at[i]
+
+
 def links_of(members: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     """Star links within one posting list of distinct fingerprints (uint64)."""
     members = np.sort(members)  # Spark sorted them as signed numbers
-    n = len(members)
-    if n <= PAIRWISE:
-
-        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a in range(0, n, 256):
-                i, j = np.nonzero(np.arange(a, min(n, a + 256))[:, None] < np.arange(n)[None, :])
-                i += a
-                ok = agree(members[i], members[j])
-                yield i[ok], j[ok]
-    else:
-        free = [p for p in range(8) if not mask >> 8 * p & 0xFF]
-
-        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for f in flips():
-                x = np.uint64(sum((f >> 8 * k & 0xFF) << 8 * p for k, p in enumerate(free)))
-                other = members ^ x
-                at = np.minimum(np.searchsorted(members, other), n - 1)
-                i = np.nonzero((members[at] == other) & (members < other))[0]
-                yield i, at[i]
 
-    root = settle(n, blocks())
-    moved = np.nonzero(root != np.arange(n))[0]
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(members) <= PAIRWISE:
+            yield from paired(members)
+            return
+        free = [p for p in range(8) if not mask >> 8 * p & 0xFF]
+        for p in free:
+            value = members >> np.uint64(8 * p) & np.uint64(0xFF)
+            order = np.argsort(value, kind="stable")
+            cuts = np.searchsorted(value[order], np.arange(257))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = order[a:b]
+                if len(part) > 1:
+                    for i, j in paired(members[part]) if len(part) <= PAIRWISE else probed(members[part], [q for q in free if q != p]):
+                        yield part[i], part[j]
+
+    root = settle(len(members), blocks())
+    moved = np.nonzero(root != np.arange(len(members)))[0]
     return members[moved], members[root[moved]]
 
 

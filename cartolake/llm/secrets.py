@@ -75,13 +75,19 @@ def patterned(text: str) -> list[tuple[int, int, int]]:
 
 
 def improbable(text: str, taken: list[tuple[int, int, int]], tool: tiktoken.Encoding) -> list[tuple[int, int, int]]:
-    """Spans of the token-efficiency test that do not overlap those already taken."""
-    found = []
+    """Spans of the token-efficiency test that do not overlap those already taken, which are in order of their starts.
+
+    Candidates come in order too and are apart, so one sweep over both lists tells where the taken ones reach.
+    """
+    found, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         value = m[0]
         if value.isalpha() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value) or is_known(value):
             continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach > m.start():
             continue
         if chars_per_token(value, tool) < MOST_CHARS_PER_TOKEN:
             found.append((m.start(), 3, m.end()))

@@ -7,6 +7,7 @@ import re
 import resource
 import time
 import zlib
+from collections import Counter
 from fractions import Fraction
 from itertools import combinations
 
@@ -154,27 +155,136 @@ def test_digest_edits(docs, empty):
     assert digest.compare(empty).count() == 0
 
 
-def test_digest_likeness():
+def brute_grades(raw):
+    """Entropy grades window by window; sums of count times log2 count in the same whole numbers as the operator's."""
+    cost = [0] + [round(c * math.log2(c) * digest.SCALE) if c > 1 else 0 for c in range(1, 65)]
+    return [(cost[64] - sum(cost[c] for c in Counter(raw[i : i + 64]).values())) * 1000 // cost[64] for i in range(len(raw) - 63)]
+
+
+def brute_rarity(texts):
+    counts = Counter(g for t in texts for g in brute_grades(t.encode()))
+    near = [sum(counts[x] for x in range(g - digest.SMOOTH, g + digest.SMOOTH + 1) if 0 <= x <= 1000) for g in range(1001)]
+    order = sorted(range(1001), key=lambda g: (near[g], g))
+    return {g: n for n, g in enumerate(order) if digest.LOWEST <= g <= digest.HIGHEST}
+
+
+def brute_digest(raw, ranks):
+    """Filters of a text as (kind, set of bits): features, then strings of short texts, by plain loops."""
+    grade = brute_grades(raw) if len(raw) >= 127 else []
+    votes = Counter(min(range(i, i + 64), key=lambda w: (ranks.get(grade[w], 1 << 30), w)) for i in range(len(grade) - 63))
+    odd = [int(x) for x in digest._ODD]
+    m64 = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 31
+        h = h * 0x9E3779B97F4A7C15 & m64
+        return h ^ h >> 29
+
+    def bits(h):
+        return {(h >> 11 * k) % digest.BITS for k in range(digest.HASHES)}
+
+    found = [mix(sum(odd[k] * (raw[w + k] + 1) for k in range(64)) & m64) for w in sorted(votes) if votes[w] >= digest.POPULAR and grade[w] in ranks]
+    out = [(0, set().union(*map(bits, found[i : i + 160]))) for i in range(0, len(found), 160)]
+    if len(raw) < digest.BOTH or len(found) < digest.FEW:
+        if len(raw) <= 8:
+            words = [xxhash.xxh64_intdigest(raw)] if raw else []
+        else:
+            words = [mix(mix(int.from_bytes(w, "little"))) for w in dict.fromkeys(raw[i : i + 8] for i in range(len(raw) - 7))]
+        rows = -(-len(words) // 160)
+        out += [(1, set().union(*(bits(h) for n, h in enumerate(words) if n * rows // len(words) == r))) for r in range(rows)]
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    for kind in (1, 0):
+        x, y = sorted(([s for k, s in d if k == kind] for d in (a, b)), key=len)
+        if x and y:
+            total = 0.0
+            for s in x:
+                best = 0.0
+                for t in y:
+                    chance, most = len(s) * len(t) / digest.BITS, min(len(s), len(t))
+                    best = max(best, (len(s & t) - chance) / max(most - chance, 1e-9) if most > chance else 0.0)
+                total += min(1.0, best)
+            return total / len(x)
+    return 0.0
+
+
+def as_bits(chain):
+    return [(int(row[0]), set(np.nonzero(np.unpackbits(row[1:]))[0].tolist())) for row in chain]
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    counts = np.zeros(digest.GRADES + 1, np.int64)
+    for seed in range(40):
+        counts += np.bincount(digest.entropies(np.frombuffer(prose(seed, 300).encode(), np.uint8)), minlength=len(counts))
+    return digest.rarity(counts)
+
+
+def test_digests_against_brute_force(spark, monkeypatch):
+    """Ranks learned, features selected, filters filled and compared by plain loops; long texts in parts."""
+    r = random.Random(12)
+    texts = [prose(300 + k, r.randint(1, 400)) for k in range(12)] + [t or "" for _, t in odd_texts() if len(t or "") < 5000]
+    texts += [texts[0][:900] + texts[1], "".join(chr(r.randint(32, 126)) for _ in range(700)), "ab" * 300, prose(5, 2000), texts[-1]]
+    texts = list(dict.fromkeys(texts))
+    monkeypatch.setattr(digest, "PART", 500)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted, wanted = digest.fit(df), brute_rarity(texts)
+    assert {g: n for g, n in enumerate(fitted.tolist()) if n < digest.EXCLUDED} == wanted
+    prints, plain = [digest.digest(t.encode(), fitted) for t in texts], [brute_digest(t.encode(), wanted) for t in texts]
+    for t, p, b in zip(texts, prints, plain, strict=True):
+        assert as_bits(p) == b, t[:80]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert abs(digest.likeness(prints[i], prints[j]) - brute_likeness(plain[i], plain[j])) < 1e-9
+    rows = {r.doc_id: r for r in digest.compare(df).collect()}
+    for n, t in enumerate(texts):
+        after = texts[n - 1]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert bytes(rows[n].fingerprint) == prints[n].tobytes() and bytes(rows[n].edited_fingerprint) == digest.digest(edited.encode(), fitted).tobytes()
+        assert abs(rows[n].near_edited - brute_likeness(plain[n], brute_digest(edited.encode(), wanted))) < 1e-9
+        assert abs(rows[n].near_next - brute_likeness(plain[n], plain[n - 1])) < 1e-9
+
+
+def test_digest_sample_is_bounded(spark):
+    rows = [(k % 7, prose(k, 40)) for k in range(30)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(digest.fit(df, sample=3)) == digest.GRADES + 1
+    assert sorted(digest.fit(df.limit(0)))[0] == digest.LOWEST
+
+
+def test_digest_recall_and_separation(ranks):
+    """Edited copies are told from other texts: of all lengths, with a third replaced, at a likeness of 0.25."""
+    r, same, other = random.Random(13), [], []
+    texts = [prose(1000 + k, r.choice([15, 40, 120, 400])) for k in range(150)]
+    prints = [digest.digest(t.encode(), ranks) for t in texts]
+    for k, t in enumerate(texts):
+        edited = t[: len(t) - len(t) // 3] + texts[k - 1][: len(t) // 3]
+        same.append(digest.likeness(prints[k], digest.digest(edited.encode(), ranks)))
+        other.append(digest.likeness(prints[k], prints[k - 7]))
+    assert np.mean(np.array(same) > 0.25) >= 0.95 and np.mean(np.array(other) < 0.25) >= 0.95
+
+
+def test_digest_likeness(ranks):
     a, b = prose(5, 600), prose(6, 600)
     edited = a[: 2 * len(a) // 3] + b[: len(a) // 3]
-    own = digest.digest(a.encode())
-    assert digest.likeness(own, digest.digest(edited.encode())) > 0.4
+    own = digest.digest(a.encode(), ranks)
+    assert digest.likeness(own, digest.digest(edited.encode(), ranks)) > 0.4
     assert digest.likeness(own, own) == 1.0
-    entropy = digest.entropies(np.frombuffer(a.encode(), np.uint8))
-    counts = np.bincount(np.frombuffer(a.encode()[:64], np.uint8))
-    p = counts[counts > 0] / 64
-    assert abs(entropy[0] - -(p * np.log2(p)).sum() / 6 * 1000) <= 1
 
 
 @pytest.mark.parametrize("n", range(100, 201, 4))
-def test_digest_of_short_texts(n):
+def test_digest_of_short_texts(n, ranks):
     """An edit that keeps two thirds shows, also where it moves a text across the least length of features; other texts differ."""
     found, other = [], []
     for seed in range(10):
         a, b = prose(100 + seed, 60)[:n], "".join(chr(97 + (i * i * (seed + 3) + i) % 26) for i in range(n))
         for size in (n // 3, n // 3 - 12, n // 3 + 12):
-            found.append(digest.likeness(digest.digest(a.encode()), digest.digest((a[: n - n // 3] + b[:size]).encode())))
-        other.append(digest.likeness(digest.digest(a.encode()), digest.digest(b.encode())))
+            found.append(digest.likeness(digest.digest(a.encode(), ranks), digest.digest((a[: n - n // 3] + b[:size]).encode(), ranks)))
+        other.append(digest.likeness(digest.digest(a.encode(), ranks), digest.digest(b.encode(), ranks)))
     assert min(found) > 0.4 and max(other) < 0.2
 
 

@@ -14,14 +14,24 @@ from cartolake.llm.common import saved
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SECRET = "[secret]"
+#: Least probability of the best language.
+MAJORITY = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the network knows, or all where there is nothing to learn from; those without a letter go."""
+    """Keeps documents in a language that the network knows, and writes the predicted one to `lang`.
+
+    Documents without a letter go, and those in which no language has the majority: the best one's probability, the mean
+    over all windows of the text, is under MAJORITY. Where there is nothing to learn from, all documents with a letter stay
+    as they are. Every row is judged by its text alone: rows with null or repeated ids and repeated rows stay or go alike;
+    null and empty texts go; further columns are not read.
+    """
     net = langid.fit(docs)
     if net is None:
         return langid.lettered(docs).select(*COLUMNS)
-    return langid.predict(docs, net, carried=COLUMNS[1:]).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    found = langid.predict(docs, net, carried=("text", "source", "n_chars"))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MAJORITY))
+    return kept.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +49,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out byte strings that occur elsewhere; documents of which nothing is left go."""
+    """Cuts out byte strings that occur elsewhere; documents of which nothing is left go.
+
+    Rows with null or repeated ids are documents of their own; texts shorter than a window, empty and null ones stay as they
+    are; n_chars is counted anew, null for a null text.
+    """
     found = exactdedup.remove_repeats(docs, carried=("text", "lang", "source", "n_chars"), decoded=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
@@ -47,13 +61,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret; all documents stay."""
+    """Replaces every secret; all documents stay, null texts as empty ones; n_chars is counted anew."""
     found = secrets.scan(docs, redact=SECRET, carried=("lang", "source"))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences."""
+    """Packs all documents into sequences; null and empty texts are an end id, repeated rows are packed as often as they occur."""
     return packing.packed(docs)
 
 

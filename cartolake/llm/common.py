@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,25 +19,35 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share; a temporary one only where the session names none and driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            current = spark.sparkContext.getCheckpointDir()
-        named = current
-    return named
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """Where saved() writes: one folder for each application, so it can be removed as a whole."""
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_saved(spark: SparkSession) -> None:
+    """Removes all tables that saved() has written in this application; for callers that have stored their results."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Eager checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -52,9 +63,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get, in rows and, where Spark knows it, in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds the Arrow batches that Python workers get, in rows and, where Spark knows it, in bytes.
+
+    Spark reads these settings when a job starts, after an operator has returned its DataFrame, so they stay; they are only
+    ever lowered, a caller's smaller bound holds.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        present = spark.conf.get(key, "0")
+        if not present.isdigit() or not 0 < int(present) <= most:
+            spark.conf.set(key, str(most))
+
+
+@contextmanager
+def wide_batches(spark: SparkSession, rows: int = 100_000) -> Iterator[None]:
+    """Larger batches for the jobs run inside, whose rows are a few numbers; the caller's bound is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

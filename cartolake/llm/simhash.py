@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.llm.common import bounded_batches, kept, released, saved, shuffle_partitions, texts
+from cartolake.llm.common import bounded_batches, kept, released, saved, shuffle_partitions, texts, wide_batches
 from cartolake.llm.components import components
 
 SHINGLE = 3
@@ -220,10 +220,8 @@ def class_links(distinct: DataFrame) -> DataFrame:
 def rooted(prints: DataFrame) -> DataFrame:
     """fp, least (the smallest id), root (the smallest fingerprint reachable over links) of every distinct fingerprint."""
     classes = kept(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    spark = prints.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    roots = components(class_links(classes.select("fp")))
-    bounded_batches(spark)
+    with wide_batches(prints.sparkSession):
+        roots = components(class_links(classes.select("fp")))
     return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from cartolake.llm import bpe, chat, components, digest, exactdedup, langid, licenses, packing, secrets, simhash, suffix, topk
+from cartolake.llm import bpe, chat, common, components, digest, exactdedup, langid, licenses, packing, secrets, simhash, suffix, topk
 
 SF = "/root/testdata/sf0.001"
 #: Extra columns under names that the operators use inside.
@@ -443,6 +443,33 @@ def test_language(spark, docs, empty):
     assert langid.predict(empty, net).count() == 0
 
 
+def brute_probabilities(net, text):
+    """Mean over all windows of the network's answers, filter by filter and place by place, without tables."""
+    raw, every = (text or "").encode(), []
+    for at in range(0, max(1, len(raw)), langid.WINDOW):
+        window = raw[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+        pooled = []
+        for width, table in zip(langid.WIDTHS, net.filters, strict=True):
+            answers = [sum(table[j, window[p + j]].astype(float) for j in range(width)) for p in range(langid.WINDOW - width + 1)]
+            pooled.append(np.max(answers, axis=0))
+        z = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.out + net.out_bias
+        e = np.exp(z - z.max())
+        every.append(e / e.sum())
+    return np.mean(every, axis=0)
+
+
+def test_language_against_a_plain_convolution(spark, docs):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    net = langid.fit(table)
+    rows = langid.predict(table.where("n_chars < 1500"), net, carried=("text",)).limit(60).collect() + langid.predict(docs, net, carried=("text",)).collect()
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+        elif len(r.text) < 5000:
+            p = brute_probabilities(net, r.text)
+            assert abs(r.score - p.max()) < 1e-3 and p[net.languages.index(r.lang_pred)] > p.max() - 1e-3
+
+
 def test_language_sample_bounds_rows(spark, monkeypatch):
     """A repeated id does not bring more rows to the driver than the sample."""
     rows = [(1, prose(200 + k, 200) + str(k), "en") for k in range(40)] + [(1, "the same text of all", "en")] * 40
@@ -574,6 +601,24 @@ def test_posting_lists(n, monkeypatch):
     assert len({root(int(m)) for m in members}) == len(members) - len(a)
 
 
+def test_settings_and_saved_tables(spark):
+    """Operators lower the batch bound at most, and what they saved can be removed."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, after in (("500", "500"), ("10000", "2000")):
+            spark.conf.set(key, given)
+            df = spark.createDataFrame([(k, prose(k, 9)) for k in range(9)], "doc_id long, text string")
+            assert simhash.near_duplicates(df).count() == 9 and spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, before)
+    table = common.saved(spark.range(3), "probe")
+    assert table.count() == 3
+    common.discard_saved(spark)
+    with pytest.raises(Exception, match="probe"):
+        table.count()
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]

@@ -70,7 +70,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        present = spark.conf.get(key, "0")
+        present = (spark.conf.get(key, None) or "").lower().removesuffix("b")
         if not present.isdigit() or not 0 < int(present) <= most:
             spark.conf.set(key, str(most))
 

@@ -1,11 +1,10 @@
-"""Order-dependent greedy selections as joins, and bounded folds for day plans."""
+"""Order-dependent greedy selections as joins, and shortest orders of a few points."""
 
 from __future__ import annotations
 
 import itertools
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,58 +46,6 @@ def metres(a: tuple, b: tuple) -> float:
     return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h)))
 
 
-#: Slots of a day: name, target minute, minutes there, categories, share of the budget.
-SLOTS = (
-    ("BREAKFAST", 570, 60, ("CAFE",), 0.2),
-    ("SIGHTSEEING", 660, 60, ("MUSEUM", "ATTRACTION", "PARK"), 0.05),
-    ("LUNCH", 780, 60, ("RESTAURANT",), 0.25),
-    ("COFFEE", 900, 45, ("CAFE",), 0.1),
-    ("DINNER", 1200, 75, ("RESTAURANT", "BAR"), 0.3),
-)
-
-
-def day_plan(start: tuple, candidates: list[dict], budget: float) -> list[dict]:
-    """One request: slot after slot the best candidate from where the last one ended; bounded candidates only."""
-    here, clock, left, used, out = start, 540, budget, set(), []
-    for slot, target, stay, categories, share in SLOTS:
-        best = None
-        for c in candidates:
-            if c["category"] not in categories or c["place_id"] in used or (c["cost"] or 0) > left:
-                continue
-            d = metres(here, (c["lat"], c["lon"]))
-            price = -4.0 if c["cost"] is None else 10 * (1 - c["cost"] / max(1.0, share * budget)) if c["cost"] <= share * budget else -20.0
-            key = (round(20 * (c["rating"] if c["rating"] is not None else 3.8) - 25 * d / 2500 + price, 4), -c["place_id"])
-            if best is None or key > best[0]:
-                best = (key, c, d)
-        if best is None:
-            continue
-        _, c, d = best
-        walk = math.ceil(d * 1.3 / 75)
-        arrival = math.ceil(max(clock + walk, target - 30) / 5) * 5
-        out.append({"slot": slot, "place_id": c["place_id"], "arrival": arrival, "walk": walk})
-        here, clock, left = (c["lat"], c["lon"]), arrival + stay, left - (c["cost"] or 0)
-        used.add(c["place_id"])
-    return out
-
-
-def plan_days(requests: DataFrame, candidates: DataFrame, per_category: int = 40) -> DataFrame:
-    """request_id, slot, place_id, arrival, walk; candidates (request_id, lat, lon, ..., metres) are cut to the nearest few
-    of each category before a request's rows meet, so a group holds a few hundred rows at most."""
-    from cartolake.operators.relational import first_per
-
-    near = first_per(candidates, ["request_id", "category"], [F.col("metres"), F.col("place_id")], per_category)
-    rows = near.join(requests.select("request_id", F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), "budget"), "request_id")
-
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place_id")
-        first = group.iloc[0]
-        found = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in group[["place_id", "category", "cost", "rating", "lat", "lon"]].to_dict("records")]
-        out = day_plan((first.from_lat, first.from_lon), found, float(first.budget))
-        return pd.DataFrame([{"request_id": first.request_id, **r} for r in out], columns=["request_id", "slot", "place_id", "arrival", "walk"])
-
-    return rows.groupBy("request_id").applyInPandas(plan, "request_id long, slot string, place_id long, arrival int, walk int")
-
-
 def shortest_order(points: list[tuple]) -> list[int]:
     """Visiting order of at most 5 points that walks least; ties to the first in order of places."""
     return min((list(p) for p in itertools.permutations(range(len(points)))), key=lambda p: (round(sum(metres(points[a], points[b]) for a, b in itertools.pairwise(p)), 3), p))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cartolake.functions import sides
 from cartolake.functions.hours import parsed
 from cartolake.functions.text import fold_key, jaccard, same_name, trigrams
-from cartolake.operators import greedy
+from cartolake.operators import dayplan, greedy
 from cartolake.operators import predicates as P
 from cartolake.operators.relational import first_per, within
 from cartolake.plans.registry import query
@@ -104,15 +104,42 @@ def pl_itinerary(t: Tables) -> DataFrame:
     return top.groupBy("centre").applyInPandas(order, "centre long, place_id long, position int")
 
 
-@query()
-def pl_greedy(t: Tables) -> DataFrame:
-    """A day plan for each user, from a start point of their own."""
+def days(t: Tables, how: str) -> DataFrame:
+    """Day plans for all users, each from a start point, with a budget, an interest and an edit of their own."""
+    u = F.col("user_id")
+    interests, edits = F.array(*[F.lit(x) for x in ("small", "red", "cold", "gear")]), F.array(*[F.lit(x) for x in dayplan.EDITS])
     requests = t.users.select(
-        F.col("user_id").alias("request_id"), (F.lit(40.92) + (F.col("user_id") * 7919 % 160) / 1000.0).alias("lat"), (F.lit(29.02) + (F.col("user_id") * 104729 % 160) / 1000.0).alias("lon"), (F.lit(500) + F.abs(F.col("balance")) % 2000).alias("budget")
-    )
-    p = t.places.where(P.plannable()).select("place_id", "category", "cost", "rating", "lat", "lon")
+        u.alias("request_id"), (F.lit(40.92) + (u * 7919 % 160) / 1000.0).alias("lat"), (F.lit(29.02) + (u * 104729 % 160) / 1000.0).alias("lon"), (F.lit(500) + F.abs(F.col("balance")) % 2000).alias("budget"),
+        F.get(interests, (u % 4).cast("int")).alias("interest"), F.get(edits, (u % len(dayplan.EDITS)).cast("int")).alias("edit"),
+    )
+    hours = t.opening_hours.where("day = 6").select("place_id", "opens", "closes")
+    p = t.places.where(P.plannable()).join(hours, "place_id", "left").select(*dayplan.FIELDS)
     near = within(requests.select("request_id", "lat", "lon"), p, 1500, "request_id", "place_id").select("a.request_id", "b.*", "metres")
-    return greedy.plan_days(requests, near)
+    return dayplan.plan_days(requests, near, how)
+
+
+@query()
+def pl_greedy(t: Tables) -> DataFrame:
+    """One pass over the slots."""
+    return days(t, "greedy")
+
+
+@query()
+def pl_passes(t: Tables) -> DataFrame:
+    """Pull to the start, look ahead, pull between neighbours; each kept only if better."""
+    return days(t, "passes")
+
+
+@query()
+def pl_reorder(t: Tables) -> DataFrame:
+    """The same with runs of flexible stops in the order that walks least."""
+    return days(t, "reorder")
+
+
+@query()
+def pl_replan(t: Tables) -> DataFrame:
+    """What is planned anew when each user changes the day after the first stop, by one of eight edits."""
+    return days(t, "replan")
 
 
 TAGS = "CASE WHEN category = 'PARK' THEN 'nature' END, CASE WHEN category = 'MUSEUM' THEN 'art' END, CASE WHEN cost <= 300 THEN 'budget' END, CASE WHEN list_contains(tags, 'small') THEN 'cosy' END"

@@ -52,19 +52,6 @@ def test_clusters(spark):
     assert found == groups
 
 
-def test_day_plans_hold_their_bounds(spark):
-    rows = catalog.queries()["pl_greedy"](spark, SF).collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r.request_id, []).append(r)
-    assert rows
-    for plan in by.values():
-        order = [s[0] for s in greedy.SLOTS]
-        plan.sort(key=lambda r: order.index(r.slot))
-        assert len({r.place_id for r in plan}) == len(plan)
-        assert all(a.arrival < b.arrival for a, b in zip(plan, plan[1:], strict=False)) and all(r.arrival % 5 == 0 for r in plan)
-
-
 @pytest.mark.parametrize(
     ("text", "rows"),
     [

@@ -16,6 +16,7 @@ def fold(c: Column) -> Column:
 
 
 def fold_key(c: Column) -> Column:
+    """Folded letters and digits of any script, nothing else."""
     return F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", "")
 
 
@@ -63,3 +64,69 @@ def shorten(c: Column, most: int) -> Column:
 
 def mask_email(c: Column) -> Column:
     return F.regexp_replace(c, r"^(.)[^@]*(@.*)$", "$1***$2")
+
+
+def tokens(name: Column, generic: tuple[str, ...]) -> Column:
+    """Folded words of a name without those that say what it is, or all of them if no other is left."""
+    every = F.filter(F.transform(F.split(name, r"[\s\-&/,.()']+"), fold), lambda w: w != "")
+    telling = F.filter(every, lambda w: ~w.isin(*generic))
+    return F.when(F.size(telling) == 0, every).otherwise(telling)
+
+
+#: Vowels, those of the back row, and consonants that harden an ending.
+VOWELS, BACK, HARD = "aeıioöuü", "aıou", "fstkçşhp"
+
+
+def _last_vowel(name: Column) -> Column:
+    return F.regexp_extract(lower_tr(F.trim(name)), f"([{VOWELS}])[^{VOWELS}]*$", 1)
+
+
+def _ends_in(name: Column, letters: str) -> Column:
+    return F.contains(F.lit(letters), F.right(lower_tr(F.trim(name)), F.lit(1)))
+
+
+def ablative(name: Column) -> Column:
+    """The name with the ending for "from"."""
+    ending = F.when(_last_vowel(name).isin(*BACK), "an").otherwise("en")
+    return F.concat(F.trim(name), F.lit("'"), F.when(_ends_in(name, HARD), "t").otherwise("d"), ending)
+
+
+def genitive(name: Column) -> Column:
+    """The name with the ending for "of"."""
+    v = _last_vowel(name)
+    ending = F.when(v.isin("a", "ı"), "ın").when(v.isin("o", "u"), "un").when(v.isin("ö", "ü"), "ün").otherwise("in")
+    return F.concat(F.trim(name), F.lit("'"), F.when(_ends_in(name, VOWELS), "n").otherwise(""), ending)
+
+
+#: Letters with marks, digits and signs, and the letters that they stand for.
+STANDS, STANDS_FOR = "ış$5ğüö0ç1!34@7", "isssguoociieaat"
+
+
+def once(c: Column) -> Column:
+    """Repeated characters as one."""
+    return F.regexp_replace(c, r"(.)\1+", "$1")
+
+
+def foul(text: Column, words: tuple[str, ...], stems: tuple[str, ...], harmless: tuple[str, ...], joined: tuple[str, ...]) -> Column:
+    """Whether a text has one of the words, a word that begins like a stem and not like a harmless word, or a joined one once
+    its spaces are gone; signs are read as letters and repeats as one."""
+    read = F.regexp_replace(F.translate(lower_tr(text), STANDS, STANDS_FOR), r"[^\p{L}]", " ")
+    each = F.filter(F.transform(F.split(read, " +"), once), lambda w: w != "")
+    begins = lambda w, with_: F.reduce(F.array(*[F.startswith(w, F.lit(x)) for x in with_]), F.lit(False), lambda a, b: a | b)
+    inside = lambda with_: F.reduce(F.array(*[F.contains(once(F.array_join(each, "")), F.lit(x)) for x in with_]), F.lit(False), lambda a, b: a | b)
+    return F.exists(each, lambda w: w.isin(*words) | (~begins(w, harmless) & begins(w, stems))) | (inside(joined) & ~inside(harmless))
+
+
+def capitalised(word: Column) -> Column:
+    first = F.left(word, F.lit(1))
+    return F.concat(F.when(first == "i", "İ").when(first == "ı", "I").otherwise(F.upper(first)), F.substring(word, 2, 1 << 30))
+
+
+def clean_name(name: Column, particles: tuple[str, ...]) -> Column:
+    """A name as it would be written: null if nothing is left of it."""
+    plain = F.trim(F.regexp_replace(name, r"\s+", " "))
+    plain = F.trim(F.regexp_replace(plain, '^["«“]+(.*[^"»”])["»”]+$', "$1"))
+    letters = F.length(F.regexp_replace(plain, r"[^\p{L}]", ""))
+    shouted = ~F.rlike(plain, F.lit(r"\p{Ll}")) & (letters > 4)
+    words = F.transform(F.split(lower_tr(plain), " "), lambda w, i: F.when((i > 0) & w.isin(*particles), w).otherwise(capitalised(w)))
+    return F.nullif(F.when(~F.rlike(plain, F.lit(r"\p{Lu}")) | shouted, F.array_join(words, " ")).otherwise(plain), F.lit(""))

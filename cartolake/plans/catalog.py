@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolake.plans import aggregates, filters, joins, more, ranking, registry, resolution, scalars, sets, sinks, streams, windows
+from cartolake.plans import aggregates, classify, filters, joins, more, ranking, registry, resolution, scalars, sets, sinks, streams, windows
 
-MODULES = (filters, joins, aggregates, windows, ranking, sets, scalars, sinks, resolution, streams, more)
+MODULES = (filters, joins, aggregates, windows, ranking, sets, scalars, sinks, resolution, streams, more, classify)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

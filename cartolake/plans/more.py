@@ -206,17 +206,6 @@ def str_contained_ratio(t: Tables) -> DataFrame:
     return pairs.select("a", "b", ((F.contains("a", F.col("b")) | F.contains("b", F.col("a"))) & (short >= 5) & (short >= long * 0.55)).alias("inside"))
 
 
-@query("SELECT doc_id, regexp_matches(left(text, 200), '(?i)\\b(is|was|will|est|ist)\\b') OR length(text) > 5000 AS sentence FROM documents")
-def str_event_sentence(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", (F.rlike(F.left("text", F.lit(200)), F.lit(r"(?i)\b(is|was|will|est|ist)\b")) | (F.length("text") > 5000)).alias("sentence"))
-
-
-@query("SELECT place_id, CASE WHEN contains(replace(name, ' ', ''), 'coldwidget') THEN 'chain' WHEN list_contains(tags, 'small') THEN 'grocery' ELSE 'other' END AS market FROM places WHERE category = 'MARKET'", "places")
-def str_market_kind(t: Tables) -> DataFrame:
-    joined = F.replace("name", F.lit(" "), F.lit(""))
-    return t.places.where("category = 'MARKET'").select("place_id", F.when(F.contains(joined, F.lit("coldwidget")), "chain").when(F.array_contains("tags", "small"), "grocery").otherwise("other").alias("market"))
-
-
 #: User agents to try the reading on, a fixed list.
 AGENTS = ("Mozilla/5.0 (iPhone; CPU iPhone OS 17_0) Safari/604.1", "Mozilla/5.0 (Windows NT 10.0) Chrome/120.0", "Mozilla/5.0 (X11; Linux) Firefox/121.0", "curl/8.0")
 
@@ -286,25 +275,6 @@ def map_sitelink_count(t: Tables) -> DataFrame:
 # Classification and planning
 
 
-@query("SELECT place_id, CASE WHEN review IS NOT NULL THEN 'closed' WHEN name LIKE '%widget%' THEN 'SHOP' WHEN category IN ('CAFE', 'BAR') AND indoor THEN 'FOOD' WHEN list_contains(tags, 'cold') THEN 'DESSERT' ELSE category END AS class FROM places", "places")
-def er_osm_map(t: Tables) -> DataFrame:
-    """First rule that fits."""
-    c = F.col("category")
-    rules = F.when(F.col("review").isNotNull(), "closed").when(F.contains("name", F.lit("widget")), "SHOP").when(c.isin("CAFE", "BAR") & F.col("indoor"), "FOOD").when(F.array_contains("tags", "cold"), "DESSERT")
-    return t.places.select("place_id", rules.otherwise(c).alias("class"))
-
-
-@query("SELECT place_id, CASE WHEN hidden THEN NULL WHEN rating IS NULL OR rating < 3.3e0 THEN 'weak' ELSE lower(category) END AS mapped FROM places WHERE source = 'OVERTURE'", "places")
-def er_overture_map(t: Tables) -> DataFrame:
-    mapped = F.when(F.col("hidden"), None).when(F.col("rating").isNull() | (F.col("rating") < 3.3), "weak").otherwise(F.lower("category"))
-    return t.places.where("source = 'OVERTURE'").select("place_id", mapped.alias("mapped"))
-
-
-@query("SELECT place_id, coalesce(CASE WHEN review = 'REMOVED' THEN 'disused' END, CASE WHEN inside_institution THEN 'access' END, CASE WHEN length(name) > 40 THEN 'sentence' END) AS reason FROM places", "places")
-def er_realism_element(t: Tables) -> DataFrame:
-    return t.places.select("place_id", F.coalesce(F.when(F.col("review") == "REMOVED", "disused"), F.when(F.col("inside_institution"), "access"), F.when(F.length("name") > 40, "sentence")).alias("reason"))
-
-
 @query("SELECT place_id, CASE list_last(list_filter(tags, lambda x: x IN ('widget', 'gear'))) WHEN 'widget' THEN 'mosque' WHEN 'gear' THEN 'church' END AS kind FROM places WHERE category = 'WORSHIP'", "places")
 def er_worship_kind(t: Tables) -> DataFrame:
     """The last word that names a kind decides."""
@@ -312,19 +282,6 @@ def er_worship_kind(t: Tables) -> DataFrame:
     return t.places.where("category = 'WORSHIP'").select("place_id", F.when(last == "widget", "mosque").when(last == "gear", "church").alias("kind"))
 
 
-@query("SELECT place_id, category IN ('MUSEUM', 'PARK', 'ATTRACTION', 'CAFE', 'RESTAURANT') AS is_stop, category = 'RESTAURANT' OR (category = 'CAFE' AND list_contains(tags, 'small')) AS serves_meals FROM places", "places")
-def er_suitability(t: Tables) -> DataFrame:
-    c = F.col("category")
-    meals = (c == "RESTAURANT") | ((c == "CAFE") & F.array_contains("tags", "small"))
-    return t.places.select("place_id", c.isin("MUSEUM", "PARK", "ATTRACTION", "CAFE", "RESTAURANT").alias("is_stop"), meals.alias("serves_meals"))
-
-
-@query(f"SELECT place_id, CASE WHEN name LIKE '%gear%' THEN 'GEAR' WHEN name LIKE '%widget%' THEN 'WIDGET' WHEN list_contains(tags, 'small') THEN 'SMALL' END AS kind FROM places", "places")
-def er_place_kind(t: Tables) -> DataFrame:
-    n = F.col("name")
-    return t.places.select("place_id", F.coalesce(F.when(F.contains(n, F.lit("gear")), "GEAR"), F.when(F.contains(n, F.lit("widget")), "WIDGET"), F.when(F.array_contains("tags", "small"), "SMALL")).alias("kind"))
-
-
 @query("SELECT conv_id, id, regexp_matches(lower(content), '\\b(cheap|ucuz|and)\\b') AS cheaper, regexp_matches(lower(content), '\\b(near|close|the)\\b') AS closer FROM messages WHERE role = 'user'", "messages")
 def er_stop_wish(t: Tables) -> DataFrame:
     said = lambda p: F.rlike(F.lower("content"), F.lit(p))

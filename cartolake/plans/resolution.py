@@ -157,16 +157,6 @@ def er_breakfast_aware(t: Tables) -> DataFrame:
     return t.places.select("place_id", F.when((F.col("category") == "CAFE") & F.array_contains("tags", "small"), "BREAKFAST").otherwise(F.col("category")).alias("category"))
 
 
-@query(
-    "SELECT place_id, CASE WHEN review IS NOT NULL THEN 'removed' WHEN inside_institution THEN 'institution' WHEN unconfirmed THEN 'unconfirmed' WHEN name LIKE '%gear%' AND category = 'MUSEUM' THEN 'name' END AS reason FROM places",
-    "places",
-)
-def er_realism_name(t: Tables) -> DataFrame:
-    """The first rule that speaks against a place, or NULL."""
-    rules = [F.when(F.col("review").isNotNull(), "removed"), F.when(F.col("inside_institution"), "institution"), F.when(F.col("unconfirmed"), "unconfirmed"), F.when(F.contains("name", F.lit("gear")) & (F.col("category") == "MUSEUM"), "name")]
-    return t.places.select("place_id", F.coalesce(*rules).alias("reason"))
-
-
 @query(
     "SELECT status, count(*) AS n FROM (SELECT CASE WHEN unconfirmed THEN 'unusable' WHEN inside_institution THEN 'unrealistic' WHEN row_number() OVER (PARTITION BY name, category ORDER BY place_id) > 1 THEN 'duplicate' ELSE 'kept' END AS status FROM places) x GROUP BY status",
     "places",

@@ -64,16 +64,6 @@ def str_username_base(t: Tables) -> DataFrame:
 GENERIC = ("cafe", "kafe", "widget", "restaurant", "gear")
 
 
-@query(
-    f"SELECT x, CASE WHEN core = '' THEN whole ELSE core END AS core FROM (SELECT x, array_to_string(list_filter(w, lambda y: y NOT IN {GENERIC} AND y <> ''), '') AS core, array_to_string(w, '') AS whole FROM (SELECT x, regexp_split_to_array({FOLD}, '[^a-z0-9]+') AS w FROM {NAMES_SQL}) a) b",
-    "places",
-)
-def str_core_name(t: Tables) -> DataFrame:
-    w = X.words(F.col("x"))
-    core = F.array_join(F.filter(w, lambda y: ~y.isin(*GENERIC)), "")
-    return names(t).select("x", F.when(core == "", F.array_join(w, "")).otherwise(core).alias("core"))
-
-
 PAIRS_SQL = "(SELECT DISTINCT name FROM places) a JOIN (SELECT DISTINCT name FROM places) b ON a.name < b.name"
 
 
@@ -121,21 +111,11 @@ def str_phone_key(t: Tables) -> DataFrame:
     return t.users.select("user_id", F.when(F.length(digits) >= 8, F.right(digits, F.lit(8))).alias("key"))
 
 
-@query("SELECT place_id, trim(regexp_replace(replace(name, ' ', '   '), '\\s+', ' ', 'g')) AS clean FROM places", "places")
-def str_clean_name(t: Tables) -> DataFrame:
-    return t.places.select("place_id", F.trim(F.regexp_replace(F.replace("name", F.lit(" "), F.lit("   ")), r"\s+", " ")).alias("clean"))
-
-
 @query("SELECT place_id, CASE WHEN lower(brand) <> lower(name) THEN brand END AS name_en FROM places", "places")
 def str_choose_name(t: Tables) -> DataFrame:
     return t.places.select("place_id", F.when(X.fold(F.col("brand")) != X.fold(F.col("name")), F.col("brand")).alias("name_en"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)\\b(pathetic|worthless|idiot)\\b') AS flagged FROM documents")
-def str_profanity(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.rlike("text", F.lit(r"(?i)\b(pathetic|worthless|idiot)\b")).alias("flagged"))
-
-
 @query("SELECT event_id, regexp_extract(props, '\\d+') AS digits FROM events")
 def str_wikidata_id(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.regexp_extract("props", r"(\d+)", 1).alias("digits"))

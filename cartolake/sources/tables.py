@@ -72,6 +72,25 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "reports": (("events",), "SELECT event_id AS report_id, event_id % 97 AS place_id, event_type AS reason, ts AS created_at, value < 100 AS resolved FROM events"),
     "messages": (("conversations",), "SELECT conv_id, turn AS id, role, text AS content FROM conversations"),
+    "elements": (
+        ("part",),
+        """SELECT p_partkey AS element_id,
+           CASE p_partkey % 12 WHEN 0 THEN 'cafe' WHEN 1 THEN 'restaurant' WHEN 2 THEN 'fast_food' WHEN 3 THEN 'place_of_worship' WHEN 4 THEN 'marketplace' WHEN 5 THEN 'theatre' END AS amenity,
+           CASE p_partkey % 12 WHEN 6 THEN 'bakery' WHEN 7 THEN 'supermarket' WHEN 8 THEN 'coffee' END AS shop,
+           CASE p_partkey % 12 WHEN 9 THEN 'museum' WHEN 10 THEN 'viewpoint' END AS tourism,
+           CASE WHEN p_partkey % 12 = 11 THEN CASE WHEN p_size % 3 = 0 THEN 'garden' ELSE 'park' END END AS leisure,
+           CASE WHEN p_size % 7 = 0 THEN 'castle' END AS historic, CASE WHEN p_size % 13 = 0 THEN 'private' END AS access,
+           CASE WHEN p_size % 11 = 0 THEN 'yes' END AS disused, CASE WHEN p_size % 19 = 0 THEN 'closed' END AS status,
+           CASE WHEN p_size % 17 = 0 THEN 'off' WHEN p_size % 8 = 0 THEN 'Mo-Fr 09:00-18:00' END AS hours,
+           CASE WHEN p_retailprice < 930 THEN 'low' ELSE 'high' END AS confidence, lower(replace(p_brand, 'Brand#', 'b')) AS brand,
+           CASE WHEN p_partkey % 29 = 0 THEN 'Q1' END AS wikidata, CASE WHEN p_partkey % 31 = 0 THEN 'https://example.org' END AS website,
+           CASE p_size % 9 WHEN 0 THEN 'tea' WHEN 1 THEN 'ice_cream' WHEN 2 THEN 'kebab;doner' WHEN 3 THEN 'pizza' END AS cuisine,
+           CASE CAST(floor(p_partkey / 12.0e0) AS INT) % 24 WHEN 0 THEN 'Okul Kantini' WHEN 1 THEN concat('Çay Bahçesi ', p_name) WHEN 2 THEN 'kafe' WHEN 3 THEN concat('"', p_name, ' Ekmek Fırını"')
+             WHEN 4 THEN 'YILDIZ MARKET' WHEN 5 THEN 'Ada Eczanesi' WHEN 6 THEN 'Emniyet Sosyal Tesisleri' WHEN 7 THEN concat(p_name, ' Pansiyon') WHEN 8 THEN 'Kapalı Çarşı'
+             WHEN 9 THEN 'eski caminin bulunduğu yer' WHEN 10 THEN '  Çiğ   Köfte  ' WHEN 11 THEN 'Işık Kıraathanesi' WHEN 12 THEN 'Simit Sarayı ve Kahve' WHEN 13 THEN 'Üsküdar'
+             WHEN 14 THEN 'BEŞİKTAŞ BALIK EVİ' WHEN 15 THEN '42' WHEN 16 THEN CAST(NULL AS STRING) WHEN 17 THEN '' WHEN 18 THEN 'Hayvan Pazarı' WHEN 19 THEN 'Nargile, bilardo, çay, kahve ve daha fazlası burada bulunmaktadır'
+             WHEN 20 THEN concat('Balıkesir ', p_name, ' Lokantası') WHEN 21 THEN 'Kadıköy Pastanesi' WHEN 22 THEN concat('Gül Sokak 5 ', p_name) ELSE p_name END AS name FROM part""",
+    ),
     "photos": (("labels",), "SELECT doc_id AS photo_id, doc_id % 200 AS place_id, quality, toxic FROM labels"),
 }
 

@@ -55,3 +55,44 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
         return straddles & (lon < at)
 
     return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def box_cells(south: Column, north: Column, west: Column, east: Column, size: float) -> Column:
+    """The grid cells that a box touches; cells should be about as large as boxes are."""
+    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
+    return F.flatten(F.transform(span(south, north), lambda y: F.transform(span(west, east), lambda x: F.struct(y.alias("y"), x.alias("x")))))
+
+
+LAT_M, LON_M = 111_195.0, 83_900.0
+
+
+def ring_distance(lat: Column, lon: Column, ring: Column) -> Column:
+    """Planar metres (at 41 degrees) from a point to a closed ring, 0 inside: the least distance to one of its edges."""
+
+    def to_edge(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, i + 1)
+        ax, ay = (a["lon"] - lon) * LON_M, (a["lat"] - lat) * LAT_M
+        dx, dy = (b["lon"] - a["lon"]) * LON_M, (b["lat"] - a["lat"]) * LAT_M
+        length = dx * dx + dy * dy
+        at = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length)))
+        return F.sqrt(F.pow(ax + at * dx, 2) + F.pow(ay + at * dy, 2))
+
+    least = F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 2), to_edge))
+    return F.when(in_ring(lat, lon, ring), F.lit(0.0)).otherwise(least)
+
+
+def inside_point(ring: Column) -> Column:
+    """A point (lat, lon) inside a closed ring: of the lines midway between neighbouring latitudes of its corners, the middle
+    of the widest stretch inside; of equally wide ones the southernmost, then westernmost."""
+    lats = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["lat"])))
+    lines = F.transform(F.sequence(F.lit(0), F.size(lats) - 2), lambda i: (F.get(lats, i) + F.get(lats, i + 1)) / 2)
+
+    def stretches(y: Column) -> Column:
+        edges = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
+        met = F.filter(edges, lambda e: (e["a"]["lat"] > y) != (e["b"]["lat"] > y))
+        xs = F.array_sort(F.transform(met, lambda e: e["a"]["lon"] + (y - e["a"]["lat"]) / (e["b"]["lat"] - e["a"]["lat"]) * (e["b"]["lon"] - e["a"]["lon"])))
+        pairs = F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1)
+        return F.transform(pairs, lambda i: F.struct((F.get(xs, 2 * i) - F.get(xs, 2 * i + 1)).alias("less"), y.alias("lat"), ((F.get(xs, 2 * i) + F.get(xs, 2 * i + 1)) / 2).alias("lon")))
+
+    widest = F.array_min(F.flatten(F.transform(lines, stretches)))
+    return F.struct(widest["lat"].alias("lat"), widest["lon"].alias("lon"))

@@ -8,36 +8,49 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolake.session import shared_path
+
 
 def first_come(ids: DataFrame, rivals: DataFrame) -> DataFrame:
     """The ids (column id) that a pass in order of preference keeps when it drops whatever has a kept rival before it.
 
-    rivals: pairs (before, after), `before` being preferred. Each round decides every id whose earlier rivals are decided,
-    so no group is ever read in one task, however many rows share a name or a place. Rounds are as many as the longest
-    chain of rivals; each is cut by a checkpoint in the shared folder.
+    rivals: pairs (before, after), `before` being preferred; the order must have no cycles. Each round decides every id whose
+    earlier rivals are decided or one of whose earlier rivals is kept, so no group is ever read in one task, however many
+    rows share a name or a place. A round is one join and one aggregation over the pairs that are still open, written once.
+    Where preference has nothing to do with place, rounds grow with the logarithm of the rivals; a street of equal names in
+    falling preference takes a round for each two houses.
     """
     spark = ids.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    open_ids = ids.select("id").distinct()
-    edges = rivals.select("before", "after").distinct().checkpoint()
-    contested = edges.select(F.col("after").alias("id")).distinct()
-    kept = [open_ids.join(contested, "id", "left_anti")]  # nobody stands before these
-    fresh, waiting = kept[0], contested.join(open_ids, "id", "left_semi").checkpoint()
-    while not waiting.isEmpty():
-        beaten = edges.join(fresh.withColumnRenamed("id", "before"), "before", "left_semi").select(F.col("after").alias("id")).distinct()
-        waiting = waiting.join(beaten, "id", "left_anti").checkpoint()
-        # What is left of the rivalry is between ids that wait.
-        edges = edges.join(waiting.withColumnRenamed("id", "after"), "after", "left_semi").join(waiting.withColumnRenamed("id", "before"), "before", "left_semi").checkpoint()
-        fresh = waiting.join(edges.select(F.col("after").alias("id")).distinct(), "id", "left_anti").checkpoint()
-        waiting = waiting.join(fresh, "id", "left_anti").checkpoint()
-        kept.append(fresh)
-    out = kept[0]
-    for part in kept[1:]:
-        out = out.union(part)
-    return out
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = shared_path(spark, "rivals")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    all_ids = ids.select("id").distinct()
+    # Only rivals among the ids count. state: true kept, false dropped, null open.
+    edges = rivals.select("before", "after").distinct().join(all_ids.withColumnRenamed("id", "before"), "before", "left_semi").join(all_ids.withColumnRenamed("id", "after"), "after", "left_semi")
+    edges = stored(edges)
+    decided = [stored(edges.select(F.col("before").alias("id")).distinct().join(edges.select(F.col("after").alias("id")).distinct(), "id", "left_anti").withColumn("kept", F.lit(True)))]
+    known = decided[0]
+    while True:
+        met = edges.join(known.withColumnRenamed("id", "before"), "before", "left")
+        round_ = met.groupBy(F.col("after").alias("id")).agg(F.bool_or("kept").alias("beaten"), F.count_if(F.col("kept").isNull()).alias("open"), F.count("*").alias("n"))
+        fresh = stored(round_.where("beaten OR open = 0").select("id", (~F.coalesce("beaten", F.lit(False))).alias("kept")))
+        if fresh.isEmpty():
+            break
+        decided.append(fresh)
+        # Pairs go once their later id is decided, or their earlier one is dropped.
+        settled = met.where("kept IS NULL OR kept").drop("kept").join(fresh.select(F.col("id").alias("after")), "after", "left_anti")
+        edges = stored(settled)
+        lost = met.where("NOT kept").select("after").distinct()
+        free = lost.join(edges.select("after").distinct(), "after", "left_anti").join(fresh.select(F.col("id").alias("after")), "after", "left_anti")
+        known = stored(fresh.union(free.select(F.col("after").alias("id"), F.lit(True).alias("kept"))))
+        decided.append(known.join(fresh, "id", "left_anti"))
+    dropped = decided[0]
+    for part in decided[1:]:
+        dropped = dropped.union(part)
+    return all_ids.join(dropped.where("NOT kept").select("id"), "id", "left_anti")
 
 
 def metres(a: tuple, b: tuple) -> float:

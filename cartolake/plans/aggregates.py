@@ -152,12 +152,6 @@ def agg_min_max_time(t: Tables) -> DataFrame:
     return t.routes.groupBy("user_id").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), latest.alias("latest"))
 
 
-@query("SELECT city_id, min(south) AS south, max(north) AS north, min(west) AS west, max(east) AS east, count(*) AS parts FROM districts GROUP BY city_id", "districts")
-def agg_geom_union(t: Tables) -> DataFrame:
-    """Envelope of a city's districts."""
-    return t.districts.groupBy("city_id").agg(F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east"), F.count("*").alias("parts"))
-
-
 @query(
     """, k AS (SELECT route_id, string_agg(CAST(place_id AS VARCHAR), '-' ORDER BY position) AS key FROM route_stops WHERE NOT skipped GROUP BY route_id)
     SELECT key, sum(CASE WHEN liked THEN 1 ELSE -1 END)::BIGINT AS net, arg_max(route_id, (updated_at, route_id)) FILTER (liked) AS face FROM k JOIN route_feedback USING (route_id)

@@ -76,19 +76,6 @@ def jn_anti(t: Tables) -> DataFrame:
 IN_BOX = "p.lat >= c.south AND p.lat < c.north AND p.lon >= c.west AND p.lon < c.east"
 
 
-@query(f"SELECT p.place_id, c.city_id AS found FROM places p JOIN cities c ON {IN_BOX}", "places cities")
-def jn_point_in_polygon(t: Tables) -> DataFrame:
-    """Rings of the cities (at most a few hundred rows) are dealt to grid cells, so the join is by cell, then exact."""
-    from cartolake.functions.geo import in_ring
-
-    point = lambda lat, lon: F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
-    ring = F.array(point("south", "west"), point("south", "east"), point("north", "east"), point("north", "west"), point("south", "west"))
-    cells = F.sequence(F.floor(F.col("south") / 0.02), F.floor(F.col("north") / 0.02))
-    cities = t.cities.select(F.col("city_id").alias("found"), ring.alias("ring"), F.explode(cells).alias("row"))
-    places = t.places.select("place_id", "lat", "lon", F.floor(F.col("lat") / 0.02).alias("row"))
-    return places.join(cities, "row").where(in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("place_id", "found")
-
-
 @query(
     f"""SELECT place_id, district_id FROM (SELECT p.place_id, d.district_id, row_number() OVER (PARTITION BY p.place_id ORDER BY {haversine_sql('p.lat', 'p.lon', '(d.south + d.north) / 2', '(d.west + d.east) / 2')}, d.district_id) AS n
     FROM places p JOIN districts d ON {haversine_sql('p.lat', 'p.lon', '(d.south + d.north) / 2', '(d.west + d.east) / 2')} <= 2000) x WHERE n = 1""",
@@ -112,16 +99,6 @@ def jn_radius_self(t: Tables) -> DataFrame:
     return pairs.where("place_id <> other").groupBy("place_id").agg(F.count("*").alias("food_near")).where("food_near >= 3")
 
 
-@query(
-    "SELECT c.city_id AS a, d.district_id AS b FROM cities c JOIN districts d ON c.north >= d.south AND c.south <= d.north AND c.east >= d.west AND c.west <= d.east",
-    "cities districts",
-)
-def jn_bbox_overlap(t: Tables) -> DataFrame:
-    c = t.cities.select(F.col("city_id").alias("a"), "south", "north", "west", "east")
-    d = t.districts.select(F.col("district_id").alias("b"), *[F.col(x).alias(f"d_{x}") for x in ("south", "north", "west", "east")])
-    return d.join(F.broadcast(c), (F.col("north") >= F.col("d_south")) & (F.col("south") <= F.col("d_north")) & (F.col("east") >= F.col("d_west")) & (F.col("west") <= F.col("d_east"))).select("a", "b")
-
-
 @query("SELECT p_partkey AS place_id, d.day FROM part CROSS JOIN (SELECT unnest(range(1, 8)) AS day) d WHERE p_size % 2 = 0")
 def jn_cross_series(t: Tables) -> DataFrame:
     return t.part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("place_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("day"))
@@ -170,3 +147,58 @@ def jn_asof_hour(t: Tables) -> DataFrame:
 @query("SELECT p.place_id, p.name, s.n FROM places p JOIN (SELECT place_id, count(*) AS n FROM saved_places GROUP BY place_id) s USING (place_id)", "places saved_places")
 def jn_batch_lookup(t: Tables) -> DataFrame:
     return t.places.join(t.saved_places.groupBy("place_id").agg(F.count("*").alias("n")), "place_id").select("place_id", "name", "n")
+
+
+CELL = 0.02
+
+
+@query(f"SELECT p.place_id, c.city_id AS found FROM places p JOIN cities c ON {IN_BOX}", "places cities")
+def jn_point_in_polygon(t: Tables) -> DataFrame:
+    """Rings are dealt to the grid cells that their boxes touch; points meet the rings of their cell only, then exactly."""
+    from cartolake.functions.geo import box_cells, cell, in_ring
+
+    point = lambda lat, lon: F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    ring = F.array(point("south", "west"), point("south", "east"), point("north", "east"), point("north", "west"), point("south", "west"))
+    cities = t.cities.select(F.col("city_id").alias("found"), ring.alias("ring"), F.explode(box_cells(F.col("south"), F.col("north"), F.col("west"), F.col("east"), CELL)).alias("c"))
+    places = t.places.select("place_id", "lat", "lon", cell(F.col("lat"), F.col("lon"), CELL, CELL).alias("c"))
+    return places.join(cities, "c").where(in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("place_id", "found")
+
+
+@query("SELECT place_id, district_id FROM places JOIN districts ON lat BETWEEN south AND north AND lon BETWEEN west AND east", "places districts")
+def jn_cross_bbox(t: Tables) -> DataFrame:
+    """All points in all boxes, by the cells that the boxes touch."""
+    from cartolake.functions.geo import box_cells, cell
+
+    boxes = t.districts.select("district_id", "south", "north", "west", "east", F.explode(box_cells(F.col("south"), F.col("north"), F.col("west"), F.col("east"), CELL)).alias("c"))
+    points = t.places.select("place_id", "lat", "lon", cell(F.col("lat"), F.col("lon"), CELL, CELL).alias("c"))
+    return points.join(boxes, "c").where("lat BETWEEN south AND north AND lon BETWEEN west AND east").select("place_id", "district_id")
+
+
+@query(
+    "SELECT c.city_id AS a, d.district_id AS b FROM cities c JOIN districts d ON c.north >= d.south AND c.south <= d.north AND c.east >= d.west AND c.west <= d.east",
+    "cities districts",
+)
+def jn_bbox_overlap(t: Tables) -> DataFrame:
+    """Boxes meet in the cells that both touch; a pair counts in the cell of its common south-west corner only."""
+    from cartolake.functions.geo import box_cells, cell
+
+    sides = ("south", "north", "west", "east")
+    dealt = lambda df: df.withColumn("c", F.explode(box_cells(*[F.col(x) for x in sides], CELL)))
+    c = dealt(t.cities.select(F.col("city_id").alias("a"), *sides))
+    d = dealt(t.districts.select(F.col("district_id").alias("b"), *sides)).withColumnsRenamed({x: f"d_{x}" for x in sides})
+    both = c.join(d, "c").where("north >= d_south AND south <= d_north AND east >= d_west AND west <= d_east")
+    corner = cell(F.greatest("south", "d_south"), F.greatest("west", "d_west"), CELL, CELL)
+    return both.where(F.col("c") == corner).select("a", "b")
+
+
+@query(f"SELECT a.place_id, arg_min(b.place_id, (round({MATCH}, 3), b.place_id)) AS best FROM places a JOIN places b ON a.place_id <> b.place_id AND a.name = b.name AND {MATCH} <= 4000 GROUP BY a.place_id", "places")
+def jn_google_match(t: Tables) -> DataFrame:
+    """For every place the nearest other one of its name; cells and names are joined together."""
+    from cartolake.functions.geo import cell, haversine, neighbour_cells
+
+    d_lat, d_lon = 4000 / 111_000.0, 4000 / 111_000.0 / 0.7
+    p = t.places.select("place_id", "name", "lat", "lon", cell(F.col("lat"), F.col("lon"), d_lat, d_lon).alias("c"))
+    other = p.select(F.col("place_id").alias("other"), "name", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(neighbour_cells(F.col("c"))).alias("c"))
+    metres = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    pairs = p.join(other, ["c", "name"]).where("place_id <> other").withColumn("metres", metres).where("metres <= 4000")
+    return pairs.groupBy("place_id").agg(F.min_by("other", F.struct(F.round("metres", 3), F.col("other"))).alias("best"))

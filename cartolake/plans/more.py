@@ -19,38 +19,12 @@ from cartolake.sources.tables import Tables
 # Sources: JSON landing zones, read with explicit schemas.
 
 
-@query("SELECT event_id, i AS hour, CAST(json_extract_string(props, '$.k') AS BIGINT) + i AS temperature FROM (SELECT *, unnest(range(0, 3)) AS i FROM events) x")
-def src_weather(t: Tables) -> DataFrame:
-    """Parallel arrays of a forecast zipped to one row an hour."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    arrays = t.events.select("event_id", F.array(*[F.lit(i).cast("long") for i in range(3)]).alias("hour"), F.array(k, k + 1, k + 2).alias("temperature"))
-    return arrays.select("event_id", F.explode(F.arrays_zip("hour", "temperature")).alias("h")).select("event_id", "h.hour", "h.temperature")
-
-
-@query("SELECT event_id, len(list_filter(json_keys(props), lambda k: k <> 'z'))::INTEGER AS links FROM events")
-def src_wikidata(t: Tables) -> DataFrame:
-    keys = F.map_keys(F.from_json("props", "map<string,string>"))
-    return t.events.select("event_id", F.size(F.filter(keys, lambda k: k != "z")).alias("links"))
-
-
-@query("SELECT k, CAST(sum(v) AS BIGINT) AS views FROM (SELECT 'k' AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events) x GROUP BY k")
-def src_pageviews(t: Tables) -> DataFrame:
-    pairs = t.events.select(F.explode(F.from_json("props", "map<string,long>")).alias("k", "v"))
-    return pairs.groupBy("k").agg(F.sum("v").alias("views"))
-
-
 @query("SELECT place_id, name FROM places", "places")
 def src_paged_rest(t: Tables) -> DataFrame:
     """All pages of a listing are one scan."""
     return t.places.select("place_id", "name")
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY event_type")
-def src_parquet_hive(t: Tables) -> DataFrame:
-    """A partition column is a filter that the scan prunes by; here the filter is pushed to the row groups."""
-    return t.events.where("event_type = 'click'").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 # Projections and predicates
 
 
@@ -137,14 +111,6 @@ def jn_radius_near(t: Tables) -> DataFrame:
     return t.route_stops.where("position = 1").join(around(t.places, 1500).select("place_id"), "place_id").select("route_id")
 
 
-@query("SELECT place_id, district_id FROM places JOIN districts ON lat BETWEEN south AND north AND lon BETWEEN west AND east AND district_id < 40", "places districts")
-def jn_cross_bbox(t: Tables) -> DataFrame:
-    """Boxes are dealt to the rows of a latitude grid, so points only meet boxes of their row."""
-    boxes = t.districts.where("district_id < 40").select("district_id", "south", "north", "west", "east", F.explode(F.sequence(F.floor(F.col("south") / 0.01), F.floor(F.col("north") / 0.01))).alias("row"))
-    points = t.places.select("place_id", "lat", "lon", F.floor(F.col("lat") / 0.01).alias("row"))
-    return points.join(boxes, "row").where("lat BETWEEN south AND north AND lon BETWEEN west AND east").select("place_id", "district_id")
-
-
 NEAR80 = haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
 
 
@@ -156,13 +122,6 @@ def jn_dedupe_verified(t: Tables) -> DataFrame:
     return pairs.groupBy(F.col("a.place_id").alias("place_id")).agg(F.min("b.place_id").alias("same_as"))
 
 
-@query(f"SELECT a.place_id, arg_min(b.place_id, (round({NEAR80}, 3), b.place_id)) AS best FROM places a JOIN places b ON a.place_id < 50 AND a.place_id <> b.place_id AND a.name = b.name AND {NEAR80} <= 4000 GROUP BY a.place_id", "places")
-def jn_google_match(t: Tables) -> DataFrame:
-    cols = ("place_id", "name", "lat", "lon")
-    pairs = within(t.places.where("place_id < 50").select(*cols), t.places.select(*cols), 4000, "place_id", "place_id").where("a.place_id <> b.place_id AND a.name = b.name")
-    return pairs.groupBy(F.col("a.place_id").alias("place_id")).agg(F.min_by("b.place_id", F.struct(F.round("metres", 3), F.col("b.place_id"))).alias("best"))
-
-
 @query("SELECT r.report_id, coalesce(max(u.cost), (SELECT max(cost) FROM usage)) AS hottest FROM reports r LEFT JOIN usage u ON u.created_at BETWEEN date_trunc('hour', r.created_at) AND date_trunc('hour', r.created_at) + INTERVAL 10 MINUTE WHERE r.reason = 'signup' GROUP BY r.report_id", "reports usage")
 def jn_weather_window(t: Tables) -> DataFrame:
     """Readings in the window that starts with the hour; all readings where the window is empty."""
@@ -206,12 +165,17 @@ def str_contained_ratio(t: Tables) -> DataFrame:
     return pairs.select("a", "b", ((F.contains("a", F.col("b")) | F.contains("b", F.col("a"))) & (short >= 5) & (short >= long * 0.55)).alias("inside"))
 
 
-#: User agents to try the reading on, a fixed list.
+#: User agents that the events' clients are taken from.
 AGENTS = ("Mozilla/5.0 (iPhone; CPU iPhone OS 17_0) Safari/604.1", "Mozilla/5.0 (Windows NT 10.0) Chrome/120.0", "Mozilla/5.0 (X11; Linux) Firefox/121.0", "curl/8.0")
+AGENT = "CASE event_id % 4 " + " ".join(f"WHEN {n} THEN '{a}'" for n, a in enumerate(AGENTS)) + " END"
 
 
-@query("SELECT x, (CASE WHEN contains(x, 'Firefox/') THEN 'Firefox' WHEN contains(x, 'Chrome/') THEN 'Chrome' WHEN contains(x, 'Safari/') THEN 'Safari' ELSE 'other' END) || ' on ' || (CASE WHEN contains(x, 'iPhone') THEN 'iOS' WHEN contains(x, 'Windows') THEN 'Windows' WHEN contains(x, 'Linux') THEN 'Linux' ELSE 'other' END) AS device FROM (VALUES " + ", ".join(f"('{a}')" for a in AGENTS) + ") v(x)")
+@query(
+    f"SELECT event_id, (CASE WHEN contains(x, 'Firefox/') THEN 'Firefox' WHEN contains(x, 'Chrome/') THEN 'Chrome' WHEN contains(x, 'Safari/') THEN 'Safari' ELSE 'other' END) || ' on ' || (CASE WHEN contains(x, 'iPhone') THEN 'iOS' WHEN contains(x, 'Windows') THEN 'Windows' WHEN contains(x, 'Linux') THEN 'Linux' ELSE 'other' END) AS device FROM (SELECT event_id, {AGENT} AS x FROM events) v"
+)
 def str_user_agent(t: Tables) -> DataFrame:
+    """Browser and system of every event's client."""
+
     def first(rules):
         out = F.when(F.contains("x", F.lit(rules[0][0])), rules[0][1])
         for needle, name in rules[1:]:
@@ -220,7 +184,7 @@ def str_user_agent(t: Tables) -> DataFrame:
 
     browser = first([("Firefox/", "Firefox"), ("Chrome/", "Chrome"), ("Safari/", "Safari")])
     system = first([("iPhone", "iOS"), ("Windows", "Windows"), ("Linux", "Linux")])
-    return t.spark.createDataFrame([(a,) for a in AGENTS], "x string").select("x", F.concat(browser, F.lit(" on "), system).alias("device"))
+    return t.events.select("event_id", F.expr(AGENT).alias("x")).select("event_id", F.concat(browser, F.lit(" on "), system).alias("device"))
 
 
 @query(f"SELECT x, name, regexp_matches(name, '^[a-z0-9]{{3,20}}$') AND name NOT IN ('admin', 'kizkulesi') AS valid FROM (SELECT x, regexp_replace({FOLD}, '[^a-z0-9]', '', 'g') AS name FROM {NAMES_SQL}) y", "places")
@@ -235,37 +199,6 @@ def dt_upcoming_target(t: Tables) -> DataFrame:
     return t.usage.select("event_id", F.when((m - 780).between(-180, 180), F.greatest(m, F.lit(780))).when(m < 780, 780).otherwise(2220).alias("target"))
 
 
-#: What a message may call a day, as days from today.
-DAY_WORDS = {"bugün": 0, "today": 0, "yarın": 1, "tomorrow": 1, "öbür gün": 2}
-DAY_TEXTS = ("yarın Kadıköy", "tomorrow morning", "öbür gün deniz", "2026-05-03 müze", "bugün", "nothing")
-
-
-@query(
-    "SELECT x, coalesce(TRY_CAST(nullif(regexp_extract(x, '\\d{4}-\\d{2}-\\d{2}'), '') AS DATE), CASE " + " ".join(f"WHEN contains(x, '{w}') THEN DATE '2026-05-01' + {n}" for w, n in DAY_WORDS.items()) + " END) AS day FROM (VALUES " + ", ".join(f"('{x}')" for x in DAY_TEXTS) + ") v(x)"
-)
-def dt_intent_date(t: Tables) -> DataFrame:
-    """An explicit date, else a day word, counted from a given today; NULL where neither is said."""
-    today = F.lit("2026-05-01").cast("date")
-    explicit = F.try_to_date(F.nullif(F.regexp_extract("x", r"\d{4}-\d{2}-\d{2}", 0), F.lit("")))
-    spoken = [F.when(F.contains("x", F.lit(w)), F.date_add(today, n)) for w, n in DAY_WORDS.items()]
-    return t.spark.createDataFrame([(x,) for x in DAY_TEXTS], "x string").select("x", F.coalesce(explicit, *spoken).alias("day"))
-
-
-@query("SELECT place_id, district_id, round(sqrt(pow(greatest(south - lat, 0, lat - north) * 111195, 2) + pow(greatest(west - lon, 0, lon - east) * 83900, 2)), 2) AS metres FROM places JOIN districts ON district_id = place_id % 7", "places districts")
-def geo_polygon_distance(t: Tables) -> DataFrame:
-    """Planar distance of a point to a box, 0 inside."""
-    d = t.districts.where("district_id < 7").select("district_id", "south", "north", "west", "east")
-    y = F.greatest(F.col("south") - F.col("lat"), F.lit(0.0), F.col("lat") - F.col("north")) * 111195
-    x = F.greatest(F.col("west") - F.col("lon"), F.lit(0.0), F.col("lon") - F.col("east")) * 83900
-    return t.places.join(F.broadcast(d), F.col("place_id") % 7 == F.col("district_id")).select("place_id", "district_id", F.round(F.sqrt(y * y + x * x), 2).alias("metres"))
-
-
-@query("SELECT city_id, (south + north) / 2 AS lat, (west + east) / 2 AS lon FROM cities", "cities")
-def geo_point_on_surface(t: Tables) -> DataFrame:
-    """The centre, which lies inside every convex outline."""
-    return t.cities.select("city_id", ((F.col("south") + F.col("north")) / 2).alias("lat"), ((F.col("west") + F.col("east")) / 2).alias("lon"))
-
-
 @query("SELECT event_id, len(list_filter(json_keys(props), lambda k: regexp_matches(k, '^[a-z][a-z_]*$') AND k NOT IN ('commons')))::INTEGER AS n FROM events")
 def map_sitelink_count(t: Tables) -> DataFrame:
     keys = F.map_keys(F.from_json("props", "map<string,string>"))
@@ -288,12 +221,6 @@ def er_stop_wish(t: Tables) -> DataFrame:
     return t.messages.where("role = 'user'").select("conv_id", "id", said(r"\b(cheap|ucuz|and)\b").alias("cheaper"), said(r"\b(near|close|the)\b").alias("closer"))
 
 
-@query("SELECT conv_id, id, CASE WHEN regexp_matches(content, '(?i)\\bthat\\b') THEN 'EDIT' WHEN regexp_matches(content, '(?i)\\bthe\\b') THEN 'PLAN' ELSE 'CHAT' END AS intent, CAST(nullif(regexp_extract(content, '\\d+'), '') AS BIGINT) AS amount FROM messages", "messages")
-def er_intent_rules(t: Tables) -> DataFrame:
-    intent = F.when(F.rlike("content", F.lit(r"(?i)\bthat\b")), "EDIT").when(F.rlike("content", F.lit(r"(?i)\bthe\b")), "PLAN").otherwise("CHAT")
-    return t.messages.select("conv_id", "id", intent.alias("intent"), F.nullif(F.regexp_extract("content", r"\d+", 0), F.lit("")).cast("long").alias("amount"))
-
-
 USED = "place_id NOT IN (SELECT place_id FROM route_stops WHERE route_id = 10)"
 
 

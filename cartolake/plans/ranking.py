@@ -121,13 +121,6 @@ def page_offset(t: Tables) -> DataFrame:
     return shown.orderBy("name", "place_id").offset(40).limit(20).select("place_id", "name").crossJoin(shown.agg(F.count("*").alias("total")))
 
 
-@query("SELECT city_id, row_number() OVER (ORDER BY (city_id = 7) DESC, region_id DESC NULLS LAST, name) AS rank FROM cities", "cities")
-def sort_import_plan(t: Tables) -> DataFrame:
-    """One city first, then by region and name; cities are a bounded list, ordered as a whole."""
-    order = F.array_sort(F.collect_list(F.struct((F.col("city_id") != 7).alias("later"), (-F.col("region_id")).alias("region"), "name", "city_id")))
-    return t.cities.agg(order.alias("o")).select(F.posexplode("o").alias("at", "c")).select(F.col("c.city_id").alias("city_id"), (F.col("at") + 1).cast("long").alias("rank"))
-
-
 @query("SELECT name FROM cities ORDER BY name LIMIT 5", "cities")
 def sort_collation_tr(t: Tables) -> DataFrame:
     return t.cities.orderBy(F.collate("name", "tr")).limit(5).select("name")
@@ -241,3 +234,18 @@ def pl_template_accept(t: Tables) -> DataFrame:
 def pl_day_template(t: Tables) -> DataFrame:
     v = t.spark.sql("SELECT * FROM VALUES ('BREAKFAST', 540, 45), ('SIGHT', 660, 90), ('LUNCH', 780, 60), ('SIGHT', 900, 90), ('DINNER', 1170, 90) AS v(slot, starts, minutes)")
     return v.where(F.col("starts").between(600, 1200))
+
+
+@query("SELECT city_id, row_number() OVER (ORDER BY (city_id = 7) DESC, region_id DESC NULLS LAST, name) AS rank FROM cities", "cities")
+def sort_import_plan(t: Tables) -> DataFrame:
+    """One city first, then by region and name: ranked within its group, plus the number of rows in the groups before it."""
+    from pyspark.sql.window import Window
+
+    group = ["later", "region_id"]
+    c = t.cities.withColumn("later", F.col("city_id") != 7)
+    order = [F.col("later"), F.col("region_id").desc_nulls_last()]
+    # One row for each region is all that this window orders as a whole.
+    sizes = c.groupBy(*group).agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumnsRenamed({"later": "l", "region_id": "r"})
+    joined = c.join(sizes, (F.col("later") == F.col("l")) & F.col("region_id").eqNullSafe(F.col("r")))
+    return joined.select("city_id", (F.col("before") + F.row_number().over(Window.partitionBy(*group).orderBy("name"))).alias("rank"))

@@ -56,19 +56,20 @@ def set_route_diff(t: Tables) -> DataFrame:
     old, new = t.route_stops, t.route_stops.where("NOT skipped").select("route_id", "place_id")
     return old.where("skipped").join(new, ["route_id", "place_id"], "left_anti").select("route_id", "place_id", F.lit("removed").alias("change"))
 
-
 @query(
-    "SELECT route_id, day FROM routes r WHERE (user_id = 1 OR route_id IN (SELECT route_id FROM route_feedback WHERE liked AND route_id % 50 = 0)) AND EXISTS (SELECT 1 FROM route_stops s WHERE s.route_id = r.route_id) ORDER BY day DESC, route_id",
+    "SELECT route_id, day FROM routes r WHERE (status = 'ACTIVE' OR route_id IN (SELECT route_id FROM route_feedback WHERE liked)) AND EXISTS (SELECT 1 FROM route_stops s WHERE s.route_id = r.route_id)",
     "routes route_feedback route_stops",
 )
 def set_own_and_joined(t: Tables) -> DataFrame:
-    own = t.routes.where("user_id = 1")
-    joined = t.routes.join(t.route_feedback.where("liked AND route_id % 50 = 0"), "route_id", "left_semi")
-    return own.unionByName(joined).dropDuplicates(["route_id"]).join(t.route_stops, "route_id", "left_semi").select("route_id", "day").orderBy(F.desc("day"), "route_id")
+    """Routes that are active and those that were liked, each once, if they have stops."""
+    own = t.routes.where("status = 'ACTIVE'")
+    joined = t.routes.join(t.route_feedback.where("liked"), "route_id", "left_semi")
+    return own.unionByName(joined).dropDuplicates(["route_id"]).join(t.route_stops, "route_id", "left_semi").select("route_id", "day")
 
 
-@query("SELECT place_id, min(page) AS page FROM (SELECT place_id, 1 AS page FROM places WHERE place_id % 3 = 0 UNION ALL SELECT place_id, 2 FROM places WHERE place_id % 2 = 0) x GROUP BY place_id", "places")
+@query("SELECT place_id, min(page) AS page FROM (SELECT place_id, 1 AS page FROM places WHERE indoor UNION ALL SELECT place_id, 2 FROM places WHERE rating >= 4) x GROUP BY place_id", "places")
 def set_append_unique(t: Tables) -> DataFrame:
-    a = t.places.where("place_id % 3 = 0").select("place_id", F.lit(1).alias("page"))
-    b = t.places.where("place_id % 2 = 0").select("place_id", F.lit(2).alias("page"))
+    """A second list put behind the first, without what the first one has."""
+    a = t.places.where("indoor").select("place_id", F.lit(1).alias("page"))
+    b = t.places.where("rating >= 4").select("place_id", F.lit(2).alias("page"))
     return a.unionByName(b.join(a, "place_id", "left_anti"))

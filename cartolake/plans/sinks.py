@@ -93,16 +93,6 @@ def snk_update_from(t: Tables) -> DataFrame:
     return joined.where(~F.col("mean").eqNullSafe(F.col("rating"))).select("place_id", "mean")
 
 
-@query(
-    "SELECT place_id, EXISTS (SELECT 1 FROM saved_places s WHERE s.place_id = p.place_id) OR EXISTS (SELECT 1 FROM route_stops x WHERE x.place_id = p.place_id) AS kept_hidden FROM places p WHERE place_id % 7 = 0",
-    "places saved_places route_stops",
-)
-def snk_delete_unreferenced(t: Tables) -> DataFrame:
-    """Of the rows to remove: referenced ones are hidden, the others deleted."""
-    used = t.saved_places.select("place_id").union(t.route_stops.select("place_id")).distinct().withColumn("kept_hidden", F.lit(True))
-    return t.places.where("place_id % 7 = 0").select("place_id").join(used, "place_id", "left").na.fill(False)
-
-
 @query("SELECT report_id, reason FROM (SELECT *, row_number() OVER (PARTITION BY place_id, reason ORDER BY created_at DESC, report_id DESC) AS n FROM reports) x WHERE n > 2", "reports")
 def snk_delete_returning(t: Tables) -> DataFrame:
     return beyond(t.reports, ["place_id", "reason"], [F.desc("created_at"), F.desc("report_id")], 2).select("report_id", "reason")
@@ -148,3 +138,13 @@ def snk_id_handover(t: Tables) -> DataFrame:
     """Neighbours swap ids; the state after it is one join, so no id is taken twice on the way."""
     a = t.places.select("place_id", (F.col("place_id") + F.when(F.col("place_id") % 2 == 0, 1).otherwise(-1)).alias("takes"))
     return a.join(t.places.select(F.col("place_id").alias("takes")), "takes", "left_semi").select("place_id", "takes")
+
+
+@query(
+    "SELECT place_id, EXISTS (SELECT 1 FROM saved_places s WHERE s.place_id = p.place_id) OR EXISTS (SELECT 1 FROM route_stops x WHERE x.place_id = p.place_id) AS kept_hidden FROM places p WHERE hidden OR review IS NOT NULL",
+    "places saved_places route_stops",
+)
+def snk_delete_unreferenced(t: Tables) -> DataFrame:
+    """Of all rows marked for removal: referenced ones are hidden, the others deleted."""
+    used = t.saved_places.select("place_id").union(t.route_stops.select("place_id")).distinct().withColumn("kept_hidden", F.lit(True))
+    return t.places.where("hidden OR review IS NOT NULL").select("place_id").join(used, "place_id", "left").na.fill(False)

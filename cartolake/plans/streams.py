@@ -78,3 +78,21 @@ def st_stream_windows(t: Tables) -> DataFrame:
 def st_scheduled(t: Tables) -> DataFrame:
     """What the nightly expiry job leaves behind."""
     return t.routes.where("status <> 'DONE'").select("route_id", F.when(F.col("day") < F.lit("1996-01-01").cast("date"), "EXPIRED").otherwise(F.col("status")).alias("status"))
+
+
+@query("SELECT date_trunc('minute', ts) AS starts, user_id, count(*) AS calls FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def st_over_limit(t: Tables) -> DataFrame:
+    """Keys over their limit by minute, by a stream run until all events are read."""
+    return counters.stream_over_limit(t.spark, t.sf_dir, 1)
+
+
+@query(
+    "SELECT 'user' AS kind, user_id AS id FROM users WHERE balance < 0 AND user_id NOT IN (SELECT user_id FROM usage WHERE user_id IS NOT NULL) UNION ALL SELECT 'code', event_id FROM usage WHERE kind = 'signup' AND (created_at < TIMESTAMP '2024-01-20' OR ok AND cost > 50) UNION ALL SELECT 'session', user_id FROM usage GROUP BY user_id HAVING max(created_at) < TIMESTAMP '2024-01-29'",
+    "users usage",
+)
+def st_retention(t: Tables) -> DataFrame:
+    """What a nightly clean-up removes: users who never confirmed, codes used or run out, sessions idle for a day."""
+    users = t.users.where("balance < 0").join(t.usage, "user_id", "left_anti").select(F.lit("user").alias("kind"), F.col("user_id").alias("id"))
+    codes = t.usage.where("kind = 'signup' AND (created_at < TIMESTAMP_NTZ '2024-01-20' OR ok AND cost > 50)").select(F.lit("code").alias("kind"), F.col("event_id").alias("id"))
+    idle = t.usage.groupBy("user_id").agg(F.max("created_at").alias("last")).where("last < TIMESTAMP_NTZ '2024-01-29'")
+    return users.unionByName(codes).unionByName(idle.select(F.lit("session").alias("kind"), F.col("user_id").alias("id")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cartolake.session import shared_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -30,22 +30,37 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def over_limit(events: DataFrame, limit: int = 30, late: str = "2 minutes") -> DataFrame:
-    """Keys with more than `limit` calls in a minute, for streams."""
+    """Keys with more than `limit` calls in a minute, for streams and batches."""
     calls = events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute").alias("w"), "user_id").agg(F.count("*").alias("calls"))
-    return calls.where(F.col("calls") > limit).select(F.col("w.start").alias("minute"), "user_id", "calls")
+    return calls.where(F.col("calls") > limit).select(F.col("w.start").alias("starts"), "user_id", "calls")
 
 
-def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads the events file as a stream until nothing is left and returns the completed counts.
+def run_stream(spark: SparkSession, sf_dir: str, counted, keys: list[str]) -> DataFrame:
+    """Reads the events as a stream until nothing is left and returns the last state of each key.
 
-    The checkpoint lies in the session's shared folder where it names one.
+    Each batch writes the windows that it changed to a folder of its own under the shared folder, so a batch that runs again
+    writes the same once more; state older than the watermark is dropped. Nothing passes through the driver.
     """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A stream reads folders or patterns; the pattern matches the one table, be it a file or a folder.
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*t")
-    rows = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"hourly_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    run = hourly(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    changes = counted(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    path = shared_path(spark, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    run = changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).withColumn("starts", F.col("starts").cast("timestamp_ntz"))
+    values = [c for c in changes.columns if c not in keys]
+    written = spark.read.schema(T.StructType([*changes.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/out")
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, "last.*").withColumn("starts", F.col("starts").cast("timestamp_ntz"))
+
+
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_stream(spark, sf_dir, hourly, ["starts", "event_type"])
+
+
+def stream_over_limit(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    return run_stream(spark, sf_dir, lambda events: over_limit(events, limit), ["starts", "user_id"])

@@ -8,8 +8,8 @@ Point = tuple[float, float]
 def stitched(ways: list[list[Point]]) -> list[list[Point]]:
     """Closed rings (first point repeated) that the ways form when laid end to end, in any order and direction.
 
-    At each end the walk goes on with the first unused way that starts or ends there; where none does, the way that led there
-    is dropped as a dead end and the walk tries the next one. A way closed in itself is a ring.
+    At each end the walk goes on with the first unused way that starts or ends there. Where the walk meets itself, what lies
+    between is a ring and is taken out; where no way goes on, the one that led there is dropped as a dead end.
     """
     ends: dict[Point, list[int]] = {}
     for n, way in enumerate(ways):
@@ -23,14 +23,14 @@ def stitched(ways: list[list[Point]]) -> list[list[Point]]:
         used.add(first)
         path = [list(way)]
         while path:
-            start, here = path[0][0], path[-1][-1]
-            if start == here:
-                ring = [path[0][0]]
-                for part in path:
-                    ring += part[1:]
+            here = path[-1][-1]
+            met = next((n for n, part in enumerate(path) if part[0] == here), None)
+            if met is not None:
+                ring = [here, *(p for part in path[met:] for p in part[1:])]
                 if len(ring) > 3:
                     rings.append(ring)
-                break
+                del path[met:]
+                continue
             on = next((n for n in ends[here] if n not in used), None)
             if on is None:
                 path.pop()

@@ -1,11 +1,16 @@
 """Greedy selections, opening hours and day plans against plain versions."""
 
+import itertools
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from cartolake.functions import geo
 from cartolake.functions.hours import week
 from cartolake.operators import greedy
+from cartolake.operators.rings import area, stitched
 from cartolake.plans import catalog
 from cartolake.sources.tables import Tables
 
@@ -56,15 +61,132 @@ def test_clusters(spark):
     ("text", "rows"),
     [
         ("24/7", [(d, 0, 0) for d in range(1, 8)]),
-        ("Mo,We 09:00-12:00,13:00-18:30", [(1, 540, 720), (1, 780, 1110), (3, 540, 720), (3, 780, 1110)]),
-        ("Sa-Mo 10:00-24:00; Su off", [(1, 600, 0), (6, 600, 0)]),
-        ("10:00-02:00", [(d, 600, 120) for d in range(1, 8)]),
-        ("Mo 10:00-10:00", []),
-        ("Mo-Fr 09:00-18:00; PH off", []),
-        ("Mo 25:00-26:00", []),
-        ("", []),
+        ("Tu-Th 07:15-11:45", [(2, 435, 705), (3, 435, 705), (4, 435, 705)]),
+        ("th,sa 06:00-09:30,17:00-22:10", [(4, 360, 570), (4, 1020, 1330), (6, 360, 570), (6, 1020, 1330)]),
+        ("Fr-Tu 11:20-23:40; Mo closed;", [(2, 680, 1420), (5, 680, 1420), (6, 680, 1420), (7, 680, 1420)]),
+        ("We 21:00-04:30", [(3, 1260, 270)]),
+        ("00:00-24:00; Th 00:00-24:00", [(d, 0, 0) for d in range(1, 8)]),
+        ("We 08:00-12:00; We 13:00-14:00", [(3, 780, 840)]),
+        ("Fr 06:00-06:00", []),
+        ("Su 09:61-10:00", []),
+        ("Tu 08:00-24:01", []),
+        ("Tu 24:00-24:00", []),
+        ("Xy 08:00-09:00", []),
+        ("Sa 08:00", []),
+        ("Sa 08:00-09:00 and more", []),
+        ("off", []),
+        ("  ", []),
         (None, []),
     ],
 )
 def test_hours(text, rows):
     assert week(text) == rows
+
+
+def test_hours_written_and_read():
+    """Weeks made at random come back, days and spans in any order of rules."""
+    r = random.Random(7)
+    names = ("Mo", "Tu", "We", "Th", "Fr", "Sa", "Su")
+    clock = lambda m: f"{m // 60:02d}:{m % 60:02d}"
+    for _ in range(300):
+        days = {}
+        for d in r.sample(range(7), r.randint(1, 7)):
+            a, b, c = sorted(r.sample(range(1, 1440), 3))
+            days[d] = r.choice([[(a, b)], [(a, b), (c, a)]])
+        rules = [f"{names[d]} {','.join(f'{clock(x)}-{clock(y)}' for x, y in spans)}" for d, spans in days.items()]
+        assert week("; ".join(rules)) == [(d + 1, x, y) for d in sorted(days) for x, y in days[d]]
+
+
+def test_match_confirm_add(spark):
+    """Row by row: the nearest known place of a like name is confirmed, else the row is added unless it copies one added before."""
+    fold = lambda n: "".join(c for c in n.lower() if c.isalnum())
+
+    def alike(a, b):
+        a, b = sorted((fold(a), fold(b)), key=len)
+        return a == b or (len(a) >= 4 and a in b)
+
+    p = sorted(Tables(spark, SF).places.collect(), key=lambda x: x.place_id)
+    old, wanted, added = [x for x in p if x.source == "OSM"], [], []
+    at = lambda x: (x.lat, x.lon)
+    for x in p:
+        if x.source != "OVERTURE":
+            continue
+        near = [(round(greedy.metres(at(x), at(o)), 3), o.place_id) for o in old if greedy.metres(at(x), at(o)) <= 600 and alike(x.name, o.name)]
+        if near:
+            wanted.append((x.place_id, "confirms", min(near)[1]))
+        elif x.rating is not None and x.rating >= 3.5 and not any(greedy.metres(at(x), at(y)) <= 1000 and alike(x.name, y.name) for y in added):
+            added.append(x)
+            wanted.append((x.place_id, "added", None))
+    found = catalog.queries()["er_match_confirm_add"](spark, SF).collect()
+    assert sorted((r.place_id, r.status, r.confirms or -1) for r in found) == sorted((i, s, c or -1) for i, s, c in wanted)
+
+
+def test_itinerary(spark):
+    """The best five sights of every group of three or more, in an order that no other one beats."""
+    from cartolake.plans.resolution import sights
+
+    s = sorted(sights(Tables(spark, SF)).collect(), key=lambda p: (-p.score, p.place_id))
+    at = {p.place_id: (p.lat, p.lon) for p in s}
+    taken, groups = set(), {}
+    for c in s:
+        if c.place_id not in taken:
+            members = [m for m in s if m.place_id not in taken and greedy.metres(at[c.place_id], at[m.place_id]) <= 900]
+            taken |= {m.place_id for m in members}
+            if len(members) >= 3:
+                groups[c.place_id] = {m.place_id for m in sorted(members, key=lambda m: (-m.score, m.place_id))[:5]}
+    found = {}
+    for r in sorted(catalog.queries()["pl_itinerary"](spark, SF).collect(), key=lambda r: r.position):
+        found.setdefault(r.centre, []).append(r.place_id)
+    assert {c: set(order) for c, order in found.items()} == groups
+    walk = lambda order: sum(greedy.metres(at[a], at[b]) for a, b in itertools.pairwise(order))
+    for order in found.values():
+        assert walk(order) <= min(map(walk, itertools.permutations(order))) + 0.01
+
+
+def test_first_come_among_given_ids(spark):
+    """Rivals that are not among the ids don't count; isolated ids stay; nothing at all gives nothing."""
+    ids = spark.range(5)
+    found = greedy.first_come(ids, spark.createDataFrame([(99, 0), (0, 1), (1, 2)], "before long, after long"))
+    assert sorted(x.id for x in found.collect()) == [0, 2, 3, 4]
+    assert greedy.first_come(ids.limit(0), spark.createDataFrame([], "before long, after long")).count() == 0
+
+
+def test_shuffled_best(spark):
+    rows = catalog.queries()["topk_then_shuffle"](spark, SF).collect()
+    assert len(rows) == 3 and rows == catalog.queries()["topk_then_shuffle"](spark, SF).collect()
+
+
+def test_rings():
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    edges = [[square[i], square[(i + 1) % 4]] for i in range(4)]
+    other = [[(5.0, 5.0), (6.0, 5.0)], [(5.0, 5.0), (5.5, 6.0)], [(6.0, 5.0), (5.5, 6.0)]]
+    stray = [[(0.0, 0.0), (9.0, 9.0)], [(9.0, 9.0), (9.0, 8.0)], [(7.0, 7.0)]]
+    for seed in range(30):
+        r = random.Random(seed)
+        ways = [w[::-1] if r.random() < 0.5 else w for w in [*edges, *other, *stray]]
+        r.shuffle(ways)
+        found = stitched(ways)
+        assert sorted(map(area, found)) == [0.5, 4.0] and all(ring[0] == ring[-1] for ring in found)
+    assert stitched([]) == [] and stitched([[*square, square[0]]]) == [[*square, square[0]]]
+
+
+def test_ring_columns(spark):
+    """Points inside and distances of random star-shaped outlines, against plain loops."""
+    r = random.Random(9)
+    rows = []
+    for k in range(60):
+        n = r.randint(3, 9)
+        ring = [(29 + 0.01 * (1 + r.random()) * math.cos(2 * math.pi * i / n), 41 + 0.01 * (1 + r.random()) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        rows.append((k, r.uniform(40.97, 41.03), r.uniform(28.97, 29.03), [*ring, ring[0]]))
+    df = spark.createDataFrame(rows, "id int, lat double, lon double, ring array<struct<lon:double,lat:double>>")
+    found = df.select("*", geo.inside_point(F.col("ring")).alias("p"), geo.ring_distance(F.col("lat"), F.col("lon"), F.col("ring")).alias("d"))
+    found = found.withColumn("inside", geo.in_ring(F.col("p.lat"), F.col("p.lon"), F.col("ring")))
+
+    def inside(x, y, ring):
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in itertools.pairwise(ring)) % 2 == 1
+
+    for row in found.collect():
+        ring = [(p.lon, p.lat) for p in row.ring]
+        steps = [(a[0] + t / 400 * (b[0] - a[0]), a[1] + t / 400 * (b[1] - a[1])) for a, b in itertools.pairwise(ring) for t in range(401)]
+        near = min(math.hypot((x - row.lon) * geo.LON_M, (y - row.lat) * geo.LAT_M) for x, y in steps)
+        assert row.inside and row.d <= (0 if inside(row.lon, row.lat, ring) else near) + 1e-6 and (row.d == 0 or row.d > near - 5)

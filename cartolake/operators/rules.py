@@ -69,6 +69,14 @@ def first_match(rows: DataFrame, key: str, facts: Column, rules: DataFrame) -> D
     return met.groupBy(key).agg(F.min_by("outcome", F.when(fits, F.col("rule"))).alias("outcome"), F.bool_or(fits).alias("any")).select(key, F.when(F.col("any"), F.col("outcome")).alias("outcome"))
 
 
+def every_match(rows: DataFrame, key: str, facts: Column, rules: DataFrame) -> DataFrame:
+    """key, outcomes (sorted, distinct, comma-joined, empty where no rule fits): all rules that fit, in place of the first."""
+    said = rows.select(key, F.explode(F.array_distinct(facts)).alias("fact"))
+    met = said.join(rules, "fact", "left").groupBy(key, "rule").agg(F.count_if(~F.col("forbids")).alias("met"), F.coalesce(F.bool_or("forbids"), F.lit(False)).alias("broken"), F.first("needs").alias("needs"), F.first("outcome").alias("outcome"))
+    fits = (F.col("met") == F.col("needs")) & ~F.col("broken")
+    return met.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.when(fits, F.col("outcome")))), ",").alias("outcomes"))
+
+
 def sql_rules(rules: list[Rule]) -> str:
     """The same rules as SQL rows (rule, outcome, need, never)."""
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"

@@ -62,3 +62,43 @@ def er_intent_rules(t: Tables) -> DataFrame:
     order = F.when(F.rlike(x, F.lit(r"\bilk durag")), 1).when(F.rlike(x, F.lit(r"\bikinci durag")), 2).when(F.rlike(x, F.lit(r"\bucuncu durag")), 3)
     said = n.select("note_id", number(r"(\d+) ?(?:tl|lira)\b").alias("amount"), number(r"(\d+) ?(?:kisi|people)").alias("people"), order.alias("stop"))
     return said.join(found, "note_id")
+
+
+@query(
+    "SELECT note_id, CASE WHEN ok THEN upper(u.kind) WHEN said_wish = 2 THEN 'REMOVE_STOP' WHEN said_wish = 1 THEN 'CHEAPER' WHEN said_wish = 3 THEN 'WEATHER' WHEN said_wish = 5 THEN 'BUDGET' WHEN said_wish = 4 AND said_area <> 0 THEN 'GREETING' ELSE 'PLAN' END AS intent, coalesce(ok, FALSE) AS by_model FROM notes LEFT JOIN usage u ON u.event_id = note_id",
+    "notes usage",
+)
+def er_intent_fallback(t: Tables) -> DataFrame:
+    """The model's answer to each note where it gave one, else what the rules say."""
+    answers = t.usage.select(F.col("event_id").alias("note_id"), F.when(F.col("ok"), F.upper("kind")).alias("answer"))
+    joined = er_intent_rules(t).select("note_id", "intent").join(answers, "note_id", "left")
+    return joined.select("note_id", F.coalesce("answer", "intent").alias("intent"), F.col("answer").isNotNull().alias("by_model"))
+
+
+#: What a wish for another stop may say beside names of dishes.
+WISH_RULES = R.written("""
+    word=daha stem=ucuz -> cheaper
+    word=daha stem=yakin -> closer
+    stem=kapali -> indoor
+    stem=kahve -> coffee
+    stem=deniz -> sea
+    stem=plan -> plan
+""")
+#: Words without a wish of their own.
+EMPTY_WORDS = ("bir", "daha", "icin", "gun", "gunu", "olsun", "olacak", "nasil", "the", "and", "this", "after", "day")
+
+
+@query(
+    """SELECT note_id, array_to_string(list_sort(list_filter([CASE WHEN said_wish = 1 THEN 'cheaper' END, CASE WHEN said_area = 2 THEN 'coffee' END, CASE WHEN said_wish IN (0, 6) THEN 'plan' END], lambda x: x IS NOT NULL)), ',') AS wishes,
+    CASE said_wish WHEN 0 THEN 'planla' WHEN 1 THEN 'ucuz' WHEN 2 THEN 'ikinci,duragi,sil' WHEN 3 THEN 'hava' WHEN 4 THEN 'merhaba' WHEN 5 THEN 'butcem' ELSE 'kisi,plan' END AS words FROM notes""",
+    "notes",
+)
+def er_stop_wish(t: Tables) -> DataFrame:
+    """What each note wishes for: tags by rules, and the words of its last part that say something."""
+    n = t.notes
+    found = R.every_match(n, "note_id", F.concat(R.facts({}), R.name_facts(F.col("content"))), R.conditions(t.spark, WISH_RULES)).withColumnRenamed("outcomes", "wishes")
+    w = X.words(F.col("content"))
+    last = F.slice(w, F.greatest(F.size(w) - 4, F.lit(1)), F.lit(5))
+    known = ("ikinci", "duragi", "sil", "planla", "ucuz", "hava", "merhaba", "butcem", "kisi", "plan")
+    telling = F.filter(last, lambda x: x.isin(*known) & ~x.isin(*EMPTY_WORDS))
+    return n.select("note_id", F.array_join(telling, ",").alias("words")).join(found, "note_id")

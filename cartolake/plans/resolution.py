@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions import sides
+from cartolake.functions.geo import haversine, haversine_sql, walk_minutes
 from cartolake.functions.hours import parsed
 from cartolake.functions.text import fold_key, jaccard, same_name, trigrams
 from cartolake.operators import dayplan, greedy
 from cartolake.operators import predicates as P
 from cartolake.operators.relational import first_per, within
-from cartolake.plans.registry import query
+from cartolake.plans.filters import PLANNABLE
+from cartolake.plans.registry import QUERIES, query
 from cartolake.sources.tables import Tables
 
 MID_SQL = "CASE WHEN lat >= 41.25e0 THEN 29.13e0 " + " ".join(
@@ -26,15 +28,19 @@ def flt_same_side(t: Tables) -> DataFrame:
     return t.places.select("place_id", sides.same_side(F.col("lat"), F.col("lon"), F.lit(41.0), F.lit(29.1)).alias("same"))
 
 
+WEEK = "concat('Mo-Fr 0', CAST(8 + p_size % 2 AS STRING), ':30-12:00,13:00-', CAST(18 + p_size % 7 AS STRING), ':00', CASE p_size % 4 WHEN 0 THEN '; Sa off' WHEN 1 THEN '; Sa-Su 10:00-02:00' WHEN 2 THEN '; We closed;Su 11:00-24:00' ELSE '; PH off' END)"
+
+
 @query(
-    """SELECT p_partkey AS place_id, d.day, (8 + p_size % 4) * 60 AS opens, (18 + p_size % 7) % 24 * 60 AS closes FROM part CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS day) d
-    WHERE d.day <= 5 OR (d.day = 6 AND p_size % 2 = 0)"""
+    """, d AS (SELECT p_partkey AS place_id, p_size, CAST(unnest(range(1, 8)) AS INTEGER) AS day FROM part)
+    SELECT place_id, day, (8 + p_size % 2) * 60 + 30 AS opens, 720 AS closes FROM d WHERE p_size % 4 <> 3 AND day <= 5 AND NOT (p_size % 4 = 2 AND day = 3)
+    UNION ALL SELECT place_id, day, 780, (18 + p_size % 7) % 24 * 60 FROM d WHERE p_size % 4 <> 3 AND day <= 5 AND NOT (p_size % 4 = 2 AND day = 3)
+    UNION ALL SELECT place_id, day, 600, 120 FROM d WHERE p_size % 4 = 1 AND day >= 6 UNION ALL SELECT place_id, day, 660, 0 FROM d WHERE p_size % 4 = 2 AND day = 7""",
+    "users",
 )
 def dt_hours_parse(t: Tables) -> DataFrame:
-    """Strings such as `Mo-Fr 09:00-18:00; Sa off`, made from sizes, read back as rows by day."""
-    span = F.format_string("%02d:00-%02d:00", 8 + F.col("p_size") % 4, 18 + F.col("p_size") % 7)
-    text = F.concat(F.lit("Mo-Sa "), span, F.when(F.col("p_size") % 2 == 1, F.lit("; Sa off")).otherwise(F.lit("")))
-    rows = t.part.select(F.col("p_partkey").alias("place_id"), F.explode(parsed(text)).alias("h"))
+    """Weeks with two spans a day, closed days, hours past midnight and the day's end; a rule that is not understood voids its text."""
+    rows = t.part.select(F.col("p_partkey").alias("place_id"), F.explode(parsed(F.expr(WEEK))).alias("h"))
     return rows.select("place_id", "h.day", "h.opens", "h.closes")
 
 
@@ -142,20 +148,6 @@ def pl_replan(t: Tables) -> DataFrame:
     return days(t, "replan")
 
 
-TAGS = "CASE WHEN category = 'PARK' THEN 'nature' END, CASE WHEN category = 'MUSEUM' THEN 'art' END, CASE WHEN cost <= 300 THEN 'budget' END, CASE WHEN list_contains(tags, 'small') THEN 'cosy' END"
-
-
-@query(f"SELECT place_id, concat_ws(',', {TAGS}) AS derived FROM places", "places")
-def er_derive_tags(t: Tables) -> DataFrame:
-    c = F.col("category")
-    met = [F.when(c == "PARK", "nature"), F.when(c == "MUSEUM", "art"), F.when(F.col("cost") <= 300, "budget"), F.when(F.array_contains("tags", "small"), "cosy")]
-    return t.places.select("place_id", F.concat_ws(",", *met).alias("derived"))
-
-
-@query("SELECT place_id, CASE WHEN category = 'CAFE' AND list_contains(tags, 'small') THEN 'BREAKFAST' ELSE category END AS category FROM places", "places")
-def er_breakfast_aware(t: Tables) -> DataFrame:
-    return t.places.select("place_id", F.when((F.col("category") == "CAFE") & F.array_contains("tags", "small"), "BREAKFAST").otherwise(F.col("category")).alias("category"))
-
 
 @query(
     ", g AS (SELECT count(*) FILTER (source = 'OSM') > 50 AND count(*) FILTER (source = 'OVERTURE') < 0.2e0 * count(*) FILTER (source = 'OSM') AS thin FROM places WHERE category IN ('CAFE', 'RESTAURANT')) SELECT place_id, unconfirmed AND NOT thin AS flagged FROM places, g",
@@ -206,12 +198,6 @@ def er_province_guard(t: Tables) -> DataFrame:
     return t.cities.where("region_id IS NOT NULL").crossJoin(F.broadcast(enough)).where("enough").select("city_id", "name")
 
 
-@query("SELECT place_id, arg_min(photo_id, photo_id) AS photo_id FROM photos WHERE quality = 1 AND toxic = 0 GROUP BY place_id", "photos")
-def er_image_decide(t: Tables) -> DataFrame:
-    """The first usable candidate of each place."""
-    return t.photos.where("quality = 1 AND toxic = 0").groupBy("place_id").agg(F.min("photo_id").alias("photo_id"))
-
-
 #: License names that the photos' licenses are taken from.
 LICENSES = ("CC0", "cc-by-sa-4.0", "CC BY-NC 2.0", "Public domain", "CC BY 3.0 tr", "GFDL", "cc by nd 4.0", "Fair use")
 NAMED = "CASE photo_id % 8 " + " ".join(f"WHEN {n} THEN '{x}'" for n, x in enumerate(LICENSES)) + " END"
@@ -241,9 +227,95 @@ def er_prepare(t: Tables) -> DataFrame:
     each = counted.select(F.explode(F.coalesce(split, F.array(F.struct("status", "n")))).alias("s")).select("s.*")
     return each.groupBy("status").agg(F.sum("n").alias("n")).where("n > 0")
 
+CANDIDATES = "SELECT place_id, 0 AS pos, place_id * 2 AS photo_id FROM places UNION ALL SELECT place_id, 1, place_id + 100 FROM places"
+
+
+@query(
+    f", c AS ({CANDIDATES}), u AS (SELECT c.*, p.photo_id IS NULL AS missing, coalesce(p.quality = 1 AND p.toxic = 0, FALSE) AS usable FROM c LEFT JOIN photos p USING (photo_id)) SELECT place_id, arg_min(photo_id, pos) FILTER (usable) AS photo_id, CASE WHEN bool_or(usable) THEN 'found' WHEN bool_or(missing) THEN 'later' ELSE 'none' END AS status FROM u GROUP BY place_id",
+    "places photos",
+)
+def er_image_decide(t: Tables) -> DataFrame:
+    """Each place's first usable candidate, in order; where none is usable but one could not be looked up, it is left for later."""
+    candidates = t.places.select("place_id", F.posexplode(F.array(F.col("place_id") * 2, F.col("place_id") + 100)).alias("pos", "photo_id"))
+    known = t.photos.select("photo_id", F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False)).alias("usable"))
+    met = candidates.join(known, "photo_id", "left")
+    status = F.when(F.bool_or(F.coalesce("usable", F.lit(False))), "found").when(F.bool_or(F.col("usable").isNull()), "later").otherwise("none")
+    return met.groupBy("place_id").agg(F.min_by("photo_id", F.when(F.col("usable"), F.col("pos"))).alias("best"), status.alias("status")).select("place_id", F.when(F.col("status") == "found", F.col("best")).alias("photo_id"), "status")
+
+
+AREA_BOX = "lat >= south AND lat < north AND lon >= west AND lon < east"
+
+
+@query(
+    f", s AS (SELECT * FROM places WHERE category IN ('MUSEUM', 'ATTRACTION') AND NOT hidden), b AS (SELECT district_id, arg_max(place_id, (popularity, -place_id)) AS best FROM districts JOIN s ON {AREA_BOX} GROUP BY district_id) SELECT district_id, best, round(coalesce(p.lat, (south + north) / 2), 9) AS lat, round(coalesce(p.lon, (west + east) / 2), 9) AS lon FROM districts LEFT JOIN b USING (district_id) LEFT JOIN places p ON p.place_id = best",
+    "places districts",
+)
+def pl_start_resolve(t: Tables) -> DataFrame:
+    """Where a day in each district starts: at its best sight, else at its middle."""
+    from cartolake.functions.geo import box_cells, cell
+
+    sights_ = t.places.where("category IN ('MUSEUM', 'ATTRACTION') AND NOT hidden").select("place_id", "lat", "lon", "popularity", cell(F.col("lat"), F.col("lon"), 0.02, 0.02).alias("c"))
+    d = t.districts.select("district_id", "south", "north", "west", "east")
+    dealt = d.withColumn("c", F.explode(box_cells(F.col("south"), F.col("north"), F.col("west"), F.col("east"), 0.02)))
+    best = dealt.join(sights_, "c").where(AREA_BOX).groupBy("district_id").agg(F.max(F.struct("popularity", -F.col("place_id"), "place_id", "lat", "lon")).alias("b"))
+    middle = {"lat": (F.col("south") + F.col("north")) / 2, "lon": (F.col("west") + F.col("east")) / 2}
+    return d.join(best, "district_id", "left").select("district_id", F.col("b.place_id").alias("best"), *[F.round(F.coalesce(F.col(f"b.{c}"), m), 9).alias(c) for c, m in middle.items()])
+
+
+#: What a theme brings where the user has said nothing: interests, metres to walk, stops, whether to plan for rain.
+THEMES = "('BUILDING', 'art,history', 2500, 5, FALSE), ('MACHINERY', 'nature,view', 4000, 4, FALSE), ('HOUSEHOLD', 'shopping', 1200, 6, TRUE)"
+SAID = "CASE WHEN user_id % 3 = 0 THEN 'sea,art' WHEN user_id % 3 = 1 THEN '' END AS said, CASE WHEN user_id % 4 = 0 THEN 900 END AS walking, CASE WHEN balance < 0 THEN 3 END AS stops"
+
+
+@query(
+    f""", u AS (SELECT user_id, segment, {SAID} FROM users), h(theme, interests, metres, n, wet) AS (VALUES {THEMES})
+    SELECT user_id, array_to_string(list_sort(list_distinct(list_filter(list_concat(string_split(coalesce(said, ''), ','), string_split(coalesce(interests, ''), ',')), lambda x: x <> ''))), ',') AS interests,
+    coalesce(u.walking, h.metres, 2500) AS walking, coalesce(u.stops, h.n, 5) AS stops, coalesce(h.wet, FALSE) AS assume_wet FROM u LEFT JOIN h ON h.theme = u.segment""",
+    "users",
+)
+def pl_theme(t: Tables) -> DataFrame:
+    """A theme adds interests and fills what the user left empty; what was said stays."""
+    themes = t.spark.sql(f"SELECT * FROM VALUES {THEMES} AS h(theme, interests, metres, n, wet)")
+    u = t.users.selectExpr("user_id", "segment", *SAID_COLUMNS)
+    split = lambda c: F.split(F.coalesce(c, F.lit("")), ",")
+    both = F.array_sort(F.filter(F.array_union(split("said"), split("interests")), lambda x: x != ""))
+    joined = u.join(F.broadcast(themes), F.col("segment") == F.col("theme"), "left")
+    return joined.select("user_id", F.array_join(both, ",").alias("interests"), F.coalesce("walking", "metres", F.lit(2500)).alias("walking"), F.coalesce("stops", "n", F.lit(5)).alias("stops"), F.coalesce("wet", F.lit(False)).alias("assume_wet"))
+
+
+SAID_COLUMNS = SAID.split(", CASE")
+SAID_COLUMNS = [SAID_COLUMNS[0], *("CASE" + c for c in SAID_COLUMNS[1:])]
 
-@query("SELECT conv_id, id, coalesce(nullif(regexp_extract(content, '(?i)\\b(the|and|of)\\b'), ''), 'none') AS intent FROM messages", "messages")
-def er_intent_fallback(t: Tables) -> DataFrame:
-    """A rule's answer, or the default where no rule speaks."""
-    found = F.regexp_extract("content", r"(?i)\b(the|and|of)\b", 0)
-    return t.messages.select("conv_id", "id", F.coalesce(F.nullif(found, F.lit("")), F.lit("none")).alias("intent"))
\ No newline at end of file
+
+@query()
+def pl_popular_routes(t: Tables) -> DataFrame:
+    """Of the 15 best groups of sights, up to five whose walk through three or more of them takes 90 minutes at most."""
+    from pyspark.sql.window import Window
+
+    scores = QUERIES["pl_clusters"](t.spark, t.sf_dir)
+    best = scores.orderBy(F.desc("score"), "centre").limit(15)
+    stops = QUERIES["pl_itinerary"](t.spark, t.sf_dir).join(F.broadcast(best), "centre").join(t.places.select("place_id", "lat", "lon"), "place_id")
+    w = Window.partitionBy("centre").orderBy("position")  # five stops at most
+    leg = F.coalesce(haversine(F.col("lat"), F.col("lon"), F.lag("lat").over(w), F.lag("lon").over(w)), F.lit(0.0))
+    walks = stops.withColumn("minutes", walk_minutes(leg)).groupBy("centre", "score").agg(F.count("*").alias("sights"), F.sum("minutes").alias("minutes"))
+    return walks.where("sights >= 3 AND minutes <= 90").orderBy(F.desc("score"), "centre").limit(5)
+
+
+#: Slots, what they look for first, and what will do.
+WANTED = "('BREAKFAST', 'BAR', 'CAFE'), ('LUNCH', 'RESTAURANT', NULL), ('SIGHTSEEING', 'MUSEUM', NULL), ('COFFEE', 'CAFE', NULL)"
+TIER = "CASE WHEN cost <= 500 THEN CASE WHEN metres <= 1500 THEN CASE WHEN category = first THEN 1 ELSE 2 END WHEN metres <= 2700 THEN CASE WHEN category = first THEN 3 ELSE 4 END END WHEN category = first THEN CASE WHEN metres <= 1500 THEN 5 WHEN metres <= 2700 THEN 6 END END"
+
+
+@query(
+    f""", w(slot, first, other) AS (VALUES {WANTED}), p AS (SELECT *, {haversine_sql('lat', 'lon', '41.0e0', '29.1e0')} AS metres FROM places WHERE {PLANNABLE}), c AS (SELECT slot, {TIER} AS tier, metres, place_id FROM p JOIN w ON category = first OR category = other)
+    SELECT slot, min(tier) AS tier, arg_min(place_id, (tier, metres, place_id)) AS place_id FROM c WHERE tier IS NOT NULL GROUP BY slot""",
+    "places",
+)
+def pl_plan_slot(t: Tables) -> DataFrame:
+    """For each slot the first tier that has a place: near, near and of a kind that will do, farther, then beyond the budget."""
+    wanted = t.spark.sql(f"SELECT slot, first, other FROM VALUES {WANTED} AS w(slot, first, other)")
+    kinds = wanted.select("slot", "first", F.explode(F.array_compact(F.array("first", "other"))).alias("category"))
+    p = t.places.where(P.plannable()).select("category", "cost", "place_id", haversine(F.col("lat"), F.col("lon"), F.lit(41.0), F.lit(29.1)).alias("metres"))
+    rows = p.join(F.broadcast(kinds), "category").select("slot", F.expr(TIER).alias("tier"), "metres", "place_id").where("tier IS NOT NULL")
+    best = rows.groupBy("slot").agg(F.min(F.struct("tier", "metres", "place_id")).alias("k"))
+    return best.select("slot", "k.tier", "k.place_id")

@@ -143,6 +143,20 @@ def test_itinerary(spark):
         assert walk(order) <= min(map(walk, itertools.permutations(order))) + 0.01
 
 
+def test_popular_routes(spark):
+    """From the groups and their orders: of the 15 best, the first five that can be walked in 90 minutes."""
+    at = {p.place_id: (p.lat, p.lon) for p in Tables(spark, SF).places.collect()}
+    orders, wanted = {}, []
+    for r in sorted(catalog.queries()["pl_itinerary"](spark, SF).collect(), key=lambda r: r.position):
+        orders.setdefault(r.centre, []).append(at[r.place_id])
+    for c in sorted(catalog.queries()["pl_clusters"](spark, SF).collect(), key=lambda c: (-c.score, c.centre))[:15]:
+        minutes = sum(math.ceil(greedy.metres(a, b) * 1.3 / 75) for a, b in itertools.pairwise(orders[c.centre]))
+        if len(orders[c.centre]) >= 3 and minutes <= 90:
+            wanted.append((c.centre, c.score, len(orders[c.centre]), minutes))
+    found = catalog.queries()["pl_popular_routes"](spark, SF).collect()
+    assert [(r.centre, r.score, r.sights, r.minutes) for r in found] == wanted[:5]
+
+
 def test_first_come_among_given_ids(spark):
     """Rivals that are not among the ids don't count; isolated ids stay; nothing at all gives nothing."""
     ids = spark.range(5)

@@ -28,25 +28,21 @@ def first_come(ids: DataFrame, rivals: DataFrame) -> DataFrame:
         return spark.read.schema(df.schema).parquet(path)
 
     all_ids = ids.select("id").distinct()
-    # Only rivals among the ids count. state: true kept, false dropped, null open.
+    # Only rivals among the ids count.
     edges = rivals.select("before", "after").distinct().join(all_ids.withColumnRenamed("id", "before"), "before", "left_semi").join(all_ids.withColumnRenamed("id", "after"), "after", "left_semi")
     edges = stored(edges)
     decided = [stored(edges.select(F.col("before").alias("id")).distinct().join(edges.select(F.col("after").alias("id")).distinct(), "id", "left_anti").withColumn("kept", F.lit(True)))]
     known = decided[0]
     while True:
         met = edges.join(known.withColumnRenamed("id", "before"), "before", "left")
-        round_ = met.groupBy(F.col("after").alias("id")).agg(F.bool_or("kept").alias("beaten"), F.count_if(F.col("kept").isNull()).alias("open"), F.count("*").alias("n"))
+        round_ = met.groupBy(F.col("after").alias("id")).agg(F.bool_or("kept").alias("beaten"), F.count_if(F.col("kept").isNull()).alias("open"))
         fresh = stored(round_.where("beaten OR open = 0").select("id", (~F.coalesce("beaten", F.lit(False))).alias("kept")))
         if fresh.isEmpty():
             break
         decided.append(fresh)
-        # Pairs go once their later id is decided, or their earlier one is dropped.
-        settled = met.where("kept IS NULL OR kept").drop("kept").join(fresh.select(F.col("id").alias("after")), "after", "left_anti")
-        edges = stored(settled)
-        lost = met.where("NOT kept").select("after").distinct()
-        free = lost.join(edges.select("after").distinct(), "after", "left_anti").join(fresh.select(F.col("id").alias("after")), "after", "left_anti")
-        known = stored(fresh.union(free.select(F.col("after").alias("id"), F.lit(True).alias("kept"))))
-        decided.append(known.join(fresh, "id", "left_anti"))
+        # Pairs go once their later id is decided, or their earlier one is dropped; an id without pairs left is among the fresh.
+        edges = stored(met.where("kept IS NULL OR kept").drop("kept").join(fresh.select(F.col("id").alias("after")), "after", "left_anti"))
+        known = fresh
     dropped = decided[0]
     for part in decided[1:]:
         dropped = dropped.union(part)

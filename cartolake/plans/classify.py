@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from cartolake.functions import text as X
 from cartolake.operators import rules as R
-from cartolake.plans.registry import query
-from cartolake.sources.tables import Tables
+from cartolake.plans.registry import ORACLE, query
+from cartolake.sources.tables import Tables, with_relations
 
 #: What an element is: category, tags and whether it is indoors.
 MAP = R.written("""
@@ -321,3 +321,33 @@ def str_event_sentence(t: Tables) -> DataFrame:
 def str_clean_name(t: Tables) -> DataFrame:
     """Spaces squeezed, quotes around it taken off, names all in small or all in capital letters written with capitals."""
     return t.elements.where("name IS NOT NULL").select("element_id", X.clean_name(F.col("name"), ("ve", "ile", "of", "the")).alias("clean"))
+
+
+EVENT_TITLE = "(yer|savaşı|olayları)$"
+GRAMS = "CASE WHEN length(x) < 3 THEN [x] ELSE list_distinct(list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3))) END"
+
+
+@query(
+    f""", n AS (SELECT element_id, status, name, {FOLD} AS x FROM elements), g AS (SELECT *, {GRAMS} AS g FROM n)
+    SELECT a.element_id, CASE WHEN a.status = 'closed' THEN 'failed' WHEN b.name IS NULL OR trim(b.name) = '' THEN 'missing' WHEN regexp_matches(b.name, '{EVENT_TITLE}') THEN 'event'
+    WHEN len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) < 0.25e0 THEN 'mismatch' ELSE 'match' END AS decision FROM g a LEFT JOIN g b ON b.element_id = a.element_id + 5""",
+    "elements",
+)
+def er_popularity_decide(t: Tables) -> DataFrame:
+    """Whether a looked-up title can be the element's own: not an event's, and alike enough in its folded letters."""
+    folded = X.fold(F.coalesce("name", F.lit("")))
+    grams = t.elements.select("element_id", "status", "name", folded.alias("x")).withColumn("g", X.trigrams(F.col("x")))
+    titles = grams.select((F.col("element_id") - 5).alias("element_id"), F.col("name").alias("title"), F.col("g").alias("h"))
+    decision = F.when(F.col("status") == "closed", "failed").when(F.trim(F.coalesce("title", F.lit(""))) == "", "missing").when(F.rlike("title", F.lit(EVENT_TITLE)), "event")
+    return grams.join(titles, "element_id", "left").select("element_id", decision.when(X.jaccard(F.col("g"), F.col("h")) < 0.25, "mismatch").otherwise("match").alias("decision"))
+
+
+@query(
+    f"""SELECT 'name' AS what, count(*) AS n FROM ({ORACLE["str_clean_name"]}) c JOIN (SELECT p_partkey AS id, e.name FROM part JOIN (WITH {'{elements}'} SELECT * FROM elements) e ON e.element_id = p_partkey) x ON c.element_id = x.id WHERE c.clean IS DISTINCT FROM x.name
+    UNION ALL SELECT tag, count(*) FROM (SELECT element_id, unnest(string_split(tags, ',')) AS tag FROM ({ORACLE["er_derive_tags"]}) d) t WHERE tag <> '' GROUP BY tag""".replace("{elements}", with_relations("elements").removeprefix("WITH "))
+)
+def er_normalize_plan(t: Tables) -> DataFrame:
+    """What a clean-up would change, without changing it: names rewritten, and how often each tag would be added."""
+    names = str_clean_name(t).join(t.elements.select("element_id", "name"), "element_id").where(~F.col("clean").eqNullSafe(F.col("name")))
+    tags = er_derive_tags(t).select(F.explode(F.split("tags", ",")).alias("what")).where("what <> ''").groupBy("what").agg(F.count("*").alias("n"))
+    return names.agg(F.count("*").alias("n")).select(F.lit("name").alias("what"), "n").unionByName(tags)

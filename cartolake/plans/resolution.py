@@ -173,25 +173,6 @@ def er_hide_gone(t: Tables) -> DataFrame:
     return t.places.where(box).join(t.reports, "place_id", "left_anti").select("place_id")
 
 
-@query("SELECT tag, count(*) AS added FROM (SELECT unnest(list_filter([CASE WHEN cost <= 300 THEN 'cheap' END, CASE WHEN indoor THEN 'indoor' END, 'small'], lambda x: x IS NOT NULL AND NOT list_contains(tags, x))) AS tag FROM places) x GROUP BY tag", "places")
-def er_normalize_plan(t: Tables) -> DataFrame:
-    """How often each tag would be added."""
-    wanted = F.array_compact(F.array(F.when(F.col("cost") <= 300, "cheap"), F.when(F.col("indoor"), "indoor"), F.lit("small")))
-    return t.places.select(F.explode(F.array_except(wanted, F.col("tags"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("added"))
-
-
-@query(
-    "SELECT a.place_id, CASE WHEN a.popularity IS NULL THEN 'failed' WHEN b.name IS NULL THEN 'missing' WHEN len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) < 0.25e0 THEN 'mismatch' ELSE 'match' END AS decision FROM (SELECT *, list_distinct(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) AS g FROM places) a LEFT JOIN (SELECT place_id + 3 AS id, name, list_distinct(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) AS g FROM places) b ON b.id = a.place_id",
-    "places",
-)
-def er_popularity_decide(t: Tables) -> DataFrame:
-    """Whether a looked-up title can be the place's own."""
-    title = t.places.select((F.col("place_id") + 3).alias("place_id"), F.col("name").alias("title"))
-    likeness = jaccard(trigrams(F.col("name")), trigrams(F.col("title")))
-    decision = F.when(F.col("popularity").isNull(), "failed").when(F.col("title").isNull(), "missing").when(likeness < 0.25, "mismatch").otherwise("match")
-    return t.places.join(title, "place_id", "left").select("place_id", decision.alias("decision"))
-
-
 @query("SELECT city_id, name FROM cities WHERE region_id IS NOT NULL AND (SELECT count(*) FROM cities) >= 20", "cities")
 def er_province_guard(t: Tables) -> DataFrame:
     enough = t.cities.agg((F.count("*") >= 20).alias("enough"))

@@ -57,10 +57,10 @@ def topk_in_area(t: Tables) -> DataFrame:
     return t.places.where(box).orderBy(F.when(F.col("source") == "VERIFIED", 0).otherwise(1), d, "place_id").limit(25).select("place_id")
 
 
-@query()
+@query("SELECT place_id FROM places ORDER BY (place_id * 104729 + 7 * 7919) % 1000003, place_id LIMIT 20", "places")
 def sample_random(t: Tables) -> DataFrame:
-    """A seeded random sample of 20 places (the sample is the feature)."""
-    return t.places.orderBy(F.rand(7)).limit(20).select("place_id")
+    """A seeded random sample of 20 places (the sample is the feature), drawn by arithmetic on the id, so that it can be drawn again."""
+    return t.places.orderBy(F.expr("(place_id * 104729 + 7 * 7919) % 1000003"), "place_id").limit(20).select("place_id")
 
 
 RATED = "SELECT p.place_id, p.city_id, p.rating, p.name, p.source, p.has_image, coalesce(sum(r.stars), 0) AS total, count(r.stars) AS n FROM places p LEFT JOIN place_ratings r USING (place_id) GROUP BY ALL"

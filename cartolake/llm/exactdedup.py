@@ -31,7 +31,7 @@ WINDOW = 200
 #: Gram lengths by level; the last is the window itself.
 GRAMS = (50, 150, 188)
 #: A key with more different segments than this is dealt anew by longer grams.
-MOST_SEGMENTS = 20_000
+MOST_SEGMENTS = 1_000
 SHARD_BYTES = 1 << 20
 #: Windows hashed at once; positions take the low bits of the compared values, so this bounds them.
 PART = 4 << 20
@@ -109,7 +109,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, gram: int, window: int = WIN
 
 
 def _segmented(texts: DataFrame, gram: int, window: int) -> DataFrame:
-    """key, digest, doc, th, start, windows of each segment; texts: doc, th, shift, body (binary)."""
+    """key, digest, doc, th, base, start, windows of each segment; texts: doc, th, shift, body (binary); base is the shift of its text."""
     kind = texts.schema["doc"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +126,11 @@ def _segmented(texts: DataFrame, gram: int, window: int) -> DataFrame:
                 digests = np.array([digest(raw[i : i + w + window - 1]) for i, w in zip(at, windows.tolist(), strict=True)], np.uint64)
                 take = pa.array(a + row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(digests.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((start + shift[a + row]).astype(np.int32)), pa.array(windows.astype(np.int32))],
-                    ["key", "digest", "doc", "th", "start", "windows"],
+                    [pa.array(key.view(np.int64)), pa.array(digests.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(shift[a + row].astype(np.int32)), pa.array((start + shift[a + row]).astype(np.int32)), pa.array(windows.astype(np.int32))],
+                    ["key", "digest", "doc", "th", "base", "start", "windows"],
                 )
 
-    return texts.select("doc", "th", "shift", "body").mapInArrow(work, f"key long, digest long, doc {kind}, th long, start int, windows int")
+    return texts.select("doc", "th", "shift", "body").mapInArrow(work, f"key long, digest long, doc {kind}, th long, base int, start int, windows int")
 
 
 def repeated_windows(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,8 +197,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, grams: tuple[int, ...
         # Written first, so that the join's sides are plain shuffles, whose hot keys Spark can split.
         often = saved(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
         every = saved(every.join(often, "key"), "repeated")
-        distinct = every.groupBy("key", "digest").agg(F.count("*").alias("places"), F.min(F.struct("th", "doc", "start", "windows")).alias("at"))
-        distinct = saved(distinct.withColumn("at", F.struct("at.th", "at.doc", "at.start", "at.windows")), "distinct")
+        distinct = every.groupBy("key", "digest").agg(F.count("*").alias("places"), F.min(F.struct("th", "doc", "base", "start", "windows")).alias("at"))
+        distinct = saved(distinct.withColumn("at", F.struct("at.th", "at.doc", "at.base", "at.start", "at.windows")), "distinct")
         kinds = saved(distinct.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
         # One and the same segment in several places: every window of it is repeated.
         plain = every.join(kinds, "key", "left_anti")
@@ -208,18 +208,19 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, grams: tuple[int, ...
         hot = kinds.where(F.col("kinds") > MOST_SEGMENTS) if not last else None
         normal = kinds.where(F.col("kinds") <= MOST_SEGMENTS) if not last else kinds
         asked = distinct.join(normal, "key").select("key", "digest", "places", "at.*")
-        bodies = source.select(F.col("doc").alias("d"), F.col("th").alias("t"), "shift", "body")
-        same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-        inside = (F.col("start") >= F.col("shift")) & (F.col("start") + F.col("windows") + (window - 1) <= F.col("shift") + F.length("body"))
-        text = F.expr(f"substring(body, start - shift + 1, windows + {window - 1})")
-        wanted = asked.join(bodies, same & inside).select("key", "digest", "places", text.alias("body")).dropDuplicates(["key", "digest"]) if level else asked.join(bodies, same).select("key", "digest", "places", text.alias("body"))
+        bodies = source.select(F.col("doc").alias("d"), F.col("th").alias("t"), F.col("shift").alias("s"), "body")
+        if level:  # rows that repeat id and text have brought the same bodies
+            bodies = bodies.dropDuplicates(["d", "t", "s"])
+        same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("base") == F.col("s"))
+        text = F.expr(f"substring(body, start - s + 1, windows + {window - 1})")
+        wanted = asked.join(bodies, same).select("key", "digest", "places", text.alias("body"))
         shards = wanted.repartition(n, "key").sortWithinPartitions("key", "digest")
         runs = saved(_sorted_shards(shards, window), "runs")
         out = out.union(_spans(every.join(runs, ["key", "digest"]), F.col("first"), F.col("count"), window))
         if hot is None or hot.isEmpty():
             return out
-        again = every.join(hot, "key").select("doc", "th", "start", "windows")
-        source = saved(again.join(bodies, same & inside if level else same).select("doc", "th", F.col("start").alias("shift"), text.alias("body")), "hot")
+        again = every.join(hot, "key").select("doc", "th", "base", "start", "windows")
+        source = saved(again.join(bodies, same).select("doc", "th", F.col("start").alias("shift"), text.alias("body")), "hot")
     return out
 
 

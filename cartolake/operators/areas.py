@@ -42,13 +42,14 @@ def named_areas(messages: DataFrame, areas: DataFrame, key: str, text: str, curr
     """
     said = _said(messages, key, text, current)
     names = areas.select("kind", "area_id", "city_id", F.array_join(X.words(F.col("name")), " ").alias("gram"))
-    hits = said.join(names, "gram").withColumn("longest", -F.length(F.replace("gram", F.lit(" "), F.lit(""))))
-    # A message is a few words, so what meets here is small.
-    cities = hits.where("kind = 'CITY'").groupBy("k").agg(F.collect_set("city_id").alias("cities"), F.min(F.struct("longest", "area_id"))["area_id"].alias("city"))
-    grams = hits.groupBy("k", "gram").agg(F.bool_or(F.col("kind") == "CITY").alias("is_city"), F.collect_set("city_id").alias("of"))
-    rest = hits.where("kind <> 'CITY'").join(grams.where("NOT is_city"), ["k", "gram"]).join(cities, "k", "left")
-    in_named = F.coalesce(F.array_contains("cities", F.col("city_id")), F.lit(False))
-    usable = F.when(F.col("cities").isNotNull(), in_named).when(F.size("of") > 1, F.col("city_id") == F.col("here")).otherwise(True)
-    best = rest.where(usable).groupBy("k").agg(F.min(F.struct("longest", (F.col("city_id") != F.col("here")).alias("away"), "area_id", "kind")).alias("best"))
-    both = best.join(cities, "k", "full")
-    return both.select(F.col("k").alias(key), F.coalesce("best.kind", F.lit("CITY")).alias("kind"), F.coalesce("best.area_id", "city").alias("area_id"))
+    met = said.join(names, "gram").withColumn("longest", -F.length(F.replace("gram", F.lit(" "), F.lit(""))))
+    # A message is a few words, so what it has met is a short array; one shuffle by message serves all rules.
+    by = met.groupBy("k").agg(F.first("here").alias("here"), F.collect_set(F.struct("gram", "longest", "kind", "area_id", "city_id")).alias("hits"))
+    cities = F.filter("hits", lambda h: h["kind"] == "CITY")
+    by = by.select("k", "here", "hits", F.transform(cities, lambda h: h["city_id"]).alias("cities"), F.transform(cities, lambda h: h["gram"]).alias("taken"), F.array_min(F.transform(cities, lambda h: F.struct(h["longest"], h["area_id"])))["area_id"].alias("city"))
+    in_cities = lambda gram: F.size(F.array_distinct(F.transform(F.filter("hits", lambda x: x["gram"] == gram), lambda x: x["city_id"])))
+    counts = lambda h: F.when(F.size("cities") > 0, F.array_contains("cities", h["city_id"])).otherwise((in_cities(h["gram"]) <= 1) | F.coalesce(h["city_id"] == F.col("here"), F.lit(False)))
+    usable = F.filter("hits", lambda h: (h["kind"] != "CITY") & ~F.array_contains("taken", h["gram"]) & counts(h))
+    best = F.array_min(F.transform(usable, lambda h: F.struct(h["longest"].alias("longest"), F.coalesce(h["city_id"] != F.col("here"), F.lit(True)).alias("away"), h["area_id"].alias("area_id"), h["kind"].alias("kind"))))
+    found = by.select("k", best.alias("best"), "city").where("best IS NOT NULL OR city IS NOT NULL")
+    return found.select(F.col("k").alias(key), F.coalesce("best.kind", F.lit("CITY")).alias("kind"), F.coalesce("best.area_id", "city").alias("area_id"))

@@ -8,7 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolake.llm import bpe, chat, digest, exactdedup, langid, licenses, packing, secrets, simhash, topk
+from cartolake.llm import bpe, chat, decontam, digest, exactdedup, langid, licenses, packing, prefixtrie, resample, secrets, simhash, topk
+from cartolake.llm.common import saved
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,7 +66,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
 
 
-_QUERIES = (op1_license_scan, op2_improbable_digest, op3_bond_top_k, op4_bpe_round_trip, op5_language_id, op6_chat_format, op7_best_fit_packing, op8_simhash_near_dedup, op9_suffix_dedup, op10_secret_scan)
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = saved(prefixtrie.sequences(_read(spark, sf_dir, "conversations")), "conversations")
+    found = prefixtrie.trie(prefixtrie.with_shared_starts(convs))
+    return found.select(F.col("id").alias("conv_id"), "depth", F.col("parent_id").alias("parent_conv_id"), F.col("n_members").alias("n_convs"), "n_children", "n_leaves", F.col("saved_words").alias("saved_tokens"), "ends_sha256")
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_QUERIES = (op1_license_scan, op2_improbable_digest, op3_bond_top_k, op4_bpe_round_trip, op5_language_id, op6_chat_format, op7_best_fit_packing, op8_simhash_near_dedup, op9_suffix_dedup, op10_secret_scan, op11_importance_resample, op12_prefix_trie, op13_decontaminate)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return piped | {"op1_license_scan": licenses.oracle(), "op3_bond_top_k": topk.oracle(), "op9_suffix_dedup": exactdedup.oracle(), "op6_chat_format": chat.oracle()}
+    return piped | {"op1_license_scan": licenses.oracle(), "op3_bond_top_k": topk.oracle(), "op9_suffix_dedup": exactdedup.oracle(), "op6_chat_format": chat.oracle(), "op11_importance_resample": resample.oracle(), "op12_prefix_trie": prefixtrie.oracle(), "op13_decontaminate": decontam.oracle()}

@@ -241,8 +241,9 @@ def across_blocks(local: DataFrame, block_least: np.ndarray) -> DataFrame:
             out[some] = table(x[some], y[some])
         return pd.Series(out)
 
-    # An interval that leaves its block has its ends in different blocks, so tail and head do not overlap.
-    solved = ends.join(at_l, "l").join(at_r, "r").select("l", "r", F.least("tail", "head", between("bl", "br")).alias("least"), (F.col("cs_r") - F.col("cs_l")).alias("gain"), (F.col("cl_r") - F.col("cl_l") + F.col("leaf")).alias("leaves"))
+    # Where both ends are in one block, the right one is the block's last row, since what ends the interval comes after the block.
+    least = F.when(F.col("bl") == F.col("br"), F.col("tail")).otherwise(F.least("tail", "head", between("bl", "br")))
+    solved = ends.join(at_l, "l").join(at_r, "r").select("l", "r", least.alias("least"), (F.col("cs_r") - F.col("cs_l")).alias("gain"), (F.col("cl_r") - F.col("cl_l") + F.col("leaf")).alias("leaves"))
     return found.join(solved, ["l", "r"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,23 +13,42 @@ CELL_LAT, CELL_LON = 0.0015, 0.002
 
 
 def haversine(lat1, lon1, lat2, lon2) -> Column:
-    """Metres between two points on a sphere, the root held to 1."""
+    """Metres between two points on a sphere, the root held to 1; null where a coordinate is."""
     lat1, lon1, lat2, lon2 = (x if isinstance(x, Column) else F.lit(x) for x in (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_M) * F.asin(F.when(a > 1, F.lit(1.0)).otherwise(F.sqrt(a)))  # least() would skip a null
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return (
-        f"(12742000.0e0 * asin(least(1.0e0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
-    )
+    """The same in SQL, by the chord between the points, so that twins do not share the formula's faults."""
+    x = lambda lat, lon: f"cos(radians({lat})) * cos(radians({lon}))"
+    y = lambda lat, lon: f"cos(radians({lat})) * sin(radians({lon}))"
+    squared = f"pow({x(lat1, lon1)} - {x(lat2, lon2)}, 2) + pow({y(lat1, lon1)} - {y(lat2, lon2)}, 2) + pow(sin(radians({lat1})) - sin(radians({lat2})), 2)"
+    return f"(CASE WHEN {lat1} IS NOT NULL AND {lon1} IS NOT NULL AND {lat2} IS NOT NULL AND {lon2} IS NOT NULL THEN 12742000.0e0 * asin(least(1.0e0, sqrt({squared}) / 2)) END)"
+
+
+def lon_reach(metres: float, lat: Column) -> Column:
+    """Degrees of longitude that `metres` reach at a latitude, 360 where they reach around a pole; a little more, for rounding."""
+    share = math.sin(min(metres / (2 * EARTH_M), math.pi / 2)) / F.cos(F.radians(F.abs(lat)))
+    return F.when((F.abs(lat) >= 90) | (share >= 1), F.lit(360.0)).otherwise(F.degrees(2 * F.asin(share)) * 1.001)
 
 
 def near(lat: Column, lon: Column, at: tuple[float, float], metres: float) -> Column:
-    """Inclusive radius, with a bounding box in front that reaches the scan's statistics."""
-    d_lat = metres / 111_000.0
-    d_lon = d_lat / 0.7
-    return lat.between(at[0] - d_lat, at[0] + d_lat) & lon.between(at[1] - d_lon, at[1] + d_lon) & (haversine(lat, lon, F.lit(at[0]), F.lit(at[1])) <= metres)
+    """Inclusive radius, with a bounding box in front that reaches the scan's statistics; right at poles and the antimeridian too."""
+    d_lat = math.degrees(metres / EARTH_M) * 1.001
+    edge = abs(at[0]) + d_lat
+    share = math.sin(min(metres / (2 * EARTH_M), math.pi / 2)) / math.cos(math.radians(edge)) if edge < 90 else 1.0
+    box = lat.between(at[0] - d_lat, at[0] + d_lat)
+    if share < 1:
+        d_lon = math.degrees(2 * math.asin(share)) * 1.001
+        west, east = at[1] - d_lon, at[1] + d_lon
+        around = lon.between(west, east)
+        if west < -180:
+            around = around | (lon >= west + 360)
+        if east > 180:
+            around = around | (lon <= east - 360)
+        box = box & around
+    return box & (haversine(lat, lon, F.lit(at[0]), F.lit(at[1])) <= metres)
 
 
 def walk_minutes(metres: Column) -> Column:

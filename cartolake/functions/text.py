@@ -10,6 +10,21 @@ MARKED = "ÇĞİIÖŞÜÂÎÛçğıöşüâîûáàäãåéèëêíìïóòôõ
 PLAIN = "CGiiOSUAIUcgiosuaiuaaaaaeeeeiiioooouuny"
 
 
+#: Case and plural endings once folded. Vowel harmony gives a closed vowel (i, u) or an open one (a, e); after a vowel y, n or s
+#: goes between, and the locative and ablative begin with d or, after a hard consonant, t.
+OPEN, CLOSED = "ae", "iu"
+ENDINGS = tuple(
+    dict.fromkeys(
+        ["", "ki"]
+        + [c + v + n for c in "dt" for v in OPEN for n in ("", "n", "ki")]
+        + [c + v for c in ("", "y") for v in OPEN + CLOSED]
+        + [c + v + n for c in ("", "n") for v in CLOSED for n in ("n",)]
+        + [f"s{v}" for v in CLOSED]
+        + [f"l{v}r{c}" for v in OPEN for c in ("", "i")]
+    )
+)
+
+
 def fold(c: Column) -> Column:
     """Lower-case ASCII; the dotted and dotless capital I become i before lower-casing."""
     return F.lower(F.translate(c, MARKED, PLAIN))

@@ -2,51 +2,71 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.session import shared_path
+from cartolake.session import discard, shared_path
 
 
 def first_come(ids: DataFrame, rivals: DataFrame) -> DataFrame:
     """The ids (column id) that a pass in order of preference keeps when it drops whatever has a kept rival before it.
 
-    rivals: pairs (before, after), `before` being preferred; the order must have no cycles. Each round decides every id whose
-    earlier rivals are decided or one of whose earlier rivals is kept, so no group is ever read in one task, however many
-    rows share a name or a place. A round is one join and one aggregation over the pairs that are still open, written once.
-    Where preference has nothing to do with place, rounds grow with the logarithm of the rivals; a street of equal names in
-    falling preference takes a round for each two houses.
+    rivals: pairs (before, after), `before` being preferred; the order must have no cycles. No group is ever read in one task,
+    however many rows share a name or a place. A round decides every id with a kept rival or without an open one. An id
+    with a single open rival is that rival's opposite, so it is replaced by the rival wherever it stands, with the sign turned
+    (an id that stands with both signs drops whatever has it so); replacements of replacements double what a round
+    contracts, so a chain of equal names takes rounds by the logarithm of its length.
     """
     spark = ids.sparkSession
+    paths = []
 
     def stored(df: DataFrame) -> DataFrame:
-        path = shared_path(spark, "rivals")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        paths.append(shared_path(spark, "rivals"))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
 
     all_ids = ids.select("id").distinct()
     # Only rivals among the ids count.
-    edges = rivals.select("before", "after").distinct().join(all_ids.withColumnRenamed("id", "before"), "before", "left_semi").join(all_ids.withColumnRenamed("id", "after"), "after", "left_semi")
-    edges = stored(edges)
-    decided = [stored(edges.select(F.col("before").alias("id")).distinct().join(edges.select(F.col("after").alias("id")).distinct(), "id", "left_anti").withColumn("kept", F.lit(True)))]
-    known = decided[0]
-    while True:
-        met = edges.join(known.withColumnRenamed("id", "before"), "before", "left")
-        round_ = met.groupBy(F.col("after").alias("id")).agg(F.bool_or("kept").alias("beaten"), F.count_if(F.col("kept").isNull()).alias("open"))
-        fresh = stored(round_.where("beaten OR open = 0").select("id", (~F.coalesce("beaten", F.lit(False))).alias("kept")))
-        if fresh.isEmpty():
-            break
-        decided.append(fresh)
-        # Pairs go once their later id is decided, or their earlier one is dropped; an id without pairs left is among the fresh.
-        edges = stored(met.where("kept IS NULL OR kept").drop("kept").join(fresh.select(F.col("id").alias("after")), "after", "left_anti"))
-        known = fresh
-    dropped = decided[0]
-    for part in decided[1:]:
-        dropped = dropped.union(part)
-    return all_ids.join(dropped.where("NOT kept").select("id"), "id", "left_anti")
+    pairs = stored(rivals.select("before", "after").distinct().join(all_ids.withColumnRenamed("id", "before"), "before", "left_semi").join(all_ids.withColumnRenamed("id", "after"), "after", "left_semi"))
+    later = pairs.select(F.col("after").alias("before"), F.lit(True).alias("later")).distinct()
+    # beats: whether `before`, or with `not` its absence, is known to drop `after`; null while open.
+    edges = stored(pairs.join(later, "before", "left").select("before", F.lit(False).alias("not"), "after", F.when(F.col("later").isNull(), True).alias("beats")))
+    decided = []
+    while not edges.isEmpty():
+        open_ = F.col("beats").isNull()
+        found = edges.groupBy("after").agg(
+            F.coalesce(F.bool_or("beats"), F.lit(False)).alias("beaten"), F.min(F.when(open_, F.col("before"))).alias("one"), F.max(F.when(open_, F.col("before"))).alias("other"), F.min(F.when(open_, F.col("not"))).alias("neg"), F.max(F.when(open_, F.col("not"))).alias("neg_too")
+        )
+        alone = F.col("one") == F.col("other")
+        beaten = F.col("beaten") | F.coalesce(alone & (F.col("neg") != F.col("neg_too")), F.lit(False))
+        settled = beaten | F.col("one").isNull()
+        # `one` and `turned`: the id that decides this one, and whether this one is kept as that is or in its place.
+        state = found.select("after", F.when(settled, ~beaten).alias("kept"), F.when(~settled & alone, F.col("one")).alias("one"), F.when(~settled & alone, ~F.col("neg")).alias("turned"))
+        # What hangs on an id that this round decides is decided with it, since that id is not met again.
+        root = state.where("kept IS NOT NULL").select(F.col("after").alias("one"), F.col("kept").alias("root"))
+        state = stored(state.join(root, "one", "left").select("after", F.coalesce("kept", F.col("root") != F.col("turned")).alias("kept"), F.when(F.col("root").isNull(), F.col("one")).alias("one"), "turned"))
+        decided.append(state.where("kept IS NOT NULL").select(F.col("after").alias("id"), "kept"))
+        rest = edges.join(state.where("kept IS NULL").select("after"), "after", "left_semi")
+        met = rest.join(state.withColumnRenamed("after", "before"), "before", "left")
+        sign = F.when(F.col("turned"), ~F.col("not")).otherwise(F.col("not"))
+        beats = F.coalesce("beats", F.col("kept") != F.col("not"))
+        edges = stored(met.select(F.coalesce("one", "before").alias("before"), F.when(F.col("one").isNotNull(), sign).otherwise(F.col("not")).alias("not"), "after", beats.alias("beats")).distinct())
+    if not decided:
+        discard(spark, paths)
+        return all_ids
+    dropped = functools.reduce(DataFrame.union, decided).where("NOT kept").select("id")
+    kept = spark.read.schema(dropped.schema).parquet(_written(dropped, shared_path(spark, "dropped")))
+    discard(spark, paths)
+    return all_ids.join(kept, "id", "left_anti")
+
+
+def _written(df: DataFrame, path: str) -> str:
+    df.write.parquet(path)
+    return path
 
 
 def metres(a: tuple, b: tuple) -> float:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartolake.functions.geo import cell, haversine, neighbour_cells
+from cartolake.functions.geo import EARTH_M, haversine, lon_reach
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -41,12 +43,26 @@ def upsert(old: DataFrame, new: DataFrame, key: str, update: dict[str, Column] |
 
 
 def within(a: DataFrame, b: DataFrame, metres: float, a_id: str, b_id: str, keep: list[Column] | None = None) -> DataFrame:
-    """Pairs of rows at most `metres` apart: b is dealt to its grid cell and the eight around it, and cells are joined.
+    """Pairs of rows at most `metres` apart: a goes to its grid cell, b to its own and the eight around it, and cells are joined.
 
-    Cells are as high and wide as the radius, so no pair is missed; a and b bring lat and lon.
+    Bands of latitude are as high as the radius, and each is cut into cells as wide as the radius is at the poleward edge of
+    the next band, a whole number of them around the globe; so no pair is missed at any latitude, around a pole or across
+    the antimeridian. a and b bring lat and lon (longitudes from -180 to 180); rows with a null coordinate meet nothing.
     """
-    d_lat, d_lon = metres / 111_000.0, metres / 111_000.0 / 0.7
-    left = a.select(F.struct("*").alias("a"), cell(F.col("lat"), F.col("lon"), d_lat, d_lon).alias("c"))
-    right = b.select(F.struct("*").alias("b"), F.explode(neighbour_cells(cell(F.col("lat"), F.col("lon"), d_lat, d_lon))).alias("c"))
+    d_lat = math.degrees(metres / EARTH_M) * 1.001
+
+    def column_of(lon: Column, band: Column) -> tuple[Column, Column]:
+        edge = F.greatest(F.abs(band - 1), F.abs(band + 2)) * d_lat
+        count = F.greatest(F.lit(1), F.floor(360 / lon_reach(metres, edge)))
+        return F.pmod(F.floor((lon + 180) * count / 360), count), count
+
+    band = F.floor(F.col("lat") / d_lat)
+    left = a.select(F.struct("*").alias("a"), band.alias("y"), column_of(F.col("lon"), band)[0].alias("x"))
+
+    def around(y: Column) -> Column:
+        x, count = column_of(F.col("lon"), y)
+        return F.transform(F.array_distinct(F.array(*[F.pmod(x + k, count) for k in (-1, 0, 1)])), lambda c: F.struct(y.alias("y"), c.alias("x")))
+
+    right = b.select(F.struct("*").alias("b"), F.explode(F.flatten(F.array(*[around(band + k) for k in (-1, 0, 1)]))).alias("c")).select("b", "c.y", "c.x")
     distance = haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    return left.join(right, "c").drop("c").withColumn("metres", distance).where(F.col("metres") <= metres)
+    return left.join(right, ["y", "x"]).drop("y", "x").withColumn("metres", distance).where(F.col("metres") <= metres)

@@ -17,7 +17,7 @@ TODAY = "2026-05-01"
 
 @query(
     """SELECT note_id, CASE said_day WHEN 0 THEN DATE '2026-05-02' WHEN 1 THEN DATE '2026-05-03' WHEN 2 THEN DATE '2026-05-03' WHEN 3 THEN day WHEN 4 THEN CASE WHEN month(day) = 5 THEN NULL ELSE day END WHEN 5 THEN day
-    WHEN 6 THEN DATE '2026-05-01' + CAST(CASE WHEN weekday = 4 THEN 7 ELSE (weekday + 3) % 7 END AS INT) WHEN 7 THEN DATE '2026-05-01' + CAST((weekday + 3) % 7 AS INT) END AS day FROM notes""",
+    WHEN 6 THEN DATE '2026-05-01' + CAST(CASE WHEN weekday = 4 THEN 7 ELSE (weekday + 3) % 7 END AS INT) WHEN 7 THEN DATE '2026-05-01' + CAST((weekday + 3) % 7 AS INT) WHEN 8 THEN day WHEN 9 THEN CASE WHEN day(day) > 23 THEN day END END AS day FROM notes""",
     "notes",
 )
 def dt_intent_date(t: Tables) -> DataFrame:

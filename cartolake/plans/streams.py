@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartolake.operators.relational import first_per
 from cartolake.plans.registry import query
 from cartolake.sources.tables import Tables
-from cartolake.streaming import counters
+from cartolake.streaming import counters, expiring
 
 
 @query("SELECT date_trunc('minute', ts) AS minute, user_id, count(*) AS calls FROM events GROUP BY 1, 2")
@@ -96,3 +96,47 @@ def st_retention(t: Tables) -> DataFrame:
     codes = t.usage.where("kind = 'signup' AND (created_at < TIMESTAMP_NTZ '2024-01-20' OR ok AND cost > 50)").select(F.lit("code").alias("kind"), F.col("event_id").alias("id"))
     idle = t.usage.groupBy("user_id").agg(F.max("created_at").alias("last")).where("last < TIMESTAMP_NTZ '2024-01-29'")
     return users.unionByName(codes).unionByName(idle.select(F.lit("session").alias("kind"), F.col("user_id").alias("id")))
+
+
+#: Reads of a cache by user, and what empties a user's entry.
+READS, EVICTS = "event_type IN ('view', 'click')", "event_type = 'purchase'"
+DAY = 86_400_000_000
+#: Row by row: an entry is filled by the first read without one, for four days from then on, unless it is evicted before.
+CACHED = f"""WITH RECURSIVE o AS (SELECT event_id, user_id, ts, {EVICTS} AS evicts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE {READS} OR {EVICTS}),
+    c AS (SELECT event_id, user_id, n, evicts, FALSE AS live, CASE WHEN NOT evicts THEN ts END AS filled, 0 AS hits FROM o WHERE n = 1
+    UNION ALL SELECT o.event_id, o.user_id, o.n, o.evicts, coalesce(o.ts < c.filled + INTERVAL 4 DAY, FALSE), CASE WHEN o.evicts THEN NULL WHEN o.ts < c.filled + INTERVAL 4 DAY THEN c.filled ELSE o.ts END,
+      CASE WHEN coalesce(o.ts < c.filled + INTERVAL 4 DAY, FALSE) THEN c.hits + CASE WHEN o.evicts THEN 0 ELSE 1 END ELSE 0 END FROM c JOIN o ON o.user_id = c.user_id AND o.n = c.n + 1)"""
+
+
+@query(CACHED + " SELECT event_id, user_id, live AS hit FROM c WHERE NOT evicts")
+def st_ttl_cache(t: Tables) -> DataFrame:
+    """Of every read whether it hit: a stream with one expiring value by user, emptied by purchases."""
+    found = expiring.over_events(t.spark, t.sf_dir, expiring.Cache(4 * DAY), f"{READS} OR {EVICTS}", EVICTS)
+    return found.where("NOT evicts").select("event_id", "user_id", F.col("live").alias("hit"))
+
+
+@query(CACHED + " SELECT event_id, user_id, live AS evicted, CAST(hits AS BIGINT) AS served FROM c WHERE evicts")
+def st_events(t: Tables) -> DataFrame:
+    """Of every evicting event whether there was a live value, and the hits that it had served."""
+    found = expiring.over_events(t.spark, t.sf_dir, expiring.Cache(4 * DAY), f"{READS} OR {EVICTS}", EVICTS)
+    return found.where("evicts").select("event_id", "user_id", F.col("live").alias("evicted"), F.col("hits").alias("served"))
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT event_id, user_id, ts, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('signup', 'error', 'click')),
+    c AS (SELECT event_id, user_id, n, CASE WHEN NOT ok THEN ts END AS since, CASE WHEN ok THEN 0 ELSE 1 END AS failures FROM o WHERE n = 1
+    UNION ALL SELECT o.event_id, o.user_id, o.n, CASE WHEN o.ok THEN NULL WHEN o.ts < c.since + INTERVAL 10 DAY THEN c.since ELSE o.ts END, CASE WHEN o.ok THEN 0 WHEN o.ts < c.since + INTERVAL 10 DAY THEN c.failures + 1 ELSE 1 END FROM c JOIN o ON o.user_id = c.user_id AND o.n = c.n + 1)
+    SELECT event_id, user_id, since, since + INTERVAL 10 DAY AS until FROM c WHERE failures = 3"""
+)
+def st_login_window(t: Tables) -> DataFrame:
+    """Keys that reach three failures within ten days of the first, by a stream; a success, or the window's end, starts anew."""
+    found = expiring.over_events(t.spark, t.sf_dir, expiring.Attempts(10 * DAY, 3), "event_type IN ('signup', 'error', 'click')", "event_type = 'signup'")
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return found.select("event_id", "user_id", at("since"), at("until"))
+
+
+@query("SELECT a.event_id, min(b.ts) AS replaced FROM events a JOIN events b ON b.user_id = a.user_id AND b.event_type = 'signup' AND a.event_type = 'error' GROUP BY a.event_id, a.ts HAVING a.ts > min(b.ts) + INTERVAL 60 SECOND")
+def st_token_replay(t: Tables) -> DataFrame:
+    """Uses later than a minute after the first replacement, by a stream that remembers it for 60 days."""
+    found = expiring.over_events(t.spark, t.sf_dir, expiring.Replaced(60 * DAY, 60_000_000), "event_type IN ('signup', 'error')", "event_type = 'signup'")
+    return found.select("event_id", F.timestamp_micros("replaced").cast("timestamp_ntz").alias("replaced"))

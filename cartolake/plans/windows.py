@@ -71,6 +71,7 @@ LEG = haversine_sql("lat", "lon", "lag(lat) OVER w", "lag(lon) OVER w")
 
 @query(f"SELECT route_id, position, round({LEG}, 1) AS leg FROM route_stops JOIN places USING (place_id) WINDOW w AS (PARTITION BY route_id ORDER BY position)", "route_stops places")
 def win_leg_distance(t: Tables) -> DataFrame:
+    """Metres from the stop before; a route's first stop has none."""
     w = Window.partitionBy("route_id").orderBy("position")
     stops = t.route_stops.join(t.places.select("place_id", "lat", "lon"), "place_id")
     return stops.select("route_id", "position", F.round(haversine(F.col("lat"), F.col("lon"), F.lag("lat").over(w), F.lag("lon").over(w)), 1).alias("leg"))

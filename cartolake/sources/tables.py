@@ -105,11 +105,13 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
              WHEN 4 THEN concat(split_part('January,February,March,April,May 2026 or,June,July,August,September,October,November,December', ',', CAST(month(day) AS INT)), ' ', CAST(day(day) AS STRING), 'th, ', CAST(year(day) AS STRING))
              WHEN 5 THEN concat(lpad(CAST(day(day) AS STRING), 2, '0'), '.', lpad(CAST(month(day) AS STRING), 2, '0'), '.', CAST(year(day) AS STRING))
              WHEN 6 THEN concat(split_part('Pazartesi,Salı,Çarşamba,Perşembe,Cuma,Cumartesi,pazar', ',', CAST(weekday + 1 AS INT)), ' günü')
-             WHEN 7 THEN concat('this ', split_part('Monday,Tuesday,Wednesday,Thursday,Friday,Saturday,Sunday', ',', CAST(weekday + 1 AS INT))) END,
+             WHEN 7 THEN concat('this ', split_part('Monday,Tuesday,Wednesday,Thursday,Friday,Saturday,Sunday', ',', CAST(weekday + 1 AS INT)))
+             WHEN 8 THEN concat('saat 10.30, ', CAST(day(day) AS STRING), '/', CAST(month(day) AS STRING), '/', right(CAST(year(day) AS STRING), 2))
+             WHEN 9 THEN concat(CAST(day(day) AS STRING), '.', lpad(CAST(month(day) AS STRING), 2, '0'), ', 2.5 km') END,
            CASE said_area WHEN 0 THEN concat('Nation ', CAST(city AS STRING), '''te gezelim') WHEN 1 THEN concat('Merkez ', CAST(district AS STRING), ' tarafında')
              WHEN 2 THEN concat('NATION ', CAST(city AS STRING), ' merkez ', CAST(district AS STRING), '''de kahve') WHEN 3 THEN concat('Nation ', CAST(city AS STRING), ' and Nation ', CAST((city + 1) % 25 AS STRING), ' tour') END,
            CASE said_wish WHEN 0 THEN 'bir gün planla' WHEN 1 THEN 'daha ucuz olsun' WHEN 2 THEN 'ikinci durağı sil' WHEN 3 THEN 'hava nasıl olacak' WHEN 4 THEN 'Merhaba' WHEN 5 THEN 'bütçem 1500 TL' ELSE '4 kişi için plan' END) AS content
-           FROM (SELECT CAST(o_orderkey AS BIGINT) AS note_id, o_custkey % 25 AS city, o_custkey % 40 AS district, o_orderkey % 23 AS here, o_orderkey % 9 AS said_day, o_orderkey % 5 AS said_area, o_orderkey % 7 AS said_wish,
+           FROM (SELECT CAST(o_orderkey AS BIGINT) AS note_id, o_custkey % 25 AS city, o_custkey % 40 AS district, o_orderkey % 23 AS here, o_orderkey % 11 AS said_day, o_orderkey % 5 AS said_area, o_orderkey % 7 AS said_wish,
              DATE '2026-05-02' + CAST(o_custkey % 200 AS INT) AS day, o_custkey % 7 AS weekday FROM orders) n""",
     ),
     "photos": (("labels",), "SELECT doc_id AS photo_id, doc_id % 200 AS place_id, quality, toxic FROM labels"),

@@ -15,6 +15,8 @@ from cartolake.plans import catalog
 from cartolake.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
+#: The smallest tables with groups of sights.
+GROUPS_SF = "/root/testdata/sf0.01"
 
 
 def test_first_come(spark):
@@ -30,6 +32,23 @@ def test_first_come(spark):
     assert sorted(x.id for x in found.collect()) == kept
 
 
+def test_first_come_contracts_chains(spark, monkeypatch):
+    """A chain of 1,000 and combs of chains: few rounds, the same result as a pass."""
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(1000)] + [(2000 + i, 2000 + i + k) for i in range(0, 600, 2) for k in (1, 2)] + [(r.randint(0, 999), 3000 + k) for k in range(50)] + [(3000 + k, 3000 + k + 1) for k in range(49)]
+    before = {}
+    for a, b in edges:
+        before.setdefault(b, set()).add(a)
+    kept = {}
+    for i in range(3100):
+        kept[i] = not any(kept[a] for a in before.get(i, ()))
+    rounds = []
+    monkeypatch.setattr(greedy, "shared_path", lambda *a, f=greedy.shared_path: rounds.append(1) or f(*a))
+    found = greedy.first_come(spark.range(3100), spark.createDataFrame(edges, "before long, after long"))
+    assert {x.id for x in found.collect()} == {i for i, k in kept.items() if k}
+    assert len(rounds) / 2 <= 20
+
+
 def test_dedupe_self(spark):
     t = Tables(spark, SF)
     rows = sorted(((p.place_id, p.category, p.name, (p.lat, p.lon)) for p in t.places.collect()))
@@ -44,7 +63,7 @@ def test_dedupe_self(spark):
 def test_clusters(spark):
     from cartolake.plans.resolution import sights
 
-    s = sorted(sights(Tables(spark, SF)).collect(), key=lambda p: (-p.score, p.place_id))
+    s = sorted(sights(Tables(spark, GROUPS_SF)).collect(), key=lambda p: (-p.score, p.place_id))
     taken, groups = set(), {}
     for c in s:
         if c.place_id in taken:
@@ -53,8 +72,8 @@ def test_clusters(spark):
         taken |= {m.place_id for m in members}
         if len(members) >= 3:
             groups[c.place_id] = round(sum(sorted((m.score for m in members), reverse=True)[:5]), 4)
-    found = {r.centre: r.score for r in catalog.queries()["pl_clusters"](spark, SF).collect()}
-    assert found == groups
+    found = {r.centre: r.score for r in catalog.queries()["pl_clusters"](spark, GROUPS_SF).collect()}
+    assert found == groups and len(groups) > 5
 
 
 @pytest.mark.parametrize(
@@ -125,7 +144,7 @@ def test_itinerary(spark):
     """The best five sights of every group of three or more, in an order that no other one beats."""
     from cartolake.plans.resolution import sights
 
-    s = sorted(sights(Tables(spark, SF)).collect(), key=lambda p: (-p.score, p.place_id))
+    s = sorted(sights(Tables(spark, GROUPS_SF)).collect(), key=lambda p: (-p.score, p.place_id))
     at = {p.place_id: (p.lat, p.lon) for p in s}
     taken, groups = set(), {}
     for c in s:
@@ -135,9 +154,9 @@ def test_itinerary(spark):
             if len(members) >= 3:
                 groups[c.place_id] = {m.place_id for m in sorted(members, key=lambda m: (-m.score, m.place_id))[:5]}
     found = {}
-    for r in sorted(catalog.queries()["pl_itinerary"](spark, SF).collect(), key=lambda r: r.position):
+    for r in sorted(catalog.queries()["pl_itinerary"](spark, GROUPS_SF).collect(), key=lambda r: r.position):
         found.setdefault(r.centre, []).append(r.place_id)
-    assert {c: set(order) for c, order in found.items()} == groups
+    assert {c: set(order) for c, order in found.items()} == groups and len(groups) > 5
     walk = lambda order: sum(greedy.metres(at[a], at[b]) for a, b in itertools.pairwise(order))
     for order in found.values():
         assert walk(order) <= min(map(walk, itertools.permutations(order))) + 0.01
@@ -145,16 +164,16 @@ def test_itinerary(spark):
 
 def test_popular_routes(spark):
     """From the groups and their orders: of the 15 best, the first five that can be walked in 90 minutes."""
-    at = {p.place_id: (p.lat, p.lon) for p in Tables(spark, SF).places.collect()}
+    at = {p.place_id: (p.lat, p.lon) for p in Tables(spark, GROUPS_SF).places.collect()}
     orders, wanted = {}, []
-    for r in sorted(catalog.queries()["pl_itinerary"](spark, SF).collect(), key=lambda r: r.position):
+    for r in sorted(catalog.queries()["pl_itinerary"](spark, GROUPS_SF).collect(), key=lambda r: r.position):
         orders.setdefault(r.centre, []).append(at[r.place_id])
-    for c in sorted(catalog.queries()["pl_clusters"](spark, SF).collect(), key=lambda c: (-c.score, c.centre))[:15]:
+    for c in sorted(catalog.queries()["pl_clusters"](spark, GROUPS_SF).collect(), key=lambda c: (-c.score, c.centre))[:15]:
         minutes = sum(math.ceil(greedy.metres(a, b) * 1.3 / 75) for a, b in itertools.pairwise(orders[c.centre]))
         if len(orders[c.centre]) >= 3 and minutes <= 90:
             wanted.append((c.centre, c.score, len(orders[c.centre]), minutes))
-    found = catalog.queries()["pl_popular_routes"](spark, SF).collect()
-    assert [(r.centre, r.score, r.sights, r.minutes) for r in found] == wanted[:5]
+    found = catalog.queries()["pl_popular_routes"](spark, GROUPS_SF).collect()
+    assert [(r.centre, r.score, r.sights, r.minutes) for r in found] == wanted[:5] and len(found) == 5
 
 
 def test_first_come_among_given_ids(spark):
@@ -204,3 +223,24 @@ def test_ring_columns(spark):
         steps = [(a[0] + t / 400 * (b[0] - a[0]), a[1] + t / 400 * (b[1] - a[1])) for a, b in itertools.pairwise(ring) for t in range(401)]
         near = min(math.hypot((x - row.lon) * geo.LON_M, (y - row.lat) * geo.LAT_M) for x, y in steps)
         assert row.inside and row.d <= (0 if inside(row.lon, row.lat, ring) else near) + 1e-6 and (row.d == 0 or row.d > near - 5)
+
+
+@pytest.mark.parametrize("lat", [0, 45, 60, 80, 89.99, -72])
+def test_within_at_any_latitude(spark, lat):
+    """All pairs within the radius, around a pole and across the antimeridian too; null coordinates meet nothing."""
+    from cartolake.operators.relational import within
+
+    r = random.Random(int(lat))
+    wide = min(360.0, 0.04 / max(math.cos(math.radians(lat)), 1e-4))
+    points = [(k, max(-90, min(90, lat + r.uniform(-0.02, 0.02))), (180 + r.uniform(-wide / 2, wide / 2) + 180) % 360 - 180) for k in range(300)]
+    df = spark.createDataFrame([*points, (-1, None, 3.0)], "id long, lat double, lon double")
+    found = {(x.a.id, x.b.id) for x in within(df, df, 1000, "id", "id").collect()}
+    wanted = {(a[0], b[0]) for a in points for b in points if greedy.metres(a[1:], b[1:]) <= 1000}
+    assert found == wanted and len(wanted) > 320
+    at = points[0][1:]
+    assert {x.id for x in df.where(geo.near(F.col("lat"), F.col("lon"), at, 1500)).collect()} == {p[0] for p in points if greedy.metres(at, p[1:]) <= 1500}
+
+
+def test_null_distances(spark):
+    df = spark.createDataFrame([(None, 29.0), (41.0, 29.0)], "lat double, lon double")
+    assert [x.d for x in df.select(geo.haversine(F.col("lat"), F.col("lon"), 41.0, 29.0).alias("d")).collect()] == [None, 0.0]

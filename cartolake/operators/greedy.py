@@ -46,9 +46,11 @@ def first_come(ids: DataFrame, rivals: DataFrame) -> DataFrame:
         settled = beaten | F.col("one").isNull()
         # `one` and `turned`: the id that decides this one, and whether this one is kept as that is or in its place.
         state = found.select("after", F.when(settled, ~beaten).alias("kept"), F.when(~settled & alone, F.col("one")).alias("one"), F.when(~settled & alone, ~F.col("neg")).alias("turned"))
-        # What hangs on an id that this round decides is decided with it, since that id is not met again.
+        # What hangs on an id that this round decides is decided with it, since that id is not met again; what hangs on that waits.
         root = state.where("kept IS NOT NULL").select(F.col("after").alias("one"), F.col("kept").alias("root"))
-        state = stored(state.join(root, "one", "left").select("after", F.coalesce("kept", F.col("root") != F.col("turned")).alias("kept"), F.when(F.col("root").isNull(), F.col("one")).alias("one"), "turned"))
+        state = stored(state.join(root, "one", "left").select("after", F.coalesce("kept", F.col("root") != F.col("turned")).alias("kept"), "one", "turned"))
+        gone = state.where("kept IS NOT NULL").select(F.col("after").alias("one"), F.lit(True).alias("gone"))
+        state = stored(state.join(gone, "one", "left").select("after", "kept", F.when(F.col("kept").isNull() & F.col("gone").isNull(), F.col("one")).alias("one"), "turned"))
         decided.append(state.where("kept IS NOT NULL").select(F.col("after").alias("id"), "kept"))
         rest = edges.join(state.where("kept IS NULL").select("after"), "after", "left_semi")
         met = rest.join(state.withColumnRenamed("after", "before"), "before", "left")

@@ -46,7 +46,7 @@ def test_first_come_contracts_chains(spark, monkeypatch):
     monkeypatch.setattr(greedy, "shared_path", lambda *a, f=greedy.shared_path: rounds.append(1) or f(*a))
     found = greedy.first_come(spark.range(3100), spark.createDataFrame(edges, "before long, after long"))
     assert {x.id for x in found.collect()} == {i for i, k in kept.items() if k}
-    assert len(rounds) / 2 <= 20
+    assert len(rounds) / 3 <= 20
 
 
 def test_dedupe_self(spark):
@@ -232,7 +232,7 @@ def test_within_at_any_latitude(spark, lat):
 
     r = random.Random(int(lat))
     wide = min(360.0, 0.04 / max(math.cos(math.radians(lat)), 1e-4))
-    points = [(k, max(-90, min(90, lat + r.uniform(-0.02, 0.02))), (180 + r.uniform(-wide / 2, wide / 2) + 180) % 360 - 180) for k in range(300)]
+    points = [(k, max(-90.0, min(90.0, lat + r.uniform(-0.02, 0.02))), (180 + r.uniform(-wide / 2, wide / 2) + 180) % 360 - 180) for k in range(300)]
     df = spark.createDataFrame([*points, (-1, None, 3.0)], "id long, lat double, lon double")
     found = {(x.a.id, x.b.id) for x in within(df, df, 1000, "id", "id").collect()}
     wanted = {(a[0], b[0]) for a in points for b in points if greedy.metres(a[1:], b[1:]) <= 1000}

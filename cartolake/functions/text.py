@@ -117,21 +117,6 @@ def genitive(name: Column) -> Column:
 STANDS, STANDS_FOR = "ış$5ğüö0ç1!34@7", "isssguoociieaat"
 
 
-def once(c: Column) -> Column:
-    """Repeated characters as one."""
-    return F.regexp_replace(c, r"(.)\1+", "$1")
-
-
-def foul(text: Column, words: tuple[str, ...], stems: tuple[str, ...], harmless: tuple[str, ...], joined: tuple[str, ...]) -> Column:
-    """Whether a text has one of the words, a word that begins like a stem and not like a harmless word, or a joined one once
-    its spaces are gone; signs are read as letters and repeats as one."""
-    read = F.regexp_replace(F.translate(lower_tr(text), STANDS, STANDS_FOR), r"[^\p{L}]", " ")
-    each = F.filter(F.transform(F.split(read, " +"), once), lambda w: w != "")
-    begins = lambda w, with_: F.reduce(F.array(*[F.startswith(w, F.lit(x)) for x in with_]), F.lit(False), lambda a, b: a | b)
-    inside = lambda with_: F.reduce(F.array(*[F.contains(once(F.array_join(each, "")), F.lit(x)) for x in with_]), F.lit(False), lambda a, b: a | b)
-    return F.exists(each, lambda w: w.isin(*words) | (~begins(w, harmless) & begins(w, stems))) | (inside(joined) & ~inside(harmless))
-
-
 def capitalised(word: Column) -> Column:
     first = F.left(word, F.lit(1))
     return F.concat(F.when(first == "i", "İ").when(first == "ı", "I").otherwise(F.upper(first)), F.substring(word, 2, 1 << 30))

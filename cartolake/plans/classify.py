@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cartolake.functions import text as X
 from cartolake.operators import rules as R
+from cartolake.operators.lexicon import flagged
 from cartolake.plans.registry import ORACLE, query
 from cartolake.sources.tables import Tables, with_relations
 
@@ -294,7 +295,8 @@ def collapsed_sql(s: str) -> str:
 )
 def str_profanity(t: Tables) -> DataFrame:
     """Whole texts, read with signs as letters and repeats as one: foul words, beginnings of words, or letters set apart."""
-    return t.documents.select("doc_id", X.foul(F.coalesce("text", F.lit("")), FOUL, FOUL_STEMS, HARMLESS, FOUL_JOINED).alias("flagged"))
+    entries = [(kind, e) for kind, es in (("word", FOUL), ("stem", FOUL_STEMS), ("harmless", HARMLESS), ("joined", FOUL_JOINED)) for e in es]
+    return flagged(t.documents, "doc_id", "text", t.spark.createDataFrame(entries, "kind string, entry string"))
 
 
 EVENT = r"(?i)[a-zçğıöşü]+(d|t)(ığı|iği|uğu|üğü)\s+(yer|nokta|alan)"

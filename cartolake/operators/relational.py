@@ -66,3 +66,36 @@ def within(a: DataFrame, b: DataFrame, metres: float, a_id: str, b_id: str, keep
     right = b.select(F.struct("*").alias("b"), F.explode(F.flatten(F.array(*[around(band + k) for k in (-1, 0, 1)]))).alias("c")).select("b", "c.y", "c.x")
     distance = haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return left.join(right, ["y", "x"]).drop("y", "x").withColumn("metres", distance).where(F.col("metres") <= metres)
+
+
+def nearest_in_time(asked: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """asked (id, key, at) with `nearest`, the id of the known row (id, key, at) of its key that is nearest in time; ties go to the
+    earlier one, then to the smaller id. Rows of keys that have no known row are left out.
+
+    Both sides are cut into buckets of `width` by key and time, so a hot key is spread over its buckets. What a bucket cannot
+    know, the last known row before it and the first after it, is carried over from one row for each bucket: its own first and
+    last known rows. Within a bucket one order gives the neighbours. Work is linear in rows but for the orders.
+    """
+    bucket = F.floor(F.col("at") / width)
+    k = known.select("key", bucket.alias("bucket"), "at", "id").where("key IS NOT NULL AND at IS NOT NULL")
+    # Of known rows at one time only the one of the smallest id counts.
+    k = k.groupBy("key", "bucket", "at").agg(F.min("id").alias("id"))
+    a = asked.select("key", bucket.alias("bucket"), "at", F.col("id").alias("asked")).where("key IS NOT NULL AND at IS NOT NULL")
+    ends = k.groupBy("key", "bucket").agg(F.min(F.struct("at", "id")).alias("first"), F.max(F.struct("at", "id")).alias("last"))
+    open_ = a.select("key", "bucket").distinct()
+    by_key = Window.partitionBy("key").orderBy("bucket")  # a row for each bucket of a key
+    carried = open_.join(ends, ["key", "bucket"], "full").select(
+        "key", "bucket", F.last("last", True).over(by_key.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(by_key.rowsBetween(1, Window.unboundedFollowing)).alias("after")
+    )
+    point = F.struct("at", "id")
+    both = a.select("key", "bucket", "at", F.lit(1).alias("asks"), "asked", F.lit(None).cast(point_type(k)).alias("p")).unionByName(k.select("key", "bucket", "at", F.lit(0).alias("asks"), F.lit(None).cast(a.schema["asked"].dataType).alias("asked"), point.alias("p")))
+    inside = Window.partitionBy("key", "bucket").orderBy("at", "asks")
+    # A known row at the same time comes before what asks, so it is the last one before.
+    met = both.withColumns({"left": F.last("p", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "right": F.first("p", True).over(inside.rowsBetween(0, Window.unboundedFollowing))}).where("asks = 1")
+    found = met.join(carried, ["key", "bucket"]).select("asked", "at", F.coalesce("left", "before").alias("left"), F.coalesce("right", "after").alias("right"))
+    nearer = F.col("right").isNotNull() & (F.col("left").isNull() | (F.col("right.at") - F.col("at") < F.col("at") - F.col("left.at")))
+    return found.where("left IS NOT NULL OR right IS NOT NULL").select(F.col("asked").alias("id"), F.when(nearer, F.col("right.id")).otherwise(F.col("left.id")).alias("nearest"))
+
+
+def point_type(k: DataFrame) -> str:
+    return f"struct<at:{k.schema['at'].dataType.simpleString()},id:{k.schema['id'].dataType.simpleString()}>"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions.geo import haversine_sql
-from cartolake.operators.relational import first_per, within
+from cartolake.operators.relational import first_per, nearest_in_time, within
 from cartolake.plans.registry import query
 from cartolake.sources.tables import Tables
 
@@ -138,10 +138,10 @@ def jn_fuzzy_match(t: Tables) -> DataFrame:
 )
 def jn_asof_hour(t: Tables) -> DataFrame:
     """Nearest event in time per key, ties to the earlier one."""
-    r = t.reports.where("reason = 'error'").select("report_id", F.col("place_id").alias("user_id"), F.col("created_at").alias("at"))
-    u = t.usage.where("kind = 'purchase'").select("user_id", "event_id", "created_at")
-    gap = F.abs(F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
-    return r.join(u, "user_id").groupBy("report_id").agg(F.min(F.struct(gap, "created_at", "event_id"))["event_id"].alias("nearest"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    r = t.reports.where("reason = 'error'").select(F.col("report_id").alias("id"), F.col("place_id").alias("key"), micros("created_at").alias("at"))
+    u = t.usage.where("kind = 'purchase'").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), micros("created_at").alias("at"))
+    return nearest_in_time(r, u, 86_400_000_000).select(F.col("id").alias("report_id"), F.col("nearest"))
 
 
 @query("SELECT p.place_id, p.name, s.n FROM places p JOIN (SELECT place_id, count(*) AS n FROM saved_places GROUP BY place_id) s USING (place_id)", "places saved_places")

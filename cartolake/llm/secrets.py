@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings that no pattern names.
 
 Ordinary words take one token for several characters of a subword vocabulary; random strings take a token for every one or
-two. A run of key-like characters counts as a secret of kind `random` if it holds a letter and a digit, takes more than a
-token for each `MOST_CHARS_PER_TOKEN` characters, does not overlap a patterned span, and is neither a digest of a known
-length nor an identifier (UUID, words or numbers joined by separators, path or host parts).
+two. Characters per token decide for every run of visible characters: it counts as a secret of kind `random` if they are below a limit that rises
+with the run's length (a short run's ratio says less), it does not overlap a patterned span, and it is neither a digest of a known
+length nor an identifier (UUID, number, mail address, short words and numbers joined by marks). No length, digit or letter is asked for.
 
 Defined cases: null text counts as empty and has no spans; every row gives one row, repeated ids included; offsets are code
 points, the end exclusive; whole texts are scanned, however long; only id and text are read, so other columns can't clash.
@@ -31,14 +31,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE = 8
 
-#: Candidates of the token-efficiency test: whole runs, also those beside the sign of name=value; only padding belongs to a run.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
-MOST_CHARS_PER_TOKEN = 2.0
+#: Runs that the token-efficiency test looks at: visible ASCII without quotes, brackets and what stands between names and values;
+#: padding at the end belongs to a run, other marks around it do not.
+RUN = re.compile(r"[A-Za-z0-9+/_.$%@#!^*~-]+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+MARKS = ".!*~^%#@/+-_"
+#: Characters per token that a run of n characters must stay below: MOST - NOISE / n. The ratio of a short run says less, so it has to
+#: be lower; for runs of up to five characters the limit is below 1, which no ratio is.
+MOST, NOISE = 2.2, 7.0
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 DIGEST = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 UUID = re.compile(r"(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})\Z")
-NAME = re.compile(r"([A-Za-z]+|[0-9]+|[A-Za-z]+[0-9]{1,4})([-_/+]+([A-Za-z]+|[0-9]+|[A-Za-z]+[0-9]{1,4}))*[-_/+]*\Z")
+#: Identifiers: numbers, short words or a few letters with a number, joined by marks; a number alone; a mail address.
+PART = r"(?:[0-9]+|[a-z]{1,8}|[A-Z]{1,8}|[A-Z][a-z]{1,8}|[A-Za-z]{1,4}[0-9]{1,4})"
+NAME = re.compile(rf"{PART}(?:[-_/.+#@]+{PART})+\Z|[0-9]+\Z|[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z]+)+\Z")
+#: One mark over and over, which belongs to no word.
+REPEATED = re.compile(r"([^A-Za-z0-9])\1{2,}")
 BLOCK = 2048
+#: Words whose answer a task remembers; beyond that it starts anew, which changes no answer.
+REMEMBERED = 200_000
 
 _LOADED: dict[str, tiktoken.Encoding] = {}
 
@@ -63,6 +73,22 @@ def is_known(value: str) -> bool:
     return bool(DIGEST.match(bare) and len(bare) in DIGEST_LENGTHS) or bool(UUID.match(bare)) or bool(NAME.match(bare))
 
 
+class Efficiency:
+    """Whether a run takes too many tokens, with what was asked before."""
+
+    def __init__(self, tool: tiktoken.Encoding):
+        self.tool, self.asked = tool, {}
+
+    def __call__(self, value: str) -> bool:
+        if (known := self.asked.get(value)) is None:
+            known = chars_per_token(value, self.tool) < MOST - NOISE / len(value) and not is_known(value)
+            if len(value) <= 24:
+                if len(self.asked) >= REMEMBERED:
+                    self.asked.clear()
+                self.asked[value] = known
+        return known
+
+
 def patterned(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of the patterned spans."""
     found = []
@@ -74,23 +100,36 @@ def patterned(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def improbable(text: str, taken: list[tuple[int, int, int]], tool: tiktoken.Encoding) -> list[tuple[int, int, int]]:
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the runs that can be too short for their tokens; a mark repeated cuts a run."""
+    least = NOISE / (MOST - 1)
+    for m in RUN.finditer(text):
+        if m.end() - m.start() <= least:
+            continue
+        start = m.start()
+        for cut in (*REPEATED.finditer(text, m.start(), m.end()), None):
+            end = cut.start() if cut else m.end()
+            part = text[start:end]
+            a, b = start + len(part) - len(part.lstrip(MARKS)), start + len(part.rstrip(MARKS))
+            if b - a > least:
+                yield a, b
+            start = cut.end() if cut else end
+
+
+def improbable(text: str, taken: list[tuple[int, int, int]], inefficient: Efficiency) -> list[tuple[int, int, int]]:
     """Spans of the token-efficiency test that do not overlap those already taken, which are in order of their starts.
 
-    Candidates come in order too and are apart, so one sweep over both lists tells where the taken ones reach.
+    Runs come in order too and are apart, so one sweep over both lists tells where the taken ones reach.
     """
     found, at, reach = [], 0, 0
-    for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if value.isalpha() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value) or is_known(value):
+    for a, b in runs(text):
+        if not inefficient(text[a:b]):
             continue
-        while at < len(taken) and taken[at][0] < m.end():
+        while at < len(taken) and taken[at][0] < b:
             reach = max(reach, taken[at][2])
             at += 1
-        if reach > m.start():
-            continue
-        if chars_per_token(value, tool) < MOST_CHARS_PER_TOKEN:
-            found.append((m.start(), 3, m.end()))
+        if reach <= a:
+            found.append((a, 3, b))
     return found
 
 
@@ -106,12 +145,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
-        tool = vocabulary(path)
+        inefficient = Efficiency(vocabulary(path))
         for batch in batches:
             base, every, clean = [], [], []
             for text in texts(batch.column(1)):
                 first = patterned(text)
-                spans = sorted(first + improbable(text, first, tool))
+                spans = sorted(first + improbable(text, first, inefficient))
                 base.append([{"kind": names[k], "start": a, "end": b} for a, k, b in first])
                 every.append([{"kind": names[k], "start": a, "end": b} for a, k, b in spans])
                 if redact is not None:

@@ -710,6 +710,60 @@ def brute_secrets(text):
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
 
 
+def brute_random(text, taken):
+    """Spans of random strings, from the definition: character by character, each run measured anew."""
+    tool, text = secrets.vocabulary(), text or ""
+    inside = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.$%@#!^*~-")
+    marks = set(".!*~^%#@/+-_")
+    spans, i = [], 0
+    while i < len(text):
+        if text[i] not in inside:
+            i += 1
+            continue
+        a = i
+        while i < len(text) and text[i] in inside:
+            i += 1
+        end = i
+        for pad in (2, 1):
+            if text[i : i + pad] == "=" * pad and not (i + pad < len(text) and re.match("[A-Za-z0-9+/_=-]", text[i + pad])):
+                end = i + pad
+                break
+        pieces, at, k = [], a, a
+        while k < end:  # a mark three times or more cuts
+            n = k
+            while n < end and text[n] == text[k]:
+                n += 1
+            if n - k >= 3 and not text[k].isalnum():
+                pieces.append((at, k))
+                at = n
+            k = n
+        for x, y in [*pieces, (at, end)]:
+            while x < y and text[x] in marks:
+                x += 1
+            while x < y and text[y - 1] in marks:
+                y -= 1
+            value = text[x:y]
+            if not value:
+                continue
+            tokens = sum(len(tool.encode_ordinary(value[k : k + 2048])) for k in range(0, len(value), 2048))
+            if len(value) / tokens < 2.2 - 7.0 / len(value) and not secrets.is_known(value) and not any(b < y and x < c for b, _, c in taken):
+                spans.append((x, 3, y))
+        i = max(i, end)
+    return spans
+
+
+def test_random_spans_by_brute_force(spark):
+    r = random.Random(12)
+    value = lambda: "".join(r.choice("abcdefghkmnpqrstXYZQWRTPLK0123456789$.-_/+=&!@") for _ in range(r.choice([3, 7, 12, 16, 24, 40, 3000])))
+    texts = [t for _, t in odd_texts()] + ["".join(r.choice([value(), prose(k, 3), "$$$$", "...", f"password={value()}", "=", "==", "1234567890123456", "a.b@host.org"]) + r.choice([" ", "", "\n", '"']) for _ in range(8)) for k in range(150)]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    names = (*secrets.KINDS, "random")
+    for t, row in zip(texts, found, strict=True):
+        first = secrets.patterned(t or "")
+        assert [(s.start, names.index(s.kind), s.end) for s in row.spans] == sorted(first + brute_random(t, first))
+    assert sum(s.kind == "random" for row in found for s in row.spans) > 300
+
+
 def test_secrets(docs, empty):
     found = secrets.scan(docs, redact="[x]").withColumn("b", secrets.written("base"))
     assert by_row(found, "doc_id", "b") == expected([(i, brute_secrets(t)) for i, t in odd_texts()])
@@ -736,39 +790,45 @@ def test_random_values_of_names(spark):
 
 def test_random_strings_beside_taken_spans():
     """The sweep over both lists gives what comparing each candidate with each taken span gives, and is linear."""
-    r, tool = random.Random(10), secrets.vocabulary()
+    r, tool = random.Random(10), secrets.Efficiency(secrets.vocabulary())
     value = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
     for _ in range(200):
         text = " ".join(r.choice([f"token={value(30)}", value(24), f"{value(10)}-{'0af' * 12}", "AKIA" + "Q7" * 9, f"key:{value(22)}", "word"]) for _ in range(12))
         taken = secrets.patterned(text)
         wanted = [(a, 3, b) for a, _, b in secrets.improbable(text, [], tool) if not any(x < b and a < y for x, _, y in taken)]
         assert secrets.improbable(text, taken, tool) == wanted
-    text = " ".join(f"{value(24)} {k:064x}" for k in range(20_000))
+    text = " ".join(f"{value(24)} {k:064x}" for k in range(20_000))  # a digest after each
     taken, began = secrets.patterned(text), time.process_time()
     assert len(taken) == 20_000 and len(secrets.improbable(text, taken, tool)) > 19_000
     assert time.process_time() - began < 10
 
 
 def test_recall_and_precision_on_planted_secrets():
-    """Random strings of several alphabets and lengths in ordinary places, against words, names, paths and digests."""
-    r, tool = random.Random(11), secrets.vocabulary()
-    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    alphabets = [letters, letters + "+/", letters + "_-", letters[26:] , letters[:26] + "0123456789"]
-    hit = planted = 0
-    for k in range(1000):
-        alphabet = alphabets[k % 5]
-        value = "".join(r.choice(alphabet) for _ in range(r.randint(24, 64)))
-        text = f"{prose(k, 8)} {r.choice(['AUTH=', 'sig ', 'https://host/x?key=', 'Authorization: Bearer ', chr(34)])}{value}{r.choice(['', ' ', chr(34), '&a=1'])} {prose(k + 1, 5)}"
-        at = text.index(value)
-        spans = secrets.patterned(text) + secrets.improbable(text, secrets.patterned(text), tool)
-        planted += 1
-        hit += any(a <= at + 2 and b >= at + len(value) - 2 for a, _, b in spans)
+    """Random strings of several alphabets in ordinary places, against words, names, numbers, paths and digests.
+
+    Recall by alphabet and length: 0.9 and more, but for small letters alone, where 12 to 19 of them are too like invented words.
+    """
+    r, tool = random.Random(11), secrets.Efficiency(secrets.vocabulary())
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    letters = small + small.upper()
+    alphabets = {"letters": letters, "all": letters + digits, "base64": letters + digits + "+/", "url": letters + digits + "_-", "upper": small.upper() + digits, "lower": small + digits, "marks": letters + digits + ".$%@#!^*", "small": small}
+    recall, hit, planted = {}, 0, 0
+    for name, alphabet in alphabets.items():
+        for least, most in ((12, 19), (20, 31), (32, 64)):
+            found = 0
+            for k in range(120):
+                value = "".join(r.choice(alphabet) for _ in range(r.randint(least, most)))
+                text = f"{prose(k, 8)} {r.choice(['AUTH=', 'sig ', 'https://host/x?key=', 'Authorization: Bearer ', chr(34)])}{value}{r.choice(['', ' ', chr(34), ', ok'])} {prose(k + 1, 5)}"
+                at, first = text.index(value), secrets.patterned(text)
+                found += any(a <= at + 2 and b >= at + len(value) - 2 for a, _, b in first + secrets.improbable(text, first, tool))
+            recall[name, least], hit, planted = found / 120, hit + found, planted + 120
+    assert all(x >= (0.5 if key == ("small", 12) else 0.85 if key[0] == "small" else 0.9) for key, x in recall.items()), recall
     false = 0
-    for k in range(1000):
+    for k in range(planted):
         a, b, c = (r.choice(WORDS) for _ in range(3))
-        text = r.choice([f"{a}_{b}_{c}_{a}_{k}", f"{a}/{b}/{c}/{b}{k}/{a}.html", f"{a.title()}{b.title()}{c.title()}{a.title()}{b.title()}", "%064x" % r.getrandbits(256), "%08x-1234-4321-abcd-%012x" % (r.getrandbits(32), r.getrandbits(48)), prose(k, 30)])
+        text = r.choice([f"{a}_{b}_{c}_{a}_{k}", f"{a}/{b}/{c}/{b}{k}/{a}.html", f"{a.title()}{b.title()}{c.title()}{a.title()}{b.title()}", "%064x" % r.getrandbits(256), "%08x-1234-4321-abcd-%012x" % (r.getrandbits(32), r.getrandbits(48)), prose(k, 30), f"{r.getrandbits(64)}", f"{a}.{b}{k}@{c}.org", "192.168.17.4:8080", f"+90-555-{k:03d}-4567", f"SKU-{k:05d}-AB-9", "!!!!!!!!!! ***** -----"])
         false += bool(secrets.improbable(text, secrets.patterned(text), tool))
-    assert hit >= 0.9 * planted and hit >= 0.9 * (hit + false)
+    assert hit >= 0.9 * planted and hit >= 0.98 * (hit + false)
 
 
 def test_long_texts_are_hashed_in_parts(monkeypatch):

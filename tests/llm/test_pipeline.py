@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
     for i, t in docs:
         first = secrets.patterned(t)
         out, at = [], 0
-        for a, _, b in sorted(first + secrets.improbable(t, first, secrets.vocabulary())):
+        for a, _, b in sorted(first + brute.brute_random(t, first)):
             if b > at:
                 if a >= at:
                     out += [t[at:a], corpus_pipeline.SECRET]

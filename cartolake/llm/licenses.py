@@ -8,8 +8,10 @@ neighbouring diagonals (words put in or left out) must form a chain in which tex
 its length is the number of template grams that the span covers. Base phrases ask for all their grams on one diagonal, and
 since the joined grams are compared as words, not as hashes, such a diagonal is the phrase itself.
 
-The templates are fixed in number and size (a few hundred grams), so the join's small side is bounded however large the
-corpus grows; what leaves a task is one row for each document and one for each run of votes.
+Templates are a table: the twelve below, or the caller's (label, text), whole license texts of any length among them. Which
+places of a template voted is kept as an array of numbers of 60 bits each, so no template is too long. The grams of all templates together are
+counted and held against MOST_GRAMS, within which they are broadcast; a larger table is refused. What leaves a task is
+one row for each document and one for each diagonal of votes.
 
 Defined cases: null text counts as empty and has no words; every row gives one row: rows that repeat an id are kept apart
 by their text, and rows that repeat both are counted once and given out as often as they occur; only id and text are read;
@@ -18,6 +20,8 @@ whole texts are scanned.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +44,10 @@ TEMPLATES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
 }
 GRAM = 2
+#: Grams of all templates together at most, some 100 bytes each; they are broadcast.
+MOST_GRAMS = 500_000
+#: Template places in one number.
+BITS = 60
 #: Votes that follow each other in a span are on diagonals at most this far apart, and at most this many words apart.
 BAND, GAP = 3, 8
 #: Share of a template's grams that a span must cover.
@@ -56,19 +64,30 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
-    """hash, a, b (the gram's words), template, place, size (grams of the template), label, base."""
+def template_grams(spark: SparkSession, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    """hash, a, b (the gram's words), template, place, size (grams of the template), label, base; templates: (label, text)."""
+    own = [(label, phrase) for phrase, label in TEMPLATES.items()] if templates is None else templates
     rows = [("", None, -1, 0, 1, "", False)]
-    for t, (phrase, label) in enumerate([*BASE.items(), *TEMPLATES.items()]):
-        w = phrase.split()
-        rows += [(w[i], w[i + 1], t, i, len(w) - 1, label, phrase in BASE) for i in range(len(w) - 1)]
+    for t, (label, text) in enumerate([*((label, phrase) for phrase, label in BASE.items()), *own]):
+        w = [x for x in re.split(WORD_GAP, re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+        if len(w) < GRAM:
+            raise ValueError(f"a template of {label!r} has fewer than {GRAM} words")
+        rows += [(w[i], w[i + 1], t, i, len(w) - 1, label, t < len(BASE)) for i in range(len(w) - 1)]
+    if len(rows) > MOST_GRAMS:
+        raise ValueError(f"the templates have {len(rows)} grams, more than the {MOST_GRAMS} that are broadcast")
     table = spark.createDataFrame(rows, "a string, b string, template int, place int, size int, label string, base boolean")
     return table.withColumn("hash", F.xxhash64("a", "b"))
 
 
-def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per different (id, text), template and diagonal with a vote: id, th (hash of the text), template, diagonal,
-    places (bit p: template place p was met), count, first and last place in the text.
+def templates_of(table: DataFrame, label_col: str = "label", text_col: str = "text") -> list[tuple[str, str]]:
+    """(label, text) of a caller's table of templates, at most MOST_GRAMS rows."""
+    found = sorted((r[0], r[1]) for r in table.select(label_col, text_col).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).distinct().limit(MOST_GRAMS).collect())
+    return found
+
+
+def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    """One row per different (id, text), template, diagonal and part of the template with a vote: id, th (hash of the text), template,
+    diagonal, part, places (bit k: template place part * BITS + k was met), count, first and last place in the text.
 
     Template -1 stands for the document: its count is the number of rows that repeat id and text, its last place the number
     of words.
@@ -78,9 +97,9 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     pairs = F.arrays_zip(F.concat("w", F.array(F.lit(WHOLE))).alias("a"), F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), F.array(F.lit(None).cast("string"))).alias("b"))
     each = cut.select("id", "th", F.posexplode(pairs).alias("at", "gram")).select("id", "th", "at", F.col("gram.a").alias("ga"), F.col("gram.b").alias("gb"))
     each = each.withColumn("hash", F.xxhash64("ga", "gb"))
-    met = each.join(F.broadcast(template_grams(docs.sparkSession)), "hash").where((F.col("ga") == F.col("a")) & F.col("gb").eqNullSafe(F.col("b")))
-    return met.groupBy("id", "th", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"),
+    met = each.join(F.broadcast(template_grams(docs.sparkSession, templates)), "hash").where((F.col("ga") == F.col("a")) & F.col("gb").eqNullSafe(F.col("b")))
+    return met.groupBy("id", "th", "template", (F.col("at") - F.col("place")).alias("diagonal"), F.floor(F.col("place") / BITS).cast("int").alias("part")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, place % {BITS})")).alias("places"),
         F.count("*").alias("count"),
         F.min("at").alias("first"),
         F.max("at").alias("last"),
@@ -93,10 +112,12 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def chained(diagonals: Column) -> Column:
     """The longest chain of votes: struct of grams, start and end (places of its first and last gram in the text).
 
-    diagonals: array of (diagonal, places). Votes are read in text order; only those of the last GAP words can go on, so that
+    diagonals: array of (diagonal, part, places). Votes are read in text order; only those of the last GAP words can go on, so that
     many are remembered, each with the longest chain that ends there. Of equally long chains the earliest counts.
     """
-    hits = F.flatten(F.transform(diagonals, lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda p: F.getbit(d["places"], p) == 1), lambda p: F.struct((d["diagonal"] + p).alias("at"), p.alias("place")))))
+    bits = F.sequence(F.lit(0), F.lit(BITS - 1))
+    places = lambda d: F.transform(F.filter(bits, lambda k: F.getbit(d["places"], k) == 1), lambda k: d["part"] * BITS + k)
+    hits = F.flatten(F.transform(diagonals, lambda d: F.transform(places(d), lambda p: F.struct((d["diagonal"] + p).alias("at"), p.alias("place")))))
     fresh = F.struct(F.lit(0).alias("n"), F.lit(0).alias("less_start"), F.lit(0).alias("less_end"))
     none = F.struct(F.array().cast("array<struct<at:int,place:int,n:int,less_start:int>>").alias("recent"), fresh.alias("best"))
 
@@ -120,15 +141,16 @@ def spans(counted: DataFrame) -> DataFrame:
     of_doc = Window.partitionBy("id", "th")
     counted = counted.withColumn("copies", F.max(F.when(F.col("template") == -1, F.col("count"))).over(of_doc))
     counted = counted.withColumn("n_words", F.max(F.when(F.col("template") == -1, F.col("last"))).over(of_doc).cast("long"))
-    by_place = Window.partitionBy("id", "th", "template").orderBy("first", "diagonal")
+    by_place = Window.partitionBy("id", "th", "template").orderBy("first", "diagonal", "part")
     before = by_place.rowsBetween(Window.unboundedPreceding, -1)
     # A base phrase's diagonal fixes where it starts, so each is a run of its own.
     fresh = F.col("base") | (F.col("first") - F.max("last").over(before) > GAP)
     runs = counted.withColumn("fresh", F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).withColumn("run", F.sum("fresh").over(by_place))
     merged = runs.groupBy("id", "th", "copies", "n_words", "template", "size", "label", "base", "run").agg(
-        F.bit_or("places").alias("places"), F.collect_list(F.struct("diagonal", "places")).alias("diagonals"), F.min("first").alias("first")
+        F.sum(F.bit_count("places")).alias("met"), F.collect_list(F.struct("diagonal", "part", "places")).alias("diagonals"), F.min("first").alias("first")
     )
-    enough = F.bit_count("places") >= F.col("size") * F.when(F.col("base"), 1.0).otherwise(COVER)
+    # Places met twice count twice here, so this only spares the chain; what the chain covers decides.
+    enough = F.col("met") >= F.col("size") * F.when(F.col("base"), 1.0).otherwise(COVER)
     whole = F.struct(F.col("size").alias("grams"), F.col("first").alias("start"), (F.col("first") + F.col("size") - 1).alias("end"))
     chain = F.when((F.col("template") >= 0) & enough, F.when(F.col("base"), whole).otherwise(chained(F.col("diagonals"))))
     found = merged.withColumn("chain", chain).withColumn("cover", F.col("chain.grams") / F.col("size"))
@@ -136,13 +158,13 @@ def spans(counted: DataFrame) -> DataFrame:
     return found.select("id", "th", "copies", "n_words", "template", "label", "base", verified.alias("verified"), F.col("chain.start").alias("start"), (F.col("chain.end") + GRAM).alias("end"), "cover")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every document.
 
     spans: label, base, start, end (words, end exclusive) and cover of what was verified, by start; of each run of votes the
-    longest chain. score: the best cover.
+    longest chain. score: the best cover. templates: (label, text), of any length; those of this module by default.
     """
-    found = spans(votes(docs, id_col, text_col))
+    found = spans(votes(docs, id_col, text_col, templates))
     base = F.col("verified") & F.col("base")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     out = found.groupBy("id", "th", "copies", "n_words").agg(

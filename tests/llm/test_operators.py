@@ -135,6 +135,27 @@ def test_licenses_verify_spans(spark):
     assert sum(r.labels != "" for r in rows) > 60
 
 
+def test_licenses_of_long_templates(spark):
+    """Whole texts of hundreds of words as templates: found whole and with a few words changed, not by half; sizes are checked."""
+    r = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    long, other = " ".join(r.choice(words) for _ in range(300)), " ".join(r.choice(words) for _ in range(101))
+    changed = long.split()
+    for k in range(5, 300, 40):
+        changed[k : k + 1] = r.choice([[], ["new"], ["two", "new"]])
+    texts = [f"{prose(1, 40)} {long.title()} {prose(2, 30)}", " ".join(changed), " ".join(long.split()[:150]), " ".join(long.split()[::-1]), f"{other}, {other} all rights reserved", "none"]
+    table = spark.createDataFrame([("long", long), ("other", other), (None, "x y"), ("gone", None)], "label string, text string")
+    templates = licenses.templates_of(table)
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["long", "long", "", "", "other,reserved", ""]
+    assert rows[0].score == 1.0 and (rows[0].spans[0].start, rows[0].spans[0].end) == (40, 340)
+    assert licenses.COVER <= rows[1].score < 1 and brute_chain(changed, long) == (round(rows[1].score * 299), 299)
+    with pytest.raises(ValueError, match="fewer than"):
+        licenses.template_grams(spark, [("short", "one")])
+    with pytest.raises(ValueError, match="broadcast"):
+        licenses.template_grams(spark, [("huge", "a b " * licenses.MOST_GRAMS)])
+
+
 # 2
 
 

@@ -65,10 +65,18 @@ def neighbour_cells(c: Column) -> Column:
     return F.array(*[F.struct((c["y"] + i).alias("y"), (c["x"] + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
 
-def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
-    """Whether a point lies in a closed ring (array of structs lon, lat), by counting edges crossed to its east."""
-    size = F.size(ring)
-    edges = F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
+def edges_of(ring: Column) -> Column:
+    """The edges (a, b) of a closed ring (array of structs lon, lat)."""
+    return F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
+
+
+def edges_of_all(rings: Column) -> Column:
+    """The edges of all rings of a polygon, shells and holes alike."""
+    return F.flatten(F.transform(rings, edges_of))
+
+
+def _odd(lat: Column, lon: Column, edges: Column) -> Column:
+    """Whether a point has an odd number of edges to its east."""
 
     def crosses(e: Column) -> Column:
         straddles = (e["a"]["lat"] > lat) != (e["b"]["lat"] > lat)
@@ -78,6 +86,16 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
+def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
+    """Whether a point lies in a closed ring."""
+    return _odd(lat, lon, edges_of(ring))
+
+
+def in_polygon(lat: Column, lon: Column, rings: Column) -> Column:
+    """Whether a point lies in a polygon and in none of its holes (array of rings, in any order)."""
+    return _odd(lat, lon, edges_of_all(rings))
+
+
 def box_cells(south: Column, north: Column, west: Column, east: Column, size: float) -> Column:
     """The grid cells that a box touches; cells should be about as large as boxes are."""
     span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
@@ -87,29 +105,35 @@ def box_cells(south: Column, north: Column, west: Column, east: Column, size: fl
 LAT_M, LON_M = 111_195.0, 83_900.0
 
 
+def _to_edge(lat: Column, lon: Column, e: Column) -> Column:
+    ax, ay = (e["a"]["lon"] - lon) * LON_M, (e["a"]["lat"] - lat) * LAT_M
+    dx, dy = (e["b"]["lon"] - e["a"]["lon"]) * LON_M, (e["b"]["lat"] - e["a"]["lat"]) * LAT_M
+    length = dx * dx + dy * dy
+    at = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length)))
+    return F.sqrt(F.pow(ax + at * dx, 2) + F.pow(ay + at * dy, 2))
+
+
+def _distance(lat: Column, lon: Column, edges: Column) -> Column:
+    return F.when(_odd(lat, lon, edges), F.lit(0.0)).otherwise(F.array_min(F.transform(edges, lambda e: _to_edge(lat, lon, e))))
+
+
 def ring_distance(lat: Column, lon: Column, ring: Column) -> Column:
     """Planar metres (at 41 degrees) from a point to a closed ring, 0 inside: the least distance to one of its edges."""
+    return _distance(lat, lon, edges_of(ring))
 
-    def to_edge(i: Column) -> Column:
-        a, b = F.get(ring, i), F.get(ring, i + 1)
-        ax, ay = (a["lon"] - lon) * LON_M, (a["lat"] - lat) * LAT_M
-        dx, dy = (b["lon"] - a["lon"]) * LON_M, (b["lat"] - a["lat"]) * LAT_M
-        length = dx * dx + dy * dy
-        at = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length)))
-        return F.sqrt(F.pow(ax + at * dx, 2) + F.pow(ay + at * dy, 2))
 
-    least = F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 2), to_edge))
-    return F.when(in_ring(lat, lon, ring), F.lit(0.0)).otherwise(least)
+def polygon_distance(lat: Column, lon: Column, rings: Column) -> Column:
+    """The same to a polygon with holes: in a hole the distance to what is around it."""
+    return _distance(lat, lon, edges_of_all(rings))
 
 
-def inside_point(ring: Column) -> Column:
-    """A point (lat, lon) inside a closed ring: of the lines midway between neighbouring latitudes of its corners, the middle
-    of the widest stretch inside; of equally wide ones the southernmost, then westernmost."""
-    lats = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["lat"])))
+def _inside_point(edges: Column) -> Column:
+    """The middle of the widest stretch inside on the lines midway between neighbouring latitudes of corners; of equally wide
+    ones the southernmost, then westernmost."""
+    lats = F.array_sort(F.array_distinct(F.transform(edges, lambda e: e["a"]["lat"])))
     lines = F.transform(F.sequence(F.lit(0), F.size(lats) - 2), lambda i: (F.get(lats, i) + F.get(lats, i + 1)) / 2)
 
     def stretches(y: Column) -> Column:
-        edges = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
         met = F.filter(edges, lambda e: (e["a"]["lat"] > y) != (e["b"]["lat"] > y))
         xs = F.array_sort(F.transform(met, lambda e: e["a"]["lon"] + (y - e["a"]["lat"]) / (e["b"]["lat"] - e["a"]["lat"]) * (e["b"]["lon"] - e["a"]["lon"])))
         pairs = F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1)
@@ -117,3 +141,13 @@ def inside_point(ring: Column) -> Column:
 
     widest = F.array_min(F.flatten(F.transform(lines, stretches)))
     return F.struct(widest["lat"].alias("lat"), widest["lon"].alias("lon"))
+
+
+def inside_point(ring: Column) -> Column:
+    """A point (lat, lon) inside a closed ring."""
+    return _inside_point(edges_of(ring))
+
+
+def point_on_surface(rings: Column) -> Column:
+    """A point (lat, lon) inside a polygon and in none of its holes."""
+    return _inside_point(edges_of_all(rings))

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.functions.geo import LAT_M, LON_M, inside_point, ring_distance
+from cartolake.functions.geo import LAT_M, LON_M, inside_point, point_on_surface, polygon_distance, ring_distance
+from cartolake.operators import plane
 from cartolake.operators.rings import area, stitched
 from cartolake.plans.registry import query
 from cartolake.sources.tables import Tables
@@ -77,3 +78,90 @@ def agg_geom_union(t: Tables) -> DataFrame:
     outline = edges.groupBy("city_id", "e").agg(F.count("*").alias("n")).where("n = 1")
     found = outline.groupBy("city_id").agg(F.count("*").alias("edges"), F.min("e.y").alias("south"), F.max("e.y").alias("north"), F.min("e.x").alias("west"), F.max("e.x").alias("east"))
     return found.join(b.groupBy("city_id").agg(F.count("*").alias("parts")), "city_id")
+
+
+#: Lots that overlap: each district's box with a margin, without its north-east quarter.
+LOT_SIDES = "south - 0.003e0 AS s, north + 0.003e0 AS n, west - 0.005e0 AS w, east + 0.005e0 AS e"
+#: Degrees of longitude that one task sweeps.
+STRIP = 0.037
+
+
+@query(
+    f""", l AS (SELECT city_id, {LOT_SIDES} FROM districts), b AS (SELECT city_id, s, (s + n) / 2 AS n, w, e FROM l UNION ALL SELECT city_id, (s + n) / 2, n, w, (w + e) / 2 FROM l),
+    y AS (SELECT city_id, y AS y0, lead(y) OVER (PARTITION BY city_id ORDER BY y) AS y1 FROM (SELECT city_id, s AS y FROM b UNION SELECT city_id, n FROM b) v), x AS (SELECT city_id, x AS x0, lead(x) OVER (PARTITION BY city_id ORDER BY x) AS x1 FROM (SELECT city_id, w AS x FROM b UNION SELECT city_id, e FROM b) v)
+    SELECT y.city_id, (SELECT count(*) FROM l WHERE l.city_id = y.city_id) AS parts, round(sum((y1 - y0) * (x1 - x0)) * 1e6, 2) AS area FROM y JOIN x USING (city_id)
+    WHERE EXISTS (SELECT 1 FROM b WHERE b.city_id = y.city_id AND s <= y0 AND n >= y1 AND w <= x0 AND e >= x1) GROUP BY y.city_id""",
+    "districts",
+)
+def agg_geom_union_overlap(t: Tables) -> DataFrame:
+    """Area of the union of each city's lots, which overlap as they like, by a sweep over strips of the plane.
+
+    A lot goes to every strip that it touches, and a strip's part of the union is swept there, so a large city is many tasks' work.
+    """
+    lots = t.districts.selectExpr("city_id", *LOT_SIDES.split(", "))
+    middle_y, middle_x = (F.col("s") + F.col("n")) / 2, (F.col("w") + F.col("e")) / 2
+    corners = [("s", "w"), ("s", "e"), (middle_y, "e"), (middle_y, middle_x), ("n", middle_x), ("n", "w"), ("s", "w")]
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    ring = F.array(*[F.array(column(x), column(y)) for y, x in corners])
+    dealt = lots.select("city_id", ring.alias("ring"), F.explode(F.sequence(F.floor(F.col("w") / STRIP), F.floor(F.col("e") / STRIP))).alias("strip"))
+
+    def sweep(group: pd.DataFrame) -> pd.DataFrame:
+        strip = int(group["strip"].iat[0])
+        polygons = [[[tuple(p) for p in ring]] for ring in group["ring"]]
+        return pd.DataFrame({"city_id": group["city_id"].iloc[:1], "area": [plane.united_area(polygons, (strip * STRIP, (strip + 1) * STRIP))]})
+
+    areas = dealt.groupBy("city_id", "strip").applyInPandas(sweep, "city_id long, area double").groupBy("city_id").agg(F.round(F.sum("area") * 1e6, 2).alias("area"))
+    return areas.join(lots.groupBy("city_id").agg(F.count("*").alias("parts")), "city_id").select("city_id", "parts", "area")
+
+
+Q1_LAT, Q3_LAT, Q1_LON, Q3_LON = "(south * 0.75e0 + north * 0.25e0)", "(south * 0.25e0 + north * 0.75e0)", "(west * 0.75e0 + east * 0.25e0)", "(west * 0.25e0 + east * 0.75e0)"
+
+
+def with_holes(t: Tables) -> DataFrame:
+    """district_id, rings: the box and a hole of half its height and width in its middle."""
+    at = lambda lat, lon: F.struct(F.expr(lon).alias("lon"), F.expr(lat).alias("lat"))
+    ring = lambda s, n, w, e: F.array(at(s, w), at(s, e), at(n, e), at(n, w), at(s, w))
+    return t.districts.select("district_id", F.array(ring("south", "north", "west", "east"), ring(Q1_LAT, Q3_LAT, Q1_LON, Q3_LON)).alias("rings"))
+
+
+@query("SELECT district_id, 1 AS shells, 1 AS holes, round((north - south) * (east - west) * 0.75e0 * 1e6, 2) AS area FROM districts", "districts")
+def agg_build_polygon_holes(t: Tables) -> DataFrame:
+    """Polygons with holes built from ways that cross: the box's sides overshoot its corners, and a stray way ends in its middle."""
+    from cartolake.operators.rings import area as size
+
+    d = t.districts
+    way = lambda *points: F.array(*[F.array(F.expr(lon), F.expr(lat)) for lat, lon in points])
+    far = {"s": "(south * 1.1e0 - north * 0.1e0)", "n": "(north * 1.1e0 - south * 0.1e0)", "w": "(west * 1.1e0 - east * 0.1e0)", "e": "(east * 1.1e0 - west * 0.1e0)"}
+    ways = F.array(
+        way(("south", far["w"]), ("south", far["e"])), way(("north", far["e"]), ("north", far["w"])), way((far["n"], "west"), (far["s"], "west")), way((far["s"], "east"), (far["n"], "east")),
+        way((Q1_LAT, Q1_LON), (Q1_LAT, Q3_LON), (Q3_LAT, Q3_LON)), way((Q1_LAT, Q1_LON), (Q3_LAT, Q1_LON), (Q3_LAT, Q3_LON)), way(("south", "west"), (Q1_LAT, Q1_LON)),
+    )
+    each = d.select("district_id", F.explode(ways).alias("way"))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        found = plane.built([[tuple(p) for p in way] for way in group["way"]])
+        inside = sum(size(p[0]) - sum(map(size, p[1:])) for p in found)
+        return pd.DataFrame({"district_id": group["district_id"].iloc[:1], "shells": [len(found)], "holes": [sum(len(p) - 1 for p in found)], "area": [round(inside * 1e6, 2)]})
+
+    # A relation's ways are one outline: thousands of points at most.
+    return each.groupBy("district_id").applyInPandas(build, "district_id long, shells int, holes int, area double")
+
+
+IN_HOLE = f"lat > {Q1_LAT} AND lat < {Q3_LAT} AND lon > {Q1_LON} AND lon < {Q3_LON}"
+
+
+@query(
+    f"SELECT place_id, district_id, round(CASE WHEN {IN_HOLE} THEN least((lat - {Q1_LAT}) * {LAT_M}, ({Q3_LAT} - lat) * {LAT_M}, (lon - {Q1_LON}) * {LON_M}, ({Q3_LON} - lon) * {LON_M}) ELSE {to_box('south', 'north', 'west', 'east')} END, 2) AS metres FROM places JOIN districts ON district_id % 10 = place_id % 10 AND (district_id // 10) % 5 = place_id % 5",
+    "places districts",
+)
+def geo_polygon_distance_holes(t: Tables) -> DataFrame:
+    """Planar distance of places to polygons with holes: 0 on the ground, and in a hole what is left to its rim."""
+    asked = t.places.select("place_id", "lat", "lon", (F.col("place_id") % 10).alias("k"), (F.col("place_id") % 5).alias("m"))
+    all_ = with_holes(t).withColumn("k", F.col("district_id") % 10).withColumn("m", F.floor(F.col("district_id") / 10) % 5)
+    return asked.join(all_, ["k", "m"]).select("place_id", "district_id", F.round(polygon_distance(F.col("lat"), F.col("lon"), F.col("rings")), 2).alias("metres"))
+
+
+@query(f"SELECT district_id, round((south + {Q1_LAT}) / 2, 9) AS lat, round({MID_LON}, 9) AS lon FROM districts", "districts")
+def geo_point_on_surface_holes(t: Tables) -> DataFrame:
+    """A point on the ground of each polygon with a hole, which lies around its middle."""
+    return with_holes(t).withColumn("p", point_on_surface(F.col("rings"))).select("district_id", F.round("p.lat", 9).alias("lat"), F.round("p.lon", 9).alias("lon"))

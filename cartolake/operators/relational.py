@@ -42,28 +42,46 @@ def upsert(old: DataFrame, new: DataFrame, key: str, update: dict[str, Column] |
     return joined.select(*columns)
 
 
-def within(a: DataFrame, b: DataFrame, metres: float, a_id: str, b_id: str, keep: list[Column] | None = None) -> DataFrame:
-    """Pairs of rows at most `metres` apart: a goes to its grid cell, b to its own and the eight around it, and cells are joined.
+class Cells:
+    """Grid cells for a radius: two places that are at most `metres` apart are in the same cell or in neighbouring ones.
 
     Bands of latitude are as high as the radius, and each is cut into cells as wide as the radius is at the poleward edge of
     the next band, a whole number of them around the globe; so no pair is missed at any latitude, around a pole or across
-    the antimeridian. a and b bring lat and lon (longitudes from -180 to 180); rows with a null coordinate meet nothing.
+    the antimeridian. Longitudes are from -180 to 180; a null coordinate has no cell.
     """
-    d_lat = math.degrees(metres / EARTH_M) * 1.001
 
-    def column_of(lon: Column, band: Column) -> tuple[Column, Column]:
-        edge = F.greatest(F.abs(band - 1), F.abs(band + 2)) * d_lat
-        count = F.greatest(F.lit(1), F.floor(360 / lon_reach(metres, edge)))
+    def __init__(self, metres: float):
+        self.metres, self.height = metres, math.degrees(metres / EARTH_M) * 1.001
+
+    def _column(self, lon: Column, band: Column) -> tuple[Column, Column]:
+        edge = F.greatest(F.abs(band - 1), F.abs(band + 2)) * self.height
+        count = F.greatest(F.lit(1), F.floor(360 / lon_reach(self.metres, edge)))
         return F.pmod(F.floor((lon + 180) * count / 360), count), count
 
-    band = F.floor(F.col("lat") / d_lat)
-    left = a.select(F.struct("*").alias("a"), band.alias("y"), column_of(F.col("lon"), band)[0].alias("x"))
+    def of(self, lat: Column, lon: Column) -> Column:
+        """The cell (y, x) of a place."""
+        band = F.floor(lat / self.height)
+        return F.struct(band.alias("y"), self._column(lon, band)[0].alias("x"))
+
+    def around(self, lat: Column, lon: Column) -> Column:
+        """The cell of a place and those around it, each once."""
+        band = F.floor(lat / self.height)
+
+        def row(y: Column) -> Column:
+            x, count = self._column(lon, y)
+            return F.transform(F.array_distinct(F.array(*[F.pmod(x + k, count) for k in (-1, 0, 1)])), lambda c: F.struct(y.alias("y"), c.alias("x")))
 
-    def around(y: Column) -> Column:
-        x, count = column_of(F.col("lon"), y)
-        return F.transform(F.array_distinct(F.array(*[F.pmod(x + k, count) for k in (-1, 0, 1)])), lambda c: F.struct(y.alias("y"), c.alias("x")))
+        return F.flatten(F.array(*[row(band + k) for k in (-1, 0, 1)]))
 
-    right = b.select(F.struct("*").alias("b"), F.explode(F.flatten(F.array(*[around(band + k) for k in (-1, 0, 1)]))).alias("c")).select("b", "c.y", "c.x")
+
+def within(a: DataFrame, b: DataFrame, metres: float, a_id: str, b_id: str, keep: list[Column] | None = None) -> DataFrame:
+    """Pairs of rows at most `metres` apart: a goes to its grid cell, b to its own and the eight around it, and cells are joined.
+
+    a and b bring lat and lon; rows with a null coordinate meet nothing.
+    """
+    cells = Cells(metres)
+    left = a.select(F.struct("*").alias("a"), cells.of(F.col("lat"), F.col("lon")).alias("c")).select("a", "c.y", "c.x")
+    right = b.select(F.struct("*").alias("b"), F.explode(cells.around(F.col("lat"), F.col("lon"))).alias("c")).select("b", "c.y", "c.x")
     distance = haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return left.join(right, ["y", "x"]).drop("y", "x").withColumn("metres", distance).where(F.col("metres") <= metres)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions.geo import haversine_sql
+from cartolake.operators.names import near_and_alike, prepared
 from cartolake.operators.relational import first_per, nearest_in_time, within
 from cartolake.plans.registry import query
 from cartolake.sources.tables import Tables
@@ -114,20 +115,27 @@ def jn_update_values(t: Tables) -> DataFrame:
 
 
 MATCH = haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
+#: Kinds that may be one place: food is never the market next door; words that tell no name from another.
+KIND = "CASE WHEN category = 'MARKET' THEN 'market' WHEN category IN ('WORSHIP', 'ATTRACTION', 'MUSEUM', 'PARK') THEN 'sight' WHEN category IN ('RESTAURANT', 'CAFE', 'BAR') THEN 'food' END"
+GENERIC = ("widget", "gear", "the")
+TOKENS = f"list_filter(string_split(lower(name), ' '), lambda w: w <> '' AND NOT list_contains({list(GENERIC)}, w))"
+LONG, SHORT = "CASE WHEN length({0}) > length({1}) THEN {0} ELSE {1} END", "CASE WHEN length({0}) > length({1}) THEN {1} ELSE {0} END"
+ALIKE = f"""(a.core = b.core OR (least(length(a.core), length(b.core)) >= 4 AND contains({LONG.format('a.core', 'b.core')}, {SHORT.format('a.core', 'b.core')}))
+    OR len(list_filter(a.t, lambda x: len(list_filter(b.t, lambda y: (x = y AND length(x) >= 4) OR (least(length(x), length(y)) >= 5 AND levenshtein(x, y) <= 1))) > 0)) > 0
+    OR (least(length(a.whole), length(b.whole)) >= 8 AND contains({LONG.format('a.whole', 'b.whole')}, {SHORT.format('a.whole', 'b.whole')})))"""
 
 
 @query(
-    f"""SELECT place_id, match_id FROM (SELECT a.place_id, b.place_id AS match_id, row_number() OVER (PARTITION BY a.place_id ORDER BY round({MATCH}, 3), b.place_id) AS n
-    FROM places a JOIN places b ON a.source = 'OVERTURE' AND b.source = 'OSM' AND {MATCH} <= 1200 AND (a.name = b.name OR contains(a.name, b.name) OR contains(b.name, a.name))) x WHERE n = 1""",
+    f""", t AS (SELECT place_id, source, lat, lon, {KIND} AS kind, {TOKENS} AS t0, string_split(lower(name), ' ') AS every, replace(lower(name), ' ', '') AS whole FROM places), p AS (SELECT *, CASE WHEN len(t0) = 0 THEN every ELSE t0 END AS t, array_to_string(CASE WHEN len(t0) = 0 THEN every ELSE t0 END, '') AS core FROM t)
+    SELECT place_id, match_id FROM (SELECT a.place_id, b.place_id AS match_id, row_number() OVER (PARTITION BY a.place_id ORDER BY round({MATCH}, 3), b.place_id) AS n
+    FROM p a JOIN p b ON a.source = 'OVERTURE' AND b.source = 'OSM' AND {MATCH} <= 1200 AND coalesce(a.kind = b.kind, TRUE) AND {ALIKE}) x WHERE n = 1""",
     "places",
 )
 def jn_fuzzy_match(t: Tables) -> DataFrame:
-    from cartolake.functions.text import fold_key, same_name
-
-    keyed = t.places.select("place_id", "source", fold_key(F.col("name")).alias("key"), "lat", "lon")
-    new, old = keyed.where("source = 'OVERTURE'"), keyed.where("source = 'OSM'")
-    pairs = within(new, old, 1200, "place_id", "place_id").where(same_name(F.col("a.key"), F.col("b.key")))
-    pairs = pairs.select(F.col("a.place_id").alias("place_id"), F.col("b.place_id").alias("match_id"), F.round("metres", 3).alias("metres"))
+    """For each place of one source the nearest one of the other that may be the same: of a compatible kind and a like name, by any of three rules."""
+    p = t.places.withColumn("kind_", F.expr(KIND))
+    new, old = (prepared(p.where(F.col("source") == s), "place_id", GENERIC, "kind_") for s in ("OVERTURE", "OSM"))
+    pairs = near_and_alike(new, old, 1200).select(F.col("a.id").alias("place_id"), F.col("b.id").alias("match_id"), F.round("metres", 3).alias("metres"))
     return first_per(pairs, ["place_id"], [F.col("metres"), F.col("match_id")]).select("place_id", "match_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartolake.functions.geo import haversine_sql
 from cartolake.operators.names import near_and_alike, prepared
+from cartolake.operators.quadtree import points_in
 from cartolake.operators.relational import first_per, nearest_in_time, within
 from cartolake.plans.registry import query
 from cartolake.sources.tables import Tables
@@ -162,14 +163,10 @@ CELL = 0.02
 
 @query(f"SELECT p.place_id, c.city_id AS found FROM places p JOIN cities c ON {IN_BOX}", "places cities")
 def jn_point_in_polygon(t: Tables) -> DataFrame:
-    """Rings are dealt to the grid cells that their boxes touch; points meet the rings of their cell only, then exactly."""
-    from cartolake.functions.geo import box_cells, cell, in_ring
-
+    """Which city holds each place: by its cell where that lies inside, else by the outline."""
     point = lambda lat, lon: F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
     ring = F.array(point("south", "west"), point("south", "east"), point("north", "east"), point("north", "west"), point("south", "west"))
-    cities = t.cities.select(F.col("city_id").alias("found"), ring.alias("ring"), F.explode(box_cells(F.col("south"), F.col("north"), F.col("west"), F.col("east"), CELL)).alias("c"))
-    places = t.places.select("place_id", "lat", "lon", cell(F.col("lat"), F.col("lon"), CELL, CELL).alias("c"))
-    return places.join(cities, "c").where(in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("place_id", "found")
+    return points_in(t.places.select("place_id", "lat", "lon"), t.cities.select(F.col("city_id").alias("id"), F.array(ring).alias("rings"))).select("place_id", "found")
 
 
 @query("SELECT place_id, district_id FROM places JOIN districts ON lat BETWEEN south AND north AND lon BETWEEN west AND east", "places districts")

@@ -1,6 +1,7 @@
 """Day plans: one bounded group of candidates for each request, folded slot by slot.
 
-A pass fills the slots one after the other and carries position, clock, budget and the places used. Further passes pull every
+A pass fills the slots one after the other and carries position, clock, budget and the places used. The weather is that of the
+hour of arrival, a slot's time is its next occurrence on a day that runs past midnight, and a kind of sight that the day already has loses worth. Further passes pull every
 stop towards where the day goes on; a pass replaces the one before only if it is better. Runs of stops without a fixed time
 are then put in the order that walks least. Edits rewrite the slots of what is left of a day, which is planned again.
 """
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolake.functions.sides import same_side
 from cartolake.operators.greedy import metres
 from cartolake.operators.relational import first_per
 
@@ -23,6 +25,11 @@ DETOUR, WALK_PER_MINUTE, FARTHER = 1.3, 75, 1.8
 MEAL_EARLY, OTHER_EARLY, LONGEST_WAIT, MEAL_LATE = 30, 90, 20, 60
 START_PULL, LOOK_AHEAD, BETWEEN_ROUNDS, LEAST_SAVING = 6, 15, 2, 60
 LEG, LEG_LOW = 2500, 1200
+#: Points for weather outdoors (rain, wind, wind by the sea, heat, cold) and for a roof in bad weather, for each sight of a kind again,
+#: and minutes that a slot's time may lie behind or ahead on the next day.
+WET, WIND, SEA_WIND, HEAT, COLD, ROOF, AGAIN, UPCOMING = -60, -30, -40, -35, -15, 10, -35, 180
+#: Kinds of sights of which a day should not have many, by tag.
+VARIED = ("religious",)
 
 
 @dataclass(frozen=True)
@@ -55,6 +62,23 @@ SLOTS = (
 OF_KIND = {s.kind: s for s in SLOTS}
 
 
+@dataclass(frozen=True)
+class Weather:
+    """One hour's weather; the first that holds counts."""
+
+    wet: bool = False
+    windy: bool = False
+    hot: bool = False
+    cold: bool = False
+
+    @property
+    def bad(self) -> bool:
+        return self.wet or self.windy or self.hot or self.cold
+
+
+FAIR = Weather()
+
+
 @dataclass(frozen=True)
 class Request:
     """What one plan is asked for; interests are tags."""
@@ -66,9 +90,14 @@ class Request:
     end: int = 1380
     leg: float = LEG
     interests: tuple[str, ...] = ()
-    wet: bool = False
+    wet: bool = False  # all day, whatever the hours say
+    hours: tuple[tuple[int, Weather], ...] = ()  # hour of the day and its weather; others are fair
     excluded: frozenset = frozenset()
 
+    def weather(self, minute: int) -> Weather:
+        found = dict(self.hours).get(minute // 60 % 24, FAIR)
+        return replace(found, wet=True) if self.wet else found
+
 
 @dataclass(frozen=True)
 class Stop:
@@ -100,13 +129,24 @@ def matches(place: dict, interests: tuple[str, ...]) -> bool:
     return any(t in interests for t in place.get("tags") or ())
 
 
+def upcoming(target: int | None, clock: int) -> int | None:
+    """The slot's time on the plan's line: today's unless it is over by more than UPCOMING minutes, then tomorrow's if it is that near."""
+    if target is None:
+        return None
+    today = target + clock // 1440 * 1440
+    if clock - today <= UPCOMING:
+        return today
+    return today + 1440 if today + 1440 - clock <= UPCOMING else None
+
+
 def timed(slot: Slot, place: dict, here: tuple[float, float], clock: int) -> tuple[int, int, float]:
     """(arrival, minutes walked, metres): not long before the target time, and without a long wait for what has no fixed time."""
     far = metres(here, (place["lat"], place["lon"]))
     walk = math.ceil(far * DETOUR / WALK_PER_MINUTE)
     arrival = clock + walk
-    if slot.target is not None:
-        earliest = slot.target - (MEAL_EARLY if slot.meal else OTHER_EARLY)
+    target = upcoming(slot.target, clock)
+    if target is not None:
+        earliest = target - (MEAL_EARLY if slot.meal else OTHER_EARLY)
         arrival = max(arrival, min(earliest, arrival + LONGEST_WAIT) if slot.flexible else earliest)
     return math.ceil(arrival / 5) * 5, walk, far
 
@@ -120,17 +160,37 @@ def is_open(place: dict, arrival: int, stay: int) -> bool:
     return any(opens + day <= arrival and arrival + stay <= closes + day for day in (-1440, 0))
 
 
-def score(slot: Slot, place: dict, far: float, allowance: float, request: Request, anchor: tuple[float, float] | None, weight: float) -> float:
+def outdoors(place: dict, weather: Weather) -> float:
+    """Points for the weather on arrival."""
+    if place.get("indoor"):
+        return ROOF if weather.bad else 0
+    if weather.wet:
+        return WET
+    if weather.windy:
+        return SEA_WIND if "sea" in (place.get("tags") or ()) else WIND
+    return HEAT if weather.hot else COLD if weather.cold else 0
+
+
+def repeated(place: dict, day: list[dict]) -> int:
+    """How many places of the day are of a kind with this one."""
+    kinds = set(place.get("tags") or ()) & set(VARIED)
+    return sum(bool(kinds & set(p.get("tags") or ())) for p in day)
+
+
+def score(slot: Slot, place: dict, far: float, allowance: float, request: Request, anchor: tuple[float, float] | None, weight: float, arrival: int = 0, day: list[dict] | None = None) -> float:
+    weather = request.weather(arrival)
     rating = place["rating"] if place["rating"] is not None else 3.8
     cost = place["cost"]
     price = -4.0 if cost is None else 10 * (1 - cost / max(1.0, allowance)) if cost <= allowance else -20.0
-    out = 20 * rating - 25 * far / LEG + price
-    out += 12 if slot.kind == "SIGHTSEEING" and matches(place, request.interests) else 0
-    out -= 40 if request.wet and not place.get("indoor") else 0
+    out = 20 * rating - 25 * far / LEG + price + outdoors(place, weather)
+    if slot.kind == "SIGHTSEEING":
+        rained_out = weather.wet and not place.get("indoor")
+        out += 12 if matches(place, request.interests) and not rained_out else 0
+        out += AGAIN * repeated(place, day or [])
     return out - (weight * metres(anchor, (place["lat"], place["lon"])) / request.leg if anchor else 0)
 
 
-def fill(index: int, slot: Slot, here: tuple[float, float], clock: int, left: float, allowance: float, used: set, candidates: list[dict], request: Request, anchor, weight: float) -> Stop | None:
+def fill(index: int, slot: Slot, here: tuple[float, float], clock: int, left: float, allowance: float, used: set, candidates: list[dict], request: Request, anchor, weight: float, day: list[dict] | None = None) -> Stop | None:
     """The pinned place if it is still possible, else the best one near, else farther, else the best beyond the budget."""
     tiers: dict[int, tuple] = {}
     for place in candidates:
@@ -140,13 +200,13 @@ def fill(index: int, slot: Slot, here: tuple[float, float], clock: int, left: fl
         if not is_open(place, arrival, slot.stay) or arrival + slot.stay > request.end:
             continue
         affordable = (place["cost"] or 0) <= left
-        if slot.pinned == place["place_id"] and far <= FARTHER * request.leg and not (request.wet and not place.get("indoor")):
+        if slot.pinned == place["place_id"] and far <= FARTHER * request.leg and not (request.weather(arrival).wet and not place.get("indoor")):
             tier = 0
         elif far <= FARTHER * request.leg and place["category"] in slot.categories:
             tier = (1 if far <= request.leg else 2) if affordable else 3
         else:
             continue
-        key = (round(score(slot, place, far, allowance, request, anchor, weight), 4), -place["place_id"])
+        key = (round(score(slot, place, far, allowance, request, anchor, weight, arrival, day), 4), -place["place_id"])
         if tier not in tiers or key > tiers[tier][0]:
             tiers[tier] = (key, Stop(index, slot, place, arrival, walk, far))
     return tiers[min(tiers)][1] if tiers else None
@@ -159,7 +219,7 @@ def one_pass(request: Request, candidates: list[dict], anchors: dict[int, tuple[
     for index, slot in enumerate(request.slots):
         allowance = left * slot.share / shares if shares > 0 else left
         shares -= slot.share
-        stop = fill(index, slot, here, clock, left, allowance, used, candidates, request, (anchors or {}).get(index), weight)
+        stop = fill(index, slot, here, clock, left, allowance, used, candidates, request, (anchors or {}).get(index), weight, [s.place for s in plan.stops])
         if stop is None:
             continue
         plan.stops.append(stop)
@@ -198,12 +258,14 @@ def passes(request: Request, candidates: list[dict]) -> Plan:
 
 
 def retimed(stops: list[Stop], request: Request) -> Plan | None:
-    """The stops in this order with new times; None where one is closed, a meal starts late or the day ends too late."""
+    """The stops in this order with new times; None where one is closed, a meal starts late, the day ends too late or a stop comes into the rain."""
     here, clock, plan = request.start, request.clock, Plan()
     for s in stops:
         arrival, walk, far = timed(s.slot, s.place, here, clock)
-        late = s.slot.meal and s.slot.target is not None and arrival > s.slot.target + MEAL_LATE
-        if late or not is_open(s.place, arrival, s.slot.stay) or arrival + s.slot.stay > request.end:
+        target = upcoming(s.slot.target, clock)
+        late = s.slot.meal and target is not None and arrival > target + MEAL_LATE
+        rain = not s.place.get("indoor") and request.weather(arrival).wet and not request.weather(s.arrival).wet
+        if late or rain or not is_open(s.place, arrival, s.slot.stay) or arrival + s.slot.stay > request.end:
             return None
         plan.stops.append(replace(s, arrival=arrival, walk=walk, metres=far))
         here, clock = s.at, arrival + s.slot.stay
@@ -242,6 +304,7 @@ def edited(edit: str, plan: Plan, request: Request, done: int = 1, chosen: int =
     left = request.budget - sum(s.place["cost"] or 0 for s in past)
     now = replace(request, start=past[-1].at if past else request.start, clock=past[-1].leaves if past else request.clock, budget=left)
     if edit == "TIRED":
+        excluded |= {s.place["place_id"] for s in rest if s.slot.kind == "SIGHTSEEING" and not s.place.get("indoor")}
         slots = [p for p, s in zip(slots, rest, strict=True) if not (p.kind == "SIGHTSEEING" and not s.place.get("indoor"))]
         if not slots or slots[0].kind not in ("COFFEE", "DESSERT"):
             slots = [replace(OF_KIND["COFFEE"], target=None, stay=30), *(p for p in slots if p.kind != "COFFEE")]
@@ -277,18 +340,21 @@ PLANNED = "request_id long, position int, slot string, place_id long, arrival in
 def plan_days(requests: DataFrame, candidates: DataFrame, how: str = "passes", per_category: int = 40) -> DataFrame:
     """One row per planned stop. how: `greedy` (one pass), `passes`, `reorder` (passes, then better orders) or `replan`.
 
-    requests: request_id, lat, lon, budget, interest, and for replan edit; candidates: request_id, metres and FIELDS. They are
-    cut to the nearest few of each category before a request's rows meet, so a group holds a few hundred rows at most.
+    requests: request_id, lat, lon, budget, interest, hours (array of hour, wet, windy, hot, cold) and for replan edit; candidates: request_id, metres and
+    FIELDS. Those across the strait from the start go, and the rest are cut to the nearest few of each category before a
+    request's rows meet, so a group holds a few hundred rows at most.
     """
-    near = first_per(candidates, ["request_id", "category"], [F.col("metres"), F.col("place_id")], per_category)
     asked = requests.withColumnsRenamed({"lat": "from_lat", "lon": "from_lon"})
+    reached = candidates.join(asked.select("request_id", "from_lat", "from_lon"), "request_id").where(same_side(F.col("lat"), F.col("lon"), F.col("from_lat"), F.col("from_lon"))).drop("from_lat", "from_lon")
+    near = first_per(reached, ["request_id", "category"], [F.col("metres"), F.col("place_id")], per_category)
     rows = near.join(asked, "request_id")
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place_id")
         first = group.iloc[0]
         found = [{k: list(v) if k == "tags" else None if pd.isna(v) else v for k, v in r.items()} for r in group[FIELDS].to_dict("records")]
-        request = Request((first.from_lat, first.from_lon), float(first.budget), interests=(first.interest,))
+        hours = tuple((int(h["hour"]), Weather(*(bool(h[c]) for c in ("wet", "windy", "hot", "cold")))) for h in first.hours)
+        request = Request((first.from_lat, first.from_lon), float(first.budget), interests=(first.interest,), hours=hours)
         made = one_pass(request, found) if how == "greedy" else passes(request, found)
         if how == "reorder":
             made = reordered(made, request)

@@ -45,17 +45,12 @@ MAP = R.written("""
 NAMES = R.written("""
     nameless -> no name
     digits -> generic name
-    single word=kafe|cafe|park|market|firin|muze -> generic name
-    !amenity=theatre !tourism=museum !tourism=viewpoint stem=kantin|yemekhane|lojman|orduev|personel -> institution
-    amenity=cafe|restaurant|fast_food stem=okul|lise|fakulte -> school
-    leisure=park|garden stem=okul|lise|fakulte -> school
-    amenity=cafe|restaurant|fast_food stem=hastane|jandarma -> institution
-    amenity=cafe|restaurant|fast_food word=yurt|yurdu -> institution
-    word=sosyal stem=tesis stem=emniyet|polis !stem=belediye -> institution
-    amenity=cafe|restaurant|fast_food|marketplace stem=eczane|emlak|otopark !stem=kahve !stem=lokanta -> another business
-    shop=supermarket stem=eczane|emlak|otopark -> another business
-    amenity=marketplace word=hayvan stem=pazar -> livestock market
-    tourism=viewpoint|attraction stem=otel|pansiyon|dernek -> not a sight
+    single word=kafe|market|park -> generic name
+    stem=kantin !tourism=museum -> not public
+    word=sosyal stem=emniyet -> not public
+    stem=eczane !stem=kahve -> another business
+    amenity=marketplace word=hayvan -> livestock market
+    tourism=viewpoint|attraction stem=pansiyon -> not a sight
 """)
 #: Why an element is none; signs of a business open to all end the search before the name is looked at.
 ELEMENTS = [
@@ -68,24 +63,6 @@ ELEMENTS = [
 """),
     *NAMES,
 ]
-#: Kinds of food places, by cuisine or name.
-KINDS = R.written("""
-    stem=kiraathane|kahvehane -> KIRAATHANE
-    word=cig word=kofte -> CIGKOFTE
-    cuisine=fish|seafood -> FISH
-    stem=balik !stem=balikesir -> FISH
-    cuisine=kebab|stem=kebap|stem=ocakbasi -> KEBAB
-    cuisine=doner|stem=doner -> DONER
-    stem=pide|stem=lahmacun -> PIDE
-    stem=lokanta|stem=esnaf -> LOKANTA
-    cuisine=pizza|stem=pizza -> PIZZA
-    cuisine=ice_cream|stem=dondurma -> ICE_CREAM
-    stem=pastane -> PASTRY
-    stem=simit -> SIMIT
-    shop=bakery stem=firin|ekmek -> BAKERY
-    cuisine=tea|stem=cay -> TEA_HOUSE
-    shop=coffee|stem=kahve|stem=coffee -> COFFEE
-""")
 #: Chains and kinds of groceries.
 MARKETS = R.written("""
     word=yildiz word=market -> chain
@@ -184,11 +161,24 @@ def er_realism_name(t: Tables) -> DataFrame:
     return decide(t, NAMES).withColumnRenamed("outcome", "reason")
 
 
-@query(decided(KINDS) + "SELECT element_id, outcome AS kind FROM d JOIN elements USING (element_id) WHERE amenity IN ('cafe', 'restaurant', 'fast_food') OR shop IN ('bakery', 'coffee')", "elements")
+FOOD = "amenity IN ('cafe', 'restaurant', 'fast_food') OR shop IN ('bakery', 'coffee')"
+
+
+@query(
+    f""", {FACTS}, m AS (SELECT element_id, arg_min(outcome, rule) AS kind, max(confidence) FILTER (rule = first) AS confidence FROM (SELECT element_id, rule, outcome, confidence, min(rule) OVER (PARTITION BY element_id) AS first FROM f JOIN kind_rules ON list_has_all(facts, ['brand=' || brand, 'word=' || word])) x GROUP BY element_id)
+    SELECT element_id, m.kind, m.confidence FROM elements LEFT JOIN m USING (element_id) WHERE {FOOD}""",
+    "elements kind_rules",
+)
 def er_place_kind(t: Tables) -> DataFrame:
-    """The kind of every food place; null where only its category is known."""
-    food = t.elements.where("amenity IN ('cafe', 'restaurant', 'fast_food') OR shop IN ('bakery', 'coffee')").select("element_id")
-    return decide(t, KINDS).join(food, "element_id", "left_semi").withColumnRenamed("outcome", "kind")
+    """The kind of every food place with the rule's confidence, by a table of hundreds of weighted rules; null where only its category is known."""
+    food = t.elements.where(FOOD).select("element_id")
+    table = t.kind_rules
+    need = F.array(F.concat(F.lit("brand="), F.col("brand")), F.concat(F.lit("word="), F.col("word")))
+    # An outcome carries its rule, so that weights and confidence come from the table.
+    rules = table.select(F.col("rule").cast("int").alias("rule"), F.col("rule").cast("string").alias("outcome"), F.lit(2).alias("needs"), F.explode(need).alias("fact"), F.lit(False).alias("forbids"))
+    found = R.first_match(element_facts(t).join(food, "element_id", "left_semi"), "element_id", F.col("facts"), rules)
+    kinds = table.select(F.col("rule").cast("string").alias("by"), F.col("outcome").alias("kind"), "confidence")
+    return found.join(kinds, F.col("outcome") == F.col("by"), "left").select("element_id", "kind", "confidence")
 
 
 @query(decided(MARKETS) + "SELECT element_id, coalesce(outcome, 'other') AS market FROM d JOIN elements USING (element_id) WHERE shop IS NOT NULL", "elements")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions import text as X
@@ -75,30 +75,59 @@ def er_intent_fallback(t: Tables) -> DataFrame:
     return joined.select("note_id", F.coalesce("answer", "intent").alias("intent"), F.col("answer").isNotNull().alias("by_model"))
 
 
-#: What a wish for another stop may say beside names of dishes.
-WISH_RULES = R.written("""
-    word=daha stem=ucuz -> cheaper
-    word=daha stem=yakin -> closer
-    stem=kapali -> indoor
-    stem=kahve -> coffee
-    stem=deniz -> sea
-    stem=plan -> plan
-""")
-#: Words without a wish of their own.
-EMPTY_WORDS = ("bir", "daha", "icin", "gun", "gunu", "olsun", "olacak", "nasil", "the", "and", "this", "after", "day")
+#: Beginnings of words that say cheaper, closer, under a roof or in the open, and tags; words without a wish of their own.
+CHEAP, CLOSE, ROOFED, OPEN_AIR = ("ucuz", "cheap"), ("yakin", "close"), ("kapali", "indoor"), ("acikhava", "outdoor")
+TAGS = {"kahve": "coffee", "deniz": "sea", "gezel": "tour", "hava": "weather"}
+FILLER = ("bir", "daha", "icin", "gun", "gunu", "olsun", "olacak", "nasil", "the", "and", "this", "after", "day")
+#: Endings that a word is looked for without, if four letters are left.
+TAKEN_OFF = ("lar", "ler", "ci", "cu", "li", "lu", "si", "su")
+
+SAID = f"list_filter(list_transform(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}]+'), lambda w: lower(translate(w, '{X.MARKED}', '{X.PLAIN}'))), lambda w: w <> '')"
+
+
+def any_of(w: str, stems: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"starts_with({w}, '{x}')" for x in stems) + ")"
+
+
+TAG = "CASE " + " ".join(f"WHEN starts_with(w, '{x}') THEN '{tag}'" for x, tag in TAGS.items()) + " END"
+STEM = "CASE " + " ".join(f"WHEN suffix(w, '{e}') AND length(w) >= {len(e) + 4} THEN left(w, length(w) - {len(e)})" for e in TAKEN_OFF) + " ELSE w END"
+TELLS = f"length(w) >= 3 AND w NOT IN {FILLER} AND NOT {any_of('w', CHEAP + CLOSE + ROOFED + OPEN_AIR)}"
 
 
 @query(
-    """SELECT note_id, array_to_string(list_sort(list_filter([CASE WHEN said_wish = 1 THEN 'cheaper' END, CASE WHEN said_area = 2 THEN 'coffee' END, CASE WHEN said_wish IN (0, 6) THEN 'plan' END], lambda x: x IS NOT NULL)), ',') AS wishes,
-    CASE said_wish WHEN 0 THEN 'planla' WHEN 1 THEN 'ucuz' WHEN 2 THEN 'ikinci,duragi,sil' WHEN 3 THEN 'hava' WHEN 4 THEN 'merhaba' WHEN 5 THEN 'butcem' ELSE 'kisi,plan' END AS words FROM notes""",
+    f""", w AS (SELECT note_id, {SAID} AS ws FROM notes), j AS (SELECT *, array_to_string(ws, '') AS joined, list_filter(ws, lambda w: {TELLS}) AS telling FROM w)
+    SELECT note_id, len(list_filter(ws, lambda w: {any_of('w', CHEAP)})) > 0 AS cheaper, len(list_filter(ws, lambda w: {any_of('w', CLOSE)})) > 0 AS closer,
+    CASE WHEN {' OR '.join(f"contains(joined, '{x}')" for x in OPEN_AIR)} THEN FALSE WHEN {' OR '.join(f"contains(joined, '{x}')" for x in ROOFED)} THEN TRUE END AS indoor,
+    array_to_string(list_sort(list_distinct(list_filter(list_transform(telling, lambda w: {TAG}), lambda x: x IS NOT NULL))), ',') AS tags,
+    array_to_string(list_sort(list_distinct(list_transform(list_filter(telling, lambda w: {TAG} IS NULL), lambda w: {STEM}))), ',') AS words FROM j""",
     "notes",
 )
 def er_stop_wish(t: Tables) -> DataFrame:
-    """What each note wishes for: tags by rules, and the words of its last part that say something."""
-    n = t.notes
-    found = R.every_match(n, "note_id", F.concat(R.facts({}), R.name_facts(F.col("content"))), R.conditions(t.spark, WISH_RULES)).withColumnRenamed("outcomes", "wishes")
-    w = X.words(F.col("content"))
-    last = F.slice(w, F.greatest(F.size(w) - 4, F.lit(1)), F.lit(5))
-    known = ("ikinci", "duragi", "sil", "planla", "ucuz", "hava", "merhaba", "butcem", "kisi", "plan")
-    telling = F.filter(last, lambda x: x.isin(*known) & ~x.isin(*EMPTY_WORDS))
-    return n.select("note_id", F.array_join(telling, ",").alias("words")).join(found, "note_id")
+    """What each note wishes of a stop: cheaper, closer, under a roof or not, tags, and the words to look for, without endings."""
+    begins = lambda w, stems: F.reduce(F.array(*[F.startswith(w, F.lit(x)) for x in stems]), F.lit(False), lambda a, b: a | b)
+
+    def tag_of(w: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for x, name in TAGS.items():
+            out = out.when(F.startswith(w, F.lit(x)), name)
+        return out
+
+    def stem_of(w: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for e in TAKEN_OFF:
+            out = out.when(F.endswith(w, F.lit(e)) & (F.length(w) >= len(e) + 4), F.left(w, F.length(w) - len(e)))
+        return out.otherwise(w)
+
+    said = t.notes.select("note_id", X.words(F.col("content")).alias("ws")).withColumn("joined", F.array_join("ws", ""))
+    tells = lambda w: (F.length(w) >= 3) & ~w.isin(*FILLER) & ~begins(w, CHEAP + CLOSE + ROOFED + OPEN_AIR)
+    said = said.withColumn("telling", F.filter("ws", tells))
+    inside = lambda stems: F.reduce(F.array(*[F.contains("joined", F.lit(x)) for x in stems]), F.lit(False), lambda a, b: a | b)
+    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return said.select(
+        "note_id",
+        F.exists("ws", lambda w: begins(w, CHEAP)).alias("cheaper"),
+        F.exists("ws", lambda w: begins(w, CLOSE)).alias("closer"),
+        F.when(inside(OPEN_AIR), False).when(inside(ROOFED), True).alias("indoor"),
+        listed(F.array_compact(F.transform("telling", tag_of))).alias("tags"),
+        listed(F.transform(F.filter("telling", lambda w: tag_of(w).isNull()), stem_of)).alias("words"),
+    )

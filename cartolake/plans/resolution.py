@@ -119,7 +119,13 @@ def days(t: Tables, how: str) -> DataFrame:
         F.get(interests, (u % 4).cast("int")).alias("interest"), F.get(edits, (u % len(dayplan.EDITS)).cast("int")).alias("edit"),
     )
     hours = t.opening_hours.where("day = 6").select("place_id", "opens", "closes")
-    p = t.places.where(P.plannable()).join(hours, "place_id", "left").select(*dayplan.FIELDS)
+    sacred = F.when(F.col("place_id") % 5 == 0, F.array_append("tags", F.lit("religious"))).otherwise(F.col("tags"))
+    p = t.places.where(P.plannable()).join(hours, "place_id", "left").withColumn("tags", sacred).select(*dayplan.FIELDS)
+    # The day's weather by the hour; one row for each request's day of the month, 24 hours each.
+    value = F.avg("value")
+    of_hour = t.events.groupBy((F.dayofmonth("ts") % 10).alias("sky"), F.hour("ts").alias("hour")).agg((value > 270).alias("wet"), (F.count_if(F.col("event_type") == "error") > F.count("*") / 4).alias("windy"), (value > 255).alias("hot"), (value < 225).alias("cold"))
+    skies = of_hour.groupBy("sky").agg(F.sort_array(F.collect_list(F.struct("hour", "wet", "windy", "hot", "cold"))).alias("hours"))
+    requests = requests.withColumn("sky", (F.col("request_id") % 10).cast("int")).join(skies, "sky", "left").withColumn("hours", F.coalesce("hours", F.array().cast(skies.schema["hours"].dataType))).drop("sky")
     near = within(requests.select("request_id", "lat", "lon"), p, 1500, "request_id", "place_id").select("a.request_id", "b.*", "metres")
     return dayplan.plan_days(requests, near, how)
 

@@ -114,6 +114,13 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
            FROM (SELECT CAST(o_orderkey AS BIGINT) AS note_id, o_custkey % 25 AS city, o_custkey % 40 AS district, o_orderkey % 23 AS here, o_orderkey % 11 AS said_day, o_orderkey % 5 AS said_area, o_orderkey % 7 AS said_wish,
              DATE '2026-05-02' + CAST(o_custkey % 200 AS INT) AS day, o_custkey % 7 AS weekday FROM orders) n""",
     ),
+    # Rules for kinds of food places: a brand and a word, heavier ones first, with the share of the brand's rows that have the word.
+    "kind_rules": (
+        ("part",),
+        """SELECT row_number() OVER (ORDER BY n DESC, brand, word) AS rule, concat('KIND_', upper(word), '_', right(brand, 1)) AS outcome, brand, word, n AS weight, round(n * 1.0e0 / sum(n) OVER (PARTITION BY brand), 6) AS confidence
+           FROM (SELECT lower(replace(p_brand, 'Brand#', 'b')) AS brand, split_part(p_name, ' ', 1) AS word, count(*) AS n FROM part GROUP BY 1, 2
+           UNION ALL SELECT lower(replace(p_brand, 'Brand#', 'b')), split_part(p_name, ' ', 2), count(*) FROM part GROUP BY 1, 2) k""",
+    ),
     "photos": (("labels",), "SELECT doc_id AS photo_id, doc_id % 200 AS place_id, quality, toxic FROM labels"),
 }
 

@@ -19,7 +19,7 @@ def town(seed, n=120, spread=0.02):
     return [
         {
             "place_id": k, "category": r.choice(kinds), "cost": r.choice([None, 50, 200, 900]), "rating": r.choice([None, 3.1, 4.0, 4.8]), "lat": 41 + r.uniform(-spread, spread), "lon": 29 + r.uniform(-spread, spread),
-            "indoor": r.random() < 0.5, "tags": [r.choice(["sea", "art", "old"])], "opens": r.choice([None, 480, 600]), "closes": r.choice([None, 1320, 60]),
+            "indoor": r.random() < 0.5, "tags": [r.choice(["sea", "art", "old", "religious"]), "x"], "opens": r.choice([None, 480, 600]), "closes": r.choice([None, 1320, 60]),
         }
         for k in range(n)
     ]
@@ -56,12 +56,106 @@ def test_first_stop_by_trying_all(seed):
         if p["category"] in slot.categories and D.is_open(p, arrival, slot.stay) and far <= D.FARTHER * request.leg:
             tier = 3 if (p["cost"] or 0) > request.budget else 1 if far <= request.leg else 2
             allowance = request.budget * slot.share / sum(s.share for s in request.slots)
-            tiers[tier].append((round(D.score(slot, p, far, allowance, request, None, 0), 4), -p["place_id"]))
+            tiers[tier].append((round(D.score(slot, p, far, allowance, request, None, 0, arrival), 4), -p["place_id"]))
     wanted = next((-max(t)[1] for t in tiers.values() if t), None)
     first = D.one_pass(request, places).stops[0]
     assert first.slot == slot and first.place["place_id"] == wanted
 
 
+def plain_day(request, places, anchors=None, weight=0):
+    """A whole pass from its rules, in tables of all slots and places: (slot's index, place, arrival) of each stop."""
+    out, lat, lon, clock, left = [], *request.start, request.clock, request.budget
+    gone = set(request.excluded)
+    for i, slot in enumerate(request.slots):
+        allowance = left * slot.share / sum(s.share for s in request.slots[i:])
+        table = []
+        for p in places:
+            far = metres((lat, lon), (p["lat"], p["lon"]))
+            walk = -(-far * 1.3 // 75)
+            at = clock + walk
+            due = None
+            if slot.target is not None:
+                days = [slot.target + 1440 * d for d in range(4) if d >= clock // 1440]
+                due = days[0] if clock - days[0] <= 180 else days[1] if days[1] - clock <= 180 else None
+            if due is not None:
+                opens_at = due - (30 if slot.kind in ("BREAKFAST", "LUNCH", "DINNER") else 90)
+                at = max(at, min(opens_at, at + 20) if slot.kind in ("SIGHTSEEING", "COFFEE", "DESSERT") else opens_at)
+            at = int(-(-at // 5) * 5)
+            o, c = p["opens"], p["closes"]
+            shut = o is not None and c is not None and not any(o + d <= at and at + slot.stay <= c + (1440 if c <= o else 0) + d for d in (-1440, 0))
+            if p["place_id"] in gone or p["category"] not in slot.categories or shut or at + slot.stay > request.end or far > 1.8 * request.leg:
+                continue
+            hour = dict(request.hours).get(at // 60 % 24, D.Weather())
+            wet = hour.wet or request.wet
+            points = 20 * (3.8 if p["rating"] is None else p["rating"]) - 25 * far / 2500
+            points += -4 if p["cost"] is None else -20 if p["cost"] > allowance else 10 - 10 * p["cost"] / max(1.0, allowance)
+            if p["indoor"]:
+                points += 10 if wet or hour.windy or hour.hot or hour.cold else 0
+            else:
+                points -= 60 if wet else (40 if "sea" in p["tags"] else 30) if hour.windy else 35 if hour.hot else 15 if hour.cold else 0
+            if slot.kind == "SIGHTSEEING":
+                points += 12 if set(p["tags"]) & set(request.interests) and (p["indoor"] or not wet) else 0
+                points -= 35 * sum("religious" in q["tags"] for _, q, _ in out) if "religious" in p["tags"] else 0
+            if anchors and i in anchors:
+                points -= weight * metres(anchors[i], (p["lat"], p["lon"])) / request.leg
+            dear = (p["cost"] or 0) > left
+            table.append((2 if dear else far > request.leg, -round(points, 4), p["place_id"], at, p))
+        if table:
+            _, _, _, at, p = min(table, key=lambda x: x[:3])
+            out.append((i, p, at))
+            gone.add(p["place_id"])
+            lat, lon, clock, left = p["lat"], p["lon"], at + slot.stay, left - (p["cost"] or 0)
+    return out
+
+
+def skies(seed):
+    r = random.Random(seed)
+    return tuple((h, D.Weather(*(r.random() < 0.25 for _ in range(4)))) for h in range(24) if r.random() < 0.8)
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_whole_days_by_a_plain_twin(seed):
+    """Every stop of a pass, in all weathers, with repeated kinds of sights, at late clocks and with pulls."""
+    request = ask(seed, hours=skies(seed), clock=random.Random(seed).choice([540, 700, 1000, 1290, 1500]), end=random.Random(seed).choice([1380, 1700, 2100]), wet=seed % 5 == 0)
+    places = town(seed + 100)
+    mine = lambda plan: [(s.index, s.place["place_id"], s.arrival) for s in plan.stops]
+    twin = lambda found: [(i, p["place_id"], at) for i, p, at in found]
+    assert mine(D.one_pass(request, places)) == twin(plain_day(request, places))
+    pull = dict.fromkeys(range(len(request.slots)), request.start)
+    first = plain_day(request, places, pull, 6)
+    assert mine(D.one_pass(request, places, pull, 6)) == twin(first)
+    # The passes after it, each kept only if better.
+    path = lambda found: sum(metres(a, b) for a, b in itertools.pairwise([request.start, *((p["lat"], p["lon"]) for _, p, _ in found)]))
+    rank = lambda found: (len(found), sum(bool(set(p["tags"]) & set(request.interests)) for _, p, _ in found))
+    better = lambda a, b: rank(a) > rank(b) or (rank(a) == rank(b) and path(a) + 60 < path(b))
+    mean = lambda ps: tuple(sum(x) / len(ps) for x in zip(*ps, strict=True))
+    best = first
+    if len(first) >= 3:
+        at = [(p["lat"], p["lon"]) for _, p, _ in first]
+        best = max([first, plain_day(request, places, {i: mean(at[n + 1 :]) for n, (i, _, _) in enumerate(first[:-1])}, 15)], key=lambda f: f is not first and better(f, first))
+        for _ in range(2):
+            line = [request.start, *((p["lat"], p["lon"]) for _, p, _ in best)]
+            found = plain_day(request, places, {i: mean([line[n], *line[n + 2 : n + 3]]) for n, (i, _, _) in enumerate(best)}, 15)
+            if not better(found, best):
+                break
+            best = found
+    assert mine(D.passes(request, places)) == twin(best)
+
+
+def test_upcoming_times():
+    assert [D.upcoming(780, c) for c in (540, 780, 960, 961, 2040, 2220, 2401)] == [780, 780, 780, None, 2220, 2220, None]
+    assert D.upcoming(30, 1300) == 1470 and D.upcoming(30, 1200) is None and D.upcoming(None, 5) is None
+
+
+def test_orders_do_not_move_stops_into_the_rain():
+    slots = (replace(D.OF_KIND["SIGHTSEEING"], target=None), replace(D.OF_KIND["SIGHTSEEING"], target=None))
+    place = lambda k, lat, indoor: {"place_id": k, "category": "PARK", "cost": 0, "rating": 4.0, "lat": lat, "lon": 29.0, "indoor": indoor, "tags": [], "opens": None, "closes": None}
+    dry = ask(0, slots=slots)
+    stops = [D.Stop(0, slots[0], place(1, 41.01, False), 600, 1, 1.0), D.Stop(1, slots[1], place(2, 41.005, True), 700, 1, 1.0)]
+    late = replace(dry, hours=tuple((h, D.Weather(wet=h >= 10 and h != 10)) for h in range(24)))
+    assert D.retimed(stops[::-1], dry) is not None and D.retimed(stops, late) is not None and D.retimed(stops[::-1], replace(late, clock=610)) is None
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_passes_and_reorder(seed):
     request, places = ask(seed), town(seed)

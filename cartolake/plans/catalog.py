@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolake.plans import aggregates, classify, extracts, filters, geometry, joins, landing, messages, more, ranking, registry, resolution, scalars, sets, sinks, streams, windows
+from cartolake.plans import aggregates, classify, extracts, filters, geometry, joins, landing, messages, more, ranking, registry, resolution, scalars, sets, sinks, streams, templates, windows
 
-MODULES = (filters, joins, aggregates, windows, ranking, sets, scalars, sinks, resolution, streams, more, classify, geometry, landing, messages, extracts)
+MODULES = (filters, joins, aggregates, windows, ranking, sets, scalars, sinks, resolution, streams, more, classify, geometry, landing, messages, extracts, templates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -36,12 +36,13 @@ def jn_left_multi(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT u.user_id FROM users u LEFT JOIN (SELECT DISTINCT user_id FROM routes WHERE route_id < 100) m ON m.user_id = u.user_id WHERE u.user_id < 10 OR m.user_id IS NOT NULL",
+    "SELECT u.user_id FROM users u LEFT JOIN (SELECT DISTINCT user_id FROM routes WHERE saved AND status = 'DRAFT') m ON m.user_id = u.user_id WHERE u.balance < 0 OR m.user_id IS NOT NULL",
     "users routes",
 )
 def jn_left_or_filter(t: Tables) -> DataFrame:
-    m = t.routes.where("route_id < 100").select(F.col("user_id").alias("member")).distinct()
-    return t.users.join(m, F.col("user_id") == F.col("member"), "left").where("user_id < 10 OR member IS NOT NULL").select("user_id")
+    """Users by a fact of their own or by what a left join finds."""
+    m = t.routes.where("saved AND status = 'DRAFT'").select(F.col("user_id").alias("member")).distinct()
+    return t.users.join(m, F.col("user_id") == F.col("member"), "left").where("balance < 0 OR member IS NOT NULL").select("user_id")
 
 
 @query(
@@ -101,9 +102,9 @@ def jn_radius_self(t: Tables) -> DataFrame:
     return pairs.where("place_id <> other").groupBy("place_id").agg(F.count("*").alias("food_near")).where("food_near >= 3")
 
 
-@query("SELECT p_partkey AS place_id, d.day FROM part CROSS JOIN (SELECT unnest(range(1, 8)) AS day) d WHERE p_size % 2 = 0")
+@query("SELECT p_partkey AS place_id, d.day FROM part CROSS JOIN (SELECT unnest(range(1, 8)) AS day) d")
 def jn_cross_series(t: Tables) -> DataFrame:
-    return t.part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("place_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("day"))
+    return t.part.select(F.col("p_partkey").alias("place_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("day"))
 
 
 @query(

@@ -241,14 +241,6 @@ def pl_pinned(t: Tables) -> DataFrame:
     return t.route_stops.join(p, "place_id").select("route_id", "position", (~F.col("hidden") & F.col("known").isNotNull()).alias("pinned"))
 
 
-@query(
-    ", k AS (SELECT user_id, sum(CASE WHEN liked THEN 1 ELSE -1 END)::BIGINT AS net, max(route_id) AS face FROM routes JOIN route_feedback USING (route_id) GROUP BY user_id) SELECT user_id, net, face FROM k WHERE net > 0 ORDER BY net DESC, user_id LIMIT 60", "routes route_feedback"
-)
-def pl_template_find(t: Tables) -> DataFrame:
-    k = t.routes.join(t.route_feedback, "route_id").groupBy("user_id").agg(F.sum(F.when(F.col("liked"), 1).otherwise(-1)).alias("net"), F.max("route_id").alias("face"))
-    return k.where("net > 0").orderBy(F.desc("net"), "user_id").limit(60)
-
-
 @query("SELECT city_id, name AS title, votes FROM (SELECT city_id, name, count(*) AS votes, row_number() OVER (PARTITION BY city_id ORDER BY count(*) DESC, name) AS n FROM places GROUP BY city_id, name) x WHERE n = 1", "places")
 def pl_area_title(t: Tables) -> DataFrame:
     votes = t.places.groupBy("city_id", F.col("name").alias("title")).agg(F.count("*").alias("votes"))

@@ -203,22 +203,6 @@ def pl_timing(t: Tables) -> DataFrame:
     return around(t.places, 1e6).select("place_id", S.round5(F.least(F.greatest(there, F.lit(570)), there + 20)).alias("arrival"))
 
 
-@query(
-    """, s AS (SELECT route_id, list_distinct(list(place_id % 7)) AS kinds, count(*) AS n FROM route_stops GROUP BY route_id)
-    SELECT a.route_id AS a, b.route_id AS b FROM s a JOIN s b ON a.route_id < b.route_id AND a.n = b.n JOIN routes ra ON ra.route_id = a.route_id JOIN routes rb ON rb.route_id = b.route_id AND ra.user_id = rb.user_id
-    WHERE len(list_intersect(a.kinds, b.kinds)) * 2 >= len(list_distinct(list_concat(a.kinds, b.kinds)))""",
-    "route_stops routes",
-)
-def pl_similarity(t: Tables) -> DataFrame:
-    """Pairs of a user's routes with as many stops and at least half of the kinds in common."""
-    from cartolake.functions.text import jaccard
-
-    s = t.route_stops.groupBy("route_id").agg(F.collect_set(F.col("place_id") % 7).alias("kinds"), F.count("*").alias("n")).join(t.routes.select("route_id", "user_id"), "route_id")
-    a, b = s.alias("a"), s.alias("b")
-    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.route_id") < F.col("b.route_id"))
-    return a.join(b, same).where(jaccard(F.col("a.kinds"), F.col("b.kinds")) >= 0.5).select(F.col("a.route_id").alias("a"), F.col("b.route_id").alias("b"))
-
-
 @query(
     "SELECT r.route_id, count(*) FILTER (NOT s.skipped) >= ceil(count(*) * 0.6e0) AND coalesce(sum(p.cost) FILTER (NOT s.skipped), 0) <= any_value(r.budget) AS accepted FROM routes r JOIN route_stops s USING (route_id) JOIN places p USING (place_id) GROUP BY r.route_id",
     "routes route_stops places",
@@ -230,10 +214,25 @@ def pl_template_accept(t: Tables) -> DataFrame:
     return rows.groupBy("route_id").agg(((kept >= F.ceil(F.count("*") * F.lit(0.6))) & (cost <= F.first("budget"))).alias("accepted"))
 
 
-@query("SELECT * FROM (VALUES ('BREAKFAST', 540, 45), ('SIGHT', 660, 90), ('LUNCH', 780, 60), ('SIGHT', 900, 90), ('DINNER', 1170, 90)) v(slot, starts, minutes) WHERE starts BETWEEN 600 AND 1200")
+#: A day's slots: when they start at the earliest, how long they take, and the segments of users who want them beside the usual ones.
+DAY = "('BREAKFAST', 540, 45, NULL), ('SIGHT', 660, 90, NULL), ('LUNCH', 780, 60, NULL), ('SIGHT', 900, 90, NULL), ('COFFEE', 960, 30, 'HOUSEHOLD'), ('SIGHT', 1020, 60, 'BUILDING'), ('DINNER', 1170, 90, NULL)"
+
+
+@query(
+    f""", d(slot, starts, minutes, segment) AS (VALUES {DAY}), u AS (SELECT user_id, segment, 480 + user_id % 6 * 60 AS opens, 1140 + user_id % 4 * 60 AS closes FROM users)
+    SELECT user_id, slot, starts, row_number() OVER (PARTITION BY user_id ORDER BY starts) AS position FROM u JOIN d ON starts >= opens AND starts + minutes <= closes AND (d.segment IS NULL OR d.segment = u.segment)""",
+    "users",
+)
 def pl_day_template(t: Tables) -> DataFrame:
-    v = t.spark.sql("SELECT * FROM VALUES ('BREAKFAST', 540, 45), ('SIGHT', 660, 90), ('LUNCH', 780, 60), ('SIGHT', 900, 90), ('DINNER', 1170, 90) AS v(slot, starts, minutes)")
-    return v.where(F.col("starts").between(600, 1200))
+    """The slots of each user's day: those that fit between its start and its end, with what the user's segment adds."""
+    from pyspark.sql.window import Window
+
+    day = t.spark.sql(f"SELECT slot, starts, minutes, segment AS only FROM VALUES {DAY} AS d(slot, starts, minutes, segment)")
+    slots = F.broadcast(day.agg(F.collect_list(F.struct("slot", "starts", "minutes", "only")).alias("day")))  # one row
+    u = t.users.select("user_id", "segment", (480 + F.col("user_id") % 6 * 60).alias("opens"), (1140 + F.col("user_id") % 4 * 60).alias("closes")).crossJoin(slots)
+    fits = F.filter("day", lambda d: (d["starts"] >= F.col("opens")) & (d["starts"] + d["minutes"] <= F.col("closes")) & F.coalesce(d["only"] == F.col("segment"), F.lit(True)))
+    each = u.select("user_id", F.posexplode(F.array_sort(F.transform(fits, lambda d: F.struct(d["starts"].alias("starts"), d["slot"].alias("slot"))))).alias("n", "d"))
+    return each.select("user_id", "d.slot", "d.starts", (F.col("n") + 1).cast("long").alias("position"))
 
 
 @query("SELECT city_id, row_number() OVER (ORDER BY (city_id = 7) DESC, region_id DESC NULLS LAST, name) AS rank FROM cities", "cities")

@@ -9,16 +9,16 @@ from cartolake.operators.relational import beyond, first_per, upsert
 from cartolake.plans.registry import query
 from cartolake.sources.tables import Tables
 
-OLD = "SELECT place_id, name, source, hidden, rating FROM places WHERE place_id % 3 <> 0"
-NEW = "SELECT place_id, upper(name) AS name, CASE WHEN place_id % 5 = 0 THEN NULL ELSE 4.5e0 END AS rating FROM places WHERE place_id % 2 = 0"
+OLD = "SELECT place_id, name, source, hidden, rating FROM places WHERE source <> 'VERIFIED' OR indoor"
+NEW = "SELECT place_id, upper(name) AS name, CASE WHEN place_id % 5 = 0 THEN NULL ELSE 4.5e0 END AS rating FROM places WHERE source <> 'OSM' OR has_image"
 
 
 def old(t: Tables) -> DataFrame:
-    return t.places.where("place_id % 3 <> 0").select("place_id", "name", "source", "hidden", "rating")
+    return t.places.where("source <> 'VERIFIED' OR indoor").select("place_id", "name", "source", "hidden", "rating")
 
 
 def new(t: Tables) -> DataFrame:
-    return t.places.where("place_id % 2 = 0").select("place_id", F.upper("name").alias("name"), F.when(F.col("place_id") % 5 != 0, 4.5).alias("rating"))
+    return t.places.where("source <> 'OSM' OR has_image").select("place_id", F.upper("name").alias("name"), F.when(F.col("place_id") % 5 != 0, 4.5).alias("rating"))
 
 
 @query(
@@ -76,10 +76,10 @@ def snk_upsert_report(t: Tables) -> DataFrame:
     return t.reports.groupBy("place_id", "reason").agg(F.max("created_at").alias("created_at")).withColumn("resolved", F.lit(False))
 
 
-@query("SELECT place_id, min(user_id) AS user_id FROM saved_places GROUP BY place_id HAVING min(user_id) < 100", "saved_places")
+@query("SELECT place_id, min(user_id) AS user_id FROM saved_places GROUP BY place_id", "saved_places")
 def snk_insert_ignore(t: Tables) -> DataFrame:
     """First one in stays."""
-    return first_per(t.saved_places.where("user_id < 100"), ["place_id"], [F.col("user_id")]).select("place_id", "user_id")
+    return first_per(t.saved_places, ["place_id"], [F.col("user_id")]).select("place_id", "user_id")
 
 
 @query(
@@ -98,9 +98,9 @@ def snk_delete_returning(t: Tables) -> DataFrame:
     return beyond(t.reports, ["place_id", "reason"], [F.desc("created_at"), F.desc("report_id")], 2).select("report_id", "reason")
 
 
-@query("SELECT place_id, day, opens, closes FROM opening_hours WHERE place_id % 4 <> 0 UNION ALL SELECT place_id, 1, 600, 1200 FROM places WHERE place_id % 4 = 0", "opening_hours places")
+@query("SELECT place_id, day, opens, closes FROM opening_hours WHERE place_id NOT IN (SELECT place_id FROM places WHERE has_image) UNION ALL SELECT place_id, 1, 600, 1200 FROM places WHERE has_image", "opening_hours places")
 def snk_replace_children(t: Tables) -> DataFrame:
-    parents = t.places.where("place_id % 4 = 0").select("place_id")
+    parents = t.places.where("has_image").select("place_id")
     fresh = parents.select("place_id", F.lit(1).alias("day"), F.lit(600).alias("opens"), F.lit(1200).alias("closes"))
     return t.opening_hours.join(parents, "place_id", "left_anti").select("place_id", "day", "opens", "closes").unionByName(fresh)
 

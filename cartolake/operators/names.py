@@ -97,16 +97,20 @@ def alike(x: str, y: str) -> Column:
 
 
 def candidates(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
-    """a, b (rows of prepared()): pairs in neighbouring cells with a signature in common, each once."""
+    """a, b (rows of prepared()), metres: pairs within the radius with a signature in common, each once.
+
+    Signatures carry a place's point, so that pairs too far apart go before repeated ones are dropped and rows are fetched.
+    """
     cells = Cells(metres)
     left_keys, right_keys = signatures(a, b)
-    left = left_keys.join(a.select("id", cells.of(F.col("lat"), F.col("lon")).alias("c")), "id")
-    right = right_keys.join(b.select("id", cells.around(F.col("lat"), F.col("lon")).alias("cs")), "id").select("id", "key", F.explode("cs").alias("c"))
-    met = left.select(F.col("id").alias("ida"), "key", "c.y", "c.x").join(right.select(F.col("id").alias("idb"), "key", "c.y", "c.x"), ["key", "y", "x"]).select("ida", "idb").distinct()
-    return met.join(a.select(F.col("id").alias("ida"), F.struct("*").alias("a")), "ida").join(b.select(F.col("id").alias("idb"), F.struct("*").alias("b")), "idb").select("a", "b")
+    left = left_keys.join(a.select(F.col("id"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), cells.of(F.col("lat"), F.col("lon")).alias("c")), "id")
+    right = right_keys.join(b.select(F.col("id"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), cells.around(F.col("lat"), F.col("lon")).alias("cs")), "id").select("id", "key", "lat_b", "lon_b", F.explode("cs").alias("c"))
+    met = left.select(F.col("id").alias("ida"), "key", "lat_a", "lon_a", "c.y", "c.x").join(right.select(F.col("id").alias("idb"), "key", "lat_b", "lon_b", "c.y", "c.x"), ["key", "y", "x"])
+    near = met.withColumn("metres", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("metres") <= metres)
+    once = near.groupBy("ida", "idb").agg(F.first("metres").alias("metres"))
+    return once.join(a.select(F.col("id").alias("ida"), F.struct("*").alias("a")), "ida").join(b.select(F.col("id").alias("idb"), F.struct("*").alias("b")), "idb").select("a", "b", "metres")
 
 
 def near_and_alike(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     """a, b, metres of all pairs that are alike and at most `metres` apart."""
-    found = candidates(a, b, metres).where(alike("a", "b"))
-    return found.withColumn("metres", haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))).where(F.col("metres") <= metres)
+    return candidates(a, b, metres).where(alike("a", "b"))

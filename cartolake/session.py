@@ -36,7 +36,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{named.rstrip('/')}/stored-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_stored(spark: SparkSession) -> None:
+    """Removes all that this application has stored by shared_path(); for callers whose results are written."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        discard(spark, [f"{named.rstrip('/')}/stored-{spark.sparkContext.applicationId}"])
 
 
 def discard(spark: SparkSession, paths: Iterable[str]) -> None:

@@ -135,3 +135,16 @@ def test_cache_over_batches_and_state_goes(spark, tmp_path):
     assert {(x.event_id, x.evicts, x.live) for x in found.collect()} == wanted
     counts = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators]
     assert max(counts) > counts[-1] and sum(p.numInputRows for p in progress) >= len(rows_)
+
+
+def test_stored_tables_can_be_removed(spark):
+    from cartolake.session import discard_stored, shared_path
+
+    path = shared_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    other = f"{path.rsplit('/', 2)[0]}/kept"
+    spark.range(2).write.mode("overwrite").parquet(other)
+    discard_stored(spark)
+    assert spark.read.parquet(other).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

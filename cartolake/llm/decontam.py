@@ -2,12 +2,12 @@
 
 The test items are cut into words and all their windows of N consecutive words are taken (an item of fewer words is one window).
 The set of different windows, each with the items that hold it, is hashed and broadcast; training texts are cut in the same
-way, and each of their windows is looked up by hash and then verified word by word inside the same join. What leaves a task
+way, each of their windows is looked up by hash, and those that may be test windows are joined and verified word by word. What leaves a task
 is one row for each document and one for each window that was met. By document the windows are merged into spans, which
 may then be cut out, or documents with a large share of such words dropped.
 
 The set is broadcast only if its size, which is summed first, is within BROADCAST_BYTES; a larger one is joined by a shuffle on the hash, with
-the same result. Windows shorter than N words are looked for only in the lengths that the items have (nine other lengths at most).
+the same result. Up to GATE hashes also stand in the expression that cuts windows, so that no other window becomes a row; beyond that every window does. Windows shorter than N words are looked for only in the lengths that the items have (nine other lengths at most).
 
 Defined cases: null and empty texts have no words and no hits; every row gives one row: rows that repeat an id are kept
 apart by their text, rows that repeat both are counted once and given out as often as they occur; items with the same id
@@ -26,14 +26,20 @@ from cartolake.llm.licenses import LOWER, UPPER, WORD_GAP, words
 N = 10
 #: Most bytes of test windows (words, ids and 100 bytes each) that are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Most hashes of test windows that are sent with the scan itself.
+GATE = 20_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _starts(w: Column, n: int) -> Column:
+    """Places (from 1) at which n consecutive words of an array start."""
+    last = F.size(w) - n + 1
+    return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+
 def windows(w: Column, n: int) -> Column:
     """All runs of n consecutive words of an array, in order; none of fewer words."""
-    last = F.size(w) - n + 1
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(w, i, n))
+    return F.transform(_starts(w, n), lambda i: F.slice(w, i, n))
 
 
 def test_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -52,16 +58,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_i
     """
     tests = test_windows(benchmark, n, item_col, item_text_col)
     chars = F.aggregate("window", F.lit(0).cast("long"), lambda s, w: s + F.length(w) + 16) + F.aggregate("items", F.lit(0).cast("long"), lambda s, w: s + F.length(w) + 16)
-    by_size = tests.groupBy("size").agg(F.sum(chars + 100).alias("bytes")).collect()  # n rows at most
+    by_size = tests.groupBy("size").agg(F.sum(chars + 100).alias("bytes"), F.count("*").alias("n")).collect()  # n rows at most
     sizes = sorted({r["size"] for r in by_size} | {n})
+    known = [r["hash"] for r in tests.select("hash").distinct().collect()] if sum(r["n"] for r in by_size) <= GATE else None
     whole = docs.sparkSession.createDataFrame([([], 0, [])], "window array<string>, size int, items array<string>").withColumn("hash", F.xxhash64("window"))
     tests = tests.unionByName(whole)
     cut = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), words(docs[text_col]).alias("w"))
 
     def of_size(m: int, closing: bool) -> DataFrame:
-        # The last window is empty: it meets the row of size 0, and the number of words is known from its place.
-        runs = F.concat(windows(F.col("w"), m), F.array(F.array().cast("array<string>"))) if closing else windows(F.col("w"), m)
-        return cut.select("id", "th", F.size("w").alias("n_words"), F.posexplode(runs).alias("pos", "run"))
+        starts = _starts(F.col("w"), m)
+        if known is not None:
+            starts = F.filter(starts, lambda i: F.xxhash64(F.slice("w", i, m)).isin(known))
+        runs = F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.slice("w", i, m).alias("run")))
+        # The last window is empty: it meets the row of size 0, and its place is the number of words.
+        end = F.array(F.struct(F.size("w").alias("pos"), F.slice("w", 1, 0).alias("run")))
+        each = cut.select("id", "th", F.explode(F.concat(runs, end) if closing else runs).alias("x"))
+        return each.select("id", "th", "x.pos", "x.run")
 
     each = of_size(sizes[0], True)
     for m in sizes[1:]:
@@ -69,7 +81,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_i
     each = each.withColumn("hash", F.xxhash64("run"))
     small = sum(r["bytes"] for r in by_size) <= broadcast_bytes
     met = each.join(F.broadcast(tests) if small else tests.hint("merge"), "hash").where(F.col("run") == F.col("window"))
-    return met.select("id", "th", F.when(F.col("size") == 0, F.col("n_words")).otherwise(F.col("pos")).alias("at"), "size", "items")
+    return met.select("id", "th", F.col("pos").alias("at"), "size", "items")
 
 
 def merged(runs: Column) -> Column:

@@ -230,7 +230,7 @@ def brute_scan(text):
     return len(w), hit, sorted(items)
 
 
-def test_decontaminate(docs, bench, spark):
+def test_decontaminate(docs, bench, spark, monkeypatch):
     brute = [(i, *brute_scan(t)) for i, t in odd_texts()]
     want = expected([(i, n, len(hit), len(items), items, bool(hit)) for i, n, hit, items in brute])
     names = ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"]
@@ -239,6 +239,8 @@ def test_decontaminate(docs, bench, spark):
     assert sum(r[-1] for r in want) > 40 and any(not r[-1] for r in want)
     assert by_row(decontam.scan(docs, bench, broadcast_bytes=0), *names) == want
     assert "BroadcastHashJoin" not in decontam.scan(docs, bench, broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(decontam, "GATE", 0)
+    assert by_row(decontam.scan(docs, bench), *names) == want
     spans = {(r["doc_id"], r["n_words"]): [w for s in r["spans"] for w in range(s["start"], s["end"])] for r in found.collect()}
     assert spans == {(i, n): sorted(hit) for i, n, hit, _ in brute}
     assert decontam.scan(frame(spark, []), bench).count() == 0

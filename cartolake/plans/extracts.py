@@ -1,4 +1,4 @@
-"""Map extracts: elements written as block files and read back (inventory 2.1 and 2.2)."""
+"""Map extracts, map answers and listings: written as they are given out, and read back (inventory 2.1 and 2.2)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartolake.plans.registry import query
 from cartolake.session import shared_path
 from cartolake.sources.extract import ExtractSource
+from cartolake.sources.listing import ListingSource, write_pages
 from cartolake.sources.tables import Tables
 
 KEYS = ("amenity", "shop", "tourism", "leisure", "historic", "access", "name")
@@ -49,3 +50,77 @@ def snk_batch_chunks(t: Tables) -> DataFrame:
     more = rows.where("tags['amenity'] = 'cafe'").withColumn("id", -F.col("id"))
     more.write.format("extract").option("block", 500).mode("append").save(path)
     return t.spark.read.format("extract").option("columns", "id,version,changed").load(path)
+
+
+#: The map service's answer, by the columns that are read.
+ANSWER = "struct<elements:array<struct<type:string,id:bigint,version:int,lat:double,lon:double,changed:bigint,tags:map<string,string>>>>"
+PER_ANSWER = 250
+
+
+def answers(t: Tables) -> str:
+    """JSON answers of bounded size in the shared folder, with a broken one among them."""
+    path = shared_path(t.spark, "answers")
+    item = F.struct(F.lit("node").alias("type"), "id", "version", "lat", "lon", "changed", "tags")
+    rows = raw_elements(t).groupBy(F.floor(F.col("id") / PER_ANSWER).alias("n")).agg(F.to_json(F.struct(F.collect_list(item).alias("elements"))).alias("value"))
+    broken = t.cities.limit(1).select(F.lit(-1).cast("long").alias("n"), F.lit('{"remark": "timed out", "elements": [').alias("value"))
+    rows.unionByName(broken).select("value").write.text(path)
+    return path
+
+
+def from_answers(t: Tables, path: str) -> DataFrame:
+    """Elements of all answers that can be read; one that is cut off brings none."""
+    read = t.spark.read.text(path).select(F.from_json("value", ANSWER, {"mode": "PERMISSIVE"}).alias("a"))
+    return read.select(F.inline(F.coalesce("a.elements", F.array().cast("array<struct<type:string,id:bigint,version:int,lat:double,lon:double,changed:bigint,tags:map<string,string>>>")))).select("id", "version", "lat", "lon", "changed", "tags")
+
+
+def from_extract(t: Tables, path: str) -> DataFrame:
+    t.spark.dataSource.register(ExtractSource)
+    return t.spark.read.format("extract").load(path)
+
+
+#: Where elements come from: both give the same columns.
+SOURCES = {"answers": from_answers, "extract": from_extract}
+
+
+@query(f"SELECT element_id AS id, round(lat, 6) AS lat, amenity, name, CAST({COUNT} AS INT) AS n_tags FROM (SELECT elements.*, lat FROM elements JOIN places ON place_id = element_id) x", "elements places")
+def src_overpass(t: Tables) -> DataFrame:
+    """Elements from the JSON answers of a map service, read with an explicit schema."""
+    read = from_answers(t, answers(t))
+    return read.select("id", F.round("lat", 6).alias("lat"), F.col("tags")["amenity"].alias("amenity"), F.col("tags")["name"].alias("name"), F.size("tags").alias("n_tags"))
+
+
+@query("SELECT kind, count(*) AS n, CAST(sum(element_id) AS BIGINT) AS ids, count(name) AS named FROM elements, (VALUES ('answers'), ('extract')) k(kind) GROUP BY kind", "elements")
+def src_source_switch(t: Tables) -> DataFrame:
+    """The same elements from either source, chosen by name."""
+    paths = {"answers": answers(t), "extract": written(t, raw_elements(t), 1000)}
+    out = None
+    for kind, load in SOURCES.items():
+        found = load(t, paths[kind]).agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count(F.col("tags")["name"]).alias("named")).select(F.lit(kind).alias("kind"), "n", "ids", "named")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("SELECT place_id, name FROM places", "places")
+def src_paged_rest(t: Tables) -> DataFrame:
+    """All pages of a listing, in runs that tasks page through."""
+    t.spark.dataSource.register(ListingSource)
+    path = shared_path(t.spark, "listing")
+    write_pages(t.places.select("place_id", "name"), path, 100)
+    return t.spark.read.format("listing").option("size", 100).load(path)
+
+
+GUIDE = "row_number() OVER (PARTITION BY city_id ORDER BY rating DESC NULLS LAST, popularity DESC, place_id)"
+
+
+@query(f"SELECT city_id, CAST(count(*) AS INT) AS entries, min(place_id) FILTER (n = 1) AS best, string_agg(name, ', ' ORDER BY n) AS names FROM (SELECT city_id, place_id, name, {GUIDE} AS n FROM places WHERE NOT hidden) x WHERE n <= 10 GROUP BY city_id", "places")
+def snk_html_pages(t: Tables) -> DataFrame:
+    """Guide pages written as one JSON document for each city, in folders by city, and read back: the ten best places in order."""
+    from cartolake.operators.relational import first_per
+
+    path = shared_path(t.spark, "guides")
+    order = [F.col("rating").desc_nulls_last(), F.desc("popularity"), F.col("place_id")]
+    best = first_per(t.places.where("NOT hidden"), ["city_id"], order, 10).select("city_id", F.struct((-F.coalesce("rating", F.lit(-1.0))).alias("k"), (-F.col("popularity")).alias("l"), "place_id", "name").alias("e"))
+    pages = best.groupBy("city_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.struct(e["place_id"].alias("place_id"), e["name"].alias("name"))).alias("entries"))
+    pages.write.partitionBy("city_id").json(path)
+    read = t.spark.read.schema("entries array<struct<place_id:bigint,name:string>>, city_id bigint").json(path)
+    return read.select("city_id", F.size("entries").alias("entries"), F.get("entries", F.lit(0))["place_id"].alias("best"), F.array_join(F.transform("entries", lambda e: e["name"]), ", ").alias("names"))

@@ -16,15 +16,6 @@ from cartolake.plans.registry import query
 from cartolake.plans.scalars import FOLD, NAMES_SQL, names
 from cartolake.sources.tables import Tables
 
-# Sources: JSON landing zones, read with explicit schemas.
-
-
-@query("SELECT place_id, name FROM places", "places")
-def src_paged_rest(t: Tables) -> DataFrame:
-    """All pages of a listing are one scan."""
-    return t.places.select("place_id", "name")
-
-
 # Projections and predicates
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartolake.functions import geo
 from cartolake.functions.hours import week
+from cartolake.functions.sides import MIDLINE
 from cartolake.operators import greedy
 from cartolake.operators.rings import area, stitched
 from cartolake.plans import catalog
@@ -60,6 +61,15 @@ def test_dedupe_self(spark):
     assert sorted(x.place_id for x in found) == [k[0] for k in kept]
 
 
+def side(lat, lon):
+    """Whether a point of the province is east of the strait's middle, drawn as straight lines."""
+    line = sorted(MIDLINE)
+    if lat <= line[0][0] or lat >= line[-1][0]:
+        return lon > (line[0] if lat <= line[0][0] else line[-1])[1]
+    (y0, x0), (y1, x1) = next((a, b) for a, b in itertools.pairwise(line) if a[0] <= lat <= b[0])
+    return lon > x0 + (x1 - x0) * (lat - y0) / (y1 - y0)
+
+
 def test_clusters(spark):
     from cartolake.plans.resolution import sights
 
@@ -68,7 +78,7 @@ def test_clusters(spark):
     for c in s:
         if c.place_id in taken:
             continue
-        members = [m for m in s if m.place_id not in taken and greedy.metres((c.lat, c.lon), (m.lat, m.lon)) <= 900]
+        members = [m for m in s if m.place_id not in taken and greedy.metres((c.lat, c.lon), (m.lat, m.lon)) <= 900 and side(c.lat, c.lon) == side(m.lat, m.lon)]
         taken |= {m.place_id for m in members}
         if len(members) >= 3:
             groups[c.place_id] = round(sum(sorted((m.score for m in members), reverse=True)[:5]), 4)
@@ -149,7 +159,7 @@ def test_itinerary(spark):
     taken, groups = set(), {}
     for c in s:
         if c.place_id not in taken:
-            members = [m for m in s if m.place_id not in taken and greedy.metres(at[c.place_id], at[m.place_id]) <= 900]
+            members = [m for m in s if m.place_id not in taken and greedy.metres(at[c.place_id], at[m.place_id]) <= 900 and side(*at[c.place_id]) == side(*at[m.place_id])]
             taken |= {m.place_id for m in members}
             if len(members) >= 3:
                 groups[c.place_id] = {m.place_id for m in sorted(members, key=lambda m: (-m.score, m.place_id))[:5]}

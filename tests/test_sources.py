@@ -148,3 +148,20 @@ def test_stored_tables_can_be_removed(spark):
     assert spark.read.parquet(other).count() == 2
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_listings_are_read_to_their_end(spark, tmp_path):
+    """Runs of pages cover a listing, pages that were added since are read, missing ones in between are empty."""
+    from cartolake.sources import listing
+
+    spark.dataSource.register(listing.ListingSource)
+    rows = [(k, f"p{k}" if k % 5 else None) for k in range(95) if not 30 <= k < 40]
+    path = f"{tmp_path}/pages"
+    listing.write_pages(spark.createDataFrame(rows, "place_id long, name string"), path, 10)
+    read = spark.read.format("listing").option("size", 10).option("run", 3).load(path)
+    assert read.rdd.getNumPartitions() == 3
+    assert sorted((x.place_id, x.name) for x in read.collect()) == rows
+    (tmp_path / "pages" / "page=10").mkdir()
+    (tmp_path / "pages" / "page=10" / "part-0.txt").write_text('{"total":96,"items":[{"place_id":100,"name":"new"}]}\n')
+    assert read.where("place_id = 100").count() == 1
+    assert spark.read.format("listing").option("size", 10).load(f"{tmp_path}/none").count() == 0

@@ -5,8 +5,8 @@ inducing and named; if names repeat, the reduced text of names is sorted as a te
 the larger-type and then the smaller-type suffixes are induced, each in one sweep over the buckets of their first letter;
 a sweep moves whole buckets at a time, so its steps are array operations.
 
-The reduced text has as many letters as names, too many for a sweep by bucket; it is ranked by doubling, which only touches
-groups that are still tied.
+The reduced text has as many letters as names, so its buckets hold a few places each; there the sweeps go place by place, and
+it is reduced again as long as names repeat.
 """
 
 from __future__ import annotations
@@ -122,31 +122,56 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _sorted_names(names: np.ndarray) -> np.ndarray:
-    """Suffix order of the reduced text, by doubling over the groups that are still tied."""
-    n = len(names)
-    rank = names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    sorted_rank = rank[order]
-    first = np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]])
-    head = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[order] = head
-    k = 1
-    while True:
-        tied = ~first.copy()
-        tied[:-1] |= ~first[1:]
-        live = np.nonzero(tied)[0]
-        if not len(live):
-            return order
-        pos = order[live]
-        after = np.where(pos + k < n, rank[np.minimum(pos + k, n - 1)] + 1, 0)
-        again = np.lexsort((after, head[live]))
-        pos, after, group = pos[again], after[again], head[live][again]
-        order[live] = pos
-        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
-        first[live] = fresh
-        head[live] = np.maximum.accumulate(np.where(fresh, live, 0))
-        rank[pos] = head[live]
-        k *= 2
+    """Suffix order of the reduced text (names from 0 without gaps), by the same steps one level down.
+
+    Its letters are many and their buckets small, so the sweeps go by single places, over bucket ends by name. The text is
+    closed by a letter of its own below all others, whose suffix is dropped at the end.
+    """
+    n = len(names) + 1
+    text = np.append(names.astype(np.int64) + 1, 0)
+    letter = text.tolist()
+    s_type = np.append(smaller_type(text[:-1]), True)
+    small = s_type.tolist()
+    ends = np.cumsum(np.bincount(text))
+    heads, tails = np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()
+    lms = np.nonzero(s_type[1:] & ~s_type[:-1])[0] + 1
+
+    def swept(seeds: list[int]) -> list[int]:
+        sa = [-1] * n
+        at = tails.copy()
+        for i in reversed(seeds):
+            c = letter[i]
+            at[c] -= 1
+            sa[at[c]] = i
+        at = heads.copy()
+        for p in range(n):
+            i = sa[p] - 1
+            if i >= 0 and not small[i]:
+                c = letter[i]
+                sa[at[c]] = i
+                at[c] += 1
+        at = tails.copy()
+        for p in range(n - 1, -1, -1):
+            i = sa[p] - 1
+            if i >= 0 and small[i]:
+                c = letter[i]
+                at[c] -= 1
+                sa[at[c]] = i
+        sa[0] = n - 1
+        return sa
+
+    order = np.array(swept(lms.tolist()))
+    if len(lms) > 1:
+        is_lms = np.zeros(n, bool)
+        is_lms[lms] = True
+        again = _names(text, lms, order[is_lms[order]])
+        if again.max() + 1 < len(lms):
+            order = np.array(swept(lms[_sorted_names(again)].tolist()))
+        else:
+            seeds = np.empty(len(lms), np.int64)
+            seeds[again] = lms
+            order = np.array(swept(seeds.tolist()))
+    return order[1:]
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:

@@ -280,10 +280,19 @@ def reordered(plan: Plan, request: Request) -> Plan:
             continue
         first, last = run[0], run[-1] + 1
         stops, best = plan.stops, plan
-        for order in itertools.permutations(stops[first:last]):
-            found = retimed([*stops[:first], *order, *stops[last:]], request)
-            if found is not None and found.path() + LEAST_SAVING < best.path():
-                best = found
+        # Legs between the run's places, where it is entered and where it goes on; only orders that walk less are timed.
+        places = [stops[first - 1].at if first else request.start, *(s.at for s in stops[first:last]), *(s.at for s in stops[last : last + 1])]
+        leg = [[metres(a, b) for b in places] for a in places]
+        size = last - first
+        onward = [size + 1] if last < len(stops) else []
+        walk = lambda order: sum(leg[a][b] for a, b in itertools.pairwise([0, *order, *onward]))  # noqa: E731, B023
+        shortest = walk(range(1, size + 1))
+        for order in itertools.permutations(range(1, size + 1)):
+            if (length := walk(order)) + LEAST_SAVING >= shortest:
+                continue
+            found = retimed([*stops[:first], *(stops[first + k - 1] for k in order), *stops[last:]], request)
+            if found is not None:
+                best, shortest = found, length
         plan = best
     return plan
 

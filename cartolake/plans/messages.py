@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartolake.functions import text as X
 from cartolake.functions.dates import spoken_dates
+from cartolake.functions.slots import with_slots
 from cartolake.operators import rules as R
 from cartolake.operators.areas import named_areas
 from cartolake.plans.registry import query
@@ -64,6 +65,16 @@ def er_intent_rules(t: Tables) -> DataFrame:
     return said.join(found, "note_id")
 
 
+@query(
+    """SELECT ask_id, CAST(CASE p WHEN 0 THEN n WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 12 WHEN 4 THEN n END AS INT) AS people, CAST(CASE b WHEN 0 THEN amount WHEN 1 THEN 2500 WHEN 2 THEN 3000 WHEN 3 THEN 1000 END AS INT) AS budget,
+    CASE s WHEN 0 THEN 870 WHEN 1 THEN 900 WHEN 2 THEN 840 WHEN 3 THEN 540 END AS start, CASE d WHEN 0 THEN 180 WHEN 1 THEN 300 WHEN 2 THEN 120 END AS minutes, CASE w WHEN 0 THEN 'low' WHEN 1 THEN 'high' END AS walking FROM asks""",
+    "asks",
+)
+def er_intent_slots(t: Tables) -> DataFrame:
+    """How many, for how much, when, how long and how far each request asks for."""
+    return with_slots(t.asks, "ask_id", "content")
+
+
 @query(
     "SELECT note_id, CASE WHEN ok THEN upper(u.kind) WHEN said_wish = 2 THEN 'REMOVE_STOP' WHEN said_wish = 1 THEN 'CHEAPER' WHEN said_wish = 3 THEN 'WEATHER' WHEN said_wish = 5 THEN 'BUDGET' WHEN said_wish = 4 AND said_area <> 0 THEN 'GREETING' ELSE 'PLAN' END AS intent, coalesce(ok, FALSE) AS by_model FROM notes LEFT JOIN usage u ON u.event_id = note_id",
     "notes usage",

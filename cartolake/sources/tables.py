@@ -114,6 +114,14 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
            FROM (SELECT CAST(o_orderkey AS BIGINT) AS note_id, o_custkey % 25 AS city, o_custkey % 40 AS district, o_orderkey % 23 AS here, o_orderkey % 11 AS said_day, o_orderkey % 5 AS said_area, o_orderkey % 7 AS said_wish,
              DATE '2026-05-02' + CAST(o_custkey % 200 AS INT) AS day, o_custkey % 7 AS weekday FROM orders) n""",
     ),
+    "asks": (
+        ("orders",),
+        """SELECT ask_id, n, amount, p, b, s, d, w, concat_ws(' ', CASE p WHEN 0 THEN concat(CAST(n AS STRING), ' kişi') WHEN 1 THEN 'iki kişiyiz,' WHEN 2 THEN 'Eşimle' WHEN 3 THEN 'on iki kişilik grup' WHEN 4 THEN concat('for ', CAST(n AS STRING), ' people') END,
+           CASE b WHEN 0 THEN concat(CAST(amount AS STRING), ' TL') WHEN 1 THEN 'bütçemiz iki bin beş yüz lira' WHEN 2 THEN 'budget is 3k.' WHEN 3 THEN 'bin lira' END,
+           CASE s WHEN 0 THEN 'saat 14.30''da' WHEN 1 THEN 'at 3 pm' WHEN 2 THEN 'öğleden sonra' WHEN 3 THEN 'sabah' END,
+           CASE d WHEN 0 THEN 'üç saatlik' WHEN 1 THEN 'yarım gün' WHEN 2 THEN 'for 2 hours' END, CASE w WHEN 0 THEN 'az yürüyelim' WHEN 1 THEN 'uzun bir yürüyüş' END) AS content
+           FROM (SELECT CAST(o_orderkey AS BIGINT) AS ask_id, 1 + o_custkey % 9 AS n, 100 * (1 + o_orderkey % 40) AS amount, o_custkey % 6 AS p, o_orderkey % 5 AS b, o_custkey % 5 AS s, o_orderkey % 4 AS d, o_orderkey % 3 AS w FROM orders) q""",
+    ),
     # Rules for kinds of food places: a brand and a word, heavier ones first, with the share of the brand's rows that have the word.
     "kind_rules": (
         ("part",),

@@ -119,3 +119,25 @@ def test_rules_sent_and_joined_agree(spark, monkeypatch):
     sent = both()
     monkeypatch.setattr(R, "MOST_CONDITIONS", 1)
     assert both() == sent and sum(o is not None for _, o in sent[0]) > 100
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("iki bin bes yuz lira, yirmi bes kisi", (25, 2500, None, None, None)),
+        ("yuz elli tl", (None, 150, None, None, None)),
+        ("we are two people with a budget of 1 thousand", (2, 1000, None, None, None)),
+        ("saat 9 da, 4 saat", (None, None, 540, 240, None)),
+        ("saat 18:45", (None, None, 1125, None, None)),
+        ("12 am", (None, None, 0, None, None)),
+        ("butun gun cok yuruyelim", (None, None, None, 600, "high")),
+        ("alone, a short walk in the evening", (1, None, 1140, None, "low")),
+        ("2 kisi 3 kisi", (2, None, None, None, None)),
+        ("bir sey yok", (None, None, None, None, None)),
+        ("", (None, None, None, None, None)),
+    ],
+)
+def test_slots(text, found):
+    from cartolake.functions.slots import slots
+
+    assert slots(text) == found

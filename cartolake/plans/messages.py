@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions import text as X
 from cartolake.functions.dates import spoken_dates
 from cartolake.functions.slots import with_slots
+from cartolake.functions.wishes import Vocabulary, with_wishes
 from cartolake.operators import rules as R
 from cartolake.operators.areas import named_areas
 from cartolake.plans.registry import query
@@ -115,30 +116,4 @@ TELLS = f"length(w) >= 3 AND w NOT IN {FILLER} AND NOT {any_of('w', CHEAP + CLOS
 )
 def er_stop_wish(t: Tables) -> DataFrame:
     """What each note wishes of a stop: cheaper, closer, under a roof or not, tags, and the words to look for, without endings."""
-    begins = lambda w, stems: F.reduce(F.array(*[F.startswith(w, F.lit(x)) for x in stems]), F.lit(False), lambda a, b: a | b)
-
-    def tag_of(w: Column) -> Column:
-        out = F.when(F.lit(False), F.lit(""))
-        for x, name in TAGS.items():
-            out = out.when(F.startswith(w, F.lit(x)), name)
-        return out
-
-    def stem_of(w: Column) -> Column:
-        out = F.when(F.lit(False), F.lit(""))
-        for e in TAKEN_OFF:
-            out = out.when(F.endswith(w, F.lit(e)) & (F.length(w) >= len(e) + 4), F.left(w, F.length(w) - len(e)))
-        return out.otherwise(w)
-
-    said = t.notes.select("note_id", X.words(F.col("content")).alias("ws")).withColumn("joined", F.array_join("ws", ""))
-    tells = lambda w: (F.length(w) >= 3) & ~w.isin(*FILLER) & ~begins(w, CHEAP + CLOSE + ROOFED + OPEN_AIR)
-    said = said.withColumn("telling", F.filter("ws", tells))
-    inside = lambda stems: F.reduce(F.array(*[F.contains("joined", F.lit(x)) for x in stems]), F.lit(False), lambda a, b: a | b)
-    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    return said.select(
-        "note_id",
-        F.exists("ws", lambda w: begins(w, CHEAP)).alias("cheaper"),
-        F.exists("ws", lambda w: begins(w, CLOSE)).alias("closer"),
-        F.when(inside(OPEN_AIR), False).when(inside(ROOFED), True).alias("indoor"),
-        listed(F.array_compact(F.transform("telling", tag_of))).alias("tags"),
-        listed(F.transform(F.filter("telling", lambda w: tag_of(w).isNull()), stem_of)).alias("words"),
-    )
+    return with_wishes(t.notes, "note_id", "content", Vocabulary(CHEAP, CLOSE, ROOFED, OPEN_AIR, TAGS, FILLER, TAKEN_OFF))

@@ -141,3 +141,20 @@ def test_slots(text, found):
     from cartolake.functions.slots import slots
 
     assert slots(text) == found
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("daha ucuz bir kebapci", (True, False, None, "", "kebap")),
+        ("yakinda kapali bir yer, kahveler", (False, True, True, "coffee", "yer")),
+        ("acik hava olsun, deniz manzarali", (False, False, False, "sea", "acik,hava,manzara")),
+        ("cheapest pide house close by", (True, True, None, "", "house,pide")),
+        ("", (False, False, None, "", "")),
+    ],
+)
+def test_wishes(text, found):
+    from cartolake.functions.wishes import Vocabulary
+
+    known = Vocabulary(("ucuz", "cheap"), ("yakin", "close"), ("kapali",), ("acikhava",), {"kahve": "coffee", "deniz": "sea"}, ("bir", "daha", "olsun"), ("lar", "ler", "ci", "li"))
+    assert known.wish(text) == found

@@ -157,4 +157,4 @@ def test_near_copies_stage_of_odd_rows(spark):
 def test_registered(spark):
     assert set(queries.oracle_sql()) <= set(queries.queries())
     names = sorted(queries.queries())
-    assert len(names) == 11 and sorted(n.split("_")[0] for n in names if n != "pipeline") == sorted(f"op{n}" for n in range(1, 11))
+    assert len(names) == 14 and sorted(n.split("_")[0] for n in names if n != "pipeline") == sorted(f"op{n}" for n in range(1, 14))

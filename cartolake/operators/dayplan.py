@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,9 +95,13 @@ class Request:
     hours: tuple[tuple[int, Weather], ...] = ()  # hour of the day and its weather; others are fair
     excluded: frozenset = frozenset()
 
+    @cached_property
+    def sky(self) -> dict[int, Weather]:
+        given = dict(self.hours)
+        return {h: replace(given.get(h, FAIR), wet=self.wet or given.get(h, FAIR).wet) for h in range(24)}
+
     def weather(self, minute: int) -> Weather:
-        found = dict(self.hours).get(minute // 60 % 24, FAIR)
-        return replace(found, wet=True) if self.wet else found
+        return self.sky[minute // 60 % 24]
 
 
 @dataclass(frozen=True)
@@ -173,8 +178,8 @@ def outdoors(place: dict, weather: Weather) -> float:
 
 def repeated(place: dict, day: list[dict]) -> int:
     """How many places of the day are of a kind with this one."""
-    kinds = set(place.get("tags") or ()) & set(VARIED)
-    return sum(bool(kinds & set(p.get("tags") or ())) for p in day)
+    kinds = [k for k in VARIED if k in (place.get("tags") or ())]
+    return sum(any(k in (p.get("tags") or ()) for k in kinds) for p in day) if kinds else 0
 
 
 def score(slot: Slot, place: dict, far: float, allowance: float, request: Request, anchor: tuple[float, float] | None, weight: float, arrival: int = 0, day: list[dict] | None = None) -> float:

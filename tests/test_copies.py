@@ -13,6 +13,7 @@ TIMES = 8
 #: Query, module, and the operator whose pairs must not grow with copies.
 CASES = (
     ("jn_google_match", "joins", "within"),
+    ("jn_dedupe_verified", "more", "within"),
 )
 
 

@@ -14,6 +14,7 @@ TIMES = 8
 CASES = (
     ("jn_google_match", "joins", "within"),
     ("jn_dedupe_verified", "more", "within"),
+    ("jn_nearest_within", "joins", "within"),
 )
 
 

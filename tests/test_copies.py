@@ -15,6 +15,7 @@ CASES = (
     ("jn_google_match", "joins", "within"),
     ("jn_dedupe_verified", "more", "within"),
     ("jn_nearest_within", "joins", "within"),
+    ("topk_best_sight", "ranking", "within"),
 )
 
 

@@ -16,6 +16,7 @@ CASES = (
     ("jn_dedupe_verified", "more", "within"),
     ("jn_nearest_within", "joins", "within"),
     ("topk_best_sight", "ranking", "within"),
+    ("jn_cross_bbox", "joins", "expanded"),
 )
 
 

@@ -17,6 +17,7 @@ CASES = (
     ("jn_nearest_within", "joins", "within"),
     ("topk_best_sight", "ranking", "within"),
     ("jn_cross_bbox", "joins", "expanded"),
+    ("jn_exists_spatial", "more", "within"),
 )
 
 

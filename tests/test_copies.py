@@ -18,6 +18,7 @@ CASES = (
     ("topk_best_sight", "ranking", "within"),
     ("jn_cross_bbox", "joins", "expanded"),
     ("jn_exists_spatial", "more", "within"),
+    ("jn_radius_self", "joins", "within"),
 )
 
 

@@ -16,6 +16,7 @@ CASES = (
     ("jn_dedupe_verified", "more", "within"),
     ("jn_nearest_within", "joins", "within"),
     ("topk_best_sight", "ranking", "within"),
+    ("geo_polygon_distance_holes", "geometry", "expanded"),
     ("jn_cross_bbox", "joins", "expanded"),
     ("jn_exists_spatial", "more", "within"),
     ("jn_radius_self", "joins", "within"),

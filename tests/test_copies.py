@@ -20,6 +20,7 @@ CASES = (
     ("jn_cross_bbox", "joins", "expanded"),
     ("jn_exists_spatial", "more", "within"),
     ("jn_radius_self", "joins", "within"),
+    ("jn_fuzzy_match", "joins", "near_and_alike"),
 )
 
 

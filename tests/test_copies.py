@@ -21,7 +21,10 @@ CASES = (
     ("jn_exists_spatial", "more", "within"),
     ("jn_radius_self", "joins", "within"),
     ("jn_fuzzy_match", "joins", "near_and_alike"),
+    ("pl_template_find", "templates", "within"),
 )
+#: Greedy queries, whose rivals must not grow with copies.
+GREEDY = ("er_dedupe_self", "er_match_confirm_add", "pl_clusters", "pl_itinerary", "pl_popular_routes")
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +62,29 @@ def test_copies_are_worked_out_once(spark, monkeypatch, folders, name, module, o
         found = catalog.queries()[name](spark, at)
         assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
     assert pairs[1] <= 3 * pairs[0]
+
+
+@pytest.mark.parametrize("name", GREEDY)
+def test_rivals_do_not_grow_with_copies(spark, monkeypatch, folders, name):
+    from cartolake.operators import greedy
+
+    real, rivals = greedy.first_come, []
+
+    def counted(ids, pairs):
+        rivals.append(pairs.count())
+        return real(ids, pairs)
+
+    monkeypatch.setattr(greedy, "first_come", counted)
+    for at in folders.values():
+        catalog.queries()[name](spark, at).count()
+    once, copied = rivals  # one pass for each folder
+    assert copied <= 3 * max(once, 10)
+
+
+@pytest.mark.parametrize("name", ["pl_start_resolve", "src_pageviews", "er_area_match", "agg_geom_union_overlap"])
+def test_copies_against_sql(spark, folders, name):
+    con = duckdb.connect()
+    for t in BASE:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folders[TIMES]}/{t}.parquet'")
+    found = catalog.queries()[name](spark, folders[TIMES])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(con.execute(catalog.oracle_sql()[name]).fetchall(), key=str)

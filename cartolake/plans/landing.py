@@ -49,18 +49,20 @@ def src_wikidata(t: Tables) -> DataFrame:
 )
 def src_pageviews(t: Tables) -> DataFrame:
     """Daily views summed by the title that was asked for, followed back through normalised spellings and redirects."""
-    n, k = (F.col("event_id") % 50).cast("string"), F.get_json_object("props", "$.k").cast("long")
+    # Equal answers are read once and count as often as they came.
+    events = t.events.groupBy((F.col("event_id") % 50).cast("string").alias("n"), F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("times"))
+    n, k = F.col("n"), F.col("k")
     answer = F.concat(
         F.lit('{"query":{"normalized":[{"from":"Place_'), n, F.lit('","to":"Place '), n, F.lit('"}],"redirects":[{"from":"Place '), n, F.lit('","to":"Town '), n,
         F.lit('"}],"pages":[{"title":"Town '), n, F.lit('","pageviews":{"d1":'), (k - 5).cast("string"), F.lit(',"d2":null,"d3":'), k.cast("string"), F.lit('}},{"title":"Else"}]}}'),
     )
-    read = t.events.select(F.concat(F.lit("Place_"), n).alias("requested"), F.from_json(answer, VIEWS)["query"].alias("q"))
+    read = events.select("times", F.concat(F.lit("Place_"), n).alias("requested"), F.from_json(answer, VIEWS)["query"].alias("q"))
     renamed = F.concat(F.coalesce("q.normalized", F.array()), F.coalesce("q.redirects", F.array()))
     step = lambda title: F.coalesce(F.get(F.filter(renamed, lambda r: r["from"] == title), F.lit(0))["to"], title)
     title = step(step(step(F.col("requested"))))
     page = F.get(F.filter("q.pages", lambda p: p["title"] == title), F.lit(0))
     total = F.aggregate(F.map_values(page["pageviews"]), F.lit(0).cast("long"), lambda a, v: a + F.greatest(F.coalesce(v, F.lit(0)), F.lit(0)))
-    return read.select("requested", total.alias("views")).where("views IS NOT NULL").groupBy("requested").agg(F.sum("views").alias("views"))
+    return read.select("requested", (total * F.col("times")).alias("views")).where("views IS NOT NULL").groupBy("requested").agg(F.sum("views").alias("views"))
 
 
 @query("SELECT event_type, CAST(user_id AS BIGINT) AS user_id, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2")

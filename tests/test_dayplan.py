@@ -231,3 +231,15 @@ def test_queries(spark, name):
         plan.sort(key=lambda r: r.position)
         assert [r.position for r in plan] == list(range(1, len(plan) + 1)) and len({r.place_id for r in plan}) == len(plan)
         assert all(a.arrival < b.arrival for a, b in itertools.pairwise(plan)) and all(r.arrival % 5 == 0 for r in plan)
+
+
+def test_distances_serve_all_requests_of_one_place(monkeypatch):
+    """A second request from the same point works out no distance that the first has worked out, and gets the plan that it gets alone."""
+    made, real = [], D.metres
+    monkeypatch.setattr(D, "metres", lambda a, b: made.append((a, b)) or real(a, b))
+    places = D.Field(town(3))
+    first = D.one_pass(ask(0), places)
+    once = len(made)
+    again = D.one_pass(ask(0), places)
+    assert [s.place["place_id"] for s in again.stops] == [s.place["place_id"] for s in first.stops] == [s.place["place_id"] for s in D.one_pass(ask(0), town(3)).stops]
+    assert once > len(places) and len(made[once:]) < once + len(places)

@@ -1,7 +1,7 @@
 """Document fingerprints from statistically improbable features.
 
 Each 64-byte window has an entropy. Windows are ranked by how rare their entropy is in the corpus: how often each grade of
-entropy occurs is counted in the windows of a bounded sample of documents, and the rarer its grade, the better a window's rank;
+entropy occurs is counted in the windows of all documents, and the rarer its grade, the better a window's rank;
 the extremes, which carry no text, are excluded. A window that is the best-ranked (leftmost) one of enough neighbouring
 stretches is a feature. Digests can be compared if they were made with the same ranks. Features are hashed
 into a chain of Bloom filters, a new filter being opened when one is full. Two digests are compared filter by filter: the
@@ -49,8 +49,6 @@ HASHES = 5
 MOST_FEATURES = 160
 SCALE = 1 << 20
 
-#: Documents of the sample that ranks are learned from.
-SAMPLE = 1000
 #: Windows worked on at once.
 PART = 1 << 18
 #: Features hashed at once.
@@ -220,16 +218,18 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return total / len(a)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Ranks learned from at most `sample` documents, by hash of id, then of text, so the same ones at each run.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None) -> np.ndarray:
+    """Ranks learned from all documents; with `sample` from at most so many, by hash of id, then of text, so the same ones at each run.
 
     Windows are counted where the texts are; one count for each grade comes to the driver.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    chosen = rows.select("id", "h").distinct().orderBy(F.xxhash64("id"), "id", "h").limit(sample)
-    same = F.col("id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g"))
-    once = rows.join(F.broadcast(chosen.select(F.col("id").alias("c"), F.col("h").alias("g"))), same, "left_semi").groupBy("id", "h").agg(F.first("text").alias("text"))
+    once = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    if sample is not None:
+        rows = once.withColumn("h", F.xxhash64("text"))
+        chosen = rows.select("id", "h").distinct().orderBy(F.xxhash64("id"), "id", "h").limit(sample)
+        same = F.col("id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g"))
+        once = rows.join(F.broadcast(chosen.select(F.col("id").alias("c"), F.col("h").alias("g"))), same, "left_semi").groupBy("id", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GRADES + 1, np.int64)

@@ -870,3 +870,15 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     assert len(whole) == sum(max(0, len(t) - 199) for t in texts)
     monkeypatch.setattr(exactdedup, "PART", 333)
     assert keys() == whole
+
+
+def test_digest_ranks_come_from_all_documents(spark):
+    """A document beyond any sample of a thousand still counts."""
+    texts = ["abc " * 40] * 1500
+    few = [(n, t) for n, t in enumerate(texts)]
+    raw = "".join(chr(33 + (k * 7) % 90) for k in range(3000))
+    counts = np.zeros(digest.GRADES + 1, np.int64)
+    for t in [*texts, *[raw] * 30]:
+        counts += np.bincount(digest.entropies(np.frombuffer(t.encode(), np.uint8)), minlength=len(counts))
+    df = spark.createDataFrame(few + [(5000 + n, raw) for n in range(30)], "doc_id long, text string")
+    assert digest.fit(df).tolist() == digest.rarity(counts).tolist()

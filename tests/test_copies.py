@@ -88,3 +88,11 @@ def test_copies_against_sql(spark, folders, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folders[TIMES]}/{t}.parquet'")
     found = catalog.queries()[name](spark, folders[TIMES])
     assert sorted(map(tuple, found.collect()), key=str) == sorted(con.execute(catalog.oracle_sql()[name]).fetchall(), key=str)
+
+
+def test_name_rules_are_whole():
+    """Every kind of reason that names were judged by is in the tables and in the SQL."""
+    from cartolake.plans import classify
+
+    assert {r.outcome for r in classify.NAMES} == {"no name", "generic name", "institution", "school", "another business", "livestock market", "not a sight"}
+    assert all(word in catalog.oracle_sql()[q] for q in ("er_realism_element", "er_realism_name") for word in ("yemekhane", "fakulte", "jandarma", "otopark"))

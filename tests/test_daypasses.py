@@ -3,11 +3,16 @@
 import random
 from dataclasses import replace
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cartolake.operators import dayplan as D
 from cartolake.operators.daypasses import Days
-from tests.test_dayplan import skies, town
+from cartolake.operators.relational import first_per
+from cartolake.plans import resolution
+from cartolake.sources.tables import BASE, Tables
+from tests.test_dayplan import SF, skies, town
 
 
 def asked(seed, n=30):
@@ -60,3 +65,20 @@ def test_copies_of_places_are_not_scored_one_by_one(monkeypatch):
 
 def test_weather_of():
     assert D.weather_of("01") == ((0, D.FAIR), (1, D.Weather(wet=True))) and D.weather_of("e")[0][1] == D.Weather(False, True, True, True) and D.weather_of(None) == D.weather_of("") == ()
+
+
+def test_places_at_one_point_are_cut_before_they_meet_starts(spark, monkeypatch, tmp_path):
+    """Of 60 copies of each place no more meet a start than a group takes, and the group is the same as with all of them."""
+    for t in BASE:
+        copies = "SELECT a.* REPLACE (a.p_partkey + 2000 * k AS p_partkey) FROM (%s) a CROSS JOIN range(60) r(k)" if t == "part" else "%s"
+        duckdb.execute(f"COPY ({copies % f"SELECT * FROM '{SF}/{t}.parquet'"}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    met = []
+    monkeypatch.setattr(D, "plan_days", lambda requests, near, how, by: met.append(near))
+    for at in (SF, str(tmp_path)):
+        resolution.days(Tables(spark, at), "passes")
+    monkeypatch.setattr(resolution, "first_per", lambda df, *_: df)
+    resolution.days(Tables(spark, str(tmp_path)), "passes")
+    once, few, whole = (n.count() for n in met)
+    assert 0 < few <= D.NEAREST * once and whole == 60 * once
+    groups = [sorted(map(str, first_per(n, ["start", "category"], [F.col("metres"), F.col("place_id")], D.NEAREST).collect())) for n in met[1:]]
+    assert groups[0] == groups[1]

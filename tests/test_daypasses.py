@@ -63,6 +63,18 @@ def test_copies_of_places_are_not_scored_one_by_one(monkeypatch):
     assert len(scored) < len(requests) and [p.stops for p in plans[:5]] == [D.passes(r, places).stops for r in requests[:5]]
 
 
+def test_orders_are_shared_by_equal_plans():
+    """Requests that differ in budget alone and get the same stops have one key, and one better order."""
+    places, requests = D.Field(town(4)), [D.Request((41.0, 29.0), 5000.0 + k, interests=("sea",)) for k in range(100)]
+    days = Days([*requests, replace(requests[0], end=1700)], places)
+    made = days.passes()
+    keys, orders = days.same(made), {}
+    for key, plan, request in zip(keys, days.plans(made), days.requests, strict=True):
+        stops = D.reordered(plan, request).stops
+        assert orders.setdefault(key, stops) == stops
+    assert len(set(keys[:-1])) < 20 and keys[-1] not in keys[:-1]
+
+
 def test_weather_of():
     assert D.weather_of("01") == ((0, D.FAIR), (1, D.Weather(wet=True))) and D.weather_of("e")[0][1] == D.Weather(False, True, True, True) and D.weather_of(None) == D.weather_of("") == ()
 
